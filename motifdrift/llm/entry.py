@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifdrift.llm import exact_dedup, secret_scan, sharding
+from motifdrift.llm import exact_dedup, secret_scan, sharding, token_store
 from motifdrift.llm.shared import table
 
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
@@ -26,6 +32,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": op1_token_files,
         "op2_secret_scan": op2_secret_scan,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_sharding": op8_sharding,
