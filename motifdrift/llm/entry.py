@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifdrift.llm import exact_dedup, line_dedup, near_dedup, secret_scan, sharding, token_store
+from motifdrift.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, secret_scan, sharding, token_store
 from motifdrift.llm.shared import table
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -26,6 +26,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": op1_token_files,
         "op2_secret_scan": op2_secret_scan,
         "op3_line_dedup": op3_line_dedup,
+        "op5_decontamination": op5_decontamination,
+        "op6_packing": op6_packing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_sharding": op8_sharding,
         "op10_near_dedup": op10_near_dedup,
@@ -62,6 +72,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
             FROM m GROUP BY doc_id""",
+        "op5_decontamination": r"""
+            WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+                 w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^SPACE]+') AS words FROM t),
+                 s AS (SELECT DISTINCT kind, id, array_to_string(words[i:i + 4], ' ') AS shingle
+                       FROM (SELECT kind, id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+                 n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE kind = 'i' GROUP BY id),
+                 p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i USING (shingle)
+                       WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+            SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM p JOIN n USING (item_id)
+            WHERE 100 * n_shared >= 80 * n_item""".replace("SPACE", SPACES[1:-2]),
         "op7_exact_dedup": rf"""
             WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
