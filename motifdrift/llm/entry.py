@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifdrift.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, secret_scan, sharding, token_store
+from motifdrift.llm import decontaminate, exact_dedup, lang_id, line_dedup, near_dedup, packing, secret_scan, sharding, token_store, toxicity
 from motifdrift.llm.shared import table
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -26,6 +26,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language_report(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -51,10 +59,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": op1_token_files,
         "op2_secret_scan": op2_secret_scan,
         "op3_line_dedup": op3_line_dedup,
+        "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
         "op6_packing": op6_packing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_sharding": op8_sharding,
+        "op9_toxicity": op9_toxicity,
         "op10_near_dedup": op10_near_dedup,
     }
 
