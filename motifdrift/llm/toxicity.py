@@ -24,12 +24,12 @@ from pyspark.sql.window import Window
 from motifdrift.llm.shared import held_out, written
 from motifdrift.llm.words import coded_words, list_array, slices
 
-#: Labelled documents that the model is fitted on, about; landmarks of either kind.
-TRAIN_DOCS, LANDMARKS = 20_000, 20
+#: Labelled documents that the model is fitted on, about; landmarks of both kinds.
+TRAIN_DOCS, TOXIC, USUAL = 20_000, 40, 16
+#: Words, and beginnings of so many letters, can be toxic landmarks from this log-likelihood ratio (G squared) of their
+#: document counts. So many of the highest are considered; one that is so like a chosen one is passed over.
+STEMS, LEAST_TELLING, CONSIDERED, ALIKE = (4, 5, 6, 7, 8), 30.0, 1_000, 0.6
 DEPTH, DECAY = 3, 0.7
-#: A word is a toxic landmark from this log-likelihood ratio (G squared) of its document counts.
-#: and from this share of the most telling word's.
-LEAST_TELLING, LEAST_SHARE = 30.0, 0.2
 #: Words are compared in windows of so many characters; kernel values below LEAST_LIKE are chance and count as 0.
 WINDOW, LEAST_LIKE = 24, 0.2
 #: Hash places of ordered letter pairs; pairs up to GAP apart must agree in this share before the kernel is computed.
@@ -191,30 +191,54 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_docs: int) -> DataFra
     return written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "toxic-train")  # about most_docs rows of ids
 
 
-def chosen_landmarks(train: DataFrame, n: int) -> tuple[list[str], list[str]]:
-    """The words that set toxic documents most apart, and ordinary words; n of each at most."""
+def stems(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words and word beginnings (STEMS letters); and pairs: number of a word, number of one of its stems."""
+    place: dict[str, int] = {}
+    word, stem = [], []
+    for i, w in enumerate(words):
+        w = plain(w)
+        for x in {w[:n] for n in (*STEMS, len(w)) if DEPTH <= n <= len(w) <= WINDOW}:
+            word.append(i)
+            stem.append(place.setdefault(x, len(place)))
+    return list(place), np.array(word, np.int64), np.array(stem, np.int64)
+
+
+def chosen_landmarks(train: DataFrame, n_toxic: int, n_usual: int) -> tuple[list[str], list[str]]:
+    """Words and stems that set toxic documents most apart, no two of them alike; and ordinary words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, text in slices(batches):
+        for batch, text in slices(batches, most=4 << 20):
             codes, distinct, offsets = coded_words(text)
             toxic = batch.column(batch.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False)
-            each = np.unique(np.repeat(np.arange(len(text)), np.diff(offsets)) * max(1, len(distinct)) + codes)
-            bad = toxic[each // max(1, len(distinct))] == 1
-            word = each % max(1, len(distinct))
-            pos, neg = np.bincount(word[bad], minlength=len(distinct)), np.bincount(word[~bad], minlength=len(distinct))
-            yield pa.record_batch({"word": pa.array([plain(w) for w in distinct], pa.string()), "pos": pa.array(pos), "neg": pa.array(neg)})
-
-    words = train.mapInArrow(count, "word string, pos long, neg long").filter(F.length("word").between(DEPTH, WINDOW)).groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    words = written(words, "toxic-words")
+            names, word, stem = stems(distinct)
+            size = max(1, len(distinct))
+            each = np.unique(np.repeat(np.arange(len(text)), np.diff(offsets)) * size + codes)
+            starts, n = np.searchsorted(word, np.arange(size)), np.bincount(word, minlength=size)
+            n_each = n[each % size]
+            at = np.repeat(starts[each % size] - (np.cumsum(n_each) - n_each), n_each) + np.arange(n_each.sum())
+            pair = np.unique(np.repeat(each // size, n_each) * max(1, len(names)) + stem[at])
+            bad, which = toxic[pair // max(1, len(names))] == 1, pair % max(1, len(names))
+            pos, neg = np.bincount(which[bad], minlength=len(names)), np.bincount(which[~bad], minlength=len(names))
+            yield pa.record_batch({"word": pa.array(names, pa.string()), "pos": pa.array(pos), "neg": pa.array(neg)})
+
+    words = train.mapInArrow(count, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     total = train.agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).first()
     pos, neg = total["pos"] or 0, total["n"] - (total["pos"] or 0)
     rate_pos, rate_neg = (F.col("pos") + 0.5) / (pos + 1), (F.col("neg") + 0.5) / (neg + 1)
     rate = (F.col("pos") + F.col("neg") + 1) / (pos + neg + 2)
     telling = F.when(rate_pos > rate_neg, 2 * (F.col("pos") * F.log(rate_pos / rate) + F.col("neg") * F.log(rate_neg / rate))).otherwise(0.0)
-    words = words.withColumn("g", telling)
-    least = max(LEAST_TELLING, LEAST_SHARE * (words.agg(F.max("g")).first()[0] or 0))
-    worst = [r.word for r in words.filter(F.col("g") >= least).orderBy(F.desc("g"), "word").limit(n).collect()]
-    usual = [r.word for r in words.filter("neg >= 5 and g < 4").orderBy(F.xxhash64("word"), "word").limit(n).collect()]
+    words = written(words.withColumn("g", telling), "toxic-words")
+    best = [r.word for r in words.filter(F.col("g") >= LEAST_TELLING).orderBy(F.desc("g"), F.desc(F.length("word")), "word").limit(CONSIDERED).collect()]
+    worst: list[str] = []
+    if best:
+        codes = char_codes(best, WINDOW)
+        own = np.sqrt(kernel(codes, codes))
+        free = np.ones(len(best), bool)
+        for i in range(len(best)):
+            if free[i] and len(worst) < n_toxic:
+                worst.append(best[i])
+                free &= kernel(codes, codes[i : i + 1]) / (own * own[i]) < ALIKE
+    usual = [r.word for r in words.filter("neg >= 5 and g < 4").orderBy(F.xxhash64("word"), "word").limit(n_usual).collect()]
     return worst, usual
 
 
@@ -233,12 +257,12 @@ def support_vectors(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float
     return w[:-1], float(w[-1])
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, n_landmarks: int = LANDMARKS) -> Model | float:
+def fitted(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, n_toxic: int = TOXIC, n_usual: int = USUAL) -> Model | float:
     """A model of docs (doc_id, text) and labels (doc_id, toxic); only the base rate if there are not both classes or no landmark."""
     train = training_rows(docs, labels, most_docs)
     row = train.agg(F.avg("toxic")).first()
     rate = float(row[0] or 0.0)
-    worst_words, usual = chosen_landmarks(train, n_landmarks) if 0 < rate < 1 else ([], [])
+    worst_words, usual = chosen_landmarks(train, n_toxic, n_usual) if 0 < rate < 1 else ([], [])
     if not worst_words:
         return rate
     names = worst_words + usual
