@@ -31,7 +31,9 @@ LEVEL = 3
 #: The dictionary is trained on about so many documents, at most so many bytes of each.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 32 << 10, 2_000, 16 << 10
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
+#: Bytes of text encoded at once, and pieces that the tokenizer gets at once: its results are large objects.
+ENCODED_BYTES, LEARNED_AT_ONCE = 8 << 20, 8_192
 
 
 class WordEncoder:
@@ -56,9 +58,13 @@ class WordEncoder:
         self.ids, self.starts = np.array([END_ID], self.width), np.array([0, 0, 1], np.int64)
 
     def learn(self, pieces: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in coded for i in ids), self.width, int(lengths.sum()))])
+        coded = [self.ids]
+        lengths = np.zeros(len(pieces), np.int64)
+        for a in range(0, len(pieces), LEARNED_AT_ONCE):
+            some = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[a : a + LEARNED_AT_ONCE], add_special_tokens=False)]
+            lengths[a : a + len(some)] = [len(x) for x in some]
+            coded.append(np.fromiter((i for ids in some for i in ids), self.width))
+        self.ids = np.concatenate(coded)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
 
@@ -98,7 +104,10 @@ class WordEncoder:
 def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[start : start + length] for each pair, joined; and where each begins, with the end."""
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    return values[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
+    kind = np.int32 if max(ends[-1], len(values)) < 1 << 31 else np.int64
+    place = np.repeat((starts - ends[:-1]).astype(kind), lengths)
+    place += np.arange(ends[-1], dtype=kind)
+    return values[place], ends
 
 
 @lru_cache(maxsize=2)
@@ -111,7 +120,7 @@ def trained_dictionary(docs: DataFrame, tokenizer_path: str, n_docs: int) -> byt
     sample = docs.select("text") if n_docs <= SAMPLE_DOCS else docs.select("text").sample(SAMPLE_DOCS / n_docs, seed=7)
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, text in slices(batches):
+        for _, text in slices(batches, most=ENCODED_BYTES):
             ids, at = encoder(tokenizer_path).encode(text)
             yield pa.record_batch({"ids": pa.array([ids[a:b].tobytes()[:SAMPLE_BYTES] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
@@ -155,7 +164,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = compressor(dictionary)
-        for batch, text in slices(batches):
+        for batch, text in slices(batches, most=ENCODED_BYTES):
             ids, at = encoder(tokenizer_path).encode(text)
             view = memoryview(np.ascontiguousarray(ids)).cast("B")
             frames = [press.compress(view[a * width : b * width]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
