@@ -129,6 +129,14 @@ def found_by_shuffle(docs: DataFrame, parts: DataFrame) -> DataFrame:
     return good.select("doc_id", "item_id", F.col("n").alias("n_item"), "n_shared")
 
 
+def indexed_items(items: DataFrame) -> DataFrame:
+    """item_shingles() as a written table; items that repeat an id are one item with all their shingles."""
+    parts = item_shingles(items).dropDuplicates(["item_id", "shingle"])
+    again = Window.partitionBy("item_id")
+    parts = parts.withColumn("n", F.count("*").over(again)).withColumn("place", F.row_number().over(again.orderBy(F.xxhash64("shingle"), "shingle")) - 1)
+    return written(parts.withColumn("k", F.least("n", F.max("k").over(again))).select("item_id", "n", "k", F.col("place").cast("long").alias("place"), "shingle"), "item-shingles")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: every document and item of which it holds 80 % of the shingles or more.
 
@@ -138,15 +146,23 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     without a doc_id are reported with a null id. Only ids and texts are read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = item_shingles(items).dropDuplicates(["item_id", "shingle"])
-    again = Window.partitionBy("item_id")
-    parts = parts.withColumn("n", F.count("*").over(again)).withColumn("place", F.row_number().over(again.orderBy("shingle")) - 1).withColumn("k", F.least("n", F.max("k").over(again)))
-    parts = written(parts, "item-shingles")
+    parts = indexed_items(items)
     search = found_by_broadcast if parts.count() <= most_shingles else found_by_shuffle
     return search(docs, parts).withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item; rows without an id are kept."""
-    bad = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad_id"], "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, most_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+    """The rows of docs (doc_id, text, any others) that hold no item, with all their columns."""
+    parts = indexed_items(items)
+    if parts.count() > most_shingles:
+        bad = found_by_shuffle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts).select(F.col("doc_id").alias("_bad_id")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    index = docs.sparkSession.sparkContext.broadcast(ItemIndex(parts.toArrow()))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text in slices(batches):
+            clean = np.ones(len(text), bool)
+            clean[index.value.search(*distinct_in_text(*shingles(text, WIDTH)))[0]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)

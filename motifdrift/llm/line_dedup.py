@@ -188,6 +188,17 @@ def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
+def kept_lines(text: str | None, keys: list[bytes] | None) -> tuple[int, int, str]:
+    """Lines before dropping, lines dropped, the remaining text."""
+    text = text or ""
+    n_lines = text.count("\n") + 1
+    if not keys:
+        return n_lines, 0, text
+    gone = set(keys)
+    left = [x for x in text.split("\n") if line_key(x) not in gone]
+    return n_lines, n_lines - len(left), "\n".join(left)
+
+
 KEPT = "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string"
 
 
@@ -202,25 +213,34 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
             rows = []
             for doc_id, text, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = text or ""
-                n_lines, kept = text.count("\n") + 1, text
-                n_dropped = 0
-                if keys:
-                    gone = set(keys)
-                    left = [x for x in text.split("\n") if line_key(x) not in gone]
-                    n_dropped, kept = n_lines - len(left), "\n".join(left)
+                n_lines, n_dropped, kept = kept_lines(text, keys)
                 rows.append((doc_id, n_lines, n_dropped, kept, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in KEPT.split(", ")])
 
     both = whole.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left").select("doc_id", "text", "keys")
     return both.mapInArrow(apply, KEPT)
 
 
+def with_kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """docs (doc_id, text, any others) with the remaining texts, and n_chars, if there, counted again. Rows and columns stay; null texts stay null."""
+    lost = dropped_keys(docs, least_docs=least_docs).select(F.col("doc_id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))
+    names = docs.columns
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [t if not k else kept_lines(t, k)[2] for t, k in zip(batch.column("text").to_pylist(), batch.column("_lost_keys").to_pylist(), strict=True)]
+            columns = {n: batch.column(n) for n in names} | {"text": pa.array(text, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost_id"]), "left").drop("_lost_id").mapInArrow(apply, docs.schema)
+    return joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else joined
+
+
 class LineIndex:
     """Incremental form: lines, exact tables and live-key filters under a path, by version. insert() and delete() write the next version."""
 
