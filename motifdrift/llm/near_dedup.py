@@ -37,7 +37,10 @@ PLACES = 1 << 20
 SEED = 5
 #: Buckets choose their pivot by one of so many orders.
 PIVOTS = 3
-BLOCK = 128
+#: A block of step 4 has about so many nodes and so many shingles (8 bytes each) at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Bytes of text whose shingles are held at once.
+SIGNED_BYTES = 8 << 20
 #: Node ids that are broadcast at most (16 MB); beyond, texts are joined by shuffle.
 BROADCAST_NODES = 2_000_000
 
@@ -76,7 +79,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), digest of the set, keys of the bands, for docs (doc_id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, text in slices(batches):
+        for batch, text in slices(batches, most=SIGNED_BYTES):
             values, at = distinct_in_text(*shingles(text, WIDTH))
             keys = band_keys(signatures(values, at))
             view = memoryview(values).cast("B")
@@ -93,7 +96,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """node, shingles: sorted distinct hashes as bytes, for docs (doc_id, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, text in slices(batches, most=8 << 20):
+        for batch, text in slices(batches, most=SIGNED_BYTES):
             values, at = distinct_in_text(*shingles(text, WIDTH))
             yield pa.record_batch({"node": batch.column(0), "shingles": binary_rows(values, at)})
 
@@ -165,15 +168,18 @@ def block_links(part: pa.Table) -> pa.Table:
 
 
 def rest_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Step 4: links of the pairs that no pivot has settled. members: key, node of buckets of three or more."""
-    inside = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    by_comp = inside.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    """Step 4: links of the pairs that no pivot has settled. members: key, node, n of buckets of three or more."""
+    inside = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    by_comp = inside.groupBy("key", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
     bucket = by_comp.groupBy("key").agg(
-        F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("top")
-    ).filter(F.col("top.n") < F.col("total"))  # several components
-    n_blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    bucket = bucket.select("key", F.col("top.comp").alias("top"), n_blocks(F.col("top.n")).alias("n_top"), n_blocks(F.col("total") - F.col("top.n")).alias("n_rest"))
-    here = inside.join(bucket, "key").withColumn("is_top", F.col("comp") == F.col("top"))
+        F.sum("count").alias("count"), F.sum("n").alias("n"), F.max(F.struct("count", "comp", "n")).alias("top")
+    ).filter(F.col("top.count") < F.col("count"))  # several components
+    n_blocks = lambda count, n: F.ceil(F.greatest(count / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    bucket = bucket.select(
+        "key", F.col("top.comp").alias("top"), n_blocks(F.col("top.count"), F.col("top.n")).alias("n_top"),
+        n_blocks(F.col("count") - F.col("top.count"), F.col("n") - F.col("top.n")).alias("n_rest"),
+    )
+    here = inside.drop("n").join(bucket, "key").withColumn("is_top", F.col("comp") == F.col("top"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int")
     here = here.withColumn("own", own)
     # Sides: 1 left, 2 right, 0 both (a block with itself). Blocks of the largest component only meet the others.
@@ -226,7 +232,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = written(shingle_sets(texts), "near-sets")
     links = written(verified(pairs, sets), "near-links")
     labels = components(links)
-    more = written(rest_links(members.filter("size > 2").select("key", "node"), labels, classes, sets), "near-more")
+    more = written(rest_links(members.filter("size > 2").select("key", "node", "n"), labels, classes, sets), "near-more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
