@@ -1,6 +1,6 @@
 """Secret scan with DataFrame functions only: fixed patterns, and two character Markov models.
 
-The patterns find well-formed secrets. Their values, and the other long tokens of the corpus, are the labelled samples
+The patterns find well-formed secrets. Their values, and the long tokens of the corpus that are made of words, are the labelled samples
 that train two first-order character models: of random strings and of ordinary identifiers. A long token outside
 every pattern is a secret when its log-likelihood ratio under the two is high. Counts cover all documents.
 """
@@ -27,6 +27,8 @@ SAMPLE_LEAST = 12
 SCORED_LEAST = 16
 LONG = rf"(?<!{TOKEN}){TOKEN}{{{SAMPLE_LEAST},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Long tokens made of words, capitals or numbers are the ordinary samples; others, which may be secrets, train nothing.
+ORDINARY = r"^(?:[_/+-]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++))++$"
 #: The random model leans to uniform; the ordinary one gives little to what it has not seen.
 RANDOM_PRIOR, ORDINARY_PRIOR = 8.0, 0.5
 #: In nats: of a whole token, and of each of its steps.
@@ -78,11 +80,11 @@ def step_counts(samples: DataFrame) -> DataFrame:
 
 
 def labelled(spans: DataFrame) -> DataFrame:
-    """Samples (label, token): 1 for values of the patterns, 0 for other long tokens. Parts of values outside the alphabet split them."""
+    """Samples (label, token): 1 for values of the patterns, 0 for ordinary long tokens. Parts of values outside the alphabet split them."""
     one = lambda name, label, least: spans.select(F.explode(name).alias("x")).select(
         F.lit(label).alias("label"), F.explode(F.regexp_extract_all(F.col("x.v"), F.lit(rf"{TOKEN}{{{least},}}"), F.lit(0))).alias("token")
     )
-    return one("base", 1, 2).unionByName(one("long", 0, SAMPLE_LEAST))
+    return one("base", 1, 2).unionByName(one("long", 0, SAMPLE_LEAST).filter(F.col("token").rlike(ORDINARY)))
 
 
 def log_ratios(counts: list[tuple[int, int, int, int]]) -> list[float]:

@@ -90,7 +90,7 @@ def uniform_shards(rows: DataFrame, n_shards: int = 8, seed: int = SEED, bucket_
         dealt.withColumn("_shard_rank", F.row_number().over(inside))
         .join(starts, ["shard", "_shard_bucket"])
         .withColumn("slot", (F.col("_shard_start") + F.col("_shard_rank") - 1).cast("long"))
-        .drop("_shard_start", "_shard_rank", "_shard_second", "_shard_bucket", "_shard_place")
+        .select(*rows.columns, "shard", "slot")
     )
 
 
