@@ -29,8 +29,9 @@ LONG = rf"(?<!{TOKEN}){TOKEN}{{{SAMPLE_LEAST},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Long tokens made of words, capitals or numbers are the ordinary samples; others, which may be secrets, train nothing.
 ORDINARY = r"^(?:[_/+-]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++))++$"
-#: The random model leans to uniform; the ordinary one gives little to what it has not seen.
-RANDOM_PRIOR, ORDINARY_PRIOR = 8.0, 0.5
+#: The random model leans to uniform, by so many counts for each character; the ordinary one falls back on how often the
+#: second character comes at all, by so many counts in all, so what it has never seen is unlikely.
+RANDOM_PRIOR, ORDINARY_PRIOR = 8.0, 4.0
 #: In nats: of a whole token, and of each of its steps.
 LEAST_RATIO, LEAST_RATIO_A_STEP = 12.0, 0.5
 
@@ -92,24 +93,24 @@ def log_ratios(counts: list[tuple[int, int, int, int]]) -> list[float]:
     size = len(ALPHABET) + 1
     n = {(label, a, b): c for label, a, b, c in counts}
     rows = {(label, a): sum(n.get((label, a, b), 0) for b in range(size)) for label in (0, 1) for a in range(size)}
-
-    def p(label: int, a: int, b: int, prior: float) -> float:
-        return (n.get((label, a, b), 0) + prior) / (rows[label, a] + prior * size)
-
-    return [log(p(1, a, b, RANDOM_PRIOR) / p(0, a, b, ORDINARY_PRIOR)) for a in range(size) for b in range(size)]
+    alone = [sum(n.get((0, a, b), 0) for a in range(size)) + 0.5 for b in range(size)]
+    share = [x / sum(alone) for x in alone]
+    random = lambda a, b: (n.get((1, a, b), 0) + RANDOM_PRIOR) / (rows[1, a] + RANDOM_PRIOR * size)
+    ordinary = lambda a, b: (n.get((0, a, b), 0) + ORDINARY_PRIOR * share[b]) / (rows[0, a] + ORDINARY_PRIOR)
+    return [log(random(a, b) / ordinary(a, b)) for a in range(size) for b in range(size)]
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and spans: arrays of (s start, k kind, e end), by start and then kind; spans also has the random tokens.
 
     A null text counts as empty and has no spans. Repeated rows and ids give a row each. Equal starts are ordered by kind, then
-    end. Without any sample the models are equal and add nothing. An empty table gives no rows. Other columns
+    end. Without samples of both kinds nothing is added. An empty table gives no rows. Other columns
     are not read. A text may be of any length: it is matched whole.
     """
     spans = written(matched(docs, id_col, text_col), "secret-spans")
     counts = [tuple(r) for r in step_counts(labelled(spans)).collect()]  # at most 2 x (alphabet + 1) squared rows
     size = len(ALPHABET) + 1
-    values = ", ".join(f"{x:.6f}D" for x in log_ratios(counts)) if any(c[0] == 1 for c in counts) else "0D"
+    values = ", ".join(f"{x:.6f}D" for x in log_ratios(counts)) if {c[0] for c in counts} == {0, 1} else "0D"
     place = lambda i: f"instr('{ALPHABET}', substring(x.v, {i}, 1))"
     llr = f"aggregate(sequence(1, length(x.v) - 1), 0D, (t, i) -> t + coalesce(get(ratios, {place('i')} * {size} + {place('i + 1')}), 0D))"
     long = f"filter(long, x -> length(x.v) >= {SCORED_LEAST})"
