@@ -59,9 +59,8 @@ PERIODS: dict[str, Callable[[Column], Column]] = {"year": period_year, "quarter"
 
 
 def trigrams(sequence: Column) -> Column:
-    """All overlapping three-letter substrings, in order; none for fewer than three letters."""
-    n = F.length(sequence)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(sequence, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """All overlapping three-letter substrings, in order; none for fewer than three letters. One pass: taking substrings by position would start over for each."""
+    return F.regexp_extract_all(sequence, F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
 def context(sequence: Column, position: Column, size: int = 2) -> Column:
@@ -69,9 +68,17 @@ def context(sequence: Column, position: Column, size: int = 2) -> Column:
     return F.substring(sequence, position + F.lit(1 - size), F.lit(2 * size + 1))
 
 
-def site_differences(a: Column, b: Column, sites: list[int]) -> Column:
-    """At how many sites two sequences differ; a position that is listed twice counts twice."""
-    return F.size(F.filter(F.lit(sites), lambda p: F.substring(a, p + 1, F.lit(1)) != F.substring(b, p + 1, F.lit(1))))
+def site_differences(a: Column, b: Column, ranges: list[tuple[int, int]]) -> Column:
+    """At how many positions of the inclusive 1-based ranges two sequences differ; a position in two ranges counts twice.
+
+    Each range is cut out of both once, and only letters of unequal pieces are compared.
+    """
+    pieces = F.array(*[
+        F.struct(F.substring(a, F.lit(x), F.lit(y - x + 1)).alias("a"), F.substring(b, F.lit(x), F.lit(y - x + 1)).alias("b"), F.lit(y - x + 1).alias("n"))
+        for x, y in ranges
+    ])
+    unequal = lambda p: F.size(F.filter(F.sequence(F.lit(1), p["n"]), lambda i: F.substring(p["a"], i, F.lit(1)) != F.substring(p["b"], i, F.lit(1))))
+    return F.aggregate(F.filter(pieces, lambda p: p["a"] != p["b"]), F.lit(0), lambda total, p: total + unequal(p))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

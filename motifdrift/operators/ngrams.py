@@ -46,6 +46,5 @@ def context_trigram_ids(df: DataFrame, sites: DataFrame, vocab: DataFrame, keep:
 
 def differences(pairs: DataFrame, a: str, b: str, share: float = settings.DIFFERENCE_SHARE) -> DataFrame:
     """Adds differences (sites where a and b differ) and too_mutated (more than share of all site entries, rounded down)."""
-    sites = settings.site_positions()
-    n = site_differences(F.col(a), F.col(b), sites)
-    return pairs.withColumn("differences", n).withColumn("too_mutated", F.col("differences") > int(len(sites) * share))
+    n = site_differences(F.col(a), F.col(b), settings.SITE_RANGES)
+    return pairs.withColumn("differences", n).withColumn("too_mutated", F.col("differences") > int(len(settings.site_positions()) * share))

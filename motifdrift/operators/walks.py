@@ -84,8 +84,8 @@ def walk_step(state: DataFrame, links: DataFrame, members: DataFrame, seed: int,
     )
     tried = with_member(moved, members, drawn(seed, F.col("sample_id"), turn, step, F.col("attempt"), "member"))
     if judged:
-        sites = settings.site_positions()
-        tried = tried.filter(site_differences(F.col("before"), F.col("sequence"), sites) <= int(len(sites) * settings.DIFFERENCE_SHARE))
+        most = int(len(settings.site_positions()) * settings.DIFFERENCE_SHARE)
+        tried = tried.filter(site_differences(F.col("before"), F.col("sequence"), settings.SITE_RANGES) <= most)
     first = tried.groupBy("sample_id").agg(F.min_by(F.struct("period_idx", "cluster", "sequence", "seqs"), "attempt").alias("_s")).select("sample_id", "_s.*")
     return first.withColumn("seqs", F.concat("seqs", F.array("sequence")))
 

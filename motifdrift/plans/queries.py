@@ -315,7 +315,7 @@ def _samples(rows: DataFrame) -> DataFrame:
 
 def _walk_inputs(spark, d):
     rows = fx.members(spark, d).persist()
-    return rows, fx.member_links(rows), walks.numbered_members(walks.prefer_length(rows))
+    return rows, fx.member_links(rows).persist(), walks.numbered_members(walks.prefer_length(rows))
 
 
 @query
