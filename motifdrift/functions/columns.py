@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,7 +117,3 @@ def joined_links(links: Column) -> Column:
 
 def parsed_links(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(text, "-"), lambda x: x.cast("int")))
-
-
-def contains_any(text: Column, letters: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in letters])

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motifdrift import settings
-from motifdrift.functions.columns import DAY_POLICIES, PERIODS, contains_any, parsed_date
+from motifdrift.functions.columns import DAY_POLICIES, PERIODS, parsed_date
 
 
 def drop_ambiguous(df: DataFrame, letters: str = settings.AMBIGUOUS) -> DataFrame:
-    return df.filter(~contains_any(F.col("sequence"), letters))
+    return df.filter(~F.col("sequence").rlike("[" + re.escape(letters) + "]"))
 
 
 def require_terminator(df: DataFrame, mark: str = settings.TERMINATOR) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifdrift import settings
 from motifdrift.functions.columns import drawn
-from motifdrift.operators.ngrams import context_trigram_ids
+from motifdrift.operators.ngrams import context_ids
+from motifdrift.sources.scratch import written
 
 
 def label_mutation(last: Column, y: Column, exact: bool = False) -> Column:
@@ -20,13 +22,10 @@ def label_mutation(last: Column, y: Column, exact: bool = False) -> Column:
 def build_rows(walks: DataFrame, sites: DataFrame, vocab: DataFrame, strict: bool = True, exact: bool = False) -> DataFrame:
     """sample_id, ordinal, y, x (array of id triples) for each walk (sample_id, seqs) and site entry."""
     steps = walks.select("sample_id", F.posexplode("seqs").alias("step", "sequence"))
-    ids = context_trigram_ids(steps, sites, vocab, ["sample_id", "step"], strict)
-    # The map side of both groupings combines what a walk's own explode made, so only ids travel.
-    triples = ids.groupBy("sample_id", "ordinal").agg(F.array_sort(F.collect_list(F.struct("step", "i", "idx"))).alias("c"))
-    cells = F.transform(F.sequence(F.lit(0), F.element_at("c", -1)["step"]), lambda s: F.transform(F.filter("c", lambda e: e["step"] == s), lambda e: e["idx"]))
-    rows = triples.withColumn("cells", cells)
-    x, y = F.slice("cells", 1, F.size("cells") - 1), F.element_at("cells", -1)
-    return rows.select("sample_id", "ordinal", label_mutation(F.element_at(x, -1), y, exact).alias("y"), x.alias("x"))
+    ids = context_ids(steps, sites, vocab, ["sample_id", "step"], strict).withColumn("ids", F.filter("ids", lambda i: i.isNotNull()))
+    cells = ids.groupBy("sample_id", "ordinal").agg(F.array_sort(F.collect_list(F.struct("step", "ids"))).alias("c")).select("sample_id", "ordinal", F.col("c.ids").alias("cells"))
+    x, y = F.slice("cells", F.lit(1), F.size("cells") - 1), F.element_at("cells", -1)
+    return cells.select("sample_id", "ordinal", label_mutation(F.element_at("cells", -2), y, exact).alias("y"), x.alias("x"))
 
 
 def dedupe_dataset(df: DataFrame, order: list[str]) -> DataFrame:
@@ -65,12 +64,10 @@ def refill_dataset(generate: Callable[[int, int], DataFrame], target: int, ratio
 
     turn goes into the seed. Both numbers are shares of target.
     """
-    from functools import reduce
-
     parts: list[DataFrame] = []
     missing = target
     for turn in range(most):
-        parts.append(generate(missing, turn).withColumn("turn", F.lit(turn)).persist())
+        parts.append(written(generate(missing, turn).withColumn("turn", F.lit(turn)), "refill"))
         unique = dedupe_dataset(reduce(lambda a, b: a.unionByName(b), parts), ["turn", "row_id"])
         missing = target - unique.count()
         if missing <= target * ratio:

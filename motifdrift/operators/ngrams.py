@@ -17,31 +17,49 @@ def trigram_counts(df: DataFrame, key: str) -> DataFrame:
 def sequence_vectors(df: DataFrame, vocab: DataFrame, dims: list[str], key: str = "record_idx", places: int = 8) -> DataFrame:
     """The sum of a sequence's trigram vectors. Unknown trigrams add nothing; a sequence of only such has a zero vector.
 
-    Trigrams are counted first, so a sequence has one joined row for each distinct trigram. The vocabulary is bounded by the
-    alphabet (26 cubed), so it is broadcast.
+    Sequences are partitioned by key while they are whole: both the counts and the sums are then local, and a sequence has one
+    joined row for each distinct trigram. The vocabulary is bounded by the alphabet (26 cubed), so it is broadcast.
     """
-    found = trigram_counts(df, key).join(F.broadcast(vocab.select("words", *dims)), F.col("trigram") == F.col("words"), "left")
+    whole = df.select(key, "sequence").repartition(key)
+    found = trigram_counts(whole, key).join(F.broadcast(vocab.select("words", *dims)), F.col("trigram") == F.col("words"), "left")
     sums = [F.round(F.coalesce(F.sum(F.col("n") * F.col(d)), F.lit(0.0)), places).alias(d) for d in dims]
     some = found.groupBy(key).agg(*sums)
     short = df.filter(F.length("sequence") < 3).select(key, *[F.lit(0.0).alias(d) for d in dims])
     return some.unionByName(short)
 
 
+def site_entries(sites: DataFrame) -> list:
+    """The fixed table of a few hundred site entries as an array of literals."""
+    return [F.struct(F.lit(r.ordinal).alias("ordinal"), F.lit(r.position).alias("position")) for r in sites.collect()]
+
+
 def at_sites(df: DataFrame, sites: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each sequence and site entry: keep, ordinal, position, and the letter there. sites is a fixed table of a few hundred rows."""
-    entries = [F.struct(F.lit(r.ordinal).alias("ordinal"), F.lit(r.position).alias("position")) for r in sites.collect()]
-    return df.withColumn("site", F.explode(F.array(*entries))).select(*keep, "sequence", "site.ordinal", "site.position")
+    """A row for each sequence and site entry: keep, ordinal, position, letter. Only the letters are exploded, not the sequence."""
+    letter = F.transform(F.array(*site_entries(sites)), lambda e: F.struct(e["ordinal"].alias("ordinal"), e["position"].alias("position"), F.substring(F.col("sequence"), e["position"] + 1, F.lit(1)).alias("letter")))
+    return df.select(*keep, F.explode(letter).alias("e")).select(*keep, "e.*")
+
+
+def context_ids(df: DataFrame, sites: DataFrame, vocab: DataFrame, keep: list[str], strict: bool = True) -> DataFrame:
+    """keep, ordinal, ids: the ids of the three trigrams around each site (fewer at the ends). Unknown: an error if strict, else null.
+
+    Three lookups in a broadcast vocabulary: the row of a site stays one row.
+    """
+    around = F.transform(F.array(*site_entries(sites)), lambda e: F.struct(e["ordinal"].alias("ordinal"), context(F.col("sequence"), e["position"]).alias("c")))
+    rows = df.select(*keep, F.explode(around).alias("e")).select(*keep, "e.ordinal", "e.c")
+    words = vocab.groupBy("words").agg(F.min("idx").alias("idx"))
+    for i in range(3):
+        word = F.substring("c", i + 1, 3)
+        rows = rows.withColumn(f"_w{i}", F.when(F.length(word) == 3, word)).join(F.broadcast(words.select(F.col("words").alias(f"_w{i}"), F.col("idx").alias(f"_i{i}"))), f"_w{i}", "left")
+    if strict:
+        unknown = lambda i: F.raise_error(F.concat(F.lit("trigram without a vector: "), F.col(f"_w{i}"))).cast("int")
+        for i in range(3):
+            rows = rows.withColumn(f"_i{i}", F.when(F.col(f"_i{i}").isNull() & F.col(f"_w{i}").isNotNull(), unknown(i)).otherwise(F.col(f"_i{i}")))
+    return rows.select(*keep, "ordinal", F.slice(F.array("_i0", "_i1", "_i2"), F.lit(1), F.greatest(F.length("c") - 2, F.lit(0))).alias("ids"))
 
 
 def context_trigram_ids(df: DataFrame, sites: DataFrame, vocab: DataFrame, keep: list[str], strict: bool = True) -> DataFrame:
-    """keep, ordinal, i (0, 1, 2), idx: ids of the three trigrams around each site. Unknown trigrams: an error if strict, else left out."""
-    around = at_sites(df, sites, keep).select(*keep, "ordinal", F.posexplode(trigrams(context(F.col("sequence"), F.col("position")))).alias("i", "trigram"))
-    ids = F.broadcast(vocab.groupBy("words").agg(F.min("idx").alias("idx")))
-    if not strict:
-        return around.join(ids, F.col("trigram") == F.col("words")).select(*keep, "ordinal", "i", "idx")
-    found = around.join(ids, F.col("trigram") == F.col("words"), "left")
-    missing = F.raise_error(F.concat(F.lit("trigram without a vector: "), F.col("trigram"))).cast("int")
-    return found.select(*keep, "ordinal", "i", F.coalesce(F.col("idx"), missing).alias("idx"))
+    """keep, ordinal, i (0, 1, 2), idx: context_ids() in long form; unknown trigrams are left out if not strict."""
+    return context_ids(df, sites, vocab, keep, strict).select(*keep, "ordinal", F.posexplode("ids").alias("i", "idx")).filter("idx is not null")
 
 
 def differences(pairs: DataFrame, a: str, b: str, share: float = settings.DIFFERENCE_SHARE) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 
 from motifdrift import settings
 from motifdrift.functions.columns import drawn, site_differences
+from motifdrift.sources.scratch import written
+
+#: A walk's state is written after so many steps.
+WRITTEN_STEPS = 4
 
 
 def period_windows(periods: DataFrame, size: int = settings.WINDOW_SIZE) -> DataFrame:
@@ -96,18 +100,21 @@ def sample_walks(samples: DataFrame, links: DataFrame, members: DataFrame, size:
     A walk that finds no fitting sequence starts again in the next round with new draws; with strict, walks that fail all rounds
     are an error. Walks of a round that are done aren't looked at again.
     """
-    members = members.select("period_idx", "cluster", "member_no", "sequence").persist()
+    members = written(members.select("period_idx", "cluster", "member_no", "sequence"), "walk-members")
+    links = written(links, "walk-links")
     clusters = links.select("period_idx", "cluster").join(members.select("period_idx", "cluster").distinct(), ["period_idx", "cluster"])
-    done, left = None, samples
+    done, left = None, samples.select("sample_id", "period_idx")
     for turn in range(rounds):
-        state = pick_first(left.select("sample_id", "period_idx"), clusters, members, seed, turn).withColumn("seqs", F.array("sequence"))
+        state = pick_first(left, clusters, members, seed, turn).withColumn("seqs", F.array("sequence"))
         for step in range(1, size + 1):
             state = walk_step(state, links, members, seed, turn, step, judged=step < size)
-        new = state.select("sample_id", F.lit(turn).alias("turn"), "seqs").persist()
+            if step % WRITTEN_STEPS == 0 or step == size:
+                state = written(state, "walks")  # plans stay short
+        new = state.select("sample_id", F.lit(turn).alias("turn"), "seqs")
         done = new if done is None else done.unionByName(new)
-        left = left.join(new.select("sample_id"), "sample_id", "left_anti")
-        if turn + 1 < rounds and left.isEmpty():
+        left = written(left.join(new.select("sample_id"), "sample_id", "left_anti"), "walks-left")
+        if left.isEmpty():
             return done
-    if strict and (n := left.count()):
-        raise RuntimeError(f"{n} walks found no fitting sequences in {rounds} rounds")
+    if strict:
+        raise RuntimeError(f"{left.count()} walks found no fitting sequences in {rounds} rounds")
     return done

@@ -13,6 +13,7 @@ from motifdrift.operators.dataset import build_rows
 from motifdrift.operators.link import link_clusters
 from motifdrift.operators.ngrams import sequence_vectors
 from motifdrift.operators.walks import numbered_members
+from motifdrift.sources.scratch import written
 from motifdrift.sources.tables import driver_table, site_table
 
 WIDTH = 8
@@ -26,11 +27,23 @@ def whole_div(a, b: int):
     return F.floor(a / b).cast("long")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer partitions; large tables have more, and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, name: str, value) -> DataFrame:
+    """df with a derived column that is computed once for a row: filters on it can't be pushed below the generator, where each would compute it again."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_idx, description, sequence: FASTA-like records made from documents."""
-    docs = driver_table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("h", drawn(F.col("doc_id")))
+    docs = spread(driver_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn("h", drawn(F.col("doc_id")))
     h = F.col("h")
-    s0 = F.upper(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 1273))
+    docs = once(docs, "s0", F.upper(F.substring(F.regexp_replace("text", "[^A-Za-z]+", ""), 1, 1273)))
+    s0 = F.col("s0")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     description = F.concat(
         F.lit(">Spike|iso/"), "source", F.lit("/"), (h % 400).cast("string"), F.lit("|"), (2020 + h % 2).cast("string"), F.lit("-"),
@@ -38,7 +51,7 @@ def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     letters = F.when(whole_div(h, 768) % 10 == 0, s0).otherwise(F.translate(s0, "BJZX", "ALGS"))
     sequence = F.concat(letters, F.when(whole_div(h, 7680) % 20 == 0, "").otherwise("*"))
-    return docs.select(F.col("doc_id").alias("record_idx"), description.alias("description"), sequence.alias("sequence"))
+    return once(docs.select(F.col("doc_id").alias("record_idx"), description.alias("description"), "s0", "h"), "sequence", sequence).drop("s0", "h")
 
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +60,8 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """record_idx, period (quarter), period_idx, cluster, sequence; sequences share a beginning, so that walks can pass."""
-    rows = dated(spark, sf_dir)
+    """record_idx, period (quarter), period_idx, cluster, sequence; sequences share a beginning, so that walks can pass. Kept for the steps of a query that read it again."""
+    rows = written(dated(spark, sf_dir), "dated")
     base = rows.agg(F.min_by("sequence", F.struct(-F.length("sequence"), "record_idx")).alias("b")).first().b
     quarter = F.quarter("timestamp")
     period_idx = ((F.year("timestamp") - 2020) * 4 + quarter).cast("int")
@@ -59,7 +72,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = (F.col("record_idx") % 3 == 0) | ((F.col("period_idx") == 3) & (F.col("cluster") == 2))
     own = F.when(short, F.concat(F.substring("sequence", F.lit(1), F.length("sequence") - 3), F.lit("*"))).otherwise(F.col("sequence"))
     mixed = F.concat(F.substring(F.lit(base), F.lit(1), F.col("cut")), F.substring(own, F.col("cut") + 1, F.lit(2000)))
-    return rows.select("record_idx", "period", "period_idx", "cluster", mixed.alias("sequence"))
+    return once(rows, "_mixed", mixed).select("record_idx", "period", "period_idx", "cluster", F.col("_mixed").alias("sequence")).transform(lambda df: written(df, "members"))
 
 
 def vocab(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from motifdrift.functions.columns import joined_links, natural_key, trigrams
 from motifdrift.operators import clean, cluster, dataset, features, link, metrics, models, ngrams, walks
 from motifdrift.plans import fixtures as fx
 from motifdrift.sources import fasta
+from motifdrift.sources.scratch import new_path, written
 from motifdrift.sources.tables import driver_table, site_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,7 +123,7 @@ def slice_records(spark, d):
 @query
 def read_fasta(spark, d):
     """Writes the isolates as FASTA and reads them again."""
-    path = f"{_scratch(spark)}/fasta-{uuid.uuid4().hex}"
+    path = new_path(spark, "fasta")
     fasta.write_fasta(fx.isolates(spark, d).filter("sequence <> ''").repartitionByRange(4, "record_idx").sortWithinPartitions("record_idx"), path)
     return fasta.read_fasta(spark, path).select("record_idx", "description", F.md5("sequence").alias("sequence_md5"))
 
@@ -133,7 +133,7 @@ def ingest_stream(spark, d):
     """Streams the isolates, a file of FASTA for each slice of ids, into month periods."""
     from motifdrift.streaming import ingest
 
-    at = f"{_scratch(spark)}/ingest-{uuid.uuid4().hex}"
+    at = new_path(spark, "ingest")
     for i in range(3):
         part = fx.isolates(spark, d).filter((F.col("record_idx") % 3 == i) & (F.col("sequence") != ""))
         fasta.write_fasta(part.repartition(1).sortWithinPartitions("record_idx"), f"{at}/in/{i}")
@@ -141,18 +141,6 @@ def ingest_stream(spark, d):
     return ingest.stored(spark, f"{at}/periods").groupBy("period").agg(F.count("*").alias("n"), F.countDistinct("isolate_name").alias("n_isolates"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one for a local master without it."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='spark-motifdrift-')}"
-
-
 # Trigrams and sites -----------------------------------------------------------------------------------------------------
 
 
@@ -177,7 +165,7 @@ def context_trigram_ids(spark, d):
 def site_positions(spark, d):
     """How many sequences have which letter at each site entry."""
     at = ngrams.at_sites(fx.members(spark, d), site_table(spark), ["record_idx"])
-    return at.groupBy("ordinal", "position", F.substring("sequence", F.col("position") + 1, F.lit(1)).alias("letter")).agg(F.count("*").alias("n"))
+    return at.groupBy("ordinal", "position", "letter").agg(F.count("*").alias("n"))
 
 
 def _neighbours(spark, d):
@@ -314,8 +302,8 @@ def _samples(rows: DataFrame) -> DataFrame:
 
 
 def _walk_inputs(spark, d):
-    rows = fx.members(spark, d).persist()
-    return rows, fx.member_links(rows).persist(), walks.numbered_members(walks.prefer_length(rows))
+    rows = fx.members(spark, d)
+    return rows, written(fx.member_links(rows), "links"), walks.numbered_members(walks.prefer_length(rows))
 
 
 @query
@@ -377,7 +365,7 @@ def train_test_split(spark, d):
 
 @query
 def refill_dataset(spark, d):
-    rows = _rows(spark, d).persist()
+    rows = written(_rows(spark, d), "rows")
     target = rows.count() // 4
 
     def generate(n: int, turn: int) -> DataFrame:
@@ -492,7 +480,8 @@ def first_positive_slice(spark, d):
 
 
 def _trained(spark, d, fit):
-    flat = dataset.train_test_split(features.flatten_features(_features(spark, d), fx.DIMS), "row_id", SEED).persist()
+    flat = dataset.train_test_split(features.flatten_features(_features(spark, d), fx.DIMS), "row_id", SEED)
+    flat = written(flat, "features")
     out = models.scored(fit(flat.filter("not is_test")), flat.filter("is_test"))
     return metrics.evaluate(out)
 
