@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of every contract here: blank and U+0009 to U+000D.
-SPACE = r"[\x20\x09-\x0D]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only for a local master without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = getattr(spark, "_motifdrift_dir", None) or tempfile.mkdtemp(prefix="spark-motifdrift-")
-    spark._motifdrift_dir = made
-    return f"file://{made}"
+from motifdrift.sources.scratch import new_path, shared_dir, written
 
+__all__ = ["SPACE", "held_out", "new_path", "partitions", "shared_dir", "table", "text_or_empty", "written"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: what follows reads files, and a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: White space of every contract here: blank and U+0009 to U+000D.
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
