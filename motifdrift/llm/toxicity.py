@@ -4,8 +4,9 @@ The kernel counts common subsequences of DEPTH characters, weighted by DECAY for
 insult with gaps or inserted characters stays close to the plain one. Landmarks are words: those that set toxic
 documents apart, and ordinary ones. A sentence's features are the kernel values of its closest word to each landmark,
 mapped by K^(-1/2) of the landmarks. A linear SVM is trained on labelled sentences: all sentences of clean
-documents, and of each toxic one those that the last fit finds worst. A document's margin is its worst sentence's,
-turned into a probability by a logistic fit on training documents.
+documents, and of each toxic one those that the last fit finds worst. The margins of a document's WORST worst
+words, taken as sentences of their own, and its length are turned into a probability by a logistic fit on training documents:
+one word that looks like an insult by chance, in a long text, is less than several in a short one.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -35,6 +37,8 @@ WINDOW, LEAST_LIKE = 24, 0.2
 #: Hash places of ordered letter pairs; pairs up to GAP apart must agree in this share before the kernel is computed.
 PAIRS, GAP, PAIR_SHARE = 256, 4, 0.5
 ROUNDS = 3
+#: So many of a document's words decide.
+WORST = 4
 
 
 def plain(word: str) -> str:
@@ -122,8 +126,11 @@ class Landmarks:
         k[k < LEAST_LIKE] = 0
         return (k + k.T) / 2
 
-    def sentence_features(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Features (max over words) of all sentences with any, and the text that each belongs to. Runs of single letters are words too."""
+    def sentence_features(self, text: pa.Array, by_word: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Features (max over words) of all sentences with any, and the text that each belongs to. Runs of single letters are words too.
+
+        by_word: every word is a sentence of its own.
+        """
         codes, distinct, offsets = coded_words(text)
         owner = np.repeat(np.arange(len(text)), np.diff(offsets))
         ends = np.array([w[-1] in ".!?" for w in distinct], bool)[codes] if len(codes) else np.zeros(0, bool)
@@ -142,28 +149,30 @@ class Landmarks:
         long = [(c, w) for c, u in enumerate(units) if len(u) > WINDOW for w in windows(u)]
         base = [u if len(u) <= WINDOW else "" for u in units]
         rows, k = self.like(base + [w for _, w in long] + extra)
-        by_word = np.full((len(distinct),), -1, np.int64)
+        row_of = np.full((len(distinct),), -1, np.int64)
         n, m = len(base), len(base) + len(long)
         table = [k[rows < n]]
-        by_word[rows[rows < n]] = np.arange((rows < n).sum())
+        row_of[rows[rows < n]] = np.arange((rows < n).sum())
         for r, v in zip(rows[(rows >= n) & (rows < m)], k[(rows >= n) & (rows < m)], strict=True):
             c = long[r - n][0]
-            if by_word[c] < 0:
-                by_word[c] = sum(map(len, table))
+            if row_of[c] < 0:
+                row_of[c] = sum(map(len, table))
                 table.append(v[None, :])
             else:
                 joined = np.concatenate(table)
-                joined[by_word[c]] = np.maximum(joined[by_word[c]], v)
+                joined[row_of[c]] = np.maximum(joined[row_of[c]], v)
                 table = [joined]
-        at = np.flatnonzero(by_word[codes] >= 0) if len(codes) else np.zeros(0, np.int64)
+        at = np.flatnonzero(row_of[codes] >= 0) if len(codes) else np.zeros(0, np.int64)
         of = np.concatenate([sentence[at], np.array([places[r - m] for r in rows[rows >= m]], np.int64)])
-        values = np.concatenate([np.concatenate(table)[by_word[codes[at]]] if len(at) else np.zeros((0, len(self.words)), np.float32), k[rows >= m]])
+        values = np.concatenate([np.concatenate(table)[row_of[codes[at]]] if len(at) else np.zeros((0, len(self.words)), np.float32), k[rows >= m]])
         order = np.argsort(of, kind="stable")
         of, values = of[order], values[order]
         if not len(of):
             return values, of
-        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         text_of = owner[np.flatnonzero(new)]
+        if by_word:
+            return values, text_of[of]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         return np.maximum.reduceat(values, first, axis=0), text_of[of[first]]
 
 
@@ -172,15 +181,25 @@ class Model:
     landmarks: Landmarks
     weights: np.ndarray
     bias: float
-    scale: tuple[float, float]  # of the logistic fit: slope, intercept
-
-    def margins(self, text: pa.Array) -> np.ndarray:
-        """The worst sentence's margin; a sentence unlike all landmarks, or none, has the bias."""
-        out = np.full(len(text), self.bias)
-        k, of = self.landmarks.sentence_features(text)
-        np.maximum.at(out, of, k @ self.weights + self.bias)
+    slopes: np.ndarray | None = None  # of the logistic fit
+    intercept: float = 0.0
+
+    def evidence(self, text: pa.Array) -> np.ndarray:
+        """texts x WORST + 1: margins of the worst words, falling - a word unlike all landmarks, or none, has the bias, and none counts less - and the text's length."""
+        out = np.full((len(text), WORST + 1), self.bias)
+        out[:, WORST] = np.log1p(pc.binary_length(text).to_numpy(zero_copy_only=False))
+        k, of = self.landmarks.sentence_features(text, by_word=True)
+        margin = np.maximum(k @ self.weights + self.bias, self.bias)
+        order = np.lexsort((-margin, of))
+        margin, of = margin[order], of[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        top = place < WORST
+        out[of[top], place[top]] = margin[top]
         return out
 
+    def scores(self, text: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.evidence(text) @ self.slopes + self.intercept, -50, 50)))
+
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_docs: int) -> DataFrame:
     """doc_id, text, toxic of about most_docs labelled documents; a document with several labels is toxic if any says so."""
@@ -291,16 +310,26 @@ def fitted(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, n_to
         for side in (-1.0, 1.0):
             n[y == side] /= 2 * n[y == side].sum()
         w, b = support_vectors(np.array([r.k for r in rows]) @ root, y, n)
+        if turn + 1 == ROUNDS:
+            break
         raw = root @ w
         dot = F.aggregate(F.zip_with("k", F.lit([float(x) for x in raw]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
         scored = sentences.withColumn("margin", dot + F.lit(b))
-        if turn + 1 < ROUNDS:
-            # The next fit takes all clean sentences, and of a toxic document the worst.
-            bad = scored.filter("toxic = 1").withColumn("r", F.row_number().over(worst)).filter("r = 1 or margin > 1").drop("r", "margin")
-            chosen = bad.unionByName(sentences.filter("toxic <> 1"))
-    by_doc = scored.groupBy("doc_id").agg(F.max("margin").alias("margin"), F.max("toxic").alias("toxic"))
-    fit = LogisticRegression(labelCol="toxic", regParam=1e-4).fit(by_doc.withColumn("features", array_to_vector(F.array("margin"))))
-    return Model(marks, root @ w, b, (float(fit.coefficients[0]), float(fit.intercept)))
+        # The next fit takes all clean sentences, and of a toxic document the worst.
+        bad = scored.filter("toxic = 1").withColumn("r", F.row_number().over(worst)).filter("r = 1 or margin > 1").drop("r", "margin")
+        chosen = bad.unionByName(sentences.filter("toxic <> 1"))
+    model = Model(marks, root @ w, b)
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, text in slices(batches, most=8 << 20):
+            seen = known.value.evidence(text)
+            yield pa.record_batch({"toxic": batch.column(2), "seen": list_array(seen.ravel(), np.arange(len(text) + 1) * (WORST + 1), pa.float64())})
+
+    rows = written(train.mapInArrow(evidence, "toxic int, seen array<double>"), "toxic-evidence")
+    fit = LogisticRegression(labelCol="toxic", regParam=1e-4).fit(rows.withColumn("features", array_to_vector("seen")))
+    model.slopes, model.intercept = fit.coefficients.toArray(), float(fit.intercept)
+    return model
 
 
 def scored(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,7 +344,7 @@ def scored(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_c
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch, text in slices(batches, most=12 << 20):
-            out = np.full(len(text), own) if isinstance(own, float) else 1 / (1 + np.exp(-np.clip(own.margins(text) * own.scale[0] + own.scale[1], -50, 50)))
+            out = np.full(len(text), own) if isinstance(own, float) else own.scores(text)
             yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(out, pa.float64())})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, score double")
