@@ -39,6 +39,7 @@ PAIRS, GAP, PAIR_SHARE = 256, 4, 0.5
 ROUNDS = 3
 #: So many of a document's words decide.
 WORST = 4
+EVIDENCE = WORST + 2
 
 
 def plain(word: str) -> str:
@@ -185,16 +186,21 @@ class Model:
     intercept: float = 0.0
 
     def evidence(self, text: pa.Array) -> np.ndarray:
-        """texts x WORST + 1: margins of the worst words, falling - a word unlike all landmarks, or none, has the bias, and none counts less - and the text's length."""
-        out = np.full((len(text), WORST + 1), self.bias)
-        out[:, WORST] = np.log1p(pc.binary_length(text).to_numpy(zero_copy_only=False))
+        """texts x EVIDENCE: how far the margins of the worst words are above the bias, falling; whether there are any, and the text's length if so.
+
+        A word unlike all landmarks has the bias, and none counts less, so all texts without a likeness are rows of zeros.
+        """
+        out = np.zeros((len(text), EVIDENCE))
         k, of = self.landmarks.sentence_features(text, by_word=True)
-        margin = np.maximum(k @ self.weights + self.bias, self.bias)
+        margin = np.maximum(k @ self.weights, 0)
         order = np.lexsort((-margin, of))
         margin, of = margin[order], of[order]
         place = np.arange(len(of)) - np.searchsorted(of, of)
         top = place < WORST
         out[of[top], place[top]] = margin[top]
+        some = out[:, 0] > 0
+        out[:, WORST] = some
+        out[some, WORST + 1] = np.log1p(pc.binary_length(text).to_numpy(zero_copy_only=False)[some])
         return out
 
     def scores(self, text: pa.Array) -> np.ndarray:
@@ -324,7 +330,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, n_to
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in slices(batches, most=8 << 20):
             seen = known.value.evidence(text)
-            yield pa.record_batch({"toxic": batch.column(2), "seen": list_array(seen.ravel(), np.arange(len(text) + 1) * (WORST + 1), pa.float64())})
+            yield pa.record_batch({"toxic": batch.column(2), "seen": list_array(seen.ravel(), np.arange(len(text) + 1) * EVIDENCE, pa.float64())})
 
     rows = written(train.mapInArrow(evidence, "toxic int, seen array<double>"), "toxic-evidence")
     fit = LogisticRegression(labelCol="toxic", regParam=1e-4).fit(rows.withColumn("features", array_to_vector("seen")))
