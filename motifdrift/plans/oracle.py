@@ -266,6 +266,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT ((doc_id - 100) // 150)::INT AS batch_no, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents
             WHERE doc_id >= 100 AND doc_id < 700 GROUP BY 1""",
         "read_fasta": sql("SELECT row_number() OVER (ORDER BY record_idx) - 1 AS record_idx, description, md5(sequence) AS sequence_md5 FROM isolates WHERE sequence <> ''"),
+        "count_records": "SELECT count(*) AS n_records FROM documents",
+        "stored_periods": sql("SELECT period, isolate_name, md5(sequence) AS sequence_md5 FROM monthly"),
+        "stored_unique_periods": sql("SELECT period, count(DISTINCT sequence) AS n FROM quarterly GROUP BY period"),
+        "stored_trigram_vectors": sql("SELECT * FROM vocab"),
+        "stored_centroids": sql(
+            f"""SELECT c.period_idx::VARCHAR AS period, c.cluster, array_to_string(next_cluster, '-') AS next_cluster, {', '.join(f'f[{j}] AS d{j}' for j in range(1, WIDTH + 1))}
+                FROM linked l JOIN centroids c ON c.period_idx = l.period_idx AND c.cluster = l.cluster""",
+            links("centroids"),
+        ),
+        "stored_cluster_labels": sql(f"SELECT vec_id, period_idx, cluster FROM ({nearest('points', 'centroids')})"),
+        "stored_dataset": sql("SELECT y, replace(to_json(x)::VARCHAR, ' ', '') AS x, count(*) AS n FROM walk_rows GROUP BY ALL"),
         "trigram_totals": sql(f"SELECT trigram, count(*) AS n FROM (SELECT unnest({TRIGRAMS}) AS trigram FROM isolates) GROUP BY trigram"),
         "sequence_vectors": sql("SELECT * FROM vectors"),
         "context_trigram_ids": sql(f"""

@@ -11,7 +11,7 @@ from motifdrift import settings
 from motifdrift.functions.columns import joined_links, natural_key, trigrams
 from motifdrift.operators import clean, cluster, dataset, features, link, metrics, models, ngrams, walks
 from motifdrift.plans import fixtures as fx
-from motifdrift.sources import fasta
+from motifdrift.sources import fasta, tables
 from motifdrift.sources.scratch import new_path, written
 from motifdrift.sources.tables import driver_table, site_table
 
@@ -141,6 +141,58 @@ def ingest_stream(spark, d):
     return ingest.stored(spark, f"{at}/periods").groupBy("period").agg(F.count("*").alias("n"), F.countDistinct("isolate_name").alias("n_isolates"))
 
 
+# Stored tables: each is written and read again ------------------------------------------------------------------------
+
+
+@query
+def count_records(spark, d):
+    return fasta.count_records(fx.isolates(spark, d))
+
+
+@query
+def stored_periods(spark, d):
+    path = new_path(spark, "periods")
+    tables.write_periods(clean.period_tables(fx.isolates(spark, d), "month", fx.BATCH).select("isolate_name", "timestamp", "sequence", "period"), path)
+    return tables.read_periods(spark, path).select("period", "isolate_name", F.md5("sequence").alias("sequence_md5"))
+
+
+@query
+def stored_unique_periods(spark, d):
+    path = new_path(spark, "unique-periods")
+    rows = clean.dedupe_sequences_in_period(clean.period_tables(fx.isolates(spark, d), "quarter", fx.BATCH))
+    tables.write_periods(rows.select("isolate_name", "timestamp", "sequence", "period"), path, "overwrite")
+    return clean.period_row_counts(tables.read_periods(spark, path))
+
+
+@query
+def stored_trigram_vectors(spark, d):
+    path = new_path(spark, "trigrams")
+    fx.vocab(fx.members(spark, d)).repartition(1).sortWithinPartitions("idx").drop("idx").write.option("header", True).csv(path)  # 26 cubed rows at most
+    return tables.read_trigram_vectors(spark, path, fx.WIDTH)
+
+
+@query
+def stored_centroids(spark, d):
+    path, centers = new_path(spark, "centroids"), fx.centroids(spark, d)
+    rows = link.link_clusters(centers).join(centers, ["period_idx", "cluster"])
+    dims = [F.get("features", F.lit(i)).alias(name) for i, name in enumerate(fx.DIMS)]
+    tables.write_centroids(rows.select(F.col("period_idx").cast("string").alias("period"), "cluster", "next_cluster", *dims), path)
+    return tables.read_centroids(spark, path, fx.WIDTH).withColumn("next_cluster", joined_links(F.col("next_cluster")))
+
+
+@query
+def stored_cluster_labels(spark, d):
+    rows = fx.points(spark, d)
+    return tables.with_cluster_labels(rows, cluster.assign_nearest(rows, fx.centroids(spark, d)), "vec_id").select("vec_id", "period_idx", "cluster")
+
+
+@query
+def stored_dataset(spark, d):
+    path = new_path(spark, "dataset")
+    tables.write_dataset(_rows(spark, d), path)
+    return _flat(tables.read_dataset(spark, path, fx.STEPS)).groupBy("y", "x").agg(F.count("*").alias("n"))
+
+
 # Trigrams and sites -----------------------------------------------------------------------------------------------------
 
 
