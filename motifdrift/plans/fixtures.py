@@ -21,6 +21,8 @@ DIMS = [f"d{i}" for i in range(1, WIDTH + 1)]
 BATCH = 250
 STEPS = 3
 EVERY = 16
+#: Letters of a piece of a text, and the bits of a record_idx that number the pieces of a document.
+PIECE, PIECE_BITS = 1273, 21
 
 
 def whole_div(a, b: int):
@@ -38,11 +40,22 @@ def once(df: DataFrame, name: str, value) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
-def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """record_idx, description, sequence: FASTA-like records made from documents."""
-    docs = spread(driver_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn("h", drawn(F.col("doc_id")))
+def pieces(docs: DataFrame) -> DataFrame:
+    """doc_id (made of the document's and the piece's number), source, s0: whole texts as successive pieces; a text without letters is one empty piece."""
+    docs = once(docs, "_letters", F.upper(F.regexp_replace("text", "[^A-Za-z]+", "")))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_letters"), F.lit(1)), F.lit(PIECE))
+    cut = docs.select("doc_id", "source", F.posexplode(F.transform(starts, lambda i: F.substring("_letters", i, F.lit(PIECE)))).alias("piece", "s0"))
+    return cut.select((F.shiftleft(F.col("doc_id"), PIECE_BITS) + F.col("piece")).alias("doc_id"), "source", "s0")
+
+
+def isolates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """record_idx, description, sequence: FASTA-like records made from documents. whole: a record for each piece of a text, as the SQL twins don't have it; else for its first piece."""
+    docs = spread(driver_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    if whole:
+        docs = pieces(docs).withColumn("h", drawn(F.col("doc_id")))
+    else:
+        docs = once(docs.withColumn("h", drawn(F.col("doc_id"))), "s0", F.upper(F.substring(F.regexp_replace("text", "[^A-Za-z]+", ""), 1, PIECE)))
     h = F.col("h")
-    docs = once(docs, "s0", F.upper(F.substring(F.regexp_replace("text", "[^A-Za-z]+", ""), 1, 1273)))
     s0 = F.col("s0")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     description = F.concat(
@@ -54,14 +67,14 @@ def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(docs.select(F.col("doc_id").alias("record_idx"), description.alias("description"), "s0", "h"), "sequence", sequence).drop("s0", "h")
 
 
-def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dated(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """record_idx, isolate_name, timestamp (date), sequence of valid records."""
-    return drop_null_dates(parse_dates(apply_day_policy(split_description(valid_sequences(isolates(spark, sf_dir))))))
+    return drop_null_dates(parse_dates(apply_day_policy(split_description(valid_sequences(isolates(spark, sf_dir, whole))))))
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def members(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """record_idx, period (quarter), period_idx, cluster, sequence; sequences share a beginning, so that walks can pass. Kept for the steps of a query that read it again."""
-    rows = written(dated(spark, sf_dir), "dated")
+    rows = written(dated(spark, sf_dir, whole), "dated")
     base = rows.agg(F.min_by("sequence", F.struct(-F.length("sequence"), "record_idx")).alias("b")).first().b
     quarter = F.quarter("timestamp")
     period_idx = ((F.year("timestamp") - 2020) * 4 + quarter).cast("int")

@@ -135,7 +135,7 @@ def ingest_stream(spark, d):
 
     at = new_path(spark, "ingest")
     for i in range(3):
-        part = fx.isolates(spark, d).filter((F.col("record_idx") % 3 == i) & (F.col("sequence") != ""))
+        part = fx.isolates(spark, d, whole=True).filter((F.col("record_idx") % 3 == i) & (F.col("sequence") != ""))
         fasta.write_fasta(part.repartition(1).sortWithinPartitions("record_idx"), f"{at}/in/{i}")
     ingest.ingest_stream(spark, f"{at}/in/*", f"{at}/periods", f"{at}/checkpoint").awaitTermination()
     return ingest.stored(spark, f"{at}/periods").groupBy("period").agg(F.count("*").alias("n"), F.countDistinct("isolate_name").alias("n_isolates"))
@@ -371,8 +371,8 @@ def sample_walks(spark, d):
     return made.select("sample_id", "turn", F.md5(F.array_join("seqs", "|")).alias("walk_md5"))
 
 
-def _rows(spark, d):
-    return fx.walk_rows(fx.members(spark, d))
+def _rows(spark, d, whole=False):
+    return fx.walk_rows(fx.members(spark, d, whole))
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -417,7 +417,7 @@ def train_test_split(spark, d):
 
 @query
 def refill_dataset(spark, d):
-    rows = written(_rows(spark, d), "rows")
+    rows = written(_rows(spark, d, whole=True), "rows")
     target = rows.count() // 4
 
     def generate(n: int, turn: int) -> DataFrame:
@@ -429,8 +429,8 @@ def refill_dataset(spark, d):
 # Features, models and metrics -------------------------------------------------------------------------------------------------------
 
 
-def _features(spark, d):
-    rows = fx.members(spark, d)
+def _features(spark, d, whole=False):
+    rows = fx.members(spark, d, whole)
     return features.load_features(fx.walk_rows(rows), fx.vocab(rows), fx.DIMS)
 
 
@@ -532,7 +532,7 @@ def first_positive_slice(spark, d):
 
 
 def _trained(spark, d, fit):
-    flat = dataset.train_test_split(features.flatten_features(_features(spark, d), fx.DIMS), "row_id", SEED)
+    flat = dataset.train_test_split(features.flatten_features(_features(spark, d, whole=True), fx.DIMS), "row_id", SEED)
     flat = written(flat, "features")
     out = models.scored(fit(flat.filter("not is_test")), flat.filter("is_test"))
     return metrics.evaluate(out)
