@@ -12,7 +12,7 @@ from motifdrift.operators.cluster import centroid_table
 from motifdrift.operators.dataset import build_rows
 from motifdrift.operators.link import link_clusters
 from motifdrift.operators.ngrams import sequence_vectors
-from motifdrift.operators.walks import numbered_members
+from motifdrift.operators.walks import numbered_members, with_member
 from motifdrift.sources.scratch import written
 from motifdrift.sources.tables import driver_table, site_table
 
@@ -114,19 +114,19 @@ def member_links(rows: DataFrame) -> DataFrame:
     return link_clusters(means.select("period_idx", "cluster", F.array(*DIMS).alias("features")))
 
 
-def fixed_walks(rows: DataFrame) -> DataFrame:
-    """sample_id, seqs: for every EVERY-th member a walk along periods of one cluster."""
+def fixed_walks(rows: DataFrame, every: int = EVERY) -> DataFrame:
+    """sample_id, seqs: for the members whose number every divides (1: for all) a walk along periods of one cluster."""
     numbered = numbered_members(rows)
     s = F.col("sample_id")
-    steps = rows.filter(F.col("record_idx") % EVERY == 0).select(F.col("record_idx").alias("sample_id")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
+    steps = rows.filter(F.col("record_idx") % every == 0).select(F.col("record_idx").alias("sample_id")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
     wanted = steps.select("sample_id", "t", (1 + s % 5 + F.col("t")).cast("int").alias("period_idx"), (s % 3).cast("int").alias("cluster"))
-    met = wanted.join(numbered, ["period_idx", "cluster"]).filter(F.col("member_no") == s % F.col("n_members"))
+    met = with_member(wanted, numbered, s)
     return met.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("t", "sequence"))).alias("c")).filter(F.size("c") == STEPS + 1).select("sample_id", F.col("c.sequence").alias("seqs"))
 
 
-def walk_rows(rows: DataFrame) -> DataFrame:
+def walk_rows(rows: DataFrame, every: int = EVERY) -> DataFrame:
     """row_id, y, x."""
-    built = build_rows(fixed_walks(rows), site_table(rows.sparkSession), vocab(rows))
+    built = build_rows(fixed_walks(rows, every), site_table(rows.sparkSession), vocab(rows))
     return built.select((F.col("sample_id") * len(settings.site_positions()) + F.col("ordinal")).alias("row_id"), "y", "x")
 
 

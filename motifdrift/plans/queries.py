@@ -372,7 +372,8 @@ def sample_walks(spark, d):
 
 
 def _rows(spark, d, whole=False):
-    return fx.walk_rows(fx.members(spark, d, whole))
+    """whole: of whole texts, and a walk from every member."""
+    return fx.walk_rows(fx.members(spark, d, whole), 1 if whole else fx.EVERY)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -431,7 +432,7 @@ def refill_dataset(spark, d):
 
 def _features(spark, d, whole=False):
     rows = fx.members(spark, d, whole)
-    return features.load_features(fx.walk_rows(rows), fx.vocab(rows), fx.DIMS)
+    return features.load_features(fx.walk_rows(rows, 1 if whole else fx.EVERY), fx.vocab(rows), fx.DIMS)
 
 
 @query

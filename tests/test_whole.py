@@ -4,7 +4,9 @@ import re
 
 import pytest
 
+from motifdrift import settings
 from motifdrift.plans import fixtures as fx
+from motifdrift.plans import queries as registered
 from motifdrift.plans.queries import queries
 
 
@@ -36,3 +38,18 @@ def test_queries_without_sql_read_whole_texts(spark, tables, monkeypatch):
     n = queries()["ingest_stream"](spark, at).agg({"n": "sum"}).first()[0]
     assert n > len(rows)
     assert all(asked)
+
+
+def test_a_walk_starts_from_every_member(spark, monkeypatch):
+    letters = "".join(chr(97 + (j * 7 + j // 11) % 26) for j in range(1273)).upper() + "*"
+    members = spark.createDataFrame([(i, 1 + i % 8, i // 8 % 3, letters) for i in range(48)], "record_idx long, period_idx int, cluster int, sequence string")
+    monkeypatch.setattr(fx, "members", lambda spark, d, whole=False: members)
+    n_sites = len(settings.site_positions())
+    made = registered._rows(spark, "", whole=True).select("row_id").distinct().collect()
+    assert {r.row_id // n_sites for r in made} == set(range(48))
+    assert len(made) == 48 * n_sites
+    assert registered._features(spark, "", whole=True).select("row_id").distinct().count() == len(made)
+    calls = []
+    monkeypatch.setattr(registered, "_rows", lambda spark, d, whole=False: calls.append(whole) or fx.walk_rows(members, 1))
+    assert queries()["refill_dataset"](spark, "").count() > 0
+    assert calls == [True]
