@@ -17,6 +17,7 @@ No bucket, partner or candidate is capped.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,8 +31,9 @@ from motifdrift.llm.shared import written
 from motifdrift.llm.words import binary_rows, distinct_in_text, list_array, mixed, shingles, slices
 
 WIDTH = 5
-#: At a Jaccard of 0.85, (1 - 0.85 ** ROWS) ** BANDS = 7e-8 of the pairs share no bucket.
+#: At a Jaccard of 0.85, (1 - 0.85 ** ROWS) ** BANDS = 7e-8 of the pairs share no bucket. Other thresholds have as many bands as MISSED asks for.
 ROWS, BANDS = 5, 28
+MISSED = 1e-7
 LEAST_PERCENT = 85
 PLACES = 1 << 20
 SEED = 5
@@ -45,7 +47,12 @@ SIGNED_BYTES = 8 << 20
 BROADCAST_NODES = 2_000_000
 
 
-@lru_cache(maxsize=1)
+def bands_for(least_percent: int) -> int:
+    """The fewest bands with which at most MISSED of the pairs at the threshold share no bucket: 28 at 85, 41 at 80."""
+    return math.ceil(math.log(MISSED) / math.log1p(-((least_percent / 100) ** ROWS)))
+
+
+@lru_cache(maxsize=2)
 def permutations(n: int = ROWS * BANDS) -> tuple[np.ndarray, np.ndarray]:
     """sigma; and pi followed by its first n values, as overlapping rows of n."""
     rng = np.random.default_rng(SEED)
@@ -54,10 +61,10 @@ def permutations(n: int = ROWS * BANDS) -> tuple[np.ndarray, np.ndarray]:
     return sigma, np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:n]]), n)
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-    """A row of ROWS * BANDS coordinates for each text; texts without shingles have the largest value everywhere."""
-    sigma, pi = permutations()
-    out = np.full((len(offsets) - 1, ROWS * BANDS), np.iinfo(np.int32).max, np.int32)
+def signatures(values: np.ndarray, offsets: np.ndarray, step: int = 1 << 15, bands: int = BANDS) -> np.ndarray:
+    """A row of ROWS * bands coordinates for each text; texts without shingles have the largest value everywhere."""
+    sigma, pi = permutations(ROWS * bands)
+    out = np.full((len(offsets) - 1, ROWS * bands), np.iinfo(np.int32).max, np.int32)
     at = sigma[(values & np.uint64(PLACES - 1)).astype(np.int64)]
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for a in range(0, len(at), step):
@@ -70,23 +77,24 @@ def signatures(values: np.ndarray, offsets: np.ndarray, step: int = 1 << 15) ->
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
-    cut = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
+    bands = signature.shape[1] // ROWS
+    cut = signature.reshape(len(signature), bands, ROWS).astype(np.uint64)
     odd = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(ROWS)], np.uint64)
-    return mixed((cut * odd).sum(2) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    return mixed((cut * odd).sum(2) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """doc_id, n (set size), digest of the set, keys of the bands, for docs (doc_id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in slices(batches, most=SIGNED_BYTES):
             values, at = distinct_in_text(*shingles(text, WIDTH))
-            keys = band_keys(signatures(values, at))
+            keys = band_keys(signatures(values, at, bands=bands))
             view = memoryview(values).cast("B")
             digest = [hashlib.blake2b(view[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.record_batch({
                 "doc_id": batch.column(0), "n": pa.array(np.diff(at)), "digest": pa.array(digest, pa.binary()),
-                "keys": list_array(keys.ravel(), np.arange(len(keys) + 1) * BANDS, pa.int64()),
+                "keys": list_array(keys.ravel(), np.arange(len(keys) + 1) * bands, pa.int64()),
             })
 
     return docs.mapInArrow(sign, "doc_id long, n long, digest binary, keys array<long>")
@@ -103,11 +111,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sets, "node long, shingles binary")
 
 
-def near_enough(both: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    return 100 * both >= LEAST_PERCENT * (n_a + n_b - both)
+def near_enough(both: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least_percent: int = LEAST_PERCENT) -> np.ndarray:
+    return 100 * both >= least_percent * (n_a + n_b - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets are near enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
@@ -120,17 +128,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 both = int((x[at] == y).sum()) if len(x) else 0
-                hit.append(100 * both >= LEAST_PERCENT * (len(x) + len(y) - both))
+                hit.append(100 * both >= least_percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(test, "a long, b long")
 
 
-def block_links(part: pa.Table) -> pa.Table:
+def block_links(part: pa.Table, least_percent: int = LEAST_PERCENT) -> pa.Table:
     """Links between the two sides of one block pair that join different components, as few as keep them joined."""
     node, comp = part.column("node").to_numpy(), part.column("comp").to_numpy()
     side, key = part.column("side").to_numpy(), part.column("key")[0].as_py()
-    keys = np.stack(part.column("keys").to_numpy()) if part.num_rows else np.zeros((0, BANDS), np.int64)
+    keys = np.stack(part.column("keys").to_numpy()) if part.num_rows else np.zeros((0, 0), np.int64)
     sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     left, right = np.flatnonzero(side < 2), np.flatnonzero((side == 2) | (side == 0))
@@ -140,7 +148,7 @@ def block_links(part: pa.Table) -> pa.Table:
         first = keys[left][np.arange(len(left))[:, None], same.argmax(2)]
         open_ = same.any(2) & (first == key) & (comp[left][:, None] != comp[right][None, :])
         lo, hi = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
-        open_ &= 100 * lo >= LEAST_PERCENT * hi
+        open_ &= 100 * lo >= least_percent * hi
         if open_.any():
             both = np.zeros(open_.shape, np.float32)
             values, codes = np.unique(np.concatenate(sets), return_inverse=True)
@@ -150,7 +158,7 @@ def block_links(part: pa.Table) -> pa.Table:
                 dense = np.zeros((len(sets), min(1 << 14, len(values) - a)), np.float32)
                 dense[owner[inside], codes[inside] - a] = 1
                 both += dense[left] @ dense[right].T
-            link = open_ & near_enough(both.astype(np.int64), n[left][:, None], n[right][None, :])
+            link = open_ & near_enough(both.astype(np.int64), n[left][:, None], n[right][None, :], least_percent)
             joined: dict[int, int] = {}
 
             def root(c: int) -> int:
@@ -167,7 +175,7 @@ def block_links(part: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def rest_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def rest_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """Step 4: links of the pairs that no pivot has settled. members: key, node, n of buckets of three or more."""
     inside = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
     by_comp = inside.groupBy("key", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
@@ -200,11 +208,15 @@ def rest_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets:
     )
     placed = here.select("key", "node", "comp", F.explode(meets).alias("m")).select("key", "node", "comp", "m.*")
     full = placed.join(classes.select("node", "keys"), "node").join(sets, "node")
-    return full.groupBy("key", "x", "y", "t").applyInArrow(block_links, "a long, b long")
+
+    def links_of(part: pa.Table) -> pa.Table:
+        return block_links(part, least_percent)
+
+    return full.groupBy("key", "x", "y", "t").applyInArrow(links_of, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = LEAST_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row. Texts whose Jaccard is least_percent or more are linked.
 
     Null texts and texts without words have an empty set, are linked with nothing and are kept. Texts of fewer than five words
     have their whole sequence as their one shingle. Rows that repeat an id are one node; all of them are kept with it. Rows
@@ -212,7 +224,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     two columns are read. A shingle is known by a 64-bit hash.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(signed(docs), "near-signed")
+    rows = written(signed(docs, bands_for(least_percent)), "near-signed")
     classes = written(
         rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-classes"
     )
@@ -222,7 +234,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = written(
         dealt.join(buckets.select("key", "size", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "key"), "near-members"
     )
-    close = 100 * F.least("n", "pivot_n") >= LEAST_PERCENT * F.greatest("n", "pivot_n")
+    close = 100 * F.least("n", "pivot_n") >= least_percent * F.greatest("n", "pivot_n")
     pairs = written(
         members.filter((F.col("node") != F.col("pivot")) & close).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "near-pairs"
     )
@@ -230,9 +242,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     few = nodes.count() <= BROADCAST_NODES
     texts = docs.join(F.broadcast(nodes) if few else nodes.hint("merge"), "doc_id", "left_semi")
     sets = written(shingle_sets(texts), "near-sets")
-    links = written(verified(pairs, sets), "near-links")
+    links = written(verified(pairs, sets, least_percent), "near-links")
     labels = components(links)
-    more = written(rest_links(members.filter("size > 2").select("key", "node", "n"), labels, classes, sets), "near-more")
+    more = written(rest_links(members.filter("size > 2").select("key", "node", "n"), labels, classes, sets, least_percent), "near-more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
@@ -245,7 +257,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = LEAST_PERCENT) -> DataFrame:
     """The rows of docs with the smallest id of their group, and rows without an id; all columns stay."""
-    kept = near_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = near_groups(docs, id_col, text_col, least_percent).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
