@@ -108,15 +108,19 @@ def found_by_broadcast(docs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def found_by_shuffle(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The same for item sets of any size: sketches meet the documents' shingles by join, then candidates the full sets."""
+    """The same for item sets of any size."""
+    # Rows are told apart by their place, so documents that repeat an id don't add up.
+    return found_at_places(docs.withColumn("place", F.monotonically_increasing_id()), parts).drop("place")
+
+
+def found_at_places(placed: DataFrame, parts: DataFrame) -> DataFrame:
+    """doc_id, place, item_id, n_item, n_shared for docs (doc_id, text, place): sketches meet the documents' shingles by join, then candidates the full sets."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in slices(batches):
             values, at = distinct_in_text(*shingles(text, WIDTH))
             yield pa.record_batch({"doc_id": batch.column(0), "place": batch.column(2), "shingles": list_array(values.view(np.int64), at, pa.int64())})
 
-    # Rows are told apart by their place, so documents that repeat an id don't add up.
-    placed = docs.withColumn("place", F.monotonically_increasing_id())
     rows = written(placed.mapInArrow(cut, "doc_id long, place long, shingles array<long>").select("doc_id", "place", F.explode("shingles").alias("shingle")), "doc-shingles")
     lack = F.col("n") - F.ceil(F.lit(THRESHOLD_PERCENT) * F.col("n") / 100)
     sketches = parts.filter("place < k").select("item_id", "n", "k", "shingle")
@@ -126,7 +130,7 @@ def found_by_shuffle(docs: DataFrame, parts: DataFrame) -> DataFrame:
     )
     whole = rows.join(parts.select("item_id", "n", "shingle"), "shingle").groupBy("doc_id", "place", "item_id", "n").agg(F.count("*").alias("n_shared"))
     good = whole.filter(100 * F.col("n_shared") >= THRESHOLD_PERCENT * F.col("n")).join(candidates, ["place", "item_id"], "left_semi")
-    return good.select("doc_id", "item_id", F.col("n").alias("n_item"), "n_shared")
+    return good.select("doc_id", "place", "item_id", F.col("n").alias("n_item"), "n_shared")
 
 
 def indexed_items(items: DataFrame) -> DataFrame:
@@ -155,8 +159,10 @@ def clean_documents(docs: DataFrame, items: DataFrame, most_shingles: int = BROA
     """The rows of docs (doc_id, text, any others) that hold no item, with all their columns."""
     parts = indexed_items(items)
     if parts.count() > most_shingles:
-        bad = found_by_shuffle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts).select(F.col("doc_id").alias("_bad_id")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+        # Rows go by their place: others with the same id, or without one, stay. The table keeps places as they are.
+        placed = written(docs.withColumn("_place", F.monotonically_increasing_id()), "placed-docs")
+        bad = found_at_places(placed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_place").alias("place")), parts)
+        return placed.join(bad.select(F.col("place").alias("_place")).distinct(), "_place", "left_anti").select(*docs.columns)
     index = docs.sparkSession.sparkContext.broadcast(ItemIndex(parts.toArrow()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
