@@ -10,37 +10,64 @@ written.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motifdrift.llm.shared import new_path, partitions
-from motifdrift.llm.words import coded_words, slices
+from motifdrift.llm.words import coded_word_array, slices
 
 END_ID = 1
 BLOCK_BYTES = 4 << 20
 LEVEL = 3
 #: The dictionary is trained on about so many documents, at most so many bytes of each.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 32 << 10, 2_000, 16 << 10
-#: Words whose ids a Python worker remembers.
+#: Pieces whose ids a Python worker remembers.
 REMEMBERED = 600_000
 #: Bytes of text encoded at once, and pieces that the tokenizer gets at once: its results are large objects.
-ENCODED_BYTES, LEARNED_AT_ONCE = 8 << 20, 8_192
+ENCODED_BYTES, LEARNED_AT_ONCE = 8 << 20, 4_096
+#: Punctuation that is a piece of its own after a letter or digit.
+MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
+#: How a tokenizer must cut and lower-case texts so that pieces can be encoded by themselves.
+WORD_CUTS = {
+    "normalizer": [("NFC",), ("Replace", "\\s+", " "), ("Lowercase",)],
+    "pre_tokenizer": [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "Removed", True), ("ByteLevel", False, False)],
+    "suffix": "</w>",
+}
+
+
+def cuts_of(path: str) -> tuple[dict, np.ndarray]:
+    """How the tokenizer in a file cuts texts, in the form of WORD_CUTS, and which ids end a piece."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    norm = [
+        (x["type"], x["pattern"].get("Regex"), x["content"]) if x["type"] == "Replace" else (x["type"],) for x in (told.get("normalizer") or {}).get("normalizers", [])
+    ]
+    pre = []
+    for x in (told.get("pre_tokenizer") or {}).get("pretokenizers", []):
+        pre.append((x["type"], x["pattern"].get("Regex"), x["behavior"], x["invert"]) if x["type"] == "Split" else (x["type"], x.get("add_prefix_space"), x.get("use_regex")))
+    vocab, suffix = told["model"].get("vocab") or {}, told["model"].get("end_of_word_suffix")
+    ends = np.zeros(max(vocab.values(), default=0) + 1 if isinstance(vocab, dict) else 1, bool)
+    if suffix and isinstance(vocab, dict):
+        ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+    return {"normalizer": norm, "pre_tokenizer": pre, "suffix": suffix}, ends
 
 
 class WordEncoder:
-    """Ids of whitespace-separated pieces, each encoded once.
+    """Ids of texts. With a tokenizer of WORD_CUTS, of whitespace-separated pieces that are encoded once and remembered.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its pieces in order. Full
-    stops and commas after a letter or digit are pieces of their own for it too. Pieces are remembered by 64-bit hash.
+    Such a tokenizer drops white space and never joins what it separates, so a text's ids are those of its pieces in order.
+    Punctuation after a letter or digit is a piece of its own for it too. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -49,49 +76,76 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        told, self.ends = cuts_of(path)
+        self.by_piece = told == WORD_CUTS
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, self.width)
-        self.learn(["", "\n"])  # piece 0: nothing; piece 1: the end of a document
+        self.known: dict[str, int] = {"": 0, "\n": 1}  # piece 0: nothing; piece 1: the end of a document
         self.ids, self.starts = np.array([END_ID], self.width), np.array([0, 0, 1], np.int64)
 
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, joined, and how many each has."""
+        coded = [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(coded) if coded else np.zeros(0, self.width), np.array([len(x) for x in coded], np.int64)
+
+    def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone: one text of all, cut where a piece ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.width)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):  # lower-casing made something else of a letter
+            return self.whole(words)
+        return ids, np.diff(np.concatenate([[0], ends]))
+
     def learn(self, pieces: list[str]) -> None:
-        coded = [self.ids]
-        lengths = np.zeros(len(pieces), np.int64)
-        for a in range(0, len(pieces), LEARNED_AT_ONCE):
-            some = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[a : a + LEARNED_AT_ONCE], add_special_tokens=False)]
-            lengths[a : a + len(some)] = [len(x) for x in some]
-            coded.append(np.fromiter((i for ids in some for i in ids), self.width))
+        plain = pc.match_substring_regex(pa.array(pieces, pa.string()), r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        coded, lengths, names = [self.ids], [], []
+        for some, encode in ((np.flatnonzero(plain), self.letters), (np.flatnonzero(~plain), self.whole)):
+            for a in range(0, len(some), LEARNED_AT_ONCE):
+                part = [pieces[i] for i in some[a : a + LEARNED_AT_ONCE].tolist()]
+                ids, n = encode(part)
+                coded.append(ids)
+                lengths.append(n)
+                names += part
         self.ids = np.concatenate(coded)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(lengths))])
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of pieces, learned if new."""
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if new := [w for w in names if w not in self.known]:
+            self.learn(new)
+        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with END_ID after each text, and where each text's ids start and end."""
-        codes, distinct, offsets = coded_words(text)
+        if not self.by_piece:
+            ids, n = self.whole(text.to_pylist())
+            at = np.cumsum(n)
+            return np.insert(ids, at, END_ID), np.concatenate([[0], at + np.arange(1, len(n) + 1)])
+        codes, distinct, offsets = coded_word_array(text)
         if len(self.known) > REMEMBERED:
             self.forget()
-        heads, tails = [], []
-        for w in distinct:
-            if w.isascii() and "<" not in w:
-                w = w.lower()
-            head = w.rstrip(".,")
-            if head and len(head) < len(w) and head[-1].isalnum():
-                heads.append(head)
-                tails.append(w[len(head) :])
-            else:
-                heads.append(w)
-                tails.append("")
-        if new := [w for w in dict.fromkeys(heads + list(set(tails))) if w not in self.known]:
-            self.learn(new)
-        get = self.known.__getitem__
-        pieces = np.empty((len(distinct) + 1, 2), np.int64)
-        pieces[:-1, 0], pieces[:-1, 1] = np.fromiter(map(get, heads), np.int64, len(heads)), np.fromiter(map(get, tails), np.int64, len(tails))
+        # Only ASCII words are lower-cased ahead: elsewhere that and composing don't commute.
+        # "<" may begin the name of a special token, which is no matter of pieces; U+0130 ends in a mark once it is lower case.
+        special = pc.match_substring_regex(distinct, "[<\u0130]")
+        ours = pc.and_(pc.string_is_ascii(distinct), pc.invert(special))
+        words = pc.if_else(ours, pc.ascii_lower(distinct), distinct)
+        heads = pc.if_else(special, words, pc.ascii_rtrim(words, characters=MARKS))
+        n_all, n_head = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (words, heads))
+        cut = np.flatnonzero(n_head < n_all)
+        cut = cut[pc.match_substring_regex(heads.take(pa.array(cut)), r"[\p{L}\p{N}]$").to_numpy(zero_copy_only=False)]
+        tails = [w.encode()[n:].decode() for w, n in zip(words.take(pa.array(cut)).to_pylist(), n_head[cut].tolist(), strict=True)]
+        is_cut = np.zeros(len(distinct), bool)
+        is_cut[cut] = True
+        pieces = np.zeros((len(distinct) + 1, 2), np.int64)
+        pieces[:-1, 0] = self.numbers(pc.if_else(pa.array(is_cut), heads, words))
+        pieces[cut, 1] = self.numbers(pa.array(tails, pa.string()))
         pieces[-1] = (1, 0)
         n = np.arange(1, len(offsets))
-        with_ends = np.insert(codes.astype(np.int64), offsets[1:], len(distinct))
+        with_ends = np.insert(codes, offsets[1:], len(distinct))
         lengths_of = np.diff(self.starts)
         # The ids of each distinct word of this slice, then those of all words.
         flat = pieces.reshape(-1)
@@ -148,11 +202,23 @@ BLOCK = (
     "shard int, block int, first_id long, last_id long, tokens_before long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
     "offsets array<long>, payload binary, dictionary_sha256 string"
 )
+#: A null id's place in the order.
+NO_ID = -(1 << 63)
+
+
+def shards_of(docs: DataFrame, n: int) -> Column:
+    """The writing task of a row: by ranges of doc_id. An id that fills several ranges, as many null ids do, is dealt over them by its rows' places."""
+    place = F.coalesce("doc_id", F.lit(NO_ID))
+    cuts = docs.agg(F.percentile_approx(place, [i / n for i in range(1, n)], 10_000)).first()[0] or [] if n > 1 else []
+    if not cuts:
+        return F.lit(0)
+    below, same = F.size(F.filter(F.lit(cuts), lambda c: c < place)), F.size(F.filter(F.lit(cuts), lambda c: c == place))
+    return (below + F.when(same > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id()), same)).otherwise(0)).cast("int")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Token files of docs under path. A null text counts as empty and has only the end id; null ids come first; rows that
-    repeat an id are all written, ordered by token count and bytes. An empty table writes no block."""
+    repeat an id are all written, side by side and in no promised order. An empty table writes no block."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_docs, n = docs.count(), partitions(spark)
@@ -160,7 +226,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
     digest = hashlib.sha256(dictionary).hexdigest()
     width = np.dtype(encoder(tokenizer_path).width).itemsize
     spark.createDataFrame([(bytearray(dictionary), digest, width)], "dictionary binary, sha256 string, id_bytes int").coalesce(1).write.parquet(f"{path}/dictionary")
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = compressor(dictionary)
@@ -168,7 +233,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
             ids, at = encoder(tokenizer_path).encode(text)
             view = memoryview(np.ascontiguousarray(ids)).cast("B")
             frames = [press.compress(view[a * width : b * width]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(np.diff(at)), "frame": pa.array(frames, pa.binary())})
+            yield pa.record_batch({"shard": batch.column(2), "doc_id": batch.column(0), "n": pa.array(np.diff(at)), "frame": pa.array(frames, pa.binary())})
 
     def block(shard: int, number: int, before: int, rows: list[tuple]) -> pa.RecordBatch:
         ids, counts, frames = zip(*rows, strict=True)
@@ -188,19 +253,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
         if rows:
             yield block(shard, number, before, rows)
 
-    shard = F.coalesce(F.size(F.filter(F.lit(cuts), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
     (
-        docs.mapInArrow(compress, "doc_id long, n long, frame binary")
-        .select(F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("int").alias("shard"), "doc_id", "n", "frame")
+        docs.withColumn("shard", shards_of(docs, n))
+        .mapInArrow(compress, "shard int, doc_id long, n long, frame binary")
         .repartitionById(n, F.col("shard"))
         .sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", "frame")
         .mapInArrow(blocks, BLOCK)
-        .write.parquet(f"{path}/blocks")
+        .write.option("parquet.block.row.count.limit", 1)  # a block can be skipped by itself
+        .parquet(f"{path}/blocks")
     )
 
 
 NAMES = [x.split()[0] for x in BLOCK.split(", ")]
 TYPES = [{"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary(), "string": pa.string()}[x.split()[1]] for x in BLOCK.split(", ")]
+#: Looked-up ids whose blocks are told apart in the scan's own filter; of more, it gets the range of each such share.
+PUSHED = 64
 
 
 def open_dictionary(spark: SparkSession, path: str) -> tuple[bytes, str, np.dtype]:
@@ -210,6 +277,15 @@ def open_dictionary(spark: SparkSession, path: str) -> tuple[bytes, str, np.dtyp
     return bytes(row[0]), row[1], np.dtype(f"<u{row[2]}")
 
 
+def holding(only: list[int]) -> Column:
+    """Blocks that may hold one of the ids: plain comparisons of first_id and last_id, which the scan skips row groups by."""
+    ids = sorted(set(only))
+    step = -(-len(ids) // PUSHED)
+    ranges = [(ids[i], ids[min(i + step, len(ids)) - 1]) for i in range(0, len(ids), step)]
+    pushed = reduce(lambda a, b: a | b, [(F.col("first_id") <= hi) & (F.col("last_id") >= lo) for lo, hi in ranges])
+    return pushed if step == 1 else pushed & F.exists(F.lit(ids), lambda i: i.between(F.col("first_id"), F.col("last_id")))
+
+
 def read_token_files(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, ids: from the files. only: identifiers to read; other blocks and frames stay closed."""
     dictionary, digest, width = open_dictionary(spark, path)
@@ -218,7 +294,7 @@ def read_token_files(spark: SparkSession, path: str, only: list[int] | None = No
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("shard_tokens").over(before), F.lit(0)).alias("base"))
     if only is not None:
-        stored = stored.filter(F.exists(F.lit(only), lambda i: i.between(F.col("first_id"), F.col("last_id")))) if only else stored.limit(0)
+        stored = stored.filter(holding(only)) if only else stored.limit(0)
     wanted = set(only) if only is not None else None
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +315,7 @@ def read_token_files(spark: SparkSession, path: str, only: list[int] | None = No
                     cols = list(zip(*out[i : i + 256], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return stored.join(bases, "shard").select("base", "tokens_before", "doc_ids", "doc_tokens", "offsets", "payload", "dictionary_sha256").mapInArrow(
+    return stored.join(F.broadcast(bases), "shard").select("base", "tokens_before", "doc_ids", "doc_tokens", "offsets", "payload", "dictionary_sha256").mapInArrow(
         decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     )
 

@@ -28,6 +28,12 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", most: int
 
 def coded_words(text: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Words between [\\x20\\x09-\\x0D]: a code for each, the distinct words, and where each text's words start and end."""
+    codes, distinct, offsets = coded_word_array(text)
+    return codes, distinct.to_pylist(), offsets
+
+
+def coded_word_array(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """coded_words() with the distinct words as an Arrow array."""
     lists = pc.ascii_split_whitespace(text)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.flatten()
@@ -37,7 +43,7 @@ def coded_words(text: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
         flat = flat.filter(pa.array(full))
     coded = flat.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), offsets
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, offsets
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -98,3 +99,60 @@ def test_secrets_of_nothing(spark, empty):
     assert secret_scan.secret_report(empty).count() == 0
     plain = secret_scan.secret_report(spark.createDataFrame([(1, "plain words only")], "doc_id long, text string")).first()
     assert (plain.n_assign, plain.spans) == (0, "")
+
+
+def test_encoder_cuts_as_the_tokenizer_does(tokenizer_path):
+    from tokenizers import Tokenizer
+
+    tokenizer, made = Tokenizer.from_file(tokenizer_path), token_store.WordEncoder(tokenizer_path)
+    assert made.by_piece
+    rng = random.Random(1)
+    parts = ["a", "É", "é", "x́.", "H̱", "İ", "<|endoftext|>", "don't", "'s", "it's.", "…", "….", "e….", "12", "3.5%", "ß", "漢字", "ᄒ", "ᅡ", "&&&", "_", "\x00", "\x85", "<", ">", "K", "²,", "'LL", "🙂!"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", "", " ", "\n"]) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    ids, at = made.encode(pa.array(texts))
+    for t, x, y in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[x:y].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1], repr(t)
+
+
+def test_other_tokenizers_get_whole_texts(spark, hard, hard_rows):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    made = token_store.WordEncoder(path)
+    assert not made.by_piece
+    at = new_path(spark, "tokens")
+    token_store.write_token_files(hard.filter("doc_id < 50"), at, path)
+    want = Counter((i, len(made.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, *_ in hard_rows if i is not None and i < 50)
+    assert Counter((r.doc_id, r.n_tokens) for r in token_store.read_token_files(spark, at).collect()) == want
+
+
+def test_a_lookup_opens_its_own_block(spark, tokenizer_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.md5(F.concat(i.cast("string"), F.col("id").cast("string"))))).alias("text"))
+    path = new_path(spark, "tokens")
+    monkeypatch.setattr(token_store, "BLOCK_BYTES", 30_000)
+    token_store.write_token_files(docs, path, tokenizer_path)
+    n_blocks = spark.read.parquet(f"{path}/blocks").count()
+    scan = spark.read.parquet(f"{path}/blocks").filter(token_store.holding([200]))
+    opened = scan.select("payload", "first_id").mapInArrow(lambda batches: (b.select(["first_id"]) for b in batches), "first_id long").count()
+    assert n_blocks > 8 and opened == 1
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(scan._jdf.queryExecution(), "formatted")
+    assert "LessThanOrEqual(first_id,200)" in plan and "GreaterThanOrEqual(last_id,200)" in plan
+    import pyarrow.parquet as pq
+    from pathlib import Path
+
+    for f in Path(path.removeprefix("file://")).glob("blocks/*.parquet"):
+        info = pq.ParquetFile(f).metadata
+        assert info.num_row_groups == info.num_rows  # so each block is skipped by itself
+    many = list(range(0, 400, 3))
+    assert sorted(r.doc_id for r in token_store.read_token_files(spark, path, only=many).collect()) == many
+
+
+def test_one_id_of_many_rows_is_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 3000, 1, 4).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"))
+    shards = docs.select("doc_id", token_store.shards_of(docs, 8).alias("shard")).collect()
+    some = Counter(r.shard for r in shards)
+    assert len({r.shard for r in shards if r.doc_id is None}) >= 3 and max(some.values()) < 700
+    ids = [(r.shard, r.doc_id) for r in shards if r.doc_id is not None]
+    assert [i for _, i in sorted(ids)] == sorted(i for _, i in ids)
