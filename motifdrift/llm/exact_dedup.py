@@ -1,16 +1,18 @@
 """Exact dedup by a tree-merge of sorted digest runs, with DataFrame functions only.
 
 Every input partition makes one run: a row for each distinct text in it, with the smallest identifier and the
-count. Runs then meet in binomial rounds: in a round, FAN_IN neighbouring runs are exchanged by digest range
-bucket, sorted and merged, so a digest has at most FAN_IN rows in any merge, however many copies it has. Each
-level keeps the smallest identifier and the summed count. A digest is verified at every level by a second hash
-and the byte length, which are part of the merge key: texts that shared a SHA-256 alone would stay apart.
+count. Runs then meet in binomial rounds: in a round, FAN_IN neighbouring runs are exchanged, cut by digest
+range, and merged into one sorted run: equal digests are neighbours in its order, the first of them has the smallest identifier
+and stays with the sum of their counts. A digest has at most FAN_IN rows in any merge, however many copies it
+has. A digest is verified at every level by a second hash and the byte length, which are part of the
+order: texts that shared a SHA-256 alone would stay apart. Every level's runs are written, in order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from motifdrift.llm.shared import SPACE, partitions, text_or_empty, written
 
@@ -31,27 +33,38 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def merge_round(runs: DataFrame, span: int, n: int) -> DataFrame:
-    """One binomial round: runs whose numbers agree up to span go to the lowest of them and are merged there."""
+    """One binomial round: runs whose numbers agree up to span go to the lowest of them and are merged there, by one sort order.
+
+    An identifier of null comes last among equals, as it is never the smallest.
+    """
+    order = [F.asc_nulls_last("keep_id"), F.col("from_run")]
+    equal = Window.partitionBy("run", "range", *KEY).orderBy(*order)
     return (
-        runs.withColumn("run", (F.col("run") - F.col("run") % span).cast("int"))
-        .withColumn("bucket", F.substring("digest", 1, 2))
-        .repartition(n, "run", "bucket")
-        .sortWithinPartitions("run", "bucket", *KEY)
-        .groupBy("run", "bucket", *KEY)
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        .drop("bucket")
+        runs.withColumnRenamed("run", "from_run")
+        .withColumn("run", (F.col("from_run") - F.col("from_run") % span).cast("int"))
+        .withColumn("range", F.substring("digest", 1, 2))
+        .repartition(n, "run", "range")
+        .sortWithinPartitions("run", "range", *KEY, *order)
+        .withColumn("nth", F.row_number().over(equal))
+        .withColumn("group_size", F.sum("group_size").over(equal.rowsBetween(0, Window.unboundedFollowing)))
+        .filter("nth = 1")
+        .select("run", *KEY, "keep_id", "group_size")
     )
 
 
+def first_runs(rows: DataFrame) -> DataFrame:
+    """A row for each distinct text of each input partition; copies are counted before anything is exchanged."""
+    return rows.groupBy("run", *KEY).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+
+
 def merged_runs(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """The root of the tree: one row for each distinct text. rows: a written table of digests()."""
+    """The root of the tree: one sorted run, a row for each distinct text. rows: a written table of digests()."""
     n = partitions(rows.sparkSession)
     n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    runs = rows.groupBy("run", *KEY).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    span = 1
+    runs, span = first_runs(rows), 1
     while span < n_runs:
         span *= fan_in
-        runs = merge_round(runs, span, n)
+        runs = written(merge_round(runs, span, n), "exact-runs")
     return runs.drop("run")
 
 

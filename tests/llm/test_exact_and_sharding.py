@@ -37,6 +37,21 @@ def test_exact_tree_has_bounded_merges(spark):
     assert root.filter("group_size > 1").select("keep_id", "group_size").collect() == [(0, 1667)]
 
 
+def test_a_round_merges_by_its_order(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.pmod("id", F.lit(700))).alias("text")).repartition(20)
+    rows = exact_dedup.written(exact_dedup.digests(docs), "t")
+    runs = exact_dedup.written(exact_dedup.first_runs(rows), "runs")
+    made = exact_dedup.merge_round(runs, 8, 4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [run" in plan and "Window [" in plan and "Aggregate" not in plan
+    stored = exact_dedup.written(made, "run")
+    for part in stored.withColumn("file", F.input_file_name()).toPandas().groupby("file"):
+        order = [(r.run, bytes(r.digest)) for r in part[1].itertuples()]
+        assert order == sorted(set(order))  # sorted runs, each digest once
+    ids = runs.groupBy((F.col("run") - F.col("run") % 8).alias("run"), "digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    assert sorted(map(tuple, stored.select("run", "digest", "keep_id", "group_size").collect())) == sorted(map(tuple, ids.collect()))
+
+
 def test_exact_empty_and_filter(empty, hard):
     assert exact_dedup.exact_groups(empty).count() == 0
     kept = exact_dedup.deduplicated(hard)
