@@ -2,10 +2,10 @@
 
 Test items are far shorter than the documents that may hold them, so their similarity is tiny and only containment -
 the share of an item's shingles that a document has - tells. Items are partitioned by size, in powers of two. Every
-item keeps the k least of its hashed shingles as its sketch, k by the size partition. A document's sketch hits estimate
-the containment. A document that holds at least THRESHOLD of an item lacks at most m = n - ceil(THRESHOLD n) of its
-shingles, so at least k - m sketch values are hit: candidates are taken there, and none is missed. Candidates are then
-verified on the full sets.
+item keeps the k least of its hashed shingles as its sketch, k by the size partition. Documents are searched partition by
+partition for sketch values alone. A document that holds at least THRESHOLD of an item lacks at most m = n - ceil(THRESHOLD n) of
+its shingles, so at least k - m sketch values are hit: pairs with as many are candidates, and none is missed. Only
+candidates are compared on full sets.
 """
 
 from __future__ import annotations
@@ -34,63 +34,80 @@ def missing(n: int) -> int:
     return n - -(-THRESHOLD_PERCENT * n // 100)
 
 
+def size_class(n: int) -> int:
+    """The size partition of an item of n shingles."""
+    return n.bit_length()
+
+
 def sketch_size(n: int) -> int:
-    """k for an item of n shingles: by the largest size of its partition, so that a match must hit several sketch values."""
-    return min(n, 2 * missing((1 << n.bit_length()) - 1) + 4)
+    """k for an item of n shingles: two more than the largest item of its partition may lack, so that a match hits two values or more."""
+    return min(n, missing((1 << size_class(n)) - 1) + 2)
 
 
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, n (size), k (sketch size), place (0: least hash), shingle. Items without words have no rows."""
+    """item_id, shingle. Items without words have no rows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in slices(batches):
             values, at = distinct_in_text(*shingles(text, WIDTH))
-            n = np.diff(at)
-            k = np.array([sketch_size(int(x)) for x in n], np.int64)
-            yield pa.record_batch({
-                "item_id": batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), "n": pa.array(np.repeat(n, n)), "k": pa.array(np.repeat(k, n)),
-                "place": pa.array(np.arange(len(values)) - np.repeat(at[:-1], n)), "shingle": pa.array(values.view(np.int64)),
-            })
-
-    return items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null").mapInArrow(
-        cut, "item_id long, n long, k long, place long, shingle long"
-    )
+            yield pa.record_batch({"item_id": batch.column(0).take(pa.array(np.repeat(np.arange(len(text)), np.diff(at)))), "shingle": pa.array(values.view(np.int64))})
+
+    return items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null").mapInArrow(cut, "item_id long, shingle long")
+
+
+class SizePartition:
+    """Sketches of the items of one size class: sorted values, and the items of each."""
+
+    def __init__(self, values: np.ndarray, items: np.ndarray, least: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        self.values, starts = np.unique(values[order], return_index=True)
+        self.starts, self.items, self.least = np.append(starts, len(order)), items[order], least
+
+    def candidates(self, values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Pairs owner * items + item that hit enough sketch values. values: those of texts that any sketch has."""
+        spot = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+        hit = np.flatnonzero(self.values[spot] == values)
+        spot, n = spot[hit], (self.starts[1:] - self.starts[:-1])[spot[hit]]
+        row = np.repeat(self.starts[spot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pairs, hits = np.unique(np.repeat(owner[hit], n) * len(self.least) + self.items[row], return_counts=True)
+        return pairs[hits >= self.least[pairs % len(self.least)]]
 
 
 class ItemIndex:
-    """All item shingles, sorted; which items have each, and whether in their sketch."""
+    """Sketches by size partition, and the full sets, which only candidates meet."""
 
     def __init__(self, rows: pa.Table):
-        shingle = rows.column("shingle").to_numpy()
-        order = np.argsort(shingle, kind="stable")
-        self.values, starts = np.unique(shingle[order], return_index=True)
-        self.starts = np.append(starts, len(order))
-        self.items, self.of = np.unique(rows.column("item_id").to_numpy(), return_inverse=True)
-        self.of, self.sketched = self.of[order], (rows.column("place").to_numpy() < rows.column("k").to_numpy())[order]
-        self.n, self.k = np.zeros(len(self.items), np.int64), np.zeros(len(self.items), np.int64)
-        self.n[self.of], self.k[self.of] = rows.column("n").to_numpy()[order], rows.column("k").to_numpy()[order]
-        self.lack = np.array([missing(int(x)) for x in self.n], np.int64)
+        shingle, place, k = (rows.column(c).to_numpy() for c in ("shingle", "place", "k"))
+        self.items, of = np.unique(rows.column("item_id").to_numpy(), return_inverse=True)
+        order = np.lexsort((shingle.view(np.uint64), of))
+        self.full, self.at = shingle.view(np.uint64)[order], np.searchsorted(of[order], np.arange(len(self.items) + 1))
+        self.n = np.diff(self.at)
+        least = np.zeros(len(self.items), np.int64)
+        least[of] = k
+        least = np.maximum(1, least - np.array([missing(int(x)) for x in self.n], np.int64))
+        sketched = place < k
+        classes = np.array([size_class(int(x)) for x in self.n], np.int64)[of] if len(of) else of
+        self.partitions = [SizePartition(shingle[m], of[m], least) for c in np.unique(classes) if (m := sketched & (classes == c)).any()]
+        self.sketch = np.unique(shingle[sketched].view(np.uint64))
+        #: Pairs that were candidates so far, and those whose full sets agreed.
+        self.compared, self.verified = 0, 0
 
     def search(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text number, item number and shared shingles of all verified pairs, for distinct shingles of texts."""
-        if not len(self.values):
+        """Text number, item number and shared shingles of all verified pairs, for sorted distinct shingles of texts."""
+        if not len(self.sketch):
             return (np.zeros(0, np.int64),) * 3
-        values = values.view(np.int64)
-        spot = np.searchsorted(self.values, values)
-        spot[spot == len(self.values)] = 0
-        hit = np.flatnonzero(self.values[spot] == values)
+        hit = np.flatnonzero(self.sketch[np.minimum(np.searchsorted(self.sketch, values), len(self.sketch) - 1)] == values)
         owner = np.searchsorted(at, hit, side="right") - 1
-        spot = spot[hit]
-        n = self.starts[spot + 1] - self.starts[spot]
-        row = np.repeat(self.starts[spot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pair = np.repeat(owner, n) * len(self.items) + self.of[row]
-        pairs, inverse = np.unique(pair, return_inverse=True)
-        sketch_hits = np.bincount(inverse, weights=self.sketched[row], minlength=len(pairs)).astype(np.int64)
-        item = pairs % len(self.items)
-        candidate = sketch_hits >= np.maximum(1, self.k[item] - self.lack[item])
-        shared = np.bincount(inverse, minlength=len(pairs))
-        good = candidate & (100 * shared >= THRESHOLD_PERCENT * self.n[item])
-        return pairs[good] // len(self.items), item[good], shared[good]
+        pairs = np.concatenate([p.candidates(values[hit].view(np.int64), owner) for p in self.partitions])
+        text, item = np.divmod(np.sort(pairs), len(self.items))
+        shared = np.zeros(len(text), np.int64)
+        for j, (t, i) in enumerate(zip(text.tolist(), item.tolist(), strict=True)):
+            own, wanted = values[at[t] : at[t + 1]], self.full[self.at[i] : self.at[i + 1]]
+            shared[j] = (own[np.minimum(np.searchsorted(own, wanted), len(own) - 1)] == wanted).sum()
+        good = 100 * shared >= THRESHOLD_PERCENT * self.n[item]
+        self.compared += len(text)
+        self.verified += int(good.sum())
+        return text[good], item[good], shared[good]
 
 
 def found_by_broadcast(docs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -114,31 +131,46 @@ def found_by_shuffle(docs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def found_at_places(placed: DataFrame, parts: DataFrame) -> DataFrame:
-    """doc_id, place, item_id, n_item, n_shared for docs (doc_id, text, place): sketches meet the documents' shingles by join, then candidates the full sets."""
+    """doc_id, place, item_id, n_item, n_shared for docs (doc_id, text, place): sketches meet the documents' shingles by join, and candidate pairs their sets.
+
+    Items of equal sets are searched as one. A sketch value of many documents is on one side of the join only,
+    where Spark splits it; the other side has it once for each different item that it stands in.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in slices(batches):
             values, at = distinct_in_text(*shingles(text, WIDTH))
             yield pa.record_batch({"doc_id": batch.column(0), "place": batch.column(2), "shingles": list_array(values.view(np.int64), at, pa.int64())})
 
-    rows = written(placed.mapInArrow(cut, "doc_id long, place long, shingles array<long>").select("doc_id", "place", F.explode("shingles").alias("shingle")), "doc-shingles")
+    sets = written(placed.mapInArrow(cut, "doc_id long, place long, shingles array<long>"), "doc-shingles")
+    whole = parts.groupBy("item_id", "n", "k").agg(F.array_sort(F.collect_list("shingle")).alias("wanted"))  # a bounded array: one item
+    whole = written(whole, "item-sets")
+    same = written(whole.groupBy("wanted", "n", "k").agg(F.min("item_id").alias("one")), "item-classes")
+    members = whole.join(same.select("wanted", "one"), "wanted").select("one", "item_id")
     lack = F.col("n") - F.ceil(F.lit(THRESHOLD_PERCENT) * F.col("n") / 100)
-    sketches = parts.filter("place < k").select("item_id", "n", "k", "shingle")
+    sketches = parts.filter("place < k").join(same.select(F.col("one").alias("item_id")), "item_id", "left_semi").select("item_id", "n", "k", "shingle")
+    probes = sets.select("place", F.explode("shingles").alias("shingle"))
     candidates = (
-        rows.join(sketches, "shingle").groupBy("doc_id", "place", "item_id", "n", "k").agg(F.count("*").alias("hits"))
-        .filter(F.col("hits") >= F.greatest(F.lit(1), F.col("k") - lack)).select("place", "item_id")
+        probes.join(written(sketches, "item-sketches").hint("merge"), "shingle").groupBy("place", "item_id", "n", "k").agg(F.count("*").alias("hits"))
+        .filter(F.col("hits") >= F.greatest(F.lit(1), F.col("k") - lack)).select("place", F.col("item_id").alias("one"))
     )
-    whole = rows.join(parts.select("item_id", "n", "shingle"), "shingle").groupBy("doc_id", "place", "item_id", "n").agg(F.count("*").alias("n_shared"))
-    good = whole.filter(100 * F.col("n_shared") >= THRESHOLD_PERCENT * F.col("n")).join(candidates, ["place", "item_id"], "left_semi")
-    return good.select("doc_id", "place", "item_id", F.col("n").alias("n_item"), "n_shared")
+    pairs = written(candidates, "item-candidates").join(same.select("one", "wanted", "n"), "one")
+    both = sets.join(pairs.hint("merge"), "place")
+    good = both.select("doc_id", "place", "one", F.col("n").alias("n_item"), F.size(F.array_intersect("shingles", "wanted")).cast("long").alias("n_shared"))
+    return good.filter(100 * F.col("n_shared") >= THRESHOLD_PERCENT * F.col("n_item")).join(members, "one").select("doc_id", "place", "item_id", "n_item", "n_shared")
 
 
 def indexed_items(items: DataFrame) -> DataFrame:
-    """item_shingles() as a written table; items that repeat an id are one item with all their shingles."""
-    parts = item_shingles(items).dropDuplicates(["item_id", "shingle"])
-    again = Window.partitionBy("item_id")
-    parts = parts.withColumn("n", F.count("*").over(again)).withColumn("place", F.row_number().over(again.orderBy(F.xxhash64("shingle"), "shingle")) - 1)
-    return written(parts.withColumn("k", F.least("n", F.max("k").over(again))).select("item_id", "n", "k", F.col("place").cast("long").alias("place"), "shingle"), "item-shingles")
+    """A written table: item_id, n (size), k (sketch_size), place (0: least hash), shingle. Items that repeat an id are one item with all their shingles."""
+    parts, again = item_shingles(items).distinct(), Window.partitionBy("item_id")
+    most = F.expr("shiftleft(1L, length(bin(n))) - 1L")  # the largest item of the size partition
+    return written(
+        parts.withColumn("n", F.count("*").over(again))
+        .withColumn("place", (F.row_number().over(again.orderBy(F.xxhash64("shingle"), "shingle")) - 1).cast("long"))
+        .withColumn("k", F.least("n", most - F.ceil(F.lit(THRESHOLD_PERCENT) * most / 100) + 2))
+        .select("item_id", "n", "k", "place", "shingle"),
+        "item-shingles",
+    )
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_shingles: int = BROADCAST_SHINGLES) -> DataFrame:

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -53,6 +53,39 @@ def test_leaks_against_brute_force(spark, leaks, empty):
     assert decontaminate.contaminated(d, i.limit(0)).count() == 0
 
 
+def test_only_candidates_of_the_sketches_are_compared(spark, leaks):
+    docs, items = leaks
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    parts = decontaminate.indexed_items(i)
+    index = decontaminate.ItemIndex(parts.toArrow())
+    assert len(index.partitions) >= 4 and len(index.sketch) < 0.6 * parts.count()
+    import pyarrow as pa
+
+    from motifdrift.llm.words import distinct_in_text, shingles
+
+    texts = [t or "" for _, t in docs]
+    values, at = distinct_in_text(*shingles(pa.array(texts), 5))
+    found = index.search(values, at)
+    want = brute_leaks(docs, items)
+    assert len(found[0]) == index.verified == len(want) and index.compared <= 2 * len(want)
+    # Where a sketch can't be hit, nothing is found: the full sets have no search of their own.
+    blind = decontaminate.ItemIndex(parts.withColumn("shingle", (-parts.shingle - (parts.place >= parts.k).cast("long"))).toArrow())
+    assert len(blind.search(values, at)[0]) == 0
+    assert decontaminate.found_by_shuffle(d, parts.withColumn("k", parts.k * 0)).count() == 0
+
+
+def test_items_that_repeat_an_id_are_one(spark):
+    words = [f"w{i}" for i in range(400)]
+    items = [(1, " ".join(words[k : k + 12])) for k in range(0, 200, 10)] + [(2, " ".join(words[:40]))] * 3 + [(3, " ".join(words[:40]))]
+    docs = [(1, " ".join(words[:170])), (2, " ".join(words[:205])), (3, " ".join(words[3:38]))]
+    i, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    sets = {k: set().union(*(shingle_set(t) for j, t in items if j == k)) for k in (1, 2, 3)}
+    want = sorted((a, k, len(s), len(s & shingle_set(t))) for a, t in docs for k, s in sets.items() if 100 * len(s & shingle_set(t)) >= 80 * len(s))
+    assert {k for _, k, _, _ in want} == {1, 2, 3}
+    for most in (10**6, -1):
+        assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.contaminated(d, i, most_shingles=most).collect()) == want
+
+
 def test_sketches_miss_nothing():
     for n in range(1, 400):
         k, lack = decontaminate.sketch_size(n), decontaminate.missing(n)
@@ -105,6 +138,64 @@ def test_several_sizes_cost_less_than_one():
     assert total(packing.LENGTHS) < min(total((8192,)), total((4096, 8192)))
 
 
+def least_cost(lengths, sizes):
+    """The cheapest packing of all, by trying every partition of the pieces."""
+    best = float("inf")
+
+    def go(i, bins):
+        nonlocal best
+        if i == len(lengths):
+            best = min(best, sum(packing.cost(next(s for s in sizes if s >= b)) for b in bins))
+            return
+        for j in range(len(bins)):
+            if bins[j] + lengths[i] <= sizes[-1]:
+                go(i + 1, [*bins[:j], bins[j] + lengths[i], *bins[j + 1 :]])
+        go(i + 1, [*bins, lengths[i]])
+
+    go(0, [])
+    return best
+
+
+def cost_of(lengths, sizes):
+    bins, _, capacity = packing.pack(np.array(lengths), sizes)
+    return sum(packing.cost(c) for _, c in set(zip(bins.tolist(), capacity.tolist(), strict=True)))
+
+
+def test_opening_sizes_are_chosen_jointly():
+    sizes = (512, 1024, 2048, 4096, 8192)
+    same = np.full(300, 600)
+    assert packing.pack(same, sizes)[2].min() == 2048  # three of 600 fill it; one alone would fill 1024 badly
+    assert packing.pack(np.full(300, 500), sizes)[2].min() == 1024  # two
+    assert packing.pack(np.array([300]), sizes)[2].tolist() == [512]  # nothing else is left
+    rng = np.random.default_rng(5)
+    for lengths in (same, rng.integers(1, 2000, 400), rng.choice([90, 700, 1500], 200)):
+        single = [packing.packed_with(lengths, np.argsort(-lengths, kind="stable").tolist(), sizes, s)[3] for s in sizes]
+        assert cost_of(lengths, sizes) <= min(single)
+    assert cost_of(same, sizes) < 0.8 * cost_of(same, (1024,))
+    worst = 0
+    for k in range(40):
+        lengths = np.random.default_rng(k).integers(50, 1500, 7).tolist()
+        worst = max(worst, cost_of(lengths, sizes) / least_cost(lengths, sizes))
+    assert worst < 1.15
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = random.Random(6)
+    rows = [(i % 700 if i % 5 else None, rng.choice([3, 40, 40, 900, 9000])) for i in range(2000)] + [(7, 55)] * 900
+    made = [
+        Counter(map(tuple, packing.packed(spark.createDataFrame(rows, "doc_id long, tokens long").repartition(n), group_pieces=300).collect())) for n in (3, 7)
+    ]
+    assert made[0] == made[1]
+    assert sum(r[3] * n for r, n in made[0].items()) == sum(t for _, t in rows)
+
+
+def test_many_equal_rows_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 100)
+    rows = [(None, 30)] * 1050 + [(1, 30)] * 100 + [(2, 9000)] * 150
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, tokens long"), group_pieces=200).collect()
+    assert Counter(r.doc_id for r in out) == {None: 1050, 1: 100, 2: 300}
+
+
 def test_pipeline_stages(spark, leaks, tmp_path):
     """Each stage on its own input: what goes is what a brute-force version says, and columns stay."""
     rng = random.Random(4)
