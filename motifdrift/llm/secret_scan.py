@@ -7,6 +7,7 @@ every pattern is a secret when its log-likelihood ratio under the two is high. C
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -36,23 +37,54 @@ RANDOM_PRIOR, ORDINARY_PRIOR = 8.0, 4.0
 LEAST_RATIO, LEAST_RATIO_A_STEP = 12.0, 0.5
 
 SPAN = "struct<s:int,k:int,e:int,v:string>"
+#: Running values are formed in levels of so many, which is enough for FAN to the power of LEVELS matches in a text.
+FAN, LEVELS = 32, 5
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array, all values up to it joined. Every level joins FAN stretches of the one before, n log n steps in all; an array
+    that grows by one would be copied each time."""
+
+    def level(values: Column, span: int) -> Column:
+        before = lambda p, i: F.when(i >= span, F.sequence(F.lit(1), F.least(F.lit(FAN - 1), F.floor(i / span).cast("int"))))
+        whole = lambda p: F.transform(p, lambda x, i: F.coalesce(F.aggregate(before(p, i), x, lambda t, j: join(t, F.get(p, i - j * span))), x))
+        return bound(values, lambda p: F.when(F.size(p) > span, whole(p)).otherwise(p))
+
+    for k in range(LEVELS):
+        values = level(values, FAN**k)
+    return values
 
 
 def found(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """All matches as structs: start, kind, end (code points), value. Positions are sums over the pieces between matches."""
+    """All matches as structs: start, kind, end (code points), value. Ends are sums over the matches and the pieces between them."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), values.alias("val"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    pieces = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), values.alias("val")), lambda x: x["hit"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        one = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["val"].alias("v"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).cast(f"array<{SPAN}>").alias("out"))
+    def spans(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["hit"])), lambda a, b: a + b)
+        one = lambda x, e: F.struct((e - F.length(x["hit"])).alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["val"].alias("v"))
+        return F.zip_with(p, ends, one).cast(f"array<{SPAN}>")
 
-    all_hits = F.aggregate(F.filter(pieces, lambda x: x["hit"].isNotNull()), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), all_hits).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    return F.when(text.rlike(pattern), bound(pieces, spans)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+
+
+def outside(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of base. In order of position, a span overlaps if a base span that begins before its end reaches beyond its start."""
+    point = lambda at, kind, reach, x: F.struct(at.alias("at"), F.lit(kind).alias("is_base"), reach.alias("reach"), x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"))
+    points = F.array_sort(F.concat(F.transform(spans, lambda x: point(x["e"], 0, F.lit(-1), x)), F.transform(base, lambda x: point(x["s"], 1, x["e"], x))))
+
+    def kept(p: Column) -> Column:
+        reach = running(F.transform(p, lambda x: x["reach"]), F.greatest)
+        free = bound(reach, lambda r: F.filter(p, lambda x, i: (x["is_base"] == 0) & (F.get(r, i) <= x["s"])))
+        return F.transform(free, lambda x: F.struct(x["s"], x["k"], x["e"], x["v"])).cast(f"array<{SPAN}>")
+
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(bound(points, kept))
 
 
 def matched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,22 +93,26 @@ def matched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = F.concat(
         F.filter(found(text, ASSIGN, 0, 2), lambda x: F.length(x["v"]) >= ASSIGN_LEAST), found(text, ACCESS, 1), found(text, HEX, 2)
     )
-    free = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     return (
         docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
         .select("doc_id", F.array_sort(base).alias("base"), found(text, LONG, 3).alias("long"))
-        .select("doc_id", "base", F.filter("long", free).alias("long"))
+        .select("doc_id", "base", outside(F.col("long"), F.col("base")).alias("long"))
     )
 
 
+def places(token: Column) -> Column:
+    """The place of each character in the alphabet, from 1; 0 for others. The token is split once."""
+    return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+
 def step_counts(samples: DataFrame) -> DataFrame:
     """label, a, b, n: how often character class b follows a in the samples (label, token). Equal tokens are counted once first."""
-    at = lambda k: F.expr(f"instr('{ALPHABET}', substring(token, i + {k}, 1))")
+    steps = bound(places(F.col("token")), lambda p: F.transform(F.sequence(F.lit(0), F.length("token") - 2), lambda i: F.struct(F.get(p, i).alias("a"), F.get(p, i + 1).alias("b"))))
     return (
         samples.groupBy("label", "token").agg(F.count("*").alias("n"))
         .filter(F.length("token") > 1)
-        .withColumn("i", F.explode(F.sequence(F.lit(1), F.length("token") - 1)))
-        .groupBy("label", at(0).alias("a"), at(1).alias("b")).agg(F.sum("n").alias("n"))
+        .select("label", "n", F.explode(steps).alias("step"))
+        .groupBy("label", "step.a", "step.b").agg(F.sum("n").alias("n"))
     )
 
 
@@ -105,20 +141,20 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A null text counts as empty and has no spans. Repeated rows and ids give a row each. Equal starts are ordered by kind, then
     end. Without samples of both kinds nothing is added. An empty table gives no rows. Other columns
-    are not read. A text may be of any length: it is matched whole.
+    are not read. A text may be of any length: it is matched whole, in time that grows with n log n of its length and matches.
     """
     spans = written(matched(docs, id_col, text_col), "secret-spans")
     counts = [tuple(r) for r in step_counts(labelled(spans)).collect()]  # at most 2 x (alphabet + 1) squared rows
     size = len(ALPHABET) + 1
     values = ", ".join(f"{x:.6f}D" for x in log_ratios(counts)) if {c[0] for c in counts} == {0, 1} else "0D"
-    place = lambda i: f"instr('{ALPHABET}', substring(x.v, {i}, 1))"
-    llr = f"aggregate(sequence(1, length(x.v) - 1), 0D, (t, i) -> t + coalesce(get(ratios, {place('i')} * {size} + {place('i + 1')}), 0D))"
-    long = f"filter(long, x -> length(x.v) >= {SCORED_LEAST})"
-    kept = f"filter(transform({long}, x -> struct(x.s, x.k, x.e, {llr} as r)), x -> x.r >= greatest({LEAST_RATIO}D, {LEAST_RATIO_A_STEP}D * (x.e - x.s - 1)))"
+    ratio = lambda p, i: F.coalesce(F.get(F.col("ratios"), F.get(p, i - 1) * size + F.get(p, i)), F.lit(0.0))
+    total = lambda v: bound(places(v), lambda p: F.aggregate(F.sequence(F.lit(1), F.length(v) - 1), F.lit(0.0), lambda t, i: t + ratio(p, i)))
+    judged = F.transform(F.filter("long", lambda x: F.length(x["v"]) >= SCORED_LEAST), lambda x: F.struct(x["s"], x["k"], x["e"], total(x["v"]).alias("r")))
+    kept = F.filter(judged, lambda x: x["r"] >= F.greatest(F.lit(LEAST_RATIO), LEAST_RATIO_A_STEP * (x["e"] - x["s"] - 1)))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["s"], x["k"], x["e"]))
     return (
         spans.withColumn("ratios", F.expr(f"array({values})"))
-        .select("doc_id", bare("base").alias("base"), bare(F.expr(kept)).alias("more"))
+        .select("doc_id", bare("base").alias("base"), bare(kept).alias("more"))
         .select("doc_id", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
     )
 
