@@ -1,10 +1,11 @@
 """Near-duplicate documents by circulant MinHash, banding, and exact Jaccard verification on full shingle sets.
 
-Circulant MinHash: sigma scatters a set over D places; coordinate k of the signature is the least value of one permutation
-pi, shifted k places around, over the set. So two permutations give all coordinates, and the K values that a
-shingle contributes lie side by side in memory.
+Circulant MinHash: sigma scatters a set over D places; coordinate k of the signature comes from the least value of one
+permutation pi, shifted k places around, over the set. So two permutations give all coordinates, and the K values that a
+shingle contributes lie side by side in memory. A coordinate is the least shingle in the place that has that value, so sets far
+larger than D agree no more often than their Jaccard says.
 
-1. Documents with equal shingle sets are one class; its smallest id is its node.
+1. Documents with equal shingle sets are one class; its smallest id is its node. An id with several sets links their nodes.
 2. Signatures are cut into bands; nodes that agree in a band share a bucket.
 3. In each bucket all nodes are verified against a pivot (a link is linear work in the size of the bucket). Verified links
    give components.
@@ -35,10 +36,13 @@ WIDTH = 5
 ROWS, BANDS = 5, 28
 MISSED = 1e-7
 LEAST_PERCENT = 85
-PLACES = 1 << 20
+PLACE_BITS = 20
+PLACES = 1 << PLACE_BITS
 SEED = 5
 #: Buckets choose their pivot by one of so many orders.
 PIVOTS = 3
+#: A bucket's nodes are dealt over keys of about so many where they meet what is known of the bucket.
+SALTED = 128
 #: A block of step 4 has about so many nodes and so many shingles (8 bytes each) at most.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Bytes of text whose shingles are held at once.
@@ -53,32 +57,43 @@ def bands_for(least_percent: int) -> int:
 
 
 @lru_cache(maxsize=2)
-def permutations(n: int = ROWS * BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """sigma; and pi followed by its first n values, as overlapping rows of n."""
+def permutations(n: int = ROWS * BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """sigma; pi followed by its first n values, as overlapping rows of n; and the inverses of both."""
     rng = np.random.default_rng(SEED)
     sigma = rng.permutation(PLACES).astype(np.int32)
     pi = rng.permutation(PLACES).astype(np.int32)
-    return sigma, np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:n]]), n)
+    return sigma, np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:n]]), n), np.argsort(sigma).astype(np.int32), np.argsort(pi).astype(np.int32)
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray, step: int = 1 << 15, bands: int = BANDS) -> np.ndarray:
-    """A row of ROWS * bands coordinates for each text; texts without shingles have the largest value everywhere."""
-    sigma, pi = permutations(ROWS * bands)
-    out = np.full((len(offsets) - 1, ROWS * bands), np.iinfo(np.int32).max, np.int32)
-    at = sigma[(values & np.uint64(PLACES - 1)).astype(np.int64)]
+    """A row of ROWS * bands coordinates for each text (values: sorted in each); texts without shingles have the largest value everywhere."""
+    n = ROWS * bands
+    sigma, pi, sigma_back, pi_back = permutations(n)
+    least = np.full((len(offsets) - 1, n), np.iinfo(np.int32).max, np.int32)
+    out = np.full((len(offsets) - 1, n), np.iinfo(np.uint64).max, np.uint64)
+    if not len(values):
+        return out
+    # A text's shingles are in order of their raw places, so the first of each place is the least there.
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    spot = (owner << PLACE_BITS) | (values >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+    lead = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))
+    at, owner = sigma[spot[lead] & (PLACES - 1)], owner[lead]
     for a in range(0, len(at), step):
         own = owner[a : a + step]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        least = np.minimum.reduceat(pi[at[a : a + step]], first, axis=0)
-        np.minimum(out[own[first[0]]], least[0], out=least[0])  # a text may have begun in the step before
-        out[own[first]] = least
+        lower = np.minimum.reduceat(pi[at[a : a + step]], first, axis=0)
+        np.minimum(least[own[first[0]]], lower[0], out=lower[0])  # a text may have begun in the step before
+        least[own[first]] = lower
+    some = np.flatnonzero(np.diff(offsets))
+    place = (pi_back[least[some]] - np.arange(n, dtype=np.int32)) & np.int32(PLACES - 1)
+    wanted = (some[:, None] << PLACE_BITS) | sigma_back[place]
+    out[some] = values[lead[np.searchsorted(spot[lead], wanted.ravel())]].reshape(wanted.shape)
     return out
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
     bands = signature.shape[1] // ROWS
-    cut = signature.reshape(len(signature), bands, ROWS).astype(np.uint64)
+    cut = signature.reshape(len(signature), bands, ROWS)
     odd = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(ROWS)], np.uint64)
     return mixed((cut * odd).sum(2) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
@@ -176,18 +191,22 @@ def block_links(part: pa.Table, least_percent: int = LEAST_PERCENT) -> pa.Table:
 
 
 def rest_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, least_percent: int = LEAST_PERCENT) -> DataFrame:
-    """Step 4: links of the pairs that no pivot has settled. members: key, node, n of buckets of three or more."""
-    inside = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    """Step 4: links of the pairs that no pivot has settled. members: key, node, n, size of buckets of three or more."""
+    inside = members.join(labels, "node", "left").select("key", "node", "n", "size", F.coalesce("comp", "node").alias("comp"))
     by_comp = inside.groupBy("key", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
     bucket = by_comp.groupBy("key").agg(
         F.sum("count").alias("count"), F.sum("n").alias("n"), F.max(F.struct("count", "comp", "n")).alias("top")
     ).filter(F.col("top.count") < F.col("count"))  # several components
+    salts = lambda count: F.ceil(F.col(count) / SALTED).cast("int")
     n_blocks = lambda count, n: F.ceil(F.greatest(count / BLOCK, n / BLOCK_SHINGLES)).cast("int")
     bucket = bucket.select(
-        "key", F.col("top.comp").alias("top"), n_blocks(F.col("top.count"), F.col("top.n")).alias("n_top"),
+        "key", salts("count").alias("n_salts"), F.col("top.comp").alias("top"), n_blocks(F.col("top.count"), F.col("top.n")).alias("n_top"),
         n_blocks(F.col("count") - F.col("top.count"), F.col("n") - F.col("top.n")).alias("n_rest"),
     )
-    here = inside.drop("n").join(bucket, "key").withColumn("is_top", F.col("comp") == F.col("top"))
+    # A row for each bucket that still holds several components; a large one's is repeated, and its nodes are dealt over the salts.
+    salted = written(bucket, "near-open").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))).drop("n_salts")
+    here = inside.withColumn("salt", F.pmod(F.xxhash64("node"), salts("size")).cast("int")).drop("n", "size").join(salted.hint("merge"), ["key", "salt"]).drop("salt")
+    here = here.withColumn("is_top", F.col("comp") == F.col("top"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int")
     here = here.withColumn("own", own)
     # Sides: 1 left, 2 right, 0 both (a block with itself). Blocks of the largest component only meet the others.
@@ -215,11 +234,23 @@ def rest_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets:
     return full.groupBy("key", "x", "y", "t").applyInArrow(links_of, "a long, b long")
 
 
+def same_id_links(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the nodes of an id's several sets; None if every id has one row. rows: doc_id, n, digest."""
+    full = rows.filter("n > 0 and doc_id is not null").select("doc_id", "digest")
+    again = written(full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "near-repeated")
+    if again.isEmpty():
+        return None
+    sets = full.join(again.hint("merge"), "doc_id", "left_semi").distinct().join(classes.select("digest", "node"), "digest")
+    # The id itself is a node where it is the smallest of a class; it stands for all its classes.
+    return sets.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = LEAST_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row. Texts whose Jaccard is least_percent or more are linked.
 
     Null texts and texts without words have an empty set, are linked with nothing and are kept. Texts of fewer than five words
-    have their whole sequence as their one shingle. Rows that repeat an id are one node; all of them are kept with it. Rows
+    have their whole sequence as their one shingle. Rows that repeat an id are one node, also with different texts, which so link what
+    is near to either; all of them are kept with it, and n_shingles is each row's own. Rows
     without an id join no component, have a null component_id and are kept. An empty table gives no rows. Only the
     two columns are read. A shingle is known by a 64-bit hash.
     """
@@ -228,6 +259,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = written(
         rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-classes"
     )
+    joined_ids = same_id_links(rows, classes)
     dealt = classes.select("node", "n", F.explode("keys").alias("key"))
     rank = F.xxhash64("node", F.pmod(F.col("key"), F.lit(PIVOTS)))
     buckets = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("rank"), "node", "n")).alias("p")).filter("size > 1")
@@ -242,19 +274,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = nodes.count() <= BROADCAST_NODES
     texts = docs.join(F.broadcast(nodes) if few else nodes.hint("merge"), "doc_id", "left_semi")
     sets = written(shingle_sets(texts), "near-sets")
-    links = written(verified(pairs, sets, least_percent), "near-links")
+    links = verified(pairs, sets, least_percent)
+    links = written(links if joined_ids is None else links.unionByName(joined_ids), "near-links")
     labels = components(links)
-    more = written(rest_links(members.filter("size > 2").select("key", "node", "n"), labels, classes, sets, least_percent), "near-more")
+    more = written(rest_links(members.filter("size > 2").select("key", "node", "n", "size"), labels, classes, sets, least_percent), "near-more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
+    # An id's component is that of any of its classes; its nodes are linked.
     of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     # A hot class has many rows on the left only, which Spark splits.
-    return (
+    out = (
         rows.select("doc_id", "n", "digest")
         .join(of_class.hint("merge"), "digest", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+    if joined_ids is not None:  # a row without words goes with the other rows of its id
+        ids = rows.join(classes.select("digest", "node"), "digest").filter("doc_id is not null").join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "node")).alias("_comp"))
+        out = out.join(ids.hint("merge"), "doc_id", "left").withColumn("component_id", F.coalesce("_comp", "component_id")).drop("_comp")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = LEAST_PERCENT) -> DataFrame:

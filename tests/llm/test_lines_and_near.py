@@ -155,13 +155,50 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 1 for i in [*range(1, 50), *range(100, 161)]}
 
 
+def spread_shingles(seed, n):
+    return np.unique(np.random.default_rng(seed).integers(0, 2**64 - 1, n, dtype=np.uint64))
+
+
 def test_circulant_signature_is_two_permutations():
-    sigma, pi = near_dedup.permutations()
-    values = np.arange(5, dtype=np.uint64)
-    sig = near_dedup.signatures(values, np.array([0, 2, 5]))
-    at = sigma[values.astype(int)]
+    """Coordinate k is the shingle whose place comes first when pi is shifted k places."""
+    sigma, pi, _, _ = near_dedup.permutations()
+    values = spread_shingles(2, 5)
+    sig = near_dedup.signatures(np.concatenate([values[:2], values[2:]]), np.array([0, 2, 5]))
+    at = sigma[(values >> np.uint64(64 - near_dedup.PLACE_BITS)).astype(int)]
     for k in (0, 3, near_dedup.ROWS * near_dedup.BANDS - 1):
-        full = np.concatenate([pi[:, 0]])[:near_dedup.PLACES]
-        assert sig[0, k] == full[(at[:2] + k) % near_dedup.PLACES].min()
-    same = near_dedup.signatures(np.arange(200, dtype=np.uint64), np.array([0, 200]), step=64)
-    assert (same == near_dedup.signatures(np.arange(200, dtype=np.uint64), np.array([0, 200]))).all()
+        full = pi[:, 0][: near_dedup.PLACES]
+        assert sig[0, k] == values[:2][full[(at[:2] + k) % near_dedup.PLACES].argmin()]
+        assert sig[1, k] == values[2:][full[(at[2:] + k) % near_dedup.PLACES].argmin()]
+    many = spread_shingles(3, 5000)
+    same = near_dedup.signatures(many, np.array([0, len(many)]), step=64)
+    assert (same == near_dedup.signatures(many, np.array([0, len(many)]))).all()
+
+
+def test_signatures_of_very_large_sets_do_not_saturate():
+    a, b = spread_shingles(4, 2_500_000), spread_shingles(5, 2_500_000)
+    union = spread_shingles(6, 2_500_000)
+    rng = np.random.default_rng(7)
+    x, y = (union[rng.random(len(union)) < 0.92] for _ in range(2))
+    jaccard = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    offsets = np.concatenate([[0], np.cumsum([len(a), len(b), len(x), len(y)])])
+    sig = near_dedup.signatures(np.concatenate([a, b, x, y]), offsets)
+    assert not (sig[0] == sig[1]).any()  # nothing in common
+    assert abs((sig[2] == sig[3]).mean() - jaccard) < 0.15
+    keys = near_dedup.band_keys(sig)
+    assert not (keys[0] == keys[1]).any() and (keys[2] == keys[3]).any()
+
+
+def test_an_id_of_several_texts_is_one_node(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80))
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda t: " ".join(["changed", *t.split()[1:]])
+    rows = [(3, a), (7, a), (7, b), (9, b), (7, ""), (20, near(b)), (30, c), (31, near(c)), (31, d), (29, near(d)), (40, text()), (40, None), (50, ""), (None, a)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    component = {}
+    for r in got:
+        if r.doc_id is not None:
+            assert component.setdefault(r.doc_id, r.component_id) == r.component_id
+            assert r.kept == (r.doc_id == r.component_id)
+    assert component == {3: 3, 7: 3, 9: 3, 20: 3, 30: 29, 31: 29, 29: 29, 40: 40, 50: 50}
+    assert sorted((r.doc_id or -1, r.n_shingles) for r in got) == sorted((i or -1, len(shingle_set(t))) for i, t in rows)
