@@ -29,8 +29,8 @@ SCRIPTS = {
     "georgian": [(0x10A0, 0x10FF)], "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)], "kana": [(0x3040, 0x30FF)], "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
 }
 OTHER = len(SCRIPTS)
-#: Trigrams fall in so many buckets; a model has at most MOST_LANGUAGES of them (512 MB would be the end, a few hundred KB the rule).
-BUCKETS, MOST_LANGUAGES = 1 << 15, 1024
+#: Trigrams fall in so many buckets: a model has so many numbers of 4 bytes for each language that was learned.
+BUCKETS = 1 << 15
 #: Documents that a model is fitted on, about; a language belongs to a script from this share of the script's letters or of its own.
 TRAIN_DOCS = 20_000
 SCRIPT_SHARE = 0.005
@@ -39,8 +39,10 @@ SWITCH = 14.0
 SMOOTH = 0.2
 OUTSIDE = -60.0
 UNKNOWN = "und"
-#: A text is told a language if that has this share of its letters. Bytes of text labelled at once.
-LEAST_SHARE, LABELLED_BYTES = 0.3, 8 << 20
+#: A text is kept if this share of its letters is in scripts that a language was learned in.
+LEAST_KNOWN = 0.3
+#: Bytes of text labelled at once with up to FEW languages; fewer with more, as each word has a score for each. Words that Viterbi takes one after another.
+LABELLED_BYTES, FEW, BLOCK_WORDS = 8 << 20, 8, 1024
 
 
 @lru_cache(maxsize=1)
@@ -75,10 +77,10 @@ class Model:
     table: np.ndarray  # BUCKETS x languages: log probabilities
     allowed: np.ndarray  # scripts x languages: bool
 
-    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """words x languages, and letters of each word. Words without letters or of an unseen script say nothing."""
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """words x languages; letters of each word; and whether it has any in a script that was learned. Other words say nothing."""
         bucket, word, script, letters = letter_trigrams(words)
-        scores = np.zeros((len(words), len(self.languages)), np.float32)
+        scores, seen = np.zeros((len(words), len(self.languages)), np.float32), np.zeros(len(words), bool)
         if len(word):
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             scores[word[first]] = np.add.reduceat(self.table[bucket], first, axis=0)
@@ -86,40 +88,71 @@ class Model:
             allowed = self.allowed[counts.argmax(1)]
             seen = allowed.any(1) & (letters > 0)
             scores = np.where(seen[:, None], scores + np.where(allowed, 0, OUTSIDE).astype(np.float32), 0)
-        return scores, letters
+        return scores, letters, seen
+
+    def slice_bytes(self) -> int:
+        return max(64 << 10, LABELLED_BYTES * FEW // max(FEW, len(self.languages)))
 
 
 def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float) -> np.ndarray:
-    """Best label of each word. Texts advance side by side, a word a step; scores: words x languages."""
+    """Best label of each word; scores: words x languages. Texts are cut into blocks that advance side by side, a word of each a step.
+
+    A first pass, over texts of several blocks, finds what every label before a block comes to at its end; chained, that is the
+    state that each block begins with, and the second pass is Viterbi from there. A text takes some thousand steps, however long it is.
+    """
     n_words, n_labels = scores.shape
-    labels = np.zeros(n_words, np.int16)
     if not n_words or n_labels == 1:
-        return labels
-    lengths = np.diff(offsets)
-    order = np.argsort(-lengths, kind="stable")
-    start, lengths = offsets[:-1][order], lengths[order]
-    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # texts longer than t
+        return np.zeros(n_words, np.int16)
+    offsets = offsets[np.flatnonzero(np.diff(offsets, prepend=-1))]  # texts without words are no texts here
+    size = max(BLOCK_WORDS, int(np.sqrt(np.diff(offsets).max())))
+    n_blocks = -(-np.diff(offsets) // size)
+    text = np.repeat(np.arange(len(n_blocks)), n_blocks)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    start = offsets[text] + number * size
+    length = np.minimum(size, offsets[text + 1] - start)
+    last = number == n_blocks[text] - 1
+    before = np.zeros((len(text), n_labels), np.float32)
+    inner = np.flatnonzero(~last)
+    for b, through in zip(inner.tolist(), block_transfers(scores, start[inner], size, switch), strict=True):
+        state = (before[b][:, None] + through).max(0)
+        before[b + 1] = state - state.max()
+    order = np.argsort(-length, kind="stable")
+    first, active = start[order], np.searchsorted(-length[order], -np.arange(length.max()), side="left")  # blocks longer than t
     back = np.zeros((n_words, n_labels), np.int16)
     own = np.arange(n_labels, dtype=np.int16)[None, :]
-    best = np.zeros((len(order), n_labels), np.float32)
-    for t in range(int(lengths[0])):
-        a = active[t]
-        at, now = start[:a] + t, best[:a]
-        if t:
-            top = now.argmax(1)
-            jump = now[np.arange(a), top][:, None] - np.float32(switch)
-            back[at] = np.where(now >= jump, own, top[:, None].astype(np.int16))
-            now = np.maximum(now, jump)
-        now = now + scores[at]
-        now -= now.max(1, keepdims=True)
-        best[:a] = now
-    label = best.argmax(1).astype(np.int16)
-    for t in range(int(lengths[0]) - 1, -1, -1):
+    best = before[order]
+    for t, a in enumerate(active.tolist()):
+        at, now = first[:a] + t, best[:a]
+        top = now.argmax(1)
+        jump = now[np.arange(a), top][:, None] - np.float32(switch)
+        back[at] = np.where(now >= jump, own, top[:, None].astype(np.int16))
+        now = np.maximum(now, jump) + scores[at]
+        best[:a] = now - now.max(1, keepdims=True)
+    # Backwards, each label at the end of a block leads to one at every word of it, and to one before it.
+    path, route = np.zeros((n_words, n_labels), np.int16), np.repeat(own, len(order), axis=0)
+    for t in range(len(active) - 1, -1, -1):
         a = active[t]
-        at = start[:a] + t
-        labels[at] = label[:a]
-        label[:a] = back[at, label[:a]] if t else label[:a]
-    return labels
+        at = first[:a] + t
+        path[at] = route[:a]
+        route[:a] = np.take_along_axis(back[at], route[:a].astype(np.int64), 1)
+    placed = np.argsort(order, kind="stable")
+    end, route = best[placed].argmax(1), route[placed]
+    for b in inner[::-1].tolist():
+        end[b] = route[b + 1, end[b + 1]]
+    return path[np.arange(n_words), np.repeat(end, length)]
+
+
+def block_transfers(scores: np.ndarray, start: np.ndarray, size: int, switch: float) -> np.ndarray:
+    """blocks x labels before x labels at the end: the best score on the way, over blocks of so many words."""
+    n = scores.shape[1]
+    if not len(start):
+        return np.zeros((0, n, n), np.float32)
+    off = np.full((n, n), -np.float32(switch), np.float32)
+    np.fill_diagonal(off, 0)
+    now = np.broadcast_to(off, (len(start), n, n)) + scores[start][:, None, :]
+    for t in range(1, size):
+        now = np.maximum(now, now.max(2, keepdims=True) - np.float32(switch)) + scores[start + t][:, None, :]
+    return now
 
 
 def fitted(docs: DataFrame, most_docs: int = TRAIN_DOCS) -> Model | None:
@@ -146,8 +179,7 @@ def fitted(docs: DataFrame, most_docs: int = TRAIN_DOCS) -> Model | None:
             yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(total[at].astype(np.int64))})
 
     counts = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
-    rows = counts.join(langs, "lang").toArrow()  # languages x (buckets + scripts) rows at most
+    rows = counts.toArrow()  # languages x (buckets + scripts) rows at most
     if not rows.num_rows:
         return None
     languages = sorted(set(rows.column("lang").to_pylist()))
@@ -164,7 +196,7 @@ def label_texts(text: pa.Array, model: Model | None, switch: float = SWITCH) ->
     codes, distinct, offsets = coded_words(text)
     if model is None:
         return np.zeros(len(codes), np.int16), np.zeros((len(text), 1)), offsets
-    scores, letters = model.word_scores(distinct)
+    scores, letters, _ = model.word_scores(distinct)
     labels = viterbi(scores[codes], offsets, switch)
     owner, n = np.repeat(np.arange(len(text)), np.diff(offsets)), len(model.languages)
     return labels, np.bincount(owner * n + labels, weights=letters[codes], minlength=len(text) * n).reshape(-1, n), offsets
@@ -185,7 +217,7 @@ def labelled_spans(docs: DataFrame, model: Model | None, switch: float = SWITCH,
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch, text in slices(batches, most=LABELLED_BYTES):
+        for batch, text in slices(batches, most=own.slice_bytes() if own else LABELLED_BYTES):
             labels, mass, offsets = label_texts(text, own, switch)
             n_docs = len(text)
             owner = np.repeat(np.arange(n_docs), np.diff(offsets))
@@ -221,14 +253,26 @@ def language_report(docs: DataFrame) -> DataFrame:
     return labelled_spans(docs, fitted_on_train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-def identified(docs: DataFrame, model: Model | None, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The rows of docs whose language is told: not 'und', and one language has least_share of the letters. All columns stay; nothing is shuffled."""
+def identified(docs: DataFrame, model: Model | None, least_known: float = LEAST_KNOWN) -> DataFrame:
+    """The rows of docs whose language can be told: least_known of the letters are labelled in scripts that a language was learned in.
+
+    Texts without letters go, and those of scripts nobody has labelled. Texts of several languages stay, however evenly they are mixed, as
+    each of their spans has its label. If nothing was learned, every text with a letter stays. All columns stay; nothing is shuffled.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, text in slices(batches, most=LABELLED_BYTES):
-            _, mass, _ = label_texts(text, sent.value)
-            total = mass.sum(1)
-            yield batch.filter(pa.array((total > 0) & (mass.max(1) >= least_share * total)))
+        own = sent.value
+        for batch, text in slices(batches, most=own.slice_bytes() if own else LABELLED_BYTES):
+            codes, distinct, offsets = coded_words(text)
+            if own is None:
+                letters = letter_trigrams(distinct)[3]
+                known = letters
+            else:
+                _, letters, seen = own.word_scores(distinct)
+                known = np.where(seen, letters, 0)
+            owner = np.repeat(np.arange(len(text)), np.diff(offsets))
+            total, told = (np.bincount(owner, weights=x[codes], minlength=len(text)) for x in (letters, known))
+            yield batch.filter(pa.array((total > 0) & (told >= least_known * total)))
 
     return docs.mapInArrow(keep, docs.schema)
