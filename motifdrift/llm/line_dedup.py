@@ -10,7 +10,7 @@ and the table counts back down, so documents can be inserted and deleted again w
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ STRIPPED = " \t\n\x0b\x0c\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Digests that a shard should hold at most; with 16-bit fingerprints its filter then has about 4 MB.
 SHARD_KEYS = 1_500_000
-#: Filters of repeated lines go to every task up to this size in all; beyond it, lines meet the exact table unfiltered.
-PREFILTER_BYTES = 48 << 20
+#: Filters of repeated lines go to every task up to this size in all; beyond it, lines are dealt to the filters, about so many to a task.
+PREFILTER_BYTES, GROUP_LINES = 48 << 20, 1_000_000
 
 
 def line_key(line: str) -> bytes | None:
@@ -101,11 +101,18 @@ class CuckooFilter:
 
     def delete(self, digests: np.ndarray) -> None:
         """Takes out one mark for each digest; the digests must have been inserted."""
-        for m, a in zip(*self.places(digests), strict=True):
-            for b in (a, int(self.other(np.array([a]), np.array([m]))[0])):
-                if (hit := np.flatnonzero(self.table[b] == m)).size:
-                    self.table[b, hit[0]] = 0
-                    break
+        mark, at = self.places(digests)
+        for _ in range(2):  # in the first bucket, then in the other one
+            order = np.lexsort((mark, at))
+            mark, at = mark[order], at[order]
+            both = (at << 16) | mark
+            nth = np.arange(len(at)) - np.searchsorted(both, both)
+            hits = self.table[at] == mark[:, None]
+            there = nth < hits.sum(1)
+            slot = np.argmax(hits & (hits.cumsum(1) == (nth + 1)[:, None]), axis=1)
+            self.table[at[there], slot[there]] = 0
+            mark, at = mark[~there], at[~there]
+            at = self.other(at, mark)
 
     def to_bytes(self) -> bytes:
         return self.table.astype("<u2").tobytes()
@@ -156,11 +163,11 @@ def filters_of(table: DataFrame) -> DataFrame:
 
 
 def prefiltered(lines: DataFrame, repeated: DataFrame, n_shards: int, most_bytes: int = PREFILTER_BYTES) -> DataFrame:
-    """lines without those that the repeated keys' filters rule out. Filters larger than most_bytes in all are not sent, and lines come back whole."""
+    """lines without those that the repeated keys' filters rule out. Filters larger than most_bytes in all meet the lines by shard."""
     filters = written(filters_of(repeated), "line-filters")
     size = filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     if size > most_bytes:
-        return lines
+        return probed_by_shard(lines.withColumn("shard", shard_of("key", n_shards)), filters)
     sent = lines.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in filters.collect()})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +184,23 @@ def prefiltered(lines: DataFrame, repeated: DataFrame, n_shards: int, most_bytes
     return lines.withColumn("shard", shard_of("key", n_shards)).mapInArrow(probe, "doc_id long, key binary, shard int").drop("shard")
 
 
+def probed_by_shard(lines: DataFrame, filters: DataFrame) -> DataFrame:
+    """Lines (doc_id, key, shard) that their shard's filter doesn't rule out. A shard of many lines is dealt over salts, each of which gets its filter."""
+    counts = lines.groupBy("shard").agg(F.count("*").alias("lines"))
+    salts = written(filters.join(counts, "shard").select("shard", "filter", F.ceil(F.col("lines") / GROUP_LINES).cast("int").alias("salts")), "line-salts")
+    dealt = lines.join(F.broadcast(salts.select("shard", "salts")), "shard")  # a row for each SHARD_KEYS repeated keys
+    dealt = dealt.select("doc_id", "key", "shard", F.pmod(F.xxhash64("doc_id", "key"), F.col("salts")).cast("int").alias("salt"))
+    sent = salts.select("shard", "filter", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+    def probe(part: pa.Table, own: pa.Table) -> pa.Table:
+        found = np.zeros(part.num_rows, bool)
+        if part.num_rows and own.num_rows:
+            found = CuckooFilter.from_bytes(own.column("filter")[0].as_py()).maybe(halves(part.column("key")))
+        return part.select(["doc_id", "key"]).filter(pa.array(found))
+
+    return dealt.groupBy("shard", "salt").cogroup(sent.groupBy("shard", "salt")).applyInArrow(probe, "doc_id long, key binary")
+
+
 def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id, keys: the keys whose lines that document loses."""
     lines = written(keyed_lines(docs, id_col, text_col), "line-keys")
@@ -242,65 +266,112 @@ def with_kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 
 class LineIndex:
-    """Incremental form: lines, exact tables and live-key filters under a path, by version. insert() and delete() write the next version."""
+    """Incremental form, stored by shard of keys under a path: who holds which line (held), exact counts (table) and filters of live keys.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, n_shards: int = 16):
-        self.spark, self.path, self.n_shards, self.version = spark, path or new_path(spark, "line-index"), n_shards, 0
-        self._save(spark.createDataFrame([], "doc_id long, key binary"), spark.createDataFrame([], "key binary, refs long, last long, shard int"), None)
+    insert() and delete() write a next version of the shards that they change and leave the files of all others as they are. The
+    number of shards follows the number of keys: where one outgrows SHARD_KEYS, all are dealt anew over twice as many.
+    """
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.version}/{name}")
+    SCHEMAS = {"held": "doc_id long, key binary", "table": "key binary, refs long, last long", "filters": "n_keys long, filter binary"}
+
+    def __init__(self, spark: SparkSession, path: str | None = None, n_shards: int = 1, shard_keys: int = SHARD_KEYS):
+        self.spark, self.path, self.n_shards, self.shard_keys, self.version = spark, path or new_path(spark, "line-index"), n_shards, shard_keys, 0
+        #: For each shard the versions that make it up: several of held, to which inserts append, and one of the others.
+        self.live: dict[str, dict[int, list[int]]] = {name: {} for name in self.SCHEMAS}
+
+    def _read(self, name: str, shards: list[int] | None = None) -> DataFrame:
+        """The live rows of the shards (None: all), with shard."""
+        paths = [f"{self.path}/{name}/shard={s}/version={v}" for s, versions in self.live[name].items() if shards is None or s in shards for v in versions]
+        schema = self.SCHEMAS[name] + ", shard int"
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema + ", version int").option("basePath", f"{self.path}/{name}").parquet(*paths).drop("version")
+
+    def _write(self, name: str, rows: DataFrame, shards: list[int], append: bool = False) -> None:
+        """rows (with shard) as the next version of the shards."""
+        rows.withColumn("version", F.lit(self.version)).write.partitionBy("shard", "version").mode("append").parquet(f"{self.path}/{name}")
+        some = {r.shard for r in self.spark.read.schema(self.SCHEMAS[name] + ", shard int, version int").parquet(f"{self.path}/{name}").filter(F.col("version") == self.version).select("shard").distinct().collect()}
+        for s in shards:
+            now = [self.version] if s in some else []
+            self.live[name][s] = (self.live[name].get(s, []) if append else []) + now
+
+    def _with_filters(self, keys: DataFrame, shards: list[int], change: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """change(keys of a shard, its filter's row or none) for each of the shards."""
+        return keys.groupBy("shard").cogroup(self._read("filters", shards).groupBy("shard")).applyInArrow(change, schema)
 
-    def _save(self, held: DataFrame, table: DataFrame, filters: DataFrame | None) -> None:
-        at = f"{self.path}/{self.version + 1}"
-        held.write.parquet(f"{at}/held")
-        table.write.parquet(f"{at}/table")
-        saved = self.spark.read.schema("key binary, refs long, last long, shard int").parquet(f"{at}/table")
-        (filters if filters is not None else filters_of(saved)).write.parquet(f"{at}/filters")
+    def insert(self, docs: DataFrame) -> LineIndex:
+        """Adds documents. Keys that the filters don't know are new and skip the exact table; the others are added to its counts."""
         self.version += 1
-
-    def _split(self, keys: DataFrame, change: str) -> DataFrame:
-        """keys (distinct, with shard), flagged maybe by the shard's filter, and the filter after the change ('insert' or 'none')."""
+        lines = written(keyed_lines(docs).withColumn("shard", shard_of("key", self.n_shards)), "line-keys")
+        shards = [r.shard for r in lines.select("shard").distinct().collect()]
 
         def probe(part: pa.Table, own: pa.Table) -> pa.Table:
             found = np.zeros(part.num_rows, bool)
             if own.num_rows and part.num_rows:
                 found = CuckooFilter.from_bytes(own.column("filter")[0].as_py()).maybe(halves(part.column("key")))
-            return part.append_column("maybe", pa.array(found))
-
-        return keys.groupBy("shard").cogroup(self._read("filters").groupBy("shard")).applyInArrow(probe, "key binary, refs long, last long, shard int, maybe boolean")
-
-    def insert(self, docs: DataFrame) -> LineIndex:
-        """Adds documents. New keys skip the exact table by the filters' word; the others are added to its counts."""
-        lines = written(keyed_lines(docs), "line-keys")
-        fresh = written(self._split(counted(lines).withColumn("shard", shard_of("key", self.n_shards)), "insert"), "line-split")
-        known = fresh.filter("maybe").drop("maybe")
-        table = self._read("table")
-        touched = table.join(known.select("key"), "key", "left_semi").unionByName(known).groupBy("key", "shard").agg(F.sum("refs").alias("refs"), F.max("last").alias("last"))
-        rest = table.join(known.select("key"), "key", "left_anti")
-        merged = rest.unionByName(touched).unionByName(fresh.filter("not maybe").drop("maybe")).select("key", "refs", "last", "shard")
-        self._save(self._read("held").unionByName(lines), merged, None)
+            return part.select(["key", "refs", "last", "shard"]).append_column("maybe", pa.array(found))
+
+        counts = lines.groupBy("shard", "key").agg(F.count("*").alias("refs"), F.max("doc_id").alias("last"))
+        fresh = written(self._with_filters(counts, shards, probe, "key binary, refs long, last long, shard int, maybe boolean"), "line-split")
+        table, maybe, new = self._read("table", shards), fresh.filter("maybe").drop("maybe"), fresh.filter("not maybe").drop("maybe")
+        known = table.join(maybe.select("key"), "key", "left_semi")
+        summed = known.unionByName(maybe).groupBy("key", "shard").agg(F.sum("refs").alias("refs"), F.max("last").alias("last"))
+        merged = table.join(maybe.select("key"), "key", "left_anti").unionByName(summed).unionByName(new)
+        added = written(new.select("shard", "key").unionByName(maybe.join(known.select("key"), "key", "left_anti").select("shard", "key")), "line-new")
+
+        def add(part: pa.Table, own: pa.Table) -> pa.Table:
+            """A filter that has no room left is null, and made anew."""
+            digests = halves(part.column("key")) if part.num_rows else np.zeros((0, 2), np.uint64)
+            made = CuckooFilter.from_bytes(own.column("filter")[0].as_py()) if own.num_rows else CuckooFilter.of(digests)
+            full = own.num_rows and not made.insert(digests)
+            n = part.num_rows + (own.column("n_keys")[0].as_py() if own.num_rows else 0)
+            shard = (part if part.num_rows else own).column("shard").slice(0, 1)
+            return pa.table({"shard": shard, "n_keys": pa.array([n], pa.int64()), "filter": pa.array([None if full else made.to_bytes()], pa.binary())})
+
+        changed = [r.shard for r in added.select("shard").distinct().collect()]
+        filters = written(self._with_filters(added, changed, add, "shard int, n_keys long, filter binary"), "line-filters")
+        full = [r.shard for r in filters.filter("filter is null").select("shard").collect()]
+        self._write("held", lines, shards, append=True)
+        self._write("table", merged, shards)
+        again = filters_of(self._read("table", full)) if full else None
+        kept = filters.filter("filter is not null")
+        self._write("filters", kept if again is None else kept.unionByName(again), changed)
+        most = self._read("filters").agg(F.max("n_keys")).first()[0] or 0
+        if most > self.shard_keys:
+            self._deal_anew(self.n_shards * 2 ** max(1, (-(-most // self.shard_keys) - 1).bit_length()))
         return self
 
+    def _deal_anew(self, n_shards: int) -> None:
+        self.version += 1
+        held, table = (self._read(name).withColumn("shard", shard_of("key", n_shards)) for name in ("held", "table"))
+        self.live = {name: {} for name in self.SCHEMAS}
+        self.n_shards, shards = n_shards, list(range(n_shards))
+        self._write("held", held, shards)
+        self._write("table", table, shards)
+        self._write("filters", filters_of(self._read("table")), shards)
+
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes documents out (doc_ids: column doc_id). Only the exact rows of their keys are counted again; keys that nobody holds leave the filters."""
-        held = self._read("held")
-        gone = held.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        left = written(held.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"), "line-held")
-        keys = written(gone.select("key").distinct(), "line-gone")
-        again = counted(left.join(keys, "key", "left_semi")).withColumn("shard", shard_of("key", self.n_shards))
-        table = written(self._read("table").join(keys, "key", "left_anti").unionByName(again), "line-table")
-        dead = keys.join(table.select("key"), "key", "left_anti").withColumn("shard", shard_of("key", self.n_shards))
+        self.version += 1
+        out = doc_ids.select("doc_id").distinct()
+        gone = written(self._read("held").join(out, "doc_id", "left_semi").select("shard", "key").distinct(), "line-gone")
+        shards = [r.shard for r in gone.select("shard").distinct().collect()]
+        left = written(self._read("held", shards).join(out, "doc_id", "left_anti").select("doc_id", "key", "shard"), "line-left")
+        again = written(left.join(gone.select("key"), "key", "left_semi").groupBy("shard", "key").agg(F.count("*").alias("refs"), F.max("doc_id").alias("last")), "line-again")
+        table = self._read("table", shards).join(gone.select("key"), "key", "left_anti").unionByName(again)
+        dead = written(gone.join(again.select("key"), "key", "left_anti").select("shard", "key"), "line-dead")
+        changed = [r.shard for r in dead.select("shard").distinct().collect()]
 
         def take(part: pa.Table, own: pa.Table) -> pa.Table:
             made = CuckooFilter.from_bytes(own.column("filter")[0].as_py())
-            if part.num_rows:
-                made.delete(halves(part.column("key")))
+            made.delete(halves(part.column("key")))
             n = own.column("n_keys")[0].as_py() - part.num_rows
             return pa.table({"shard": own.column("shard"), "n_keys": pa.array([n], pa.int64()), "filter": pa.array([made.to_bytes()], pa.binary())})
 
-        filters = dead.select("shard", "key").groupBy("shard").cogroup(self._read("filters").groupBy("shard")).applyInArrow(take, "shard int, n_keys long, filter binary")
-        self._save(left, table, filters)
+        filters = self._with_filters(dead, changed, take, "shard int, n_keys long, filter binary")
+        self._write("filters", filters, changed)
+        self._write("table", table, shards)
+        self._write("held", left, shards)
         return self
 
     def counts(self) -> DataFrame:
