@@ -4,21 +4,21 @@ The kernel counts common subsequences of DEPTH characters, weighted by DECAY for
 insult with gaps or inserted characters stays close to the plain one. Landmarks are words: those that set toxic
 documents apart, and ordinary ones. A sentence's features are the kernel values of its closest word to each landmark,
 mapped by K^(-1/2) of the landmarks. A linear SVM is trained on labelled sentences: all sentences of clean
-documents, and of each toxic one those that the last fit finds worst. The margins of a document's WORST worst
+documents, and of each toxic one those that the last fit finds worst. The margins of a document's worst
 words, taken as sentences of their own, and its length are turned into a probability by a logistic fit on training documents:
-one word that looks like an insult by chance, in a long text, is less than several in a short one.
+one word that looks like an insult by chance, in a long text, is less than several in a short one. How many words decide, and how much
+more a toxic document weighs, is chosen by cross-validation inside the training documents.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,19 +27,25 @@ from motifdrift.llm.shared import held_out, written
 from motifdrift.llm.words import coded_words, list_array, slices
 
 #: Labelled documents that the model is fitted on, about; landmarks of both kinds.
-TRAIN_DOCS, TOXIC, USUAL = 20_000, 40, 16
+TRAIN_DOCS, TOXIC, USUAL = 20_000, 64, 16
 #: Words, and beginnings of so many letters, can be toxic landmarks from this log-likelihood ratio (G squared) of their
 #: document counts. So many of the highest are considered; one that is so like a chosen one is passed over.
-STEMS, LEAST_TELLING, CONSIDERED, ALIKE = (4, 5, 6, 7, 8), 30.0, 1_000, 0.6
+STEMS, LEAST_TELLING, CONSIDERED, ALIKE = (4, 5, 6, 7, 8), 12.0, 1_000, 0.6
 DEPTH, DECAY = 3, 0.7
 #: Words are compared in windows of so many characters; kernel values below LEAST_LIKE are chance and count as 0.
 WINDOW, LEAST_LIKE = 24, 0.2
 #: Hash places of ordered letter pairs; pairs up to GAP apart must agree in this share before the kernel is computed.
 PAIRS, GAP, PAIR_SHARE = 256, 4, 0.5
 ROUNDS = 3
-#: So many of a document's words decide.
-WORST = 4
+#: Words that a Python worker remembers to have compared.
+REMEMBERED = 300_000
+#: Distinct sentences that a fit takes, about; of more clean ones, a sample by hash.
+MOST_SENTENCES = 50_000
+#: Forms that cross-validation chooses from: so many of a document's worst words decide, and toxic documents weigh so much more.
+WORST, FORMS, WEIGHTS, FOLDS = 8, (1, 2, 4, 8), (1.0, 2.0, 4.0), 4
 EVIDENCE = WORST + 2
+#: The share of clean documents that a chosen form calls toxic at most, if any form does so.
+FALSE_SHARE = 0.01
 
 
 def plain(word: str) -> str:
@@ -95,9 +101,23 @@ class Landmarks:
         self.lengths = [len(w) for w in words]
         self.pairs = pair_places(self.codes[:n_toxic])
         self.least = np.maximum(2, PAIR_SHARE * self.pairs.sum(1))
+        self.compared: dict[str, np.ndarray | None] = {}
 
     def like(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words that are like any landmark, and their normalised kernel values."""
+        """Numbers of the words that are like any landmark, and their normalised kernel values. Words are compared once."""
+        if len(self.compared) > REMEMBERED:
+            self.compared.clear()
+        if new := [w for w in dict.fromkeys(words) if w not in self.compared]:
+            self.compared.update(dict.fromkeys(new))
+            at, values = self.compare(new)
+            self.compared.update(zip((new[i] for i in at.tolist()), values, strict=True))
+        found = [(i, v) for i, w in enumerate(words) if (v := self.compared[w]) is not None]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros((0, len(self.words)), np.float32)
+        return np.array([i for i, _ in found], np.int64), np.stack([v for _, v in found])
+
+    def compare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """like() without memory."""
         rows, values = [np.zeros(0, np.int64)], [np.zeros((0, len(self.words)), np.float32)]
         long_enough = [i for i, w in enumerate(words) if len(w) >= DEPTH]
         for a in range(0, len(long_enough), 8192):
@@ -117,7 +137,7 @@ class Landmarks:
                     like = kernel(codes[at], self.codes[j : j + 1, :n]) / (own[at] * self.own[j])
                     k[at, j] = np.where(like < LEAST_LIKE, 0, like)
             keep = k.any(1)
-            rows.append(np.array(part)[some[keep]])
+            rows.append(np.array(part, np.int64)[some[keep]])
             values.append(k[keep])
         return np.concatenate(rows), np.concatenate(values)
 
@@ -152,20 +172,17 @@ class Landmarks:
         rows, k = self.like(base + [w for _, w in long] + extra)
         row_of = np.full((len(distinct),), -1, np.int64)
         n, m = len(base), len(base) + len(long)
-        table = [k[rows < n]]
         row_of[rows[rows < n]] = np.arange((rows < n).sum())
-        for r, v in zip(rows[(rows >= n) & (rows < m)], k[(rows >= n) & (rows < m)], strict=True):
-            c = long[r - n][0]
-            if row_of[c] < 0:
-                row_of[c] = sum(map(len, table))
-                table.append(v[None, :])
-            else:
-                joined = np.concatenate(table)
-                joined[row_of[c]] = np.maximum(joined[row_of[c]], v)
-                table = [joined]
+        # The windows of a long word are one row, their largest values.
+        of_long = (rows >= n) & (rows < m)
+        which, place = np.unique(np.array([c for c, _ in long], np.int64)[rows[of_long] - n], return_inverse=True)
+        joined = np.zeros((len(which), len(self.words)), np.float32)
+        np.maximum.at(joined, place, k[of_long])
+        row_of[which] = (rows < n).sum() + np.arange(len(which))
+        table = np.concatenate([k[rows < n], joined])
         at = np.flatnonzero(row_of[codes] >= 0) if len(codes) else np.zeros(0, np.int64)
         of = np.concatenate([sentence[at], np.array([places[r - m] for r in rows[rows >= m]], np.int64)])
-        values = np.concatenate([np.concatenate(table)[row_of[codes[at]]] if len(at) else np.zeros((0, len(self.words)), np.float32), k[rows >= m]])
+        values = np.concatenate([table[row_of[codes[at]]] if len(at) else np.zeros((0, len(self.words)), np.float32), k[rows >= m]])
         order = np.argsort(of, kind="stable")
         of, values = of[order], values[order]
         if not len(of):
@@ -182,8 +199,7 @@ class Model:
     landmarks: Landmarks
     weights: np.ndarray
     bias: float
-    slopes: np.ndarray | None = None  # of the logistic fit
-    intercept: float = 0.0
+    slopes: np.ndarray | None = None  # of the logistic fit, and the intercept
 
     def evidence(self, text: pa.Array) -> np.ndarray:
         """texts x EVIDENCE: how far the margins of the worst words are above the bias, falling; whether there are any, and the text's length if so.
@@ -204,7 +220,7 @@ class Model:
         return out
 
     def scores(self, text: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.evidence(text) @ self.slopes + self.intercept, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.evidence(text) @ self.slopes[:-1] + self.slopes[-1], -50, 50)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_docs: int) -> DataFrame:
@@ -270,7 +286,8 @@ def chosen_landmarks(train: DataFrame, n_toxic: int, n_usual: int) -> tuple[list
 def support_vectors(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear SVM with squared hinge loss, by Newton steps over the rows inside the margin."""
     x1 = np.column_stack([x, np.ones(len(x))])
-    ridge = np.diag(np.append(np.full(x.shape[1], reg), reg * 1e-3))
+    del x
+    ridge = np.diag(np.append(np.full(x1.shape[1] - 1, reg), reg * 1e-3))
     w = np.zeros(x1.shape[1])
     for _ in range(100):
         inside = y * (x1 @ w) < 1
@@ -311,11 +328,13 @@ def fitted(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, n_to
     worst = Window.partitionBy("doc_id").orderBy(F.desc("margin"), F.hash("k"))
     chosen = sentences
     for turn in range(ROUNDS):
-        rows = chosen.groupBy("toxic", "k").agg(F.count("*").alias("n")).collect()  # distinct sentences of the bounded sample
-        y, n = np.array([1.0 if r.toxic == 1 else -1.0 for r in rows]), np.array([r.n for r in rows], np.float64)
+        distinct = written(chosen.groupBy("toxic", "k").agg(F.count("*").alias("n")), "toxic-distinct")
+        share = MOST_SENTENCES / max(MOST_SENTENCES, distinct.count())
+        rows = distinct.filter((F.col("toxic") == 1) | (F.pmod(F.xxhash64("k"), F.lit(10_000)) < 10_000 * share)).toArrow()
+        y, n = np.where(rows.column("toxic").to_numpy() == 1, 1.0, -1.0), rows.column("n").to_numpy().astype(np.float64)
         for side in (-1.0, 1.0):
             n[y == side] /= 2 * n[y == side].sum()
-        w, b = support_vectors(np.array([r.k for r in rows]) @ root, y, n)
+        w, b = support_vectors(matrix(rows.column("k"), len(names)) @ root, y, n)
         if turn + 1 == ROUNDS:
             break
         raw = root @ w
@@ -330,14 +349,68 @@ def fitted(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, n_to
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, text in slices(batches, most=8 << 20):
             seen = known.value.evidence(text)
-            yield pa.record_batch({"toxic": batch.column(2), "seen": list_array(seen.ravel(), np.arange(len(text) + 1) * EVIDENCE, pa.float64())})
+            fold = np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in batch.column(0).to_pylist()])
+            yield pa.record_batch({"toxic": batch.column(2), "seen": list_array(seen.ravel(), np.arange(len(text) + 1) * EVIDENCE, pa.float64()), "fold": pa.array(fold, pa.int32())})
 
-    rows = written(train.mapInArrow(evidence, "toxic int, seen array<double>"), "toxic-evidence")
-    fit = LogisticRegression(labelCol="toxic", regParam=1e-4).fit(rows.withColumn("features", array_to_vector("seen")))
-    model.slopes, model.intercept = fit.coefficients.toArray(), float(fit.intercept)
+    rows = written(train.mapInArrow(evidence, "toxic int, seen array<double>, fold int"), "toxic-evidence").orderBy("fold", "seen").toArrow()  # most_docs rows of a few numbers
+    seen, y, fold = matrix(rows.column("seen"), EVIDENCE), rows.column("toxic").to_numpy().astype(np.float64), rows.column("fold").to_numpy()
+    model.slopes = logistic_fit(seen, y, *chosen_form(seen, y, fold))
     return model
 
 
+def matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def form_of(seen: np.ndarray, n_words: int) -> np.ndarray:
+    """Evidence with the margins of the n_words worst words alone."""
+    out = seen.copy()
+    out[:, n_words:WORST] = 0
+    return out
+
+
+def logistic_fit(seen: np.ndarray, y: np.ndarray, n_words: int, weight: float, ridge: float = 1e-4) -> np.ndarray:
+    """Slopes and intercept of a logistic fit by Newton steps; toxic rows weigh `weight` times as much."""
+    x = np.column_stack([form_of(seen, n_words), np.ones(len(seen))])
+    w, each = np.zeros(x.shape[1]), np.where(y == 1, weight, 1.0) / len(y)
+    penalty = np.append(np.full(x.shape[1] - 1, ridge), 1e-9)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((each * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2)
+
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        slope = x.T @ (each * (p - y)) + penalty * w
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.diag(penalty), slope)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
+            break
+    return w
+
+
+def chosen_form(seen: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[int, float]:
+    """How many worst words decide and how much toxic documents weigh: of the forms that call at most FALSE_SHARE of the clean documents
+    of left-out folds toxic, the one that finds most toxic ones; if there is none, the one with fewest errors by class. Ties go to the simplest."""
+    best, found = (FORMS[0], WEIGHTS[0]), (-1, -np.inf)
+    for n_words in FORMS:
+        for weight in WEIGHTS:
+            said = np.zeros(len(y), bool)
+            for k in range(FOLDS):
+                out = fold == k
+                if out.any() and len(np.unique(y[~out])) == 2:
+                    w = logistic_fit(seen[~out], y[~out], n_words, weight)
+                    said[out] = form_of(seen[out], n_words) @ w[:-1] + w[-1] >= 0
+            recall, wrong = said[y == 1].mean(), said[y == 0].mean()
+            merit = (1, recall) if wrong <= FALSE_SHARE else (0, recall - wrong)
+            if merit > found:
+                best, found = (n_words, weight), merit
+    return best
+
+
 def scored(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) for every row, from its text alone.
 

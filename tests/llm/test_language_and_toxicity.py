@@ -147,3 +147,78 @@ def test_held_out_rule(spark):
 
     rows = spark.range(200).select("id", held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
+
+
+def best_total(scores, switch):
+    """The best path's total, word by word."""
+    best = scores[0].astype(float)
+    for row in scores[1:]:
+        best = np.maximum(best, best.max() - switch) + row
+    return best.max()
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 1024])
+def test_viterbi_in_blocks_is_viterbi(monkeypatch, block):
+    monkeypatch.setattr(lang_id, "BLOCK_WORDS", block)
+    rng = np.random.default_rng(block)
+    for n_labels in (2, 5):
+        offsets = np.concatenate([[0], np.cumsum(rng.integers(0, 60, 30))])
+        scores = (rng.normal(size=(offsets[-1], n_labels)) * 4).astype(np.float32)
+        labels = lang_id.viterbi(scores, offsets, 14.0)
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            if b > a:
+                own = scores[np.arange(a, b), labels[a:b]].astype(float).sum() - 14 * (np.diff(labels[a:b]) != 0).sum()
+                assert own == pytest.approx(best_total(scores[a:b], 14.0), abs=0.01)
+
+
+def test_viterbi_of_a_million_words_takes_seconds():
+    import time
+
+    scores = np.random.default_rng(1).normal(size=(1_000_000, 4)).astype(np.float32)
+    began = time.time()
+    assert len(lang_id.viterbi(scores, np.array([0, len(scores)]), 14.0)) == len(scores)
+    assert time.time() - began < 20
+
+
+def test_evenly_mixed_texts_and_unknown_scripts(spark):
+    rng = random.Random(3)
+    langs = {f"l{i:02d}": [chr(97 + (i * 7 + j * 5) % 26) + chr(97 + (i * 3 + j) % 26) + "aeiou"[(i + j) % 5] for j in range(4)] for i in range(40)}
+    word = lambda lang: "".join(rng.choice(langs[lang]) for _ in range(3))
+    docs = spark.createDataFrame([(i, " ".join(word(lang) for _ in range(40)), lang) for i, lang in enumerate(sorted(langs) * 3)], "doc_id long, text string, lang string")
+    model = lang_id.fitted(docs)
+    assert model.languages == sorted(langs)  # none is left out
+    mixed = " ".join(" ".join(word(lang) for _ in range(25)) for lang in ("l01", "l11", "l21", "l31", "l05"))
+    rows = [(1, mixed), (2, "漢字漢字 カナ"), (3, "漢 " + mixed), (4, "... 12"), (5, None)]
+    kept = lang_id.identified(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    assert {r.doc_id for r in kept.collect()} == {1, 3}
+    nothing = lang_id.identified(spark.createDataFrame(rows, "doc_id long, text string"), None)
+    assert {r.doc_id for r in nothing.collect()} == {1, 2, 3}
+
+
+def test_windows_of_long_words_are_one_word():
+    marks = toxicity.Landmarks(["grubbish", "plainly"], 1)
+    pad = "acdefjklmnopqtvwxyz"
+    long = f"{pad}grubbish{pad}"
+    texts = pa.array([f"a {long} b", "grubbish", " ".join(f"{pad}{i:04d}grubbish{pad}" for i in range(3000))])
+    values, of = marks.sentence_features(texts, by_word=True)
+    assert (of == 0).sum() == 1 and (of == 1).sum() == 1 and (of == 2).sum() == 3000
+    pieces = toxicity.windows(long)
+    alone, k = marks.like(pieces)
+    assert values[of == 0][0].tolist() == k.max(0).tolist()
+    again, same = marks.like(pieces)
+    assert again.tolist() == alone.tolist() and (same == k).all()
+
+
+def test_the_form_is_chosen_inside_the_rows_given():
+    rng = np.random.default_rng(2)
+    n = 2000
+    y = (rng.random(n) < 0.2).astype(float)
+    seen = np.zeros((n, toxicity.EVIDENCE))
+    seen[:, 0] = 2 + rng.random(n)  # the worst word tells nothing, the next ones do
+    seen[:, 1:4] = -np.sort(-(rng.random((n, 3)) * 0.3 + y[:, None] * (rng.random((n, 3)) < 0.9)), axis=1)
+    n_words, weight = toxicity.chosen_form(seen, y, np.arange(n) % toxicity.FOLDS)
+    assert n_words >= 2
+    w = toxicity.logistic_fit(seen, y, n_words, weight)
+    said = toxicity.form_of(seen, n_words) @ w[:-1] + w[-1] >= 0
+    assert said[y == 1].mean() > 0.9 and said[y == 0].mean() < 0.05
+    assert toxicity.chosen_form(seen * 0, y, np.arange(n) % toxicity.FOLDS) in [(a, b) for a in toxicity.FORMS for b in toxicity.WEIGHTS]

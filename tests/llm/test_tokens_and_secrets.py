@@ -156,3 +156,56 @@ def test_one_id_of_many_rows_is_dealt_over_tasks(spark):
     assert len({r.shard for r in shards if r.doc_id is None}) >= 3 and max(some.values()) < 700
     ids = [(r.shard, r.doc_id) for r in shards if r.doc_id is not None]
     assert [i for _, i in sorted(ids)] == sorted(i for _, i in ids)
+
+
+def test_secrets_of_very_long_texts(spark):
+    """100,000 matches, and a token of a megabyte: time grows about as they do."""
+    import time
+
+    many = " ".join(f"token={i:07d}abc" for i in range(100_000))
+    both = " ".join(f"token={i:07d}abc Qx7Zp2Lm9Vt4Rk8Wj3Yb{i}" for i in range(5_000))
+    rows = [(1, many), (2, "aB3" * 340_000), (3, both), (4, "")]
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 120
+    assert [got[i].n_assign for i in (1, 2, 3, 4)] == [100_000, 0, 5_000, 0]
+    at = [tuple(map(int, x.split(":")[1:])) for x in got[1].spans.split(",")]
+    assert at == [(17 * i, 17 * i + 16) for i in range(100_000)]
+    spans = [x.split(":") for x in got[3].spans.split(",")]
+    assert sorted(spans, key=lambda x: int(x[1])) == spans
+    taken = 0
+    for _, s, e in spans:
+        assert int(s) >= taken
+        taken = int(e)
+
+
+def test_running_values_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 2, 31, 32, 33, 1023, 1025, 40_000):
+        rng = random.Random(n)
+        values = [rng.randint(-50, 50) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        sums, tops = df.select(secret_scan.running(F.col("v"), lambda a, b: a + b), secret_scan.running(F.col("v"), F.greatest)).first()
+        assert sums == np.cumsum(values).tolist() and tops == (np.maximum.accumulate(values).tolist() if n else [])
+
+
+def test_random_spans_find_planted_keys(spark):
+    """Keys that no pattern names are told from long words and identifiers. Figures: recall and false share."""
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    word = lambda: "".join(rng.choice(["the", "ing", "ser", "vice", "user", "count", "data", "load", "er", "tion"]) for _ in range(rng.randint(1, 3)))
+    name = lambda: "_".join(word() for _ in range(rng.randint(3, 5)))
+    rows, planted, ordinary = [], {}, {}
+    for i in range(600):
+        words, keys, names = [word() for _ in range(20)], [key(rng.randint(20, 40))], [n for n in (name() for _ in range(2)) if len(n) >= 16]
+        rows.append((i, " ".join([*words, keys[0] if i % 2 else "", *names, f"token={key(24)}"])))
+        planted[i], ordinary[i] = keys if i % 2 else [], names
+    found = {r.doc_id: r.spans for r in secret_scan.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    cut = {i: {texts[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in spans.split(",")) if k == "random"} for i, spans in found.items()}
+    recall = sum(k in cut[i] for i, ks in planted.items() for k in ks) / 300
+    false = sum(n in cut[i] for i, ns in ordinary.items() for n in ns) / sum(map(len, ordinary.values()))
+    print(f"recall {recall:.3f}, false {false:.3f}")
+    assert recall >= 0.9 and false <= 0.02
