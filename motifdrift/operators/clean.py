@@ -61,6 +61,11 @@ def dedupe_sequences_in_period(df: DataFrame) -> DataFrame:
     return first_of(df, ["period", "sequence"], ["batch_no", "timestamp", "record_idx"])
 
 
+def sort_by_date(df: DataFrame) -> DataFrame:
+    """Rows by date; of one day in order of batch and record. Rows without a date come last."""
+    return df.orderBy(F.asc_nulls_last("timestamp"), *[c for c in ("batch_no", "record_idx") if c in df.columns])
+
+
 def valid_sequences(df: DataFrame) -> DataFrame:
     return require_length(require_terminator(drop_ambiguous(df)))
 

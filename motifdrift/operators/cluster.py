@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans
@@ -12,9 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifdrift.functions.columns import squared_distance
+from motifdrift.sources.scratch import new_path
 
 #: Centroids that go to every task at most; beyond, points meet them by shuffle on the period.
 BROADCAST_CENTROIDS = 20_000
+SALTS = 64
+#: Fits of single periods that run side by side.
+FITS = 4
 
 
 def centroid_table(points: DataFrame, keys: list[str], places: int | None = None) -> DataFrame:
@@ -32,7 +37,12 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, group: str = "period
     packed = centroids.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("cluster", F.col("features").alias("center")))).alias("_centers"))
     small = centroids.count() <= BROADCAST_CENTROIDS
     near = F.array_min(F.transform("_centers", lambda c: F.struct(squared_distance(F.col("features"), c["center"]).alias("dist2"), c["cluster"].alias("cluster"))))
-    joined = points.drop("cluster").join(F.broadcast(packed) if small else packed, group)
+    points_of = points.drop("cluster")
+    if small:
+        joined = points_of.join(F.broadcast(packed), group)
+    else:  # a period's points are dealt over salts, each of which has its centroids
+        salted = points_of.withColumn("_salt", F.pmod(F.xxhash64("features"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [group, "_salt"]).drop("_salt")
     return joined.withColumn("_near", near).select(*[c for c in points.columns if c != "cluster"], F.col("_near.cluster").alias("cluster"), F.col("_near.dist2").alias("dist2"))
 
 
@@ -58,12 +68,8 @@ def inertia(assigned: DataFrame, group: str = "period_idx") -> DataFrame:
 
 def kmeans_fit(points: DataFrame, k: int, seeds: tuple[int, ...] = (1, 2, 3), max_iter: int = 500):
     """The model of least cost over a few seeds of k-means||; points: features array<double>."""
-    data = points.select(array_to_vector("features").alias("features")).persist()
-    try:
-        fits = [KMeans(k=k, maxIter=max_iter, seed=s).fit(data) for s in seeds]
-        return min(fits, key=lambda m: m.summary.trainingCost)
-    finally:
-        data.unpersist()
+    data = points.select(array_to_vector("features").alias("features"))
+    return min((KMeans(k=k, maxIter=max_iter, seed=s).fit(data) for s in seeds), key=lambda m: m.summary.trainingCost)
 
 
 def kmeans_range(points: DataFrame, low: int = 10, high: int = 22, **options) -> list:
@@ -80,9 +86,17 @@ def labelled(points: DataFrame, model) -> DataFrame:
 
 
 def kmeans_per_period(points: DataFrame, k_of: dict, group: str = "period_idx", **options) -> DataFrame:
-    """points with cluster, fitted period by period; each fit is a distributed job over one partition folder's rows."""
-    parts = [labelled(own, kmeans_fit(own, k, **options)) for p, k in k_of.items() for own in [points.filter(F.col(group) == p)]]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """points with cluster, fitted period by period. Points are written once, in a folder for each period, and a fit reads its own; a few fits run side by side."""
+    spark, path = points.sparkSession, new_path(points.sparkSession, "points")
+    points.write.partitionBy(group).parquet(path)
+    stored = spark.read.schema(points.schema).parquet(path)
+
+    def fit(item: tuple) -> DataFrame:
+        own = stored.filter(F.col(group) == item[0])
+        return labelled(own, kmeans_fit(own, item[1], **options))
+
+    with ThreadPoolExecutor(FITS) as pool:
+        return reduce(lambda a, b: a.unionByName(b), pool.map(fit, k_of.items())).select(*[c for c in points.columns if c != "cluster"], "cluster")
 
 
 def pca_fit(points: DataFrame, dims: int = 2):

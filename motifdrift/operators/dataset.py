@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from motifdrift import settings
 from motifdrift.functions.columns import drawn
+from motifdrift.operators import walks
 from motifdrift.operators.ngrams import context_ids
 from motifdrift.sources.scratch import written
 
@@ -75,6 +76,27 @@ def refill_dataset(generate: Callable[[int, int], DataFrame], target: int, ratio
     return unique
 
 
+def create_dataset(
+    members: DataFrame, links: DataFrame, vocab: DataFrame, sites: DataFrame, rows: int = settings.DATASET_ROWS, size: int = settings.WINDOW_SIZE, seed: int = 1
+) -> DataFrame:
+    """row_id, y, x of about `rows` rows, shuffled: windows of periods, walks shared out over them, a row for each walk and site.
+
+    members: numbered_members() with sequences; links: period_idx, cluster, next_cluster. Periods are numbered without gaps.
+    """
+    links = written(links, "dataset-links")
+    periods = links.select("period_idx", F.col("period_idx").alias("period")).distinct()
+    windows = walks.period_windows(periods, size)  # a row for each period at most
+    first = windows.select("window_id", F.get("x", F.lit(0)).alias("period_idx"), F.size("x").alias("steps"))
+    starts = walks.sample_table(windows, walks.allocate_samples(windows, rows)).join(F.broadcast(first), "window_id")
+    starts = written(starts, "dataset-samples")
+    steps = windows.select(F.size("x")).first()
+    if steps is None:
+        raise ValueError("a dataset needs two periods")
+    made = walks.sample_walks(starts.select("sample_id", "period_idx"), links, members, steps[0], seed)
+    built = build_rows(made, sites, vocab)
+    return shuffled(built.select((F.col("sample_id").cast("long") * len(settings.site_positions()) + F.col("ordinal")).alias("row_id"), "y", "x"), "row_id", seed).drop("shuffle_key")
+
+
 def create_shards(generate: Callable[[int], DataFrame], n: int = 20) -> list[DataFrame]:
     """n independent generations; the shard's number is part of its seed."""
     return [generate(i) for i in range(n)]

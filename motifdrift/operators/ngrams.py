@@ -17,15 +17,13 @@ def trigram_counts(df: DataFrame, key: str) -> DataFrame:
 def sequence_vectors(df: DataFrame, vocab: DataFrame, dims: list[str], key: str = "record_idx", places: int = 8) -> DataFrame:
     """The sum of a sequence's trigram vectors. Unknown trigrams add nothing; a sequence of only such has a zero vector.
 
-    Sequences are partitioned by key while they are whole: both the counts and the sums are then local, and a sequence has one
-    joined row for each distinct trigram. The vocabulary is bounded by the alphabet (26 cubed), so it is broadcast.
+    Sums are partial before anything is exchanged, and a sequence is one row, so what is shuffled is a vector for each sequence. The
+    vocabulary is bounded by the alphabet (26 cubed), so it is broadcast.
     """
-    whole = df.select(key, "sequence").repartition(key)
-    found = trigram_counts(whole, key).join(F.broadcast(vocab.select("words", *dims)), F.col("trigram") == F.col("words"), "left")
-    sums = [F.round(F.coalesce(F.sum(F.col("n") * F.col(d)), F.lit(0.0)), places).alias(d) for d in dims]
-    some = found.groupBy(key).agg(*sums)
+    found = df.select(key, F.explode(trigrams(F.col("sequence"))).alias("trigram")).join(F.broadcast(vocab.select("words", *dims)), F.col("trigram") == F.col("words"), "left")
+    sums = [F.round(F.coalesce(F.sum(d), F.lit(0.0)), places).alias(d) for d in dims]
     short = df.filter(F.length("sequence") < 3).select(key, *[F.lit(0.0).alias(d) for d in dims])
-    return some.unionByName(short)
+    return found.groupBy(key).agg(*sums).unionByName(short)
 
 
 def site_entries(sites: DataFrame) -> list:

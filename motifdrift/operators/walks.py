@@ -6,16 +6,19 @@ A step is one equi-join for all walks at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motifdrift import settings
-from motifdrift.functions.columns import drawn, site_differences
+from motifdrift.functions.columns import drawn, letter_differences, site_letters
+from motifdrift.operators.ordered import numbered
 from motifdrift.sources.scratch import written
 
 #: A walk's state is written after so many steps.
 WRITTEN_STEPS = 4
+#: So many times as many rounds of the walks that are left are tried at once.
+LANES = 4
 
 
 def period_windows(periods: DataFrame, size: int = settings.WINDOW_SIZE) -> DataFrame:
@@ -55,66 +58,84 @@ def prefer_length(members: DataFrame, length: int = settings.PREFERRED_LENGTH) -
 
 def numbered_members(members: DataFrame, key: str = "record_idx") -> DataFrame:
     """Adds member_no (0.. by key) and n_members in each (period_idx, cluster)."""
-    group = Window.partitionBy("period_idx", "cluster")
-    return members.withColumn("member_no", F.row_number().over(group.orderBy(key)) - 1).withColumn("n_members", F.count("*").over(group))
+    return numbered(members, ["period_idx", "cluster"], key, "member_no", "n_members")
 
 
-def pick_first(samples: DataFrame, clusters: DataFrame, members: DataFrame, seed: int, turn: int = 0) -> DataFrame:
+def pick_first(samples: DataFrame, clusters: DataFrame, members: DataFrame, seed: int, turn: int | Column = 0, take: tuple[str, ...] = ("sequence",), sizes: DataFrame | None = None) -> DataFrame:
     """samples (sample_id, period_idx of the first period) with cluster and sequence: a cluster, then a member of it, drawn evenly."""
     listed = clusters.groupBy("period_idx").agg(F.array_sort(F.collect_list("cluster")).alias("_clusters"))
     k = drawn(seed, F.col("sample_id"), turn, 0, 0, "cluster")
     picked = samples.join(F.broadcast(listed), "period_idx").withColumn("cluster", F.get("_clusters", (k % F.size("_clusters")).cast("int"))).drop("_clusters")
-    return with_member(picked, members, drawn(seed, F.col("sample_id"), turn, 0, 0, "member"))
+    return with_member(picked, members, drawn(seed, F.col("sample_id"), turn, 0, 0, "member"), take, sizes)
 
 
-def with_member(state: DataFrame, members: DataFrame, number) -> DataFrame:
-    """Adds sequence: member number modulo the group's size of (period_idx, cluster)."""
-    sizes = F.broadcast(members.groupBy("period_idx", "cluster").agg(F.count("*").alias("_n")))  # a row for each cluster
-    wanted = state.join(sizes, ["period_idx", "cluster"]).withColumn("member_no", (number % F.col("_n")).cast("int")).drop("_n")
-    return wanted.join(members.select("period_idx", "cluster", "member_no", "sequence"), ["period_idx", "cluster", "member_no"]).drop("member_no")
+def with_member(state: DataFrame, members: DataFrame, number, take: tuple[str, ...] = ("sequence",), sizes: DataFrame | None = None) -> DataFrame:
+    """Adds columns of a member: number modulo the group's size of (period_idx, cluster). Their numbers spread a hot group over the join's tasks."""
+    sizes = members.groupBy("period_idx", "cluster").agg(F.count("*").alias("n_members")) if sizes is None else sizes
+    wanted = state.join(F.broadcast(sizes), ["period_idx", "cluster"]).withColumn("member_no", number % F.col("n_members")).drop("n_members")  # a row for each cluster
+    met = wanted.join(members.select("period_idx", "cluster", "member_no", *[c for c in take if c != "member_no"]), ["period_idx", "cluster", "member_no"])
+    return met if "member_no" in take else met.drop("member_no")
 
 
-def walk_step(state: DataFrame, links: DataFrame, members: DataFrame, seed: int, turn: int, step: int, judged: bool) -> DataFrame:
-    """One step of all walks: sample_id, period_idx, cluster, sequence, seqs -> the same, one period on. Walks without a fitting candidate are gone.
+def walk_step(state: DataFrame, links: DataFrame, members: DataFrame, seed: int, step: int, judged: bool, sizes: DataFrame | None = None) -> DataFrame:
+    """One step of all walks: sample_id, turn, period_idx, cluster, letters, path -> the same, one period on. Walks without a fitting candidate are gone.
 
-    links: period_idx, cluster, next_cluster. A judged step draws ATTEMPTS candidates and takes the first that isn't too mutated.
+    links: period_idx, cluster, next_cluster. A judged step draws ATTEMPTS candidates and takes the first that isn't too mutated: only the letters
+    at the sites travel, and path has the numbers of the members so far.
     """
     attempts = settings.ATTEMPTS if judged else 1
     linked = state.join(F.broadcast(links), ["period_idx", "cluster"]).filter(F.size("next_cluster") > 0)
-    k = drawn(seed, F.col("sample_id"), turn, step, 0, "link")
+    k = drawn(seed, F.col("sample_id"), F.col("turn"), step, 0, "link")
     moved = linked.select(
-        "sample_id", (F.col("period_idx") + 1).alias("period_idx"), F.get("next_cluster", (k % F.size("next_cluster")).cast("int")).alias("cluster"),
-        F.col("sequence").alias("before"), "seqs", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"),
+        "sample_id", "turn", (F.col("period_idx") + 1).alias("period_idx"), F.get("next_cluster", (k % F.size("next_cluster")).cast("int")).alias("cluster"),
+        F.col("letters").alias("before"), "path", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"),
     )
-    tried = with_member(moved, members, drawn(seed, F.col("sample_id"), turn, step, F.col("attempt"), "member"))
+    tried = with_member(moved, members, drawn(seed, F.col("sample_id"), F.col("turn"), step, F.col("attempt"), "member"), ("letters", "member_no"), sizes)
     if judged:
         most = int(len(settings.site_positions()) * settings.DIFFERENCE_SHARE)
-        tried = tried.filter(site_differences(F.col("before"), F.col("sequence"), settings.SITE_RANGES) <= most)
-    first = tried.groupBy("sample_id").agg(F.min_by(F.struct("period_idx", "cluster", "sequence", "seqs"), "attempt").alias("_s")).select("sample_id", "_s.*")
-    return first.withColumn("seqs", F.concat("seqs", F.array("sequence")))
+        tried = tried.filter(letter_differences(F.col("before"), F.col("letters")) <= most)
+    first = tried.groupBy("sample_id", "turn").agg(F.min_by(F.struct("period_idx", "cluster", "letters", "path", "member_no"), "attempt").alias("_s")).select("sample_id", "turn", "_s.*")
+    return first.withColumn("path", F.concat("path", F.array(F.struct(*AT)))).drop("member_no")
+
+
+AT = ("period_idx", "cluster", "member_no")
 
 
 def sample_walks(samples: DataFrame, links: DataFrame, members: DataFrame, size: int, seed: int, rounds: int = settings.MOST_ROUNDS, strict: bool = True) -> DataFrame:
     """sample_id, turn, seqs (size + 1 sequences): a walk for each of samples (sample_id, period_idx). members: numbered_members().
 
     A walk that finds no fitting sequence starts again in the next round with new draws; with strict, walks that fail all rounds
-    are an error. Walks of a round that are done aren't looked at again.
+    are an error. A round's draws depend on its number alone, so of walks that are left ever more rounds are tried at a time,
+    and a walk's first that succeeds counts. Sequences join the walks at the end.
     """
-    members = written(members.select("period_idx", "cluster", "member_no", "sequence"), "walk-members")
+    members = members.withColumn("letters", site_letters(F.col("sequence"), settings.SITE_RANGES))
+    members = written(members.select("period_idx", "cluster", F.col("member_no").cast("long").alias("member_no"), "letters", "sequence"), "walk-members")
     links = written(links, "walk-links")
+    sizes = written(members.groupBy("period_idx", "cluster").agg(F.count("*").alias("n_members")), "walk-sizes")
     clusters = links.select("period_idx", "cluster").join(members.select("period_idx", "cluster").distinct(), ["period_idx", "cluster"])
-    done, left = None, samples.select("sample_id", "period_idx")
-    for turn in range(rounds):
-        state = pick_first(left, clusters, members, seed, turn).withColumn("seqs", F.array("sequence"))
+    done, left, turn, lanes = None, samples.select("sample_id", "period_idx"), 0, 1
+    while turn < rounds:
+        last = min(turn + lanes, rounds) - 1
+        started = left.withColumn("turn", F.explode(F.sequence(F.lit(turn), F.lit(last))))
+        state = pick_first(started, clusters, members, seed, F.col("turn"), ("letters", "member_no"), sizes).withColumn("path", F.array(F.struct(*AT))).drop("member_no")
         for step in range(1, size + 1):
-            state = walk_step(state, links, members, seed, turn, step, judged=step < size)
+            state = walk_step(state, links, members, seed, step, step < size, sizes)
             if step % WRITTEN_STEPS == 0 or step == size:
                 state = written(state, "walks")  # plans stay short
-        new = state.select("sample_id", F.lit(turn).alias("turn"), "seqs")
+        new = state.groupBy("sample_id").agg(F.min("turn").alias("turn"), F.min_by("path", "turn").alias("path"))
         done = new if done is None else done.unionByName(new)
-        left = written(left.join(new.select("sample_id"), "sample_id", "left_anti"), "walks-left")
+        left = written(left.join(state.select("sample_id"), "sample_id", "left_anti"), "walks-left")
         if left.isEmpty():
-            return done
+            return with_sequences(done, members)
+        turn, lanes = last + 1, lanes * LANES
     if strict:
         raise RuntimeError(f"{left.count()} walks found no fitting sequences in {rounds} rounds")
-    return done
+    return with_sequences(done, members)
+
+
+def with_sequences(walks: DataFrame, members: DataFrame) -> DataFrame:
+    """sample_id, turn, seqs of walks (sample_id, turn, path)."""
+    steps = walks.select("sample_id", "turn", F.posexplode("path").alias("step", "at")).select("sample_id", "turn", "step", "at.*")
+    met = steps.join(members.select("period_idx", "cluster", "member_no", "sequence"), ["period_idx", "cluster", "member_no"])
+    listed = F.array_sort(F.collect_list(F.struct("step", "sequence"))).alias("c")  # a walk's few steps
+    return met.groupBy("sample_id", "turn").agg(listed).select("sample_id", "turn", F.col("c.sequence").alias("seqs"))

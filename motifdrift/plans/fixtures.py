@@ -18,11 +18,11 @@ from motifdrift.sources.tables import driver_table, site_table
 
 WIDTH = 8
 DIMS = [f"d{i}" for i in range(1, WIDTH + 1)]
-BATCH = 250
 STEPS = 3
-EVERY = 16
 #: Letters of a piece of a text, and the bits of a record_idx that number the pieces of a document.
 PIECE, PIECE_BITS = 1273, 21
+#: Records of a batch: all pieces of 250 documents.
+BATCH = 250 << PIECE_BITS
 
 
 def whole_div(a, b: int):
@@ -30,9 +30,9 @@ def whole_div(a, b: int):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files make fewer partitions; large tables have more, and aren't shuffled."""
+    """df over all cores where it has fewer files; large tables have more, and aren't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def once(df: DataFrame, name: str, value) -> DataFrame:
@@ -48,13 +48,9 @@ def pieces(docs: DataFrame) -> DataFrame:
     return cut.select((F.shiftleft(F.col("doc_id"), PIECE_BITS) + F.col("piece")).alias("doc_id"), "source", "s0")
 
 
-def isolates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """record_idx, description, sequence: FASTA-like records made from documents. whole: a record for each piece of a text, as the SQL twins don't have it; else for its first piece."""
-    docs = spread(driver_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    if whole:
-        docs = pieces(docs).withColumn("h", drawn(F.col("doc_id")))
-    else:
-        docs = once(docs.withColumn("h", drawn(F.col("doc_id"))), "s0", F.upper(F.substring(F.regexp_replace("text", "[^A-Za-z]+", ""), 1, PIECE)))
+def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_idx, description, sequence: FASTA-like records made from documents, one for each piece of a text."""
+    docs = pieces(spread(driver_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))).withColumn("h", drawn(F.col("doc_id")))
     h = F.col("h")
     s0 = F.col("s0")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
@@ -67,14 +63,14 @@ def isolates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame
     return once(docs.select(F.col("doc_id").alias("record_idx"), description.alias("description"), "s0", "h"), "sequence", sequence).drop("s0", "h")
 
 
-def dated(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_idx, isolate_name, timestamp (date), sequence of valid records."""
-    return drop_null_dates(parse_dates(apply_day_policy(split_description(valid_sequences(isolates(spark, sf_dir, whole))))))
+    return drop_null_dates(parse_dates(apply_day_policy(split_description(valid_sequences(isolates(spark, sf_dir))))))
 
 
-def members(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_idx, period (quarter), period_idx, cluster, sequence; sequences share a beginning, so that walks can pass. Kept for the steps of a query that read it again."""
-    rows = written(dated(spark, sf_dir, whole), "dated")
+    rows = written(dated(spark, sf_dir), "dated")
     base = rows.agg(F.min_by("sequence", F.struct(-F.length("sequence"), "record_idx")).alias("b")).first().b
     quarter = F.quarter("timestamp")
     period_idx = ((F.year("timestamp") - 2020) * 4 + quarter).cast("int")
@@ -114,19 +110,19 @@ def member_links(rows: DataFrame) -> DataFrame:
     return link_clusters(means.select("period_idx", "cluster", F.array(*DIMS).alias("features")))
 
 
-def fixed_walks(rows: DataFrame, every: int = EVERY) -> DataFrame:
-    """sample_id, seqs: for the members whose number every divides (1: for all) a walk along periods of one cluster."""
+def fixed_walks(rows: DataFrame) -> DataFrame:
+    """sample_id, seqs: for every member a walk along periods of one cluster."""
     numbered = numbered_members(rows)
     s = F.col("sample_id")
-    steps = rows.filter(F.col("record_idx") % every == 0).select(F.col("record_idx").alias("sample_id")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
+    steps = rows.select(F.col("record_idx").alias("sample_id")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
     wanted = steps.select("sample_id", "t", (1 + s % 5 + F.col("t")).cast("int").alias("period_idx"), (s % 3).cast("int").alias("cluster"))
     met = with_member(wanted, numbered, s)
     return met.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("t", "sequence"))).alias("c")).filter(F.size("c") == STEPS + 1).select("sample_id", F.col("c.sequence").alias("seqs"))
 
 
-def walk_rows(rows: DataFrame, every: int = EVERY) -> DataFrame:
+def walk_rows(rows: DataFrame) -> DataFrame:
     """row_id, y, x."""
-    built = build_rows(fixed_walks(rows, every), site_table(rows.sparkSession), vocab(rows))
+    built = build_rows(fixed_walks(rows), site_table(rows.sparkSession), vocab(rows))
     return built.select((F.col("sample_id") * len(settings.site_positions()) + F.col("ordinal")).alias("row_id"), "y", "x")
 
 

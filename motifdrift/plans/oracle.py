@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from motifdrift import settings
-from motifdrift.plans.fixtures import BATCH, EVERY, STEPS, WIDTH
-from motifdrift.plans.queries import SEED, WALK
+from motifdrift.plans.fixtures import BATCH, PIECE, PIECE_BITS, STEPS, WIDTH
+from motifdrift.plans.queries import SEED
 
 DIMS = [f"d{i}" for i in range(1, WIDTH + 1)]
 LIMIT = int(len(settings.site_positions()) * settings.DIFFERENCE_SHARE)
@@ -27,13 +27,17 @@ SITES = "(VALUES " + ", ".join(f"({i}, {p})" for i, p in enumerate(settings.site
 
 #: Named steps, in order; each may use those before it.
 STEP: dict[str, str] = {
+    "pieces": f"""
+        SELECT doc_id * {1 << PIECE_BITS} + piece AS record_idx, source, substr(letters, piece * {PIECE} + 1, {PIECE}) AS s0
+        FROM (SELECT *, unnest(range(0, greatest(1, (length(letters) + {PIECE - 1}) // {PIECE}))) AS piece
+              FROM (SELECT doc_id, source, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM documents))""",
     "isolates": f"""
-        SELECT doc_id AS record_idx,
+        SELECT record_idx,
                '>Spike|iso/' || source || '/' || (h % 400)::VARCHAR || '|' || (2020 + h % 2)::VARCHAR || '-' || lpad((1 + (h // 2) % 12)::VARCHAR, 2, '0')
                  || '-' || lpad(((h // 24) % 32)::VARCHAR, 2, '0') || '|EPI|x' AS description,
-               (CASE WHEN (h // 768) % 10 = 0 THEN upper(s0) ELSE translate(upper(s0), 'BJZX', 'ALGS') END)
+               (CASE WHEN (h // 768) % 10 = 0 THEN s0 ELSE translate(s0, 'BJZX', 'ALGS') END)
                  || (CASE WHEN (h // 7680) % 20 = 0 THEN '' ELSE '*' END) AS sequence
-        FROM (SELECT doc_id, source, substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 1273) AS s0, {h('doc_id::VARCHAR')} AS h FROM documents)""",
+        FROM (SELECT *, {h('record_idx::VARCHAR')} AS h FROM pieces)""",
     "split": """
         SELECT record_idx, sequence, string_split(description, '|')[2] AS isolate_name, string_split(description, '|')[3] AS stamp FROM isolates""",
     "shifted": """
@@ -83,6 +87,9 @@ STEP: dict[str, str] = {
     "chosen": """
         SELECT *, row_number() OVER (PARTITION BY period_idx, cluster ORDER BY record_idx) - 1 AS member_no,
                count(*) OVER (PARTITION BY period_idx, cluster) AS n_members FROM preferred""",
+    "sizes": "SELECT DISTINCT period_idx, cluster, n_members FROM chosen",
+    "sites_of": f"""
+        SELECT period_idx, cluster, member_no, sequence, list_aggregate([substr(sequence, p + 1, 1) FOR p IN {settings.site_positions()}], 'string_agg', '') AS letters FROM chosen""",
     "neighbours": """
         SELECT record_idx, sequence, lead(sequence) OVER (PARTITION BY period_idx, cluster ORDER BY record_idx) AS next FROM members""",
     "compared": f"""
@@ -97,7 +104,7 @@ STEP: dict[str, str] = {
     "centroids": "SELECT period_idx, cluster, list(v ORDER BY pos) AS f FROM centroid_values GROUP BY ALL",
     "start": "SELECT period_idx, (vec_id // 6)::INT AS cluster, f FROM points WHERE vec_id < 24",
     "walk_steps": f"""
-        SELECT s, t, sequence FROM (SELECT record_idx AS s, unnest(range(0, {STEPS + 1})) AS t FROM members WHERE record_idx % {EVERY} = 0) w
+        SELECT s, t, sequence FROM (SELECT record_idx AS s, unnest(range(0, {STEPS + 1})) AS t FROM members) w
         JOIN numbered n ON n.period_idx = 1 + s % 5 + t AND n.cluster = s % 3 AND n.member_no = s % n.n_members""",
     "walks": f"SELECT s, t, sequence FROM walk_steps QUALIFY count(*) OVER (PARTITION BY s) = {STEPS + 1}",
     "cells": f"""
@@ -150,8 +157,10 @@ def need(name: str, seen: list[str]) -> list[str]:
 def sql(body: str, more: dict[str, str] | None = None) -> str:
     """body after the steps that it, or the steps in more, need."""
     names = need(body + " ".join((more or {}).values()), [])
-    steps = [f"{n} AS MATERIALIZED ({STEP[n]})" for n in STEP if n in names] + [f"{n} AS MATERIALIZED ({s})" for n, s in (more or {}).items()]
-    return "WITH " + ",\n".join(steps) + "\n" + body if steps else body
+    own = {n.removeprefix("RECURSIVE "): s for n, s in (more or {}).items()}
+    steps = [f"{n} AS MATERIALIZED ({STEP[n]})" for n in STEP if n in names] + [f"{n} AS {'' if f'RECURSIVE {n}' in (more or {}) else 'MATERIALIZED '}({s})" for n, s in own.items()]
+    first = "WITH RECURSIVE " if len(own) and any(n.startswith("RECURSIVE ") for n in more) else "WITH "
+    return first + ",\n".join(steps) + "\n" + body if steps else body
 
 
 def distance(a: str, b: str) -> str:
@@ -185,35 +194,63 @@ def links(centers: str) -> dict[str, str]:
     }
 
 
-def first_pick(turn: int, samples: str) -> dict[str, str]:
-    """Steps of walks.pick_first."""
+def first_picks(samples: str, rounds: int, seed: str = str(SEED)) -> dict[str, str]:
+    """starts: the first member of each walk of samples (sample_id, period_idx) in each round."""
+    of = lambda what: h(f"'{seed}|' || sample_id::VARCHAR || '|' || turn::VARCHAR || '|0|0|{what}'")
     return {
-        f"f{turn}": f"""SELECT s.sample_id, s.period_idx, cs[({h(f"'{SEED}|' || sample_id::VARCHAR || '|{turn}|0|0|cluster'")} % len(cs))::INT + 1] AS cluster FROM {samples} s
-                        JOIN (SELECT period_idx, list_sort(list(DISTINCT cluster)) AS cs FROM chosen GROUP BY 1) USING (period_idx)""",
-        f"w{turn}_0": f"""SELECT sample_id, f.period_idx, f.cluster, c.sequence, [c.sequence] AS seqs FROM f{turn} f JOIN chosen c
-                          ON c.period_idx = f.period_idx AND c.cluster = f.cluster AND c.member_no = {h(f"'{SEED}|' || sample_id::VARCHAR || '|{turn}|0|0|member'")} % c.n_members""",
+        "listed": "SELECT period_idx, list_sort(list(DISTINCT cluster)) AS cs FROM chosen GROUP BY 1",
+        "turns": f"SELECT sample_id, s.period_idx, turn, cs[({of('cluster')} % len(cs))::INT + 1] AS cluster FROM {samples} s JOIN listed USING (period_idx), range(0, {rounds}) AS r(turn)",
+        "starts": f"SELECT t.*, {of('member')} % n_members AS member_no FROM turns t JOIN sizes USING (period_idx, cluster)",
     }
 
 
-def walk_steps(turn: int, samples: str) -> dict[str, str]:
-    """Steps of a round of walks.sample_walks."""
-    out = first_pick(turn, samples)
-    for step in range(1, WALK + 1):
-        attempts, limit = (settings.ATTEMPTS, LIMIT) if step < WALK else (1, 10_000)
-        out[f"t{turn}_{step}"] = f"""
-            SELECT sample_id, w.period_idx + 1 AS period_idx, next_cluster[({h(f"'{SEED}|' || sample_id::VARCHAR || '|{turn}|{step}|0|link'")} % len(next_cluster))::INT + 1] AS cluster,
-                   sequence AS before, seqs, unnest(range(0, {attempts})) AS attempt
-            FROM w{turn}_{step - 1} w JOIN linked l ON l.period_idx = w.period_idx AND l.cluster = w.cluster WHERE len(next_cluster) > 0"""
-        out[f"w{turn}_{step}"] = f"""
-            SELECT sample_id, t.period_idx, t.cluster, c.sequence, list_append(seqs, c.sequence) AS seqs FROM t{turn}_{step} t JOIN chosen c
-              ON c.period_idx = t.period_idx AND c.cluster = t.cluster
-             AND c.member_no = {h(f"'{SEED}|' || sample_id::VARCHAR || '|{turn}|{step}|' || attempt::VARCHAR || '|member'")} % c.n_members
-            WHERE len(list_filter({settings.site_positions()}, lambda p: substr(before, p + 1, 1) <> substr(c.sequence, p + 1, 1))) <= {limit}
-            QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY attempt) = 1"""
-    return out
+def all_walks(samples: str, size: str, seed: str = str(SEED)) -> dict[str, str]:
+    """Steps of walks.sample_walks for samples; done: sample_id, turn, seqs. A walk that fails starts again in the next round."""
+    of = lambda step, attempt, what: h(f"'{seed}|' || sample_id::VARCHAR || '|' || turn::VARCHAR || '|' || ({step})::VARCHAR || '|' || {attempt} || '|{what}'")
+    return first_picks(samples, settings.MOST_ROUNDS, seed) | {
+        "RECURSIVE walking": f"""
+            SELECT sample_id, turn, 0 AS step, period_idx, cluster, letters, [sequence] AS seqs FROM starts JOIN sites_of USING (period_idx, cluster, member_no) WHERE turn = 0
+            UNION ALL
+            SELECT s.sample_id, n.turn + CASE WHEN n.c IS NULL THEN 1 ELSE 0 END, CASE WHEN n.c IS NULL THEN 0 ELSE n.step + 1 END,
+                   CASE WHEN n.c IS NULL THEN s.period_idx ELSE n.period_idx + 1 END, CASE WHEN n.c IS NULL THEN s.cluster ELSE n.c.cluster END,
+                   CASE WHEN n.c IS NULL THEN f.letters ELSE n.c.letters END, CASE WHEN n.c IS NULL THEN [f.sequence] ELSE list_append(n.seqs, n.c.sequence) END
+            FROM (
+              SELECT sample_id, turn, step, period_idx, first(seqs) AS seqs,
+                     arg_min(good, attempt) FILTER (good IS NOT NULL) AS c
+              FROM (
+                SELECT w.*, CASE WHEN step + 1 = {size} OR len(list_filter(range(1, {len(settings.site_positions()) + 1}), lambda i: substr(w.letters, i, 1) <> substr(m.letters, i, 1))) <= {LIMIT}
+                                 THEN struct_pack(cluster := m.cluster, letters := m.letters, sequence := m.sequence) END AS good
+                FROM (
+                  SELECT t.*, z.n_members, {of('step + 1', 'attempt::VARCHAR', 'member')} % z.n_members AS member_no
+                  FROM (SELECT w.*, next_cluster[({of('step + 1', "'0'", 'link')} % greatest(len(next_cluster), 1))::INT + 1] AS target,
+                               unnest(range(0, CASE WHEN step + 1 < {size} THEN {settings.ATTEMPTS} ELSE 1 END)) AS attempt
+                        FROM walking w JOIN linked l USING (period_idx, cluster) WHERE step < {size}) t
+                  LEFT JOIN sizes z ON z.period_idx = t.period_idx + 1 AND z.cluster = t.target) w
+                LEFT JOIN sites_of m ON m.period_idx = w.period_idx + 1 AND m.cluster = w.target AND m.member_no = w.member_no)
+              GROUP BY sample_id, turn, step, period_idx) n
+            JOIN starts s ON s.sample_id = n.sample_id AND s.turn = n.turn + CASE WHEN n.c IS NULL THEN 1 ELSE 0 END
+            JOIN sites_of f ON f.period_idx = s.period_idx AND f.cluster = s.cluster AND f.member_no = s.member_no""",
+        "done": f"SELECT sample_id, turn, seqs FROM walking WHERE step = {size}",
+    }
+
+
+SAMPLES = "SELECT record_idx AS sample_id, (1 + record_idx % 5)::INT AS period_idx FROM members"
+WINDOW = f"SELECT least({settings.WINDOW_SIZE}, count(*) - 1) AS size, min(period_idx) AS first FROM (SELECT DISTINCT period_idx FROM member_means)"
+EVERYONE = "SELECT record_idx AS sample_id, first AS period_idx FROM members, spans"
+HALF_OF_DOCUMENTS = f"SELECT unnest(range(0, (SELECT (count(*) * {len(settings.site_positions())} // 2) // {len(settings.site_positions())} FROM documents))) AS sample_id, (SELECT first FROM spans) AS period_idx"
+EACH_DOCUMENT = "SELECT unnest(range(0, (SELECT count(*) FROM documents))) AS sample_id, (SELECT first FROM spans) AS period_idx"
 
 
-SAMPLES = "SELECT record_idx AS sample_id, (1 + record_idx % 5)::INT AS period_idx FROM members WHERE record_idx % 8 = 0"
+def walked_rows(walks: str) -> dict[str, str]:
+    """made: row_id, y, x of walks (sample_id, seqs)."""
+    return {
+        "taken": f"SELECT sample_id AS s, generate_subscripts(seqs, 1) - 1 AS t, unnest(seqs) AS sequence FROM {walks}",
+        "met": f"""SELECT s, t, ordinal, list(v.idx ORDER BY i) AS cell
+                   FROM (SELECT s, t, ordinal, i, substr(substr(sequence, position - 1, 5), i + 1, 3) AS g FROM taken, {SITES}, (VALUES (0), (1), (2)) AS three(i))
+                   JOIN vocab v ON g = words GROUP BY s, t, ordinal""",
+        "lined": f"SELECT s * {len(settings.site_positions())} + ordinal AS row_id, list(cell ORDER BY t) AS cs FROM met GROUP BY s, ordinal",
+        "made": "SELECT row_id, CASE WHEN len(list_intersect(cs[-2], cs[-1])) = 3 THEN 0 ELSE 1 END AS y, cs[1:len(cs) - 1] AS x FROM lined",
+    }
 
 
 def rounded(columns: list[str], places: int) -> str:
@@ -240,8 +277,8 @@ def order_periods(expression: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    both_rounds = links("member_means") | {"samples": SAMPLES} | walk_steps(0, "samples")
-    both_rounds |= {"again": f"SELECT * FROM samples WHERE sample_id NOT IN (SELECT sample_id FROM w0_{WALK})"} | walk_steps(1, "again")
+    size = "(SELECT size FROM spans)"
+    of_members = links("member_means") | {"spans": WINDOW}
     of = lambda part: f"(SELECT *, count(*) OVER (PARTITION BY epoch) AS n_rows FROM predicted WHERE {part})"
     return {
         "drop_ambiguous": sql("SELECT record_idx, length(sequence) AS n FROM isolates WHERE NOT regexp_matches(sequence, '[BJZX-]')"),
@@ -266,7 +303,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT ((doc_id - 100) // 150)::INT AS batch_no, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents
             WHERE doc_id >= 100 AND doc_id < 700 GROUP BY 1""",
         "read_fasta": sql("SELECT row_number() OVER (ORDER BY record_idx) - 1 AS record_idx, description, md5(sequence) AS sequence_md5 FROM isolates WHERE sequence <> ''"),
-        "count_records": "SELECT count(*) AS n_records FROM documents",
+        "count_records": sql("SELECT count(*) AS n_records FROM pieces"),
         "stored_periods": sql("SELECT period, isolate_name, md5(sequence) AS sequence_md5 FROM monthly"),
         "stored_unique_periods": sql("SELECT period, count(DISTINCT sequence) AS n FROM quarterly GROUP BY period"),
         "stored_trigram_vectors": sql("SELECT * FROM vocab"),
@@ -276,6 +313,24 @@ def oracle_sql() -> dict[str, str]:
             links("centroids"),
         ),
         "stored_cluster_labels": sql(f"SELECT vec_id, period_idx, cluster FROM ({nearest('points', 'centroids')})"),
+        "ingest_stream": sql("SELECT period, count(*) AS n, count(DISTINCT isolate_name) AS n_isolates FROM monthly GROUP BY period"),
+        "replaced_centroids": sql("""
+            SELECT period_idx::VARCHAR AS period, cluster, round(CASE WHEN period_idx >= 2 THEN v + 1 ELSE v END, 6) AS d1 FROM centroid_values WHERE pos = 0 AND period_idx <= 3"""),
+        "sort_centroids": sql("""
+            SELECT '2020-' || (1 + vec_id % 12)::VARCHAR AS period, cluster, round(avg(v), 6) AS d1 FROM point_values WHERE pos = 0 GROUP BY 1, 2"""),
+        "stored_vectors": sql(f"SELECT record_idx, period, {', '.join(DIMS)} FROM vectors JOIN members USING (record_idx)"),
+        "written_cluster_labels": sql(f"SELECT vec_id, period_idx::VARCHAR AS period, cluster FROM ({nearest('points', 'centroids')})"),
+        "period_k_table": sql(
+            "SELECT period, k::INT AS k, count(*) AS n FROM monthly JOIN (VALUES " + ", ".join(f"('{p}', {k})" for p, k in settings.PERIOD_CLUSTERS.items()) + ") AS ks(period, k) USING (period) GROUP BY ALL"
+        ),
+        "site_ranges_table": sql(
+            'SELECT a AS start, b AS "end", count(*) AS n, count(DISTINCT substr(sequence, a, b - a + 1)) AS n_pieces FROM members, (VALUES '
+            + ", ".join(f"({a}, {b})" for a, b in settings.SITE_RANGES) + ") AS ranges(a, b) GROUP BY a, b"
+        ),
+        "sort_by_date": sql("SELECT record_idx, strftime(day, '%Y-%m-%d') AS day FROM cleaned"),
+        "invert_links": sql("SELECT period_idx, src, array_to_string(list_sort(list(dst)), ',') AS dsts FROM bwd GROUP BY ALL", links("centroids")),
+        "kmeans_own_centers": "SELECT count(*) AS n, count(*) AS n_nearest, 10 AS n_clusters FROM embeddings",
+        "pca_ratio_sums": "SELECT max(len(embedding)) AS components, 1.0 AS total, true AS falling FROM embeddings",
         "stored_dataset": sql("SELECT y, replace(to_json(x)::VARCHAR, ' ', '') AS x, count(*) AS n FROM walk_rows GROUP BY ALL"),
         "trigram_totals": sql(f"SELECT trigram, count(*) AS n FROM (SELECT unnest({TRIGRAMS}) AS trigram FROM isolates) GROUP BY trigram"),
         "sequence_vectors": sql("SELECT * FROM vectors"),
@@ -298,9 +353,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT window_id, (t // w + CASE WHEN window_id = w - 1 THEN t - (t // w) * w ELSE 0 END)::INT AS n_samples
             FROM windows, (SELECT count(*) AS t FROM documents), (SELECT count(*) AS w FROM windows)"""),
         "prefer_length_members": sql("SELECT period_idx, cluster, record_idx FROM preferred"),
-        "pick_first": sql("SELECT sample_id, period_idx, cluster, md5(sequence) AS sequence_md5 FROM w0_0", {"samples": SAMPLES} | first_pick(0, "samples")),
+        "pick_first": sql("SELECT sample_id, period_idx, cluster, md5(sequence) AS sequence_md5 FROM starts JOIN sites_of USING (period_idx, cluster, member_no)", {"samples": SAMPLES} | first_picks("samples", 1)),
         "sample_walks": sql(
-            " UNION ALL ".join(f"SELECT sample_id, {t} AS turn, md5(array_to_string(seqs, '|')) AS walk_md5 FROM w{t}_{WALK}" for t in (0, 1)), both_rounds
+            "SELECT sample_id, turn::INT AS turn, md5(array_to_string(seqs, '|')) AS walk_md5 FROM done", of_members | {"samples": EVERYONE} | all_walks("samples", size)
+        ),
+        "create_dataset": sql(
+            "SELECT row_id, y, replace(to_json(x)::VARCHAR, ' ', '') AS x FROM made", of_members | {"samples": EACH_DOCUMENT} | all_walks("samples", size) | walked_rows("done")
+        ),
+        "create_shards": " UNION ALL ".join(
+            "SELECT * FROM (" + sql(f"SELECT {i} AS shard, y, count(*) AS n FROM made GROUP BY y", of_members | {"samples": HALF_OF_DOCUMENTS} | all_walks("samples", size, str(SEED + i)) | walked_rows("done")) + ")"
+            for i in (0, 1)
         ),
         "build_rows": sql("SELECT row_id, y, replace(to_json(x)::VARCHAR, ' ', '') AS x FROM walk_rows"),
         "label_mutation": sql("SELECT y, count(*) AS n FROM walk_rows GROUP BY y"),

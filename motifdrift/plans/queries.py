@@ -17,7 +17,6 @@ from motifdrift.sources.tables import driver_table, site_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED = 17
-WALK = 3
 FOUND: dict[str, Query] = {}
 
 
@@ -130,13 +129,13 @@ def read_fasta(spark, d):
 
 @query
 def ingest_stream(spark, d):
-    """Streams the isolates, a file of FASTA for each slice of ids, into month periods."""
+    """Streams the isolates, a file of FASTA for each batch of records, into month periods."""
     from motifdrift.streaming import ingest
 
     at = new_path(spark, "ingest")
-    for i in range(3):
-        part = fx.isolates(spark, d, whole=True).filter((F.col("record_idx") % 3 == i) & (F.col("sequence") != ""))
-        fasta.write_fasta(part.repartition(1).sortWithinPartitions("record_idx"), f"{at}/in/{i}")
+    rows = fx.isolates(spark, d).filter("sequence <> ''").withColumn("batch_no", F.floor(F.col("record_idx") / fx.BATCH).cast("int"))
+    files = rows.repartition("batch_no").sortWithinPartitions("batch_no", "record_idx")
+    files.select(fasta.fasta_lines(files).alias("value"), "batch_no").write.partitionBy("batch_no").text(f"{at}/in")
     ingest.ingest_stream(spark, f"{at}/in/*", f"{at}/periods", f"{at}/checkpoint").awaitTermination()
     return ingest.stored(spark, f"{at}/periods").groupBy("period").agg(F.count("*").alias("n"), F.countDistinct("isolate_name").alias("n_isolates"))
 
@@ -186,6 +185,65 @@ def stored_cluster_labels(spark, d):
     return tables.with_cluster_labels(rows, cluster.assign_nearest(rows, fx.centroids(spark, d)), "vec_id").select("vec_id", "period_idx", "cluster")
 
 
+@query
+def replaced_centroids(spark, d):
+    """The first periods' centroids are stored, and those of the last of them replaced and those of a new period added."""
+    path = new_path(spark, "centroids")
+    first = fx.DIMS[0]
+    rows = fx.centroids(spark, d).select(
+        "period_idx", F.col("period_idx").cast("string").alias("period"), "cluster", F.array().cast("array<int>").alias("next_cluster"), *[F.get("features", F.lit(i)).alias(name) for i, name in enumerate(fx.DIMS)]
+    )
+    tables.write_centroids(rows.filter("period_idx <= 2").drop("period_idx"), path)
+    tables.write_centroids(rows.filter("period_idx in (2, 3)").withColumn(first, F.col(first) + 1).drop("period_idx"), path)
+    return tables.read_centroids(spark, path, fx.WIDTH).select("period", "cluster", F.round(first, 6).alias(first))
+
+
+@query
+def sort_centroids(spark, d):
+    """Centroids of month periods of the events' days, in natural order."""
+    rows = fx.points(spark, d).withColumn("period", F.concat(F.lit("2020-"), (1 + F.col("vec_id") % 12).cast("string")))
+    means = cluster.centroid_table(rows, ["period", "cluster"], 6)
+    return link.sort_centroids(means).select("period", "cluster", F.get("features", F.lit(0)).alias("d1"))
+
+
+@query
+def stored_vectors(spark, d):
+    """Sequence vectors by period, written and read again."""
+    path, rows = new_path(spark, "vectors"), fx.members(spark, d)
+    vectors = ngrams.sequence_vectors(rows, fx.vocab(rows), fx.DIMS).join(rows.select("record_idx", "period"), "record_idx")
+    tables.write_vectors(vectors, path)
+    return tables.read_vectors(spark, path, width=fx.WIDTH)
+
+
+@query
+def written_cluster_labels(spark, d):
+    """Points with the cluster of their nearest centroid, written by period and read again."""
+    path = new_path(spark, "labelled")
+    rows = fx.points(spark, d)
+    isolates = rows.select("vec_id", F.col("period_idx").cast("string").alias("period"))
+    tables.write_cluster_labels(isolates, cluster.assign_nearest(rows, fx.centroids(spark, d)), path, "vec_id")
+    return tables.read_periods(spark, path, "vec_id long, cluster int, period string").select("vec_id", "period", "cluster")
+
+
+@query
+def period_k_table(spark, d):
+    """Isolates of each month that has a number of clusters, and that number."""
+    return clean.period_row_counts(clean.period_tables(fx.isolates(spark, d), "month", fx.BATCH)).join(F.broadcast(tables.period_k_table(spark)), "period")
+
+
+@query
+def site_ranges_table(spark, d):
+    """How many different pieces the members have in each range of sites."""
+    ranges = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in [tuple(r) for r in tables.site_ranges_table(spark).collect()]])
+    cut = fx.members(spark, d).select("sequence", F.explode(ranges).alias("r")).select("r.*", F.expr("substring(sequence, r.start, r.end - r.start + 1)").alias("piece"))
+    return cut.groupBy("start", "end").agg(F.count("*").alias("n"), F.countDistinct("piece").alias("n_pieces"))
+
+
+@query
+def sort_by_date(spark, d):
+    return clean.sort_by_date(clean.cleaned(fx.isolates(spark, d), fx.BATCH)).select("record_idx", F.date_format("timestamp", "yyyy-MM-dd").alias("day"))
+
+
 @query
 def stored_dataset(spark, d):
     path = new_path(spark, "dataset")
@@ -222,11 +280,9 @@ def site_positions(spark, d):
 
 def _neighbours(spark, d):
     """Each member with the next of its period and cluster."""
-    from pyspark.sql.window import Window
-
-    rows = fx.members(spark, d)
-    following = F.lead("sequence").over(Window.partitionBy("period_idx", "cluster").orderBy("record_idx"))
-    return ngrams.differences(rows.withColumn("next", following).filter("next is not null"), "sequence", "next")
+    rows = written(walks.numbered_members(fx.members(spark, d)), "numbered")
+    following = rows.select("period_idx", "cluster", (F.col("member_no") - 1).alias("member_no"), F.col("sequence").alias("next"))
+    return ngrams.differences(rows.join(following, ["period_idx", "cluster", "member_no"]), "sequence", "next")
 
 
 @query
@@ -292,6 +348,32 @@ def link_clusters(spark, d):
     return link.link_clusters(fx.centroids(spark, d)).withColumn("next_cluster", joined_links(F.col("next_cluster")))
 
 
+@query
+def invert_links(spark, d):
+    """Backward links as a list for each earlier cluster."""
+    return link.inverted(link.backward_links(link.consecutive_pairs(fx.centroids(spark, d)))).select("period_idx", "src", F.array_join(F.transform("dsts", lambda x: x.cast("string")), ",").alias("dsts"))
+
+
+@query
+def kmeans_own_centers(spark, d):
+    """Of a fitted model's labels: how many points there are, how many have their nearest centre, how many clusters are used."""
+    rows = fx.points(spark, d)
+    model = cluster.CLUSTER_METHODS["KMeans"](rows, 10, seeds=(1,), max_iter=50)
+    centers = spark.createDataFrame([(0, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "period_idx int, cluster int, features array<double>")
+    own = cluster.labelled(rows.drop("cluster"), model).select("vec_id", F.col("cluster").alias("label"))
+    near = cluster.assign_nearest(rows.withColumn("period_idx", F.lit(0)), centers).select("vec_id", "cluster")
+    return own.join(near, "vec_id").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("cluster")).cast("long")).alias("n_nearest"), F.countDistinct("label").alias("n_clusters"))
+
+
+@query
+def pca_ratio_sums(spark, d):
+    """Explained shares of all components: their number, their sum, and whether they fall."""
+    dims = fx.points(spark, d).select(F.size("features")).first()[0]
+    ratios = cluster.pca_explained_variance(fx.points(spark, d), dims)
+    after = ratios.select((F.col("component") - 1).alias("component"), F.col("ratio").alias("next"))
+    return ratios.join(after, "component", "left").agg(F.count("*").alias("components"), F.round(F.sum("ratio"), 6).alias("total"), F.min(F.coalesce(F.col("next") <= F.col("ratio"), F.lit(True))).alias("falling"))
+
+
 @query
 def kmeans_fit(spark, d):
     rows = fx.points(spark, d)
@@ -349,8 +431,8 @@ def prefer_length_members(spark, d):
 
 
 def _samples(rows: DataFrame) -> DataFrame:
-    """sample_id, period_idx: every eighth member begins a walk in one of the first periods."""
-    return rows.filter("record_idx % 8 = 0").select(F.col("record_idx").alias("sample_id"), (1 + F.col("record_idx") % 5).cast("int").alias("period_idx"))
+    """sample_id, period_idx: every member begins a walk, in one of the first periods."""
+    return rows.select(F.col("record_idx").alias("sample_id"), (1 + F.col("record_idx") % 5).cast("int").alias("period_idx"))
 
 
 def _walk_inputs(spark, d):
@@ -366,14 +448,42 @@ def pick_first(spark, d):
 
 @query
 def sample_walks(spark, d):
+    """A walk from every member through the whole window of periods."""
     rows, links, numbered = _walk_inputs(spark, d)
-    made = walks.sample_walks(_samples(rows), links, numbered, WALK, SEED, rounds=2, strict=False)
+    windows = walks.period_windows(links.select("period_idx", F.col("period_idx").alias("period")).distinct(), settings.WINDOW_SIZE)
+    first = windows.select(F.get("x", F.lit(0)).alias("period_idx"), F.size("x").alias("steps")).orderBy("period_idx").first()
+    made = walks.sample_walks(rows.select(F.col("record_idx").alias("sample_id"), F.lit(first.period_idx).alias("period_idx")), links, numbered, first.steps, SEED)
     return made.select("sample_id", "turn", F.md5(F.array_join("seqs", "|")).alias("walk_md5"))
 
 
-def _rows(spark, d, whole=False):
-    """whole: of whole texts, and a walk from every member."""
-    return fx.walk_rows(fx.members(spark, d, whole), 1 if whole else fx.EVERY)
+def _rows(spark, d):
+    return fx.walk_rows(fx.members(spark, d))
+
+
+def _generator(spark, d):
+    """(rows, turn) -> a dataset of about so many rows; turn is part of the seed."""
+    rows, links, numbered = _walk_inputs(spark, d)
+    numbered, vocab = written(numbered, "numbered"), written(fx.vocab(rows), "vocab")
+    return lambda n, turn: dataset.create_dataset(numbered, links, vocab, site_table(spark), n, seed=SEED + turn)
+
+
+def _wanted_rows(spark, d) -> int:
+    return len(settings.site_positions()) * driver_table(spark, d, "documents").count()
+
+
+@query
+def create_dataset(spark, d):
+    """A walk for each document: windows, samples, walks, labelled rows."""
+    return _flat(_generator(spark, d)(_wanted_rows(spark, d), 0))
+
+
+@query
+def create_shards(spark, d):
+    """Rows and labels of two shards of a dataset, each of its own seed."""
+    made = _generator(spark, d)
+    n = _wanted_rows(spark, d) // 2
+    shards = dataset.create_shards(lambda i: made(n, i), 2)
+    return shards[0].withColumn("shard", F.lit(0)).unionByName(shards[1].withColumn("shard", F.lit(1))).groupBy("shard", "y").agg(F.count("*").alias("n"))
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -418,21 +528,16 @@ def train_test_split(spark, d):
 
 @query
 def refill_dataset(spark, d):
-    rows = written(_rows(spark, d, whole=True), "rows")
-    target = rows.count() // 4
-
-    def generate(n: int, turn: int) -> DataFrame:
-        return rows.filter(F.pmod(F.xxhash64("row_id", F.lit(turn)), F.lit(4)) == 0)
-
-    return dataset.refill_dataset(generate, target, 0.3, 5).select("turn", "row_id", "y")
+    """Rows without repeats: what repeats is made anew with a new seed."""
+    return dataset.refill_dataset(_generator(spark, d), _wanted_rows(spark, d)).select("turn", "row_id", "y")
 
 
 # Features, models and metrics -------------------------------------------------------------------------------------------------------
 
 
-def _features(spark, d, whole=False):
-    rows = fx.members(spark, d, whole)
-    return features.load_features(fx.walk_rows(rows, 1 if whole else fx.EVERY), fx.vocab(rows), fx.DIMS)
+def _features(spark, d):
+    rows = fx.members(spark, d)
+    return features.load_features(fx.walk_rows(rows), fx.vocab(rows), fx.DIMS)
 
 
 @query
@@ -533,7 +638,7 @@ def first_positive_slice(spark, d):
 
 
 def _trained(spark, d, fit):
-    flat = dataset.train_test_split(features.flatten_features(_features(spark, d, whole=True), fx.DIMS), "row_id", SEED)
+    flat = dataset.train_test_split(features.flatten_features(_features(spark, d), fx.DIMS), "row_id", SEED)
     flat = written(flat, "features")
     out = models.scored(fit(flat.filter("not is_test")), flat.filter("is_test"))
     return metrics.evaluate(out)

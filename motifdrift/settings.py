@@ -21,7 +21,7 @@ WINDOW_SIZE = 10
 DATASET_ROWS = 634_000
 DIFFERENCE_SHARE = 0.5
 ATTEMPTS = 11
-MOST_ROUNDS = 20
+MOST_ROUNDS = 255
 UNIQUE_RATIO = 0.2
 VECTOR_WIDTH = 100
 

@@ -9,17 +9,23 @@ from pyspark.sql.window import Window
 from motifdrift import settings
 
 RECORD_SEPARATOR = "\n>"
+#: Starts of file splits that go to every task at most (some 200 bytes each); of more, records are shuffled to them.
+BROADCAST_SPLITS = 100_000
 
 
 def parsed_records(raw: DataFrame) -> DataFrame:
-    """value (one record of text) to description, sequence and the keys of its place. Wrapped sequences are joined; a record without any is dropped."""
+    """value (one record of text) to description, sequence and the keys of its place. Wrapped sequences are joined; a record without any is dropped.
+
+    place rises by one from record to record of a file split, which one task reads.
+    """
     text = F.regexp_replace("value", r"^\s*>", "")
     cut = F.regexp_replace(text, "\r", "")
     return (
-        raw.select(cut.alias("t"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
-        .select("file", "block", "place", F.concat(F.lit(">"), F.substring_index("t", "\n", 1)).alias("description"),
+        raw.select(cut.alias("t"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        .select("file", "block", F.concat(F.lit(">"), F.substring_index("t", "\n", 1)).alias("description"),
                 F.when(F.instr("t", "\n") > 0, F.regexp_replace(F.expr("substring(t, instr(t, '\n') + 1)"), "\n", "")).otherwise("").alias("sequence"))
         .filter("sequence <> ''")
+        .withColumn("place", F.monotonically_increasing_id())
     )
 
 
@@ -29,12 +35,13 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_record_idx(df: DataFrame, blocks: list[str], place: str) -> DataFrame:
-    """Numbers rows by blocks and place without one task for all: rows are numbered in their block, and blocks start where the ones before end."""
-    counts = df.groupBy(*blocks).agg(F.count("*").alias("_n"))  # a row for each file split
+    """Numbers rows by blocks and place, which rises by one in a block: blocks start where the ones before end, and no row is shuffled for its number."""
+    counts = df.groupBy(*blocks).agg(F.count("*").alias("_n"), F.min(place).alias("_first"))  # a row for each file split
     before = Window.orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*blocks, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(*blocks).orderBy(place)) - 1
-    return df.withColumn("_in", inside).join(starts, blocks).withColumn("record_idx", F.col("_start") + F.col("_in")).drop("_start", "_in")
+    starts = counts.select(*blocks, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    few = df.sparkSession.createDataFrame(starts.limit(BROADCAST_SPLITS + 1).collect(), starts.schema)  # small rows, once for each split
+    many = few.count() > BROADCAST_SPLITS
+    return df.join(starts if many else F.broadcast(few), blocks).withColumn("record_idx", F.col(place) + F.col("_shift")).drop("_shift")
 
 
 def slice_records(df: DataFrame, start: int = settings.START_RECORD, batch: int = settings.BATCH_RECORDS, most: int = settings.MOST_BATCHES) -> DataFrame:

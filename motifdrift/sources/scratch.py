@@ -22,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark._motifdrift_paths = [*getattr(spark, "_motifdrift_paths", []), path]
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -30,3 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that new_path() has named in this session so far, once no result that reads them is needed any more; how many there were."""
+    paths, spark._motifdrift_paths = getattr(spark, "_motifdrift_paths", []), []
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

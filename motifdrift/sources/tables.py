@@ -48,11 +48,29 @@ def read_centroids(spark: SparkSession, path: str, width: int = settings.VECTOR_
     """CSV period, cluster, next_cluster (text), d1..; next_cluster becomes array<int>, whatever its values look like."""
     fields = [("period", T.StringType()), ("cluster", T.IntegerType()), ("next_cluster", T.StringType()), *[(d, T.DoubleType()) for d in vector_columns(width)]]
     rows = spark.read.schema(T.StructType([T.StructField(*f) for f in fields])).option("header", True).csv(path)
-    return rows.withColumn("next_cluster", parsed_links(F.col("next_cluster")))
+    return rows.select(*[name for name, _ in fields]).withColumn("next_cluster", parsed_links(F.col("next_cluster")))
 
 
-def write_centroids(df: DataFrame, path: str) -> None:
-    df.withColumn("next_cluster", joined_links(F.col("next_cluster"))).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+def write_centroids(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One folder for each period, so centroids of single periods are replaced: only the periods that df has. mode 'replace' drops all others."""
+    rows = df.withColumn("next_cluster", joined_links(F.col("next_cluster"))).withColumn("of_period", F.col("period"))
+    out = rows.write.partitionBy("of_period").mode("overwrite").option("header", True).option("emptyValue", "")
+    out.option("partitionOverwriteMode", "static" if mode == "replace" else "dynamic").csv(path)
+
+
+def write_vectors(df: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Sequence vectors (a key, d1.., period): one folder for each period; 'overwrite' replaces only the periods that df has."""
+    df.write.partitionBy("period").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(root)
+
+
+def read_vectors(spark: SparkSession, root: str, key: str = "record_idx", width: int = settings.VECTOR_WIDTH) -> DataFrame:
+    """All vectors; filter on period to read only its folder."""
+    return spark.read.schema(f"{key} long, " + ", ".join(f"{d} double" for d in vector_columns(width)) + ", period string").parquet(root)
+
+
+def write_cluster_labels(isolates: DataFrame, labels: DataFrame, root: str, key: str = "seq_id") -> None:
+    """Writes isolates (with period) with the cluster of labels (key, cluster); replaces only the periods that isolates has. root is not what isolates is read from."""
+    write_periods(with_cluster_labels(isolates, labels, key), root, "overwrite")
 
 
 def with_cluster_labels(isolates: DataFrame, labels: DataFrame, key: str = "seq_id") -> DataFrame:
@@ -62,8 +80,10 @@ def with_cluster_labels(isolates: DataFrame, labels: DataFrame, key: str = "seq_
 
 def write_dataset(df: DataFrame, path: str, shard: int | None = None) -> None:
     """y and x (array of int arrays) as CSV: y, then one printed list for each step. Shards are folders shard=N."""
-    n = df.select(F.size("x").alias("n")).limit(1).collect()
-    steps = [F.to_json(F.get("x", F.lit(i))).alias(str(i)) for i in range(n[0].n if n else 0)]
+    found = df.agg(F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high")).first()
+    if found.low != found.high:
+        raise ValueError(f"rows have {found.low} to {found.high} steps")
+    steps = [F.to_json(F.get("x", F.lit(i))).alias(str(i)) for i in range(found.high or 0)]
     df.select("y", *steps).write.mode("overwrite").option("header", True).csv(path if shard is None else f"{path}/shard={shard}")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from motifdrift.operators.clean import apply_day_policy, drop_null_dates, first_of, parse_dates, split_description, valid_sequences, with_period
 from motifdrift.sources.fasta import RECORD_SEPARATOR
+from motifdrift.sources.scratch import written
 
 STORED = "isolate_name string, timestamp date, sequence string, period string, batch_no long, record_idx long"
 
@@ -25,8 +26,8 @@ def ingest_stream(spark: SparkSession, directory: str, root: str, checkpoint: st
     """A running query that handles every file of directory as one batch, in order of arrival, and stops when all are read.
 
     A batch is cleaned by itself (first row of each isolate in it), rows of isolates that the period has already are left
-    out by an anti-join on (period, isolate_name), and the rest is written to a folder named by the batch, so a replayed batch
-    overwrites its own rows only.
+    out by an anti-join on (period, isolate_name), and the rest is written to folders named by period and batch: a replayed batch
+    overwrites its own rows only, and a batch reads only what its own periods have stored.
     """
     raw = spark.readStream.option("lineSep", RECORD_SEPARATOR).option("maxFilesPerTrigger", 1).format("text").load(directory)
 
@@ -34,9 +35,11 @@ def ingest_stream(spark: SparkSession, directory: str, root: str, checkpoint: st
         rows = parsed_stream(batch).withColumn("batch_no", F.lit(number).cast("long"))
         named = apply_day_policy(split_description(valid_sequences(rows)))
         one = with_period(drop_null_dates(parse_dates(first_of(named, ["isolate_name"], ["record_idx"]))), technique)
-        before = stored(spark, root).filter(F.col("batch_no") < number)
+        one = written(one, "ingest-batch")
+        periods = [r.period for r in one.select("period").distinct().collect()]  # a batch has as many as there are months in it
+        before = stored(spark, root).filter(F.col("period").isin(periods) & (F.col("batch_no") < number))
         new = one.join(before.select("period", "isolate_name"), ["period", "isolate_name"], "left_anti")
-        new.select("isolate_name", "timestamp", "sequence", "period", "record_idx", "batch_no").write.partitionBy("batch_no").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
+        new.select("isolate_name", "timestamp", "sequence", "period", "record_idx", "batch_no").write.partitionBy("period", "batch_no").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
 
     return raw.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,10 +1,14 @@
-"""Queries without an SQL twin do the whole job: no letter and no member is left out."""
+"""Queries do the whole job - no letter and no member is left out - and what SQL twins tell is so on small fixtures too."""
 
+import hashlib
+import json
+import random
 import re
 
 import pytest
 
 from motifdrift import settings
+from motifdrift.operators import dataset, ordered, walks
 from motifdrift.plans import fixtures as fx
 from motifdrift.plans import queries as registered
 from motifdrift.plans.queries import queries
@@ -21,7 +25,7 @@ def tables(spark, tmp_path_factory):
 def test_pieces_hold_every_letter(spark, tables):
     at, rows = tables
     found = {}
-    for r in sorted(fx.isolates(spark, at, whole=True).collect()):
+    for r in sorted(fx.isolates(spark, at).collect()):
         found.setdefault(r.record_idx >> fx.PIECE_BITS, []).append(r.sequence.rstrip("*"))
     assert set(found) == {i for i, *_ in rows}
     for i, text, _ in rows:
@@ -30,26 +34,98 @@ def test_pieces_hold_every_letter(spark, tables):
         assert [len(x) for x in found[i][:-1]] == [fx.PIECE] * (len(found[i]) - 1)
 
 
-def test_queries_without_sql_read_whole_texts(spark, tables, monkeypatch):
-    at, rows = tables
-    asked, made = [], fx.isolates
-    monkeypatch.setattr(fx, "isolates", lambda spark, d, whole=False: asked.append(whole) or made(spark, d, whole))
-    fx.members(spark, at, whole=True)
-    n = queries()["ingest_stream"](spark, at).agg({"n": "sum"}).first()[0]
-    assert n > len(rows)
-    assert all(asked)
+def test_stream_reads_every_isolate(spark, tables):
+    at, _ = tables
+    got = {r.period: (r.n, r.n_isolates) for r in queries()["ingest_stream"](spark, at).collect()}
+    want = {r.period: r.n for r in queries()["clean_pipeline"](spark, at).collect()}
+    assert got == {p: (n, n) for p, n in want.items()} and sum(want.values()) > 3
 
 
-def test_a_walk_starts_from_every_member(spark, monkeypatch):
+@pytest.fixture
+def members(spark, monkeypatch):
     letters = "".join(chr(97 + (j * 7 + j // 11) % 26) for j in range(1273)).upper() + "*"
-    members = spark.createDataFrame([(i, 1 + i % 8, i // 8 % 3, letters) for i in range(48)], "record_idx long, period_idx int, cluster int, sequence string")
-    monkeypatch.setattr(fx, "members", lambda spark, d, whole=False: members)
+    rows = [(i, f"p{1 + i % 8}", 1 + i % 8, i // 8 % 3, letters[: i % 5] + "A" + letters[i % 5 + 1 :]) for i in range(48)]
+    made = spark.createDataFrame(rows, "record_idx long, period string, period_idx int, cluster int, sequence string")
+    monkeypatch.setattr(fx, "members", lambda spark, d: made)
+    return made
+
+
+def test_a_walk_starts_from_every_member(spark, members):
     n_sites = len(settings.site_positions())
-    made = registered._rows(spark, "", whole=True).select("row_id").distinct().collect()
+    made = registered._rows(spark, "").select("row_id").distinct().collect()
     assert {r.row_id // n_sites for r in made} == set(range(48))
     assert len(made) == 48 * n_sites
-    assert registered._features(spark, "", whole=True).select("row_id").distinct().count() == len(made)
-    calls = []
-    monkeypatch.setattr(registered, "_rows", lambda spark, d, whole=False: calls.append(whole) or fx.walk_rows(members, 1))
-    assert queries()["refill_dataset"](spark, "").count() > 0
-    assert calls == [True]
+    assert registered._features(spark, "").select("row_id").distinct().count() == len(made)
+    walked = queries()["sample_walks"](spark, "").collect()
+    assert sorted(r.sample_id for r in walked) == list(range(48))
+
+
+def test_datasets_are_whole_and_refilled(spark, members, tables):
+    at, rows = tables
+    n_sites = len(settings.site_positions())
+    made = queries()["create_dataset"](spark, at).collect()
+    assert len({r.row_id for r in made}) == len(made) == n_sites * len(rows)
+    assert all(len(json.loads(r.x)) == 7 for r in made)  # eight periods: seven steps and the label's
+    first, second = (registered._generator(spark, at)(n_sites * 5, turn) for turn in (0, 1))
+    assert first.count() == second.count() == 5 * n_sites
+    turns = dataset.refill_dataset(lambda n, turn: registered._generator(spark, at)(n, turn), 5 * n_sites, 0.2, 3)
+    assert turns.select("x").distinct().count() == turns.count()
+    assert {r.turn for r in turns.select("turn").distinct().collect()} <= {0, 1, 2}
+
+
+def brute_walk(sample, first, links, chosen, size):
+    """A walk as the draws tell it, step by step."""
+    draw = lambda *parts: int(hashlib.md5("|".join(map(str, (registered.SEED, sample, *parts))).encode()).hexdigest()[:8], 16)
+    for turn in range(settings.MOST_ROUNDS):
+        clusters = sorted({c for p, c in chosen if p == first})
+        at = (first, clusters[draw(turn, 0, 0, "cluster") % len(clusters)])
+        seqs = [chosen[at][draw(turn, 0, 0, "member") % len(chosen[at])]]
+        for step in range(1, size + 1):
+            to = links[at]
+            at = (at[0] + 1, to[draw(turn, step, 0, "link") % len(to)])
+            for attempt in range(settings.ATTEMPTS if step < size else 1):
+                seq = chosen[at][draw(turn, step, attempt, "member") % len(chosen[at])]
+                far = sum(seqs[-1][p : p + 1] != seq[p : p + 1] for p in settings.site_positions())
+                if step == size or far <= int(len(settings.site_positions()) * settings.DIFFERENCE_SHARE):
+                    seqs.append(seq)
+                    break
+            else:
+                break
+        else:
+            return turn, seqs
+    raise AssertionError("no walk")
+
+
+def test_walks_against_brute_force(spark):
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice("ACDEFGHIK") for _ in range(1270))
+    base, rows = [text() for _ in range(2)], []
+    for i in range(90):
+        own = base[rng.random() < 0.35]
+        rows.append((i, 1 + i % 4, rng.randrange(2), own[: rng.randrange(1270)] + "*"))
+    links = {(p, c): sorted({rng.randrange(2), c}) if p < 4 else [] for p in range(1, 5) for c in range(2)}
+    chosen = {}
+    for i, p, c, s in rows:
+        chosen.setdefault((p, c), []).append(s)
+    members = spark.createDataFrame(rows, "record_idx long, period_idx int, cluster int, sequence string").repartition(3)
+    table = spark.createDataFrame([(p, c, to) for (p, c), to in links.items()], "period_idx int, cluster int, next_cluster array<int>")
+    samples = spark.createDataFrame([(i, 1) for i in range(40)], "sample_id long, period_idx int")
+    got = {r.sample_id: (r.turn, r.seqs) for r in walks.sample_walks(samples, table, walks.numbered_members(members), 3, registered.SEED).collect()}
+    assert got == {i: brute_walk(i, 1, links, chosen, 3) for i in range(40)}
+    assert any(turn for turn, _ in got.values())
+
+
+@pytest.mark.parametrize("rows", [7, 50_000])
+def test_orders_over_ranges(spark, rows):
+    rng = random.Random(1)
+    data = [(i * 3, i % 2, rng.choice([0.1, 0.5, rng.random()])) for i in range(200)]
+    df = spark.createDataFrame(data, "k long, g int, v double").repartition(4)
+    got = ordered.numbered(df, ["g"], "k", "no", "total", rows).collect()
+    for g in (0, 1):
+        mine = sorted(r.k for r in got if r.g == g)
+        assert all((r.no, r.total) == (mine.index(r.k), 100) for r in got if r.g == g)
+    sums = ordered.falling_totals(df.withColumn("one", df.g * 0 + 1), "k", ["one"], rows).collect()
+    assert {r.k: r.one_upto for r in sums} == {3 * i: 200 - i for i in range(200)} and {r.one_all for r in sums} == {200}
+    order = sorted((v, k) for k, _, v in data)
+    before = {r.k: (r.before and (r.before.v, r.before.k)) for r in ordered.with_previous(df, "v", ["v", "k"], rows).collect()}
+    assert before == {k: (order[j - 1] if j else None) for j, (_, k) in enumerate(order)}
