@@ -102,3 +102,29 @@ def test_shuffle_is_uniform(spark):
     for seed in range(40):
         seen.update((r.doc_id, r.shard) for r in sharding.uniform_shards(rows, 2, seed).collect())
     assert all(6 <= seen[(i, 0)] <= 34 for i in range(16))
+
+
+def test_draws_have_the_hypergeometric_law():
+    from math import comb
+
+    rng = np.random.default_rng(3)
+    for good, total, drawn in ((3, 7, 4), (10, 12, 5), (40, 100, 30)):
+        seen = Counter(sharding.hypergeometric(rng, good, total, drawn) for _ in range(20_000))
+        for k in range(drawn + 1):
+            p = comb(good, k) * comb(total - good, drawn - k) / comb(total, drawn)
+            assert abs(seen[k] / 20_000 - p) < 0.015, (good, total, drawn, k)
+
+
+def test_matrices_have_the_law_of_all_permutations():
+    """How often each matrix comes, against counting it over every order of six rows."""
+    from itertools import permutations
+
+    counts, sizes = [3, 1, 2], [2, 2, 2]
+    owner = [p for p, n in enumerate(counts) for _ in range(n)]
+    shard = [s for s, n in enumerate(sizes) for _ in range(n)]
+    matrix = lambda order: tuple(tuple(sum(owner[r] == p and shard[i] == s for i, r in enumerate(order)) for s in range(3)) for p in range(3))
+    want = Counter(matrix(order) for order in permutations(range(6)))
+    drawn = Counter(tuple(map(tuple, sharding.communication_matrix(counts, sizes, seed))) for seed in range(6000))
+    assert set(drawn) == set(want)
+    for m, n in want.items():
+        assert abs(drawn[m] / 6000 - n / 720) < 0.03
