@@ -34,10 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a table or file wherever it is stored; a path that isn't there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_written(spark: SparkSession) -> int:
     """Deletes the tables that new_path() has named in this session so far, once no result that reads them is needed any more; how many there were."""
     paths, spark._motifdrift_paths = getattr(spark, "_motifdrift_paths", []), []
     for p in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        deleted(spark, p)
     return len(paths)
