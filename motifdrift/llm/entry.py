@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifdrift.llm import decontaminate, exact_dedup, lang_id, line_dedup, near_dedup, packing, secret_scan, sharding, token_store, toxicity
+from motifdrift.llm import centroids, decontaminate, exact_dedup, lang_id, line_dedup, near_dedup, packing, secret_scan, sharding, token_store, toxicity
 from motifdrift.llm.shared import table
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -54,6 +54,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), least_percent=85)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -66,11 +70,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_toxicity": op9_toxicity,
         "op10_near_dedup": op10_near_dedup,
+        "op11_centroids": op11_centroids,
     }
 
 
+def centroid_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS, dim: int = centroids.DIM) -> str:
+    """Rounds of assignment and floored means, one after another."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+              WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM v ORDER BY c LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, v, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM (
+              SELECT v.vec_id, v.v, m.c, CAST(list_sum(list_transform(list_zip(v.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{r} m) GROUP BY ALL)
+              """.replace("GROUP BY ALL", "GROUP BY vec_id, v"))
+        steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT m.c, coalesce(n.v, m.v) AS v FROM c{r} m LEFT JOIN (
+              SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+                SELECT c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, {dim} + 1)) AS i) GROUP BY c, i) GROUP BY c) n USING (c))""")
+    return f"""WITH {", ".join(steps[:-1])}
+            SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+                   CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+            FROM a{rounds} a JOIN c{rounds} m USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_centroids": centroid_sql(),
         "op3_line_dedup": r"""
             WITH l AS (SELECT doc_id, i, parts[i] AS line FROM (
                          SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifdrift.sources.scratch import new_path, shared_dir, written
+from motifdrift.sources.scratch import deleted, new_path, shared_dir, written
 
-__all__ = ["SPACE", "held_out", "new_path", "partitions", "shared_dir", "table", "text_or_empty", "written"]
+__all__ = ["SPACE", "deleted", "held_out", "new_path", "partitions", "shared_dir", "table", "text_or_empty", "written"]
 
 #: White space of every contract here: blank and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
