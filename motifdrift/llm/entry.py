@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifdrift.llm import centroids, decontaminate, exact_dedup, lang_id, line_dedup, near_dedup, packing, secret_scan, sharding, token_store, toxicity
+from motifdrift.llm import centroids, decontaminate, exact_dedup, lang_id, line_dedup, near_dedup, packing, ranking, secret_scan, sharding, token_store, toxicity
 from motifdrift.llm.shared import table
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -58,6 +58,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_near_dedup": op10_near_dedup,
         "op11_centroids": op11_centroids,
+        "op12_quality": op12_quality,
     }
 
 

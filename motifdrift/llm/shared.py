@@ -21,9 +21,9 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def held_out(doc_id: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo 5, is 0. A null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+def held_out(doc_id: str = "doc_id", of: int = 5, rest: int = 0) -> Column:
+    """crc32 of the id as text leaves this rest. A null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of == rest
 
 
 def partitions(spark: SparkSession) -> int:
