@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifdrift.llm import centroids, decontaminate, exact_dedup, lang_id, line_dedup, near_dedup, packing, ranking, secret_scan, sharding, token_store, toxicity
+from motifdrift.llm import alignment, centroids, decontaminate, exact_dedup, lang_id, line_dedup, near_dedup, packing, ranking, secret_scan, sharding, token_store, toxicity
 from motifdrift.llm.shared import table
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -62,6 +62,12 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_near_dedup": op10_near_dedup,
         "op11_centroids": op11_centroids,
         "op12_quality": op12_quality,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
