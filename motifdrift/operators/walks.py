@@ -15,6 +15,8 @@ from motifdrift.functions.columns import drawn, letter_differences, site_letters
 from motifdrift.operators.ordered import numbered
 from motifdrift.sources.scratch import written
 
+#: Samples of a window are made in parts of so many.
+SAMPLES = 10_000
 #: A walk's state is written after so many steps.
 WRITTEN_STEPS = 4
 #: So many times as many rounds of the walks that are left are tried at once.
@@ -46,7 +48,10 @@ def sample_table(windows: DataFrame, allocation: DataFrame) -> DataFrame:
     """sample_id, window_id: numbered window by window."""
     before = F.coalesce(F.sum("n_samples").over(Window.orderBy("window_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = allocation.withColumn("start", before).filter("n_samples > 0")
-    return starts.select("window_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_samples") - 1)).alias("sample_id"))
+    end = F.col("start") + F.col("n_samples") - 1
+    parts = starts.select("window_id", end.alias("end"), F.explode(F.sequence("start", end, F.lit(SAMPLES).cast("long"))).alias("start"))
+    parts = parts.repartition(parts.sparkSession.sparkContext.defaultParallelism)  # a row for so many samples
+    return parts.select("window_id", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + SAMPLES - 1, "end"))).alias("sample_id"))
 
 
 def prefer_length(members: DataFrame, length: int = settings.PREFERRED_LENGTH) -> DataFrame:

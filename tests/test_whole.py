@@ -115,17 +115,38 @@ def test_walks_against_brute_force(spark):
     assert any(turn for turn, _ in got.values())
 
 
-@pytest.mark.parametrize("rows", [7, 50_000])
-def test_orders_over_ranges(spark, rows):
+@pytest.mark.parametrize("ranges", [None, 1, 13])
+def test_orders_over_ranges(spark, ranges):
     rng = random.Random(1)
     data = [(i * 3, i % 2, rng.choice([0.1, 0.5, rng.random()])) for i in range(200)]
     df = spark.createDataFrame(data, "k long, g int, v double").repartition(4)
-    got = ordered.numbered(df, ["g"], "k", "no", "total", rows).collect()
+    got = ordered.numbered(df, ["g"], "k", "no", "total", ranges).collect()
     for g in (0, 1):
         mine = sorted(r.k for r in got if r.g == g)
         assert all((r.no, r.total) == (mine.index(r.k), 100) for r in got if r.g == g)
-    sums = ordered.falling_totals(df.withColumn("one", df.g * 0 + 1), "k", ["one"], rows).collect()
+    sums = ordered.falling_totals(df.withColumn("one", df.g * 0 + 1), "k", ["one", "v"], ranges).collect()
     assert {r.k: r.one_upto for r in sums} == {3 * i: 200 - i for i in range(200)} and {r.one_all for r in sums} == {200}
+    assert {r.k: round(r.v_upto, 9) for r in sums} == {k: round(sum(v for k2, _, v in data if k2 >= k), 9) for k, _, _ in data}
     order = sorted((v, k) for k, _, v in data)
-    before = {r.k: (r.before and (r.before.v, r.before.k)) for r in ordered.with_previous(df, "v", ["v", "k"], rows).collect()}
+    before = {r.k: (r.before and (r.before.v, r.before.k)) for r in ordered.with_previous(df, "v", ["v", "k"], ranges).collect()}
     assert before == {k: (order[j - 1] if j else None) for j, (_, k) in enumerate(order)}
+
+
+@pytest.mark.parametrize("ranges", [None, 5])
+def test_orders_with_nulls_ties_and_a_hot_key(spark, ranges):
+    data = [(None if i % 4 == 0 else 7 if i % 3 else i, None if i % 5 == 0 else "a" if i % 2 else "b", i) for i in range(300)]
+    df = spark.createDataFrame(data, "k long, g string, id long").repartition(6)
+    got = ordered.numbered(df, ["g"], "k", "no", "total", ranges).collect()
+    assert sorted(r.id for r in got) == list(range(300))
+    for g in (None, "a", "b"):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.no)
+        assert [r.no for r in mine] == list(range(len(mine))) and {r.total for r in mine} == {len(mine)}
+        assert [r.k for r in mine] == sorted((r.k for r in mine), key=lambda k: -1 if k is None else k)
+    again = ordered.numbered(df.repartition(3), ["g"], "k", "no", "total", ranges).collect()
+    assert {r.id: r.no for r in again} == {r.id: r.no for r in got}  # ties have the same order whatever the partitions
+    keys = df.filter("k is not null and k <> 7").dropDuplicates(["k"]).unionByName(spark.createDataFrame([(None, "a", 1)], df.schema))
+    sums = {r.k: r.one_upto for r in ordered.falling_totals(keys.withColumn("one", keys.id * 0 + 1), "k", ["one"], ranges).collect()}
+    assert sums[None] == len(sums) and sorted(sums.values()) == list(range(1, len(sums) + 1))
+    none = df.filter("id < 0")
+    assert ordered.numbered(none, ["g"], "k", "no", "total", ranges).count() == ordered.with_previous(none, "k", ["id"], ranges).count() == 0
+    assert ordered.falling_totals(none, "k", ["id"], ranges).count() == 0
