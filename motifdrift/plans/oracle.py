@@ -303,6 +303,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT ((doc_id - 100) // 150)::INT AS batch_no, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents
             WHERE doc_id >= 100 AND doc_id < 700 GROUP BY 1""",
         "read_fasta": sql("SELECT row_number() OVER (ORDER BY record_idx) - 1 AS record_idx, description, md5(sequence) AS sequence_md5 FROM isolates WHERE sequence <> ''"),
+        "indexed_slice": sql("""
+            SELECT record_idx, ((record_idx - 150) // 200)::INT AS batch_no, description, md5(sequence) AS sequence_md5
+            FROM (SELECT row_number() OVER (ORDER BY i.record_idx) - 1 AS record_idx, description, sequence FROM isolates i WHERE sequence <> '') WHERE record_idx BETWEEN 150 AND 749"""),
         "count_records": sql("SELECT count(*) AS n_records FROM pieces"),
         "stored_periods": sql("SELECT period, isolate_name, md5(sequence) AS sequence_md5 FROM monthly"),
         "stored_unique_periods": sql("SELECT period, count(DISTINCT sequence) AS n FROM quarterly GROUP BY period"),

@@ -127,6 +127,16 @@ def read_fasta(spark, d):
     return fasta.read_fasta(spark, path).select("record_idx", "description", F.md5("sequence").alias("sequence_md5"))
 
 
+@query
+def indexed_slice(spark, d):
+    """Writes the isolates as FASTA, indexes it, and reads batches of records by their offsets."""
+    path, index = new_path(spark, "fasta"), new_path(spark, "fasta-index")
+    fasta.write_fasta(fx.isolates(spark, d).filter("sequence <> ''").repartitionByRange(4, "record_idx").sortWithinPartitions("record_idx"), path)
+    fasta.index_fasta(spark, path, index, 100)
+    rows = fasta.slice_records(fasta.read_indexed(spark, index, 150, 600), 150, 200, 3)
+    return rows.select("record_idx", "batch_no", "description", F.md5("sequence").alias("sequence_md5"))
+
+
 @query
 def ingest_stream(spark, d):
     """Streams the isolates, a file of FASTA for each batch of records, into month periods."""

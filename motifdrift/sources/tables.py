@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from motifdrift import settings
 from motifdrift.functions.columns import joined_links, natural_key, parsed_links
+from motifdrift.sources.fasta import with_record_idx
+from motifdrift.sources.scratch import written
 
 ISOLATES = "isolate_name string, timestamp date, sequence string, period string"
 
@@ -37,11 +39,9 @@ def periods_in_order(df: DataFrame) -> DataFrame:
 def read_trigram_vectors(spark: SparkSession, path: str, width: int = settings.VECTOR_WIDTH) -> DataFrame:
     """CSV words, d1.. with a header; idx is the row's place in the file. The vocabulary has at most a few ten thousand rows."""
     schema = T.StructType([T.StructField("words", T.StringType()), *[T.StructField(d, T.DoubleType()) for d in vector_columns(width)]])
-    from motifdrift.sources.fasta import with_record_idx
-
     rows = spark.read.schema(schema).option("header", True).csv(path)
     placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
-    return with_record_idx(placed, ["file", "block"], "place").withColumn("idx", F.col("record_idx").cast("int")).select("idx", "words", *vector_columns(width))
+    return with_record_idx(written(placed, "trigram-vectors"), ["file", "block"], "place").withColumn("idx", F.col("record_idx").cast("int")).select("idx", "words", *vector_columns(width))
 
 
 def read_centroids(spark: SparkSession, path: str, width: int = settings.VECTOR_WIDTH) -> DataFrame:

@@ -1,7 +1,9 @@
 """Hand-made cases of the operators."""
 
 import datetime as dt
+import gzip
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,6 +203,59 @@ def test_fasta_wrapped_blank_and_dangling(spark, tmp_path):
     assert got == [(0, ">one|x", "ABCDEF"), (1, ">two|y", "GHI*"), (2, ">three", "JK")]
 
 
+def fasta_files(at):
+    rng, want = random.Random(2), []
+    for k in range(3):
+        text = []
+        for i in range(400):
+            seq = "".join(rng.choice("ACDE") for _ in range(rng.choice([0, 1, 70, 300])))
+            end = rng.choice(["\n", "\r\n"])
+            text.append(f">r{k}-{i}|é{end}" + "".join(seq[j : j + 60] + end for j in range(0, len(seq), 60)) + rng.choice(["", "\n"]))
+            if seq:
+                want.append((len(want), f">r{k}-{i}|é", seq))
+        (at / f"{k}.fasta").write_bytes("".join(text).encode())
+    (at / "3.fasta").write_text("\n\n>nothing\n>last\nGG")
+    return [*want, (len(want), ">last", "GG")]
+
+
+def test_fasta_index_reads_slices_by_offset(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    want = fasta_files(src)
+    found = []
+    for block, records, most in ((1 << 27, 50, 1 << 20), (5_000, 37, 1 << 20), (3_000, 10_000, 900)):  # numbers don't depend on how files are split
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        at = str(tmp_path / f"index-{block}")
+        fasta.index_fasta(spark, str(src), at, records, most)
+        assert sorted(tuple(r) for r in fasta.read_fasta(spark, str(src)).collect()) == want
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        for start, count in ((0, None), (0, 1), (333, 400), (len(want) - 1, 5), (len(want), 5)):
+            got = sorted(tuple(r) for r in fasta.read_indexed(spark, at, start, count).collect())
+            assert got == want[start : None if count is None else start + count]
+        found.append(spark.read.parquet(at).agg({"n_records": "sum", "end_byte": "max"}).first().asDict())
+    assert all(f == found[0] for f in found)
+
+
+def test_a_slice_reads_only_its_bytes(spark, tmp_path):
+    src, at = tmp_path / "in", str(tmp_path / "index")
+    src.mkdir()
+    want = fasta_files(src)
+    fasta.index_fasta(spark, str(src), at, 40)
+    used = [r for r in spark.read.parquet(at).collect() if r.first_record < 460 and r.first_record + r.n_records > 440]
+    assert len(used) <= 2
+    for path in src.iterdir():  # what no entry of the slice covers is overwritten
+        data = bytearray(path.read_bytes())
+        mine = set(i for r in used if r.file.endswith(path.name) for i in range(r.first_byte, r.end_byte))
+        path.write_bytes(bytes(b if i in mine else 35 for i, b in enumerate(data)))
+    assert sorted(tuple(r) for r in fasta.read_indexed(spark, at, 440, 20).collect()) == want[440:460]
+
+
+def test_a_compressed_file_is_not_indexed(spark, tmp_path):
+    (tmp_path / "a.fasta.gz").write_bytes(gzip.compress(b">a\nCC\n>b\nDD\n"))
+    with pytest.raises(ValueError, match="offsets"):
+        fasta.index_fasta(spark, str(tmp_path / "a.fasta.gz"), str(tmp_path / "index"))
+
+
 def test_fasta_order_over_many_splits(spark, tmp_path):
     rows = spark.range(5000).select(F.col("id").alias("record_idx"), F.concat(F.lit(">r"), F.col("id")).alias("description"), F.repeat(F.lit("AC"), 30).alias("sequence"))
     fasta.write_fasta(rows.coalesce(1), str(tmp_path / "f"))
