@@ -39,8 +39,10 @@ SWITCH = 14.0
 SMOOTH = 0.2
 OUTSIDE = -60.0
 UNKNOWN = "und"
-#: A text is kept if this share of its letters is in scripts that a language was learned in.
-LEAST_KNOWN = 0.3
+#: Letters fall in so many buckets in the background, where neighbours don't depend on each other. Its counts follow those of trigrams and scripts.
+LETTERS, AT_LETTERS = 1 << 12, BUCKETS + len(SCRIPTS) + 1
+#: A text goes if its labels are less likely than the background by so many nats, and less than this share of its letters is in words that they explain better.
+SURE, LEAST_TOLD = 12.0, 0.3
 #: Bytes of text labelled at once with up to FEW languages; fewer with more, as each word has a score for each. Words that Viterbi takes one after another.
 LABELLED_BYTES, FEW, BLOCK_WORDS = 8 << 20, 8, 1024
 
@@ -57,8 +59,8 @@ def letter_scripts() -> np.ndarray:
     return out
 
 
-def letter_trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the letters of all words: bucket of the trigram around each, its word, its script; and each word's letter count."""
+def letter_trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the letters of all words: bucket of the trigram around each, its word, its script; each word's letter count; and 3 x letters, the letter buckets of each trigram."""
     code = np.frombuffer(("\n" + "\n".join(words).lower() + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     word = np.cumsum(code == 10) - 1
     script = letter_scripts()[code]
@@ -68,7 +70,8 @@ def letter_trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     mix ^= mix >> np.uint64(29)
     mix *= np.uint64(0xBF58476D1CE4E5B9)
     bucket = (mix >> np.uint64(64 - 15)).astype(np.int64)
-    return bucket, word[at], script[at], np.bincount(word[at], minlength=len(words))[: len(words)]
+    near = np.stack([code[at - 1], code[at], code[at + 1]]).astype(np.int64) % LETTERS
+    return bucket, word[at], script[at], np.bincount(word[at], minlength=len(words))[: len(words)], near
 
 
 @dataclass
@@ -76,11 +79,14 @@ class Model:
     languages: list[str]
     table: np.ndarray  # BUCKETS x languages: log probabilities
     allowed: np.ndarray  # scripts x languages: bool
+    background: np.ndarray  # LETTERS: log probabilities of single letters
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """words x languages; letters of each word; and whether it has any in a script that was learned. Other words say nothing."""
-        bucket, word, script, letters = letter_trigrams(words)
-        scores, seen = np.zeros((len(words), len(self.languages)), np.float32), np.zeros(len(words), bool)
+        """words x languages; letters of each word; and what the background gives each word. Words of no learned script say nothing for a language, and nothing against the background."""
+        bucket, word, script, letters, near = letter_trigrams(words)
+        scores = np.zeros((len(words), len(self.languages)), np.float32)
+        # Three letters by themselves, or any trigram as likely as another.
+        apart = np.bincount(word, weights=np.maximum(self.background[near].sum(0), -np.log(BUCKETS)), minlength=len(words))
         if len(word):
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             scores[word[first]] = np.add.reduceat(self.table[bucket], first, axis=0)
@@ -88,7 +94,8 @@ class Model:
             allowed = self.allowed[counts.argmax(1)]
             seen = allowed.any(1) & (letters > 0)
             scores = np.where(seen[:, None], scores + np.where(allowed, 0, OUTSIDE).astype(np.float32), 0)
-        return scores, letters, seen
+            apart = np.where(seen, apart, -OUTSIDE * (letters > 0))
+        return scores, letters, apart
 
     def slice_bytes(self) -> int:
         return max(64 << 10, LABELLED_BYTES * FEW // max(FEW, len(self.languages)))
@@ -167,28 +174,30 @@ def fitted(docs: DataFrame, most_docs: int = TRAIN_DOCS) -> Model | None:
         for batch, text in slices(batches):
             langs = batch.column(1).to_pylist()
             codes, distinct, offsets = coded_words(text)
-            bucket, word, script, _ = letter_trigrams(distinct)
+            bucket, word, script, _, near = letter_trigrams(distinct)
             for lang in set(langs):
                 mine = np.repeat(np.array([x == lang for x in langs]), np.diff(offsets))
                 times = np.bincount(codes[mine], minlength=len(distinct)).astype(np.float64)
-                total = totals.setdefault(lang, np.zeros(BUCKETS + OTHER + 1))
+                total = totals.setdefault(lang, np.zeros(AT_LETTERS + LETTERS))
                 total += np.bincount(bucket, weights=times[word], minlength=len(total))
                 total += np.bincount(BUCKETS + script.astype(np.int64), weights=times[word], minlength=len(total))
+                for letter in near:
+                    total += np.bincount(AT_LETTERS + letter, weights=times[word], minlength=len(total))
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(total[at].astype(np.int64))})
 
     counts = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = counts.toArrow()  # languages x (buckets + scripts) rows at most
+    rows = counts.toArrow()  # languages x (buckets, scripts and letters) rows at most
     if not rows.num_rows:
         return None
     languages = sorted(set(rows.column("lang").to_pylist()))
-    dense = np.zeros((BUCKETS + OTHER + 1, len(languages)))
+    dense = np.zeros((AT_LETTERS + LETTERS, len(languages)))
     dense[rows.column("bucket").to_numpy(), np.searchsorted(np.array(languages, object), np.array(rows.column("lang").to_pylist(), object))] = rows.column("n").to_numpy()
-    grams, scripts = dense[:BUCKETS], dense[BUCKETS:]
+    grams, scripts, alone = dense[:BUCKETS], dense[BUCKETS:AT_LETTERS], dense[AT_LETTERS:].sum(1)
     table = np.log((grams + SMOOTH) / (grams.sum(0) + SMOOTH * BUCKETS)).astype(np.float32)
     share = np.maximum(scripts / np.maximum(1, scripts.sum(1, keepdims=True)), scripts / np.maximum(1, scripts.sum(0)))
-    return Model(languages, table, (share >= SCRIPT_SHARE) & (scripts > 0))
+    return Model(languages, table, (share >= SCRIPT_SHARE) & (scripts > 0), np.log((alone + SMOOTH) / (alone.sum() + SMOOTH * LETTERS)))
 
 
 def label_texts(text: pa.Array, model: Model | None, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,26 +262,35 @@ def language_report(docs: DataFrame) -> DataFrame:
     return labelled_spans(docs, fitted_on_train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-def identified(docs: DataFrame, model: Model | None, least_known: float = LEAST_KNOWN) -> DataFrame:
-    """The rows of docs whose language can be told: least_known of the letters are labelled in scripts that a language was learned in.
+def told_by_labels(text: pa.Array, model: Model, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: its letters, those in words that the Viterbi label explains better than the background does, and by how many nats all its labels do."""
+    codes, distinct, offsets = coded_words(text)
+    scores, letters, apart = model.word_scores(distinct)
+    labels = viterbi(scores[codes], offsets, switch)
+    gain = scores[codes, labels] - apart[codes]
+    owner = np.repeat(np.arange(len(text)), np.diff(offsets))
+    return tuple(np.bincount(owner, weights=w, minlength=len(text)) for w in (letters[codes], np.where(gain > 0, letters[codes], 0), gain))
+
 
-    Texts without letters go, and those of scripts nobody has labelled. Texts of several languages stay, however evenly they are mixed, as
-    each of their spans has its label. If nothing was learned, every text with a letter stays. All columns stay; nothing is shuffled.
+def identified(docs: DataFrame, model: Model | None, sure: float = SURE, least_told: float = LEAST_TOLD) -> DataFrame:
+    """The rows of docs whose language can be told by the labels of their words.
+
+    A text goes if it has no letter; or if a background in which letters don't depend on their neighbours explains it better than the languages of its
+    Viterbi labels do, by `sure` nats, and less than least_told of its letters are in words where a label does better. So languages go that nobody has labelled,
+    in any script, and random letters; texts of several learned languages stay, however evenly they are mixed, and so do texts too short to tell. If
+    nothing was learned, every text with a letter stays. All columns stay; nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch, text in slices(batches, most=own.slice_bytes() if own else LABELLED_BYTES):
-            codes, distinct, offsets = coded_words(text)
             if own is None:
-                letters = letter_trigrams(distinct)[3]
-                known = letters
-            else:
-                _, letters, seen = own.word_scores(distinct)
-                known = np.where(seen, letters, 0)
-            owner = np.repeat(np.arange(len(text)), np.diff(offsets))
-            total, told = (np.bincount(owner, weights=x[codes], minlength=len(text)) for x in (letters, known))
-            yield batch.filter(pa.array((total > 0) & (told >= least_known * total)))
+                codes, distinct, offsets = coded_words(text)
+                letters = np.bincount(np.repeat(np.arange(len(text)), np.diff(offsets)), weights=letter_trigrams(distinct)[3][codes], minlength=len(text))
+                yield batch.filter(pa.array(letters > 0))
+                continue
+            letters, told, gain = told_by_labels(text, own)
+            yield batch.filter(pa.array((letters > 0) & ((gain > -sure) | (told >= least_told * letters))))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -195,6 +195,64 @@ def test_evenly_mixed_texts_and_unknown_scripts(spark):
     assert {r.doc_id for r in nothing.collect()} == {1, 2, 3}
 
 
+@pytest.fixture(scope="module")
+def four(spark):
+    """A model of four Latin languages, each of its own syllables, and a maker of their sentences; "ee" and "ff" aren't learned."""
+    syllables = {
+        "aa": ["the", "ing", "wh", "ou", "st", "an"], "bb": ["sch", "ung", "ber", "ei", "tz", "en"], "cc": ["que", "ado", "ll", "ci", "ra", "os"], "dd": ["eau", "oi", "ment", "re", "vi", "la"],
+        "ee": ["kko", "yyt", "ään", "uus", "vat", "pii"], "ff": ["szcz", "owa", "zny", "rzy", "dź", "ków"],
+    }
+    rng = random.Random(11)
+    say = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n)) + "."
+    rows = [(i, say(lang, 60), lang) for i, lang in enumerate(["aa", "bb", "cc", "dd"] * 40)]
+    return lang_id.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string")), say, rows
+
+
+def test_languages_without_labels_go(spark, four):
+    model, say, rows = four
+    mixed = " ".join(say(lang, 12) for lang in ("aa", "bb", "cc", "dd"))
+    stay = {1: say("aa", 40), 2: mixed, 3: " ".join(say(lang, 3) for lang in ("aa", "bb", "cc", "dd") * 5), 4: "ok", 5: f"{say('bb', 30)} {say('ee', 25)}", 6: say("dd", 1)}
+    stay[7] = say("cc", 12) + ' token = "dfd1944d2e84f15e89902e34b677eb5a8a7d42ab"'
+    go = {20: say("ee", 40), 21: say("ff", 40), 22: "zxqv wqkj xkcd bvnm qqzz jjxx", 23: "漢字仮名 カナ 漢字", 24: None, 25: "", 26: "12 .. !", 27: say("ee", 2000), 28: "Жи ра но ти щука"}
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in {**stay, **go}.items()], "doc_id long, text string, score double").repartition(3)
+    kept = lang_id.identified(docs, model)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == set(stay)
+    assert lang_id.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).count() == len(rows)
+
+
+def test_scores_and_evidence_from_recounted_letters(four):
+    model, say, rows = four
+    grams, letters = {lang: Counter() for lang in model.languages}, Counter()
+    around = lambda w: [(a, b, c) for a, b, c in zip("\n" + w[:-1], w, w[1:] + "\n", strict=True) if b.isalpha()]
+    for _, text, lang in rows:
+        for w in text.lower().split():
+            grams[lang].update(around(w))
+            letters.update(x for g in around(w) for x in g)
+    kept = [w for w in {w for _, t, _ in rows for w in t.lower().split()}]
+    scores, n, apart = model.word_scores(kept)
+    everything, size = sum(letters.values()), lang_id.SMOOTH * lang_id.BUCKETS
+    # Buckets of hashes may be shared, which can only raise a count.
+    close = 0
+    for i, w in enumerate(kept):
+        assert n[i] == sum(c.isalpha() for c in w)
+        back = sum(max(sum(np.log((letters[x] + lang_id.SMOOTH) / (everything + lang_id.SMOOTH * lang_id.LETTERS)) for x in g), -np.log(lang_id.BUCKETS)) for g in around(w))
+        assert apart[i] == pytest.approx(back, rel=1e-6)
+        for k, lang in enumerate(model.languages):
+            own = sum(np.log((grams[lang][g] + lang_id.SMOOTH) / (sum(grams[lang].values()) + size)) for g in around(w))
+            assert scores[i, k] >= own - 1e-3
+            close += scores[i, k] == pytest.approx(own, abs=1e-3)
+    assert close > 0.9 * len(kept) * len(model.languages)
+    texts = [say("aa", 9), say("ee", 9), say("aa", 5) + " " + say("bb", 5)]
+    total, told, gain = lang_id.told_by_labels(pa.array(texts), model)
+    for i, t in enumerate(texts):
+        words = t.split()
+        scores, n, apart = model.word_scores(words)
+        labels = brute_viterbi(scores, lang_id.SWITCH) if len(words) < 9 else lang_id.viterbi(scores, np.array([0, len(words)]), lang_id.SWITCH)
+        own = [scores[j, label] - apart[j] for j, label in enumerate(labels)]
+        assert (total[i], told[i]) == (sum(n), sum(m for m, g in zip(n, own, strict=True) if g > 0)) and gain[i] == pytest.approx(sum(own), abs=1e-2)
+
+
 def test_windows_of_long_words_are_one_word():
     marks = toxicity.Landmarks(["grubbish", "plainly"], 1)
     pad = "acdefjklmnopqtvwxyz"
