@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import math
+import os
 import random
 
 import pytest
@@ -279,6 +280,49 @@ def test_stream_equals_batches_and_does_not_repeat(spark, tmp_path):
     assert got == [("2021-3", "iso/1", "2021-03-05"), ("2021-3", "iso/2", "2021-03-10"), ("2021-3", "iso/3", "2021-03-02")]
 
 
+@pytest.mark.parametrize("files", [1, 3, 1000])
+def test_ingest_restarts_from_its_state_alone(spark, tmp_path, files):
+    """Many files to a batch or few, and after a restart: the same rows, without what is stored being read."""
+    rng = random.Random(6)
+    src, root, seen, want = tmp_path / "in", tmp_path / "out", set(), []
+    src.mkdir()
+    seq = "A" * 1272 + "*"
+    for i in range(8):
+        rows = [(f"iso/{rng.randrange(6)}", rng.choice(["2021-02-01", "2021-03-04", "2021-03-31", "2021-05-10"])) for _ in range(rng.choice([3, 9, 40]))]
+        rows += [("iso/hot", f"2021-0{1 + i % 4}-03")] * 300
+        (src / f"{i}.fasta").write_text("".join(f">S|{n}|{d}|x\n{seq}\n" for n, d in rows))
+        os.utime(src / f"{i}.fasta", (1_700_000_000 - i, 1_700_000_000 - i) if i < 4 else (1_700_000_000 + i, 1_700_000_000 + i))
+    for i in (3, 2, 1, 0, 4, 5, 6, 7):  # in order of arrival
+        first = {}
+        for record in (src / f"{i}.fasta").read_text().split(">")[1:]:
+            _, name, day, _ = record.split("\n")[0].split("|")
+            first.setdefault(name, dt.date.fromisoformat(day[:8] + f"{int(day[8:]) + 1:02d}") if day != "2021-03-31" else None)
+        for name, day in first.items():
+            if day and (name, day.month) not in seen:
+                seen.add((name, day.month))
+                want.append((name, day, f"{i}.fasta"))
+    later = [src / f"{i}.fasta" for i in range(4, 8)]
+    for f in later:
+        f.rename(tmp_path / f.name)
+    run = lambda: ingest.ingest_stream(spark, str(src), str(root), str(tmp_path / "ck"), files=files)
+    one = run()
+    one.awaitTermination()
+    found = [(r.isolate_name, r.timestamp, r.file.rsplit("/", 1)[1]) for r in ingest.stored(spark, str(root)).collect()]
+    for path in root.rglob("*.parquet"):  # a batch that read what is stored would miss these
+        path.write_bytes(b"")
+    for f in later:
+        (tmp_path / f.name).rename(f)
+    two = run()
+    two.awaitTermination()
+    for path in root.rglob("*.parquet"):
+        if path.stat().st_size:
+            found += [(r.isolate_name, r.timestamp, r.file.rsplit("/", 1)[1]) for r in spark.read.parquet(str(path)).collect()]
+    assert sorted(found) == sorted(want)
+    assert two.lastProgress["stateOperators"][0]["customMetrics"].get("rocksdbCommitCheckpointLatency") is not None
+    run().awaitTermination()  # nothing new
+    assert not hasattr(spark, "_motifdrift_paths") or not any("ingest" in p for p in spark._motifdrift_paths)
+
+
 def test_tables_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("a", dt.date(2021, 3, 4), "S", "2021-3"), ("b", dt.date(2021, 4, 4), "T", "2021-4")], tables.ISOLATES)
     tables.write_periods(rows, str(tmp_path / "p"))
