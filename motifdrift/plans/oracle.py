@@ -318,7 +318,7 @@ def oracle_sql() -> dict[str, str]:
         "stored_cluster_labels": sql(f"SELECT vec_id, period_idx, cluster FROM ({nearest('points', 'centroids')})"),
         "ingest_stream": sql("SELECT period, count(*) AS n, count(DISTINCT isolate_name) AS n_isolates FROM monthly GROUP BY period"),
         "replaced_centroids": sql("""
-            SELECT period_idx::VARCHAR AS period, cluster, round(CASE WHEN period_idx >= 2 THEN v + 1 ELSE v END, 6) AS d1 FROM centroid_values WHERE pos = 0 AND period_idx <= 3"""),
+            SELECT period_idx::VARCHAR AS period, cluster, round(CASE WHEN period_idx IN (2, 3) THEN v + 1 ELSE v END, 6) AS d1 FROM centroid_values WHERE pos = 0"""),
         "sort_centroids": sql("""
             SELECT '2020-' || (1 + vec_id % 12)::VARCHAR AS period, cluster, round(avg(v), 6) AS d1 FROM point_values WHERE pos = 0 GROUP BY 1, 2"""),
         "stored_vectors": sql(f"SELECT record_idx, period, {', '.join(DIMS)} FROM vectors JOIN members USING (record_idx)"),

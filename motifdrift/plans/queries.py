@@ -197,13 +197,13 @@ def stored_cluster_labels(spark, d):
 
 @query
 def replaced_centroids(spark, d):
-    """The first periods' centroids are stored, and those of the last of them replaced and those of a new period added."""
+    """All periods' centroids are stored, and then those of two periods replaced."""
     path = new_path(spark, "centroids")
     first = fx.DIMS[0]
     rows = fx.centroids(spark, d).select(
         "period_idx", F.col("period_idx").cast("string").alias("period"), "cluster", F.array().cast("array<int>").alias("next_cluster"), *[F.get("features", F.lit(i)).alias(name) for i, name in enumerate(fx.DIMS)]
     )
-    tables.write_centroids(rows.filter("period_idx <= 2").drop("period_idx"), path)
+    tables.write_centroids(rows.drop("period_idx"), path)
     tables.write_centroids(rows.filter("period_idx in (2, 3)").withColumn(first, F.col(first) + 1).drop("period_idx"), path)
     return tables.read_centroids(spark, path, fx.WIDTH).select("period", "cluster", F.round(first, 6).alias(first))
 

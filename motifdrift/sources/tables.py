@@ -1,4 +1,4 @@
-"""Period tables, trigram vectors, centroids, vectors and datasets: readers with explicit schemas, and idempotent writers."""
+"""Period tables, trigram vectors, centroids, vectors and datasets: readers with explicit schemas, and writers that commit a version (see snapshots)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from motifdrift import settings
 from motifdrift.functions.columns import joined_links, natural_key, parsed_links
 from motifdrift.sources.fasta import with_record_idx
 from motifdrift.sources.scratch import written
+from motifdrift.sources.snapshots import read_table, write_table
 
 ISOLATES = "isolate_name string, timestamp date, sequence string, period string"
 
@@ -23,13 +24,13 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_periods(spark: SparkSession, root: str, schema: str = ISOLATES) -> DataFrame:
-    """All periods; filter on period to read only its folder."""
-    return spark.read.schema(schema).parquet(root)
+    """All periods; filter on period to read only its folders. Also of plain folders that something else has written."""
+    return read_table(spark, root, schema)
 
 
 def write_periods(df: DataFrame, root: str, mode: str = "append") -> None:
-    """One folder for each period that has rows. mode 'overwrite' replaces only the periods that df has."""
-    df.write.partitionBy("period").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(root)
+    """Commits a version with a folder for each period that has rows. mode 'overwrite' replaces only the periods that df has, 'replace' all."""
+    write_table(df, root, "period", mode)
 
 
 def periods_in_order(df: DataFrame) -> DataFrame:
@@ -47,29 +48,28 @@ def read_trigram_vectors(spark: SparkSession, path: str, width: int = settings.V
 def read_centroids(spark: SparkSession, path: str, width: int = settings.VECTOR_WIDTH) -> DataFrame:
     """CSV period, cluster, next_cluster (text), d1..; next_cluster becomes array<int>, whatever its values look like."""
     fields = [("period", T.StringType()), ("cluster", T.IntegerType()), ("next_cluster", T.StringType()), *[(d, T.DoubleType()) for d in vector_columns(width)]]
-    rows = spark.read.schema(T.StructType([T.StructField(*f) for f in fields])).option("header", True).csv(path)
+    rows = read_table(spark, path, ", ".join(f"{name} {kind.simpleString()}" for name, kind in fields), source="csv", header=True)
     return rows.select(*[name for name, _ in fields]).withColumn("next_cluster", parsed_links(F.col("next_cluster")))
 
 
 def write_centroids(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder for each period, so centroids of single periods are replaced: only the periods that df has. mode 'replace' drops all others."""
     rows = df.withColumn("next_cluster", joined_links(F.col("next_cluster"))).withColumn("of_period", F.col("period"))
-    out = rows.write.partitionBy("of_period").mode("overwrite").option("header", True).option("emptyValue", "")
-    out.option("partitionOverwriteMode", "static" if mode == "replace" else "dynamic").csv(path)
+    write_table(rows, path, "of_period", mode, "csv", header=True, emptyValue="")
 
 
 def write_vectors(df: DataFrame, root: str, mode: str = "overwrite") -> None:
     """Sequence vectors (a key, d1.., period): one folder for each period; 'overwrite' replaces only the periods that df has."""
-    df.write.partitionBy("period").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(root)
+    write_table(df, root, "period", mode)
 
 
 def read_vectors(spark: SparkSession, root: str, key: str = "record_idx", width: int = settings.VECTOR_WIDTH) -> DataFrame:
     """All vectors; filter on period to read only its folder."""
-    return spark.read.schema(f"{key} long, " + ", ".join(f"{d} double" for d in vector_columns(width)) + ", period string").parquet(root)
+    return read_table(spark, root, f"{key} long, " + ", ".join(f"{d} double" for d in vector_columns(width)) + ", period string")
 
 
 def write_cluster_labels(isolates: DataFrame, labels: DataFrame, root: str, key: str = "seq_id") -> None:
-    """Writes isolates (with period) with the cluster of labels (key, cluster); replaces only the periods that isolates has. root is not what isolates is read from."""
+    """Writes isolates (with period) with the cluster of labels (key, cluster); replaces only the periods that isolates has. isolates may be read from root."""
     write_periods(with_cluster_labels(isolates, labels, key), root, "overwrite")
 
 
@@ -79,18 +79,20 @@ def with_cluster_labels(isolates: DataFrame, labels: DataFrame, key: str = "seq_
 
 
 def write_dataset(df: DataFrame, path: str, shard: int | None = None) -> None:
-    """y and x (array of int arrays) as CSV: y, then one printed list for each step. Shards are folders shard=N."""
+    """y and x (array of int arrays) as CSV: y, then one printed list for each step. A shard replaces only itself; without one, all."""
     found = df.agg(F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high")).first()
     if found.low != found.high:
         raise ValueError(f"rows have {found.low} to {found.high} steps")
     steps = [F.to_json(F.get("x", F.lit(i))).alias(str(i)) for i in range(found.high or 0)]
-    df.select("y", *steps).write.mode("overwrite").option("header", True).csv(path if shard is None else f"{path}/shard={shard}")
+    if shard is None:
+        write_table(df.select("y", *steps), path, mode="replace", source="csv", header=True)
+    else:
+        write_table(df.select("y", *steps, F.lit(shard).alias("shard")), path, "shard", "overwrite", "csv", header=True)
 
 
 def read_dataset(spark: SparkSession, path: str, steps: int) -> DataFrame:
     """y, x from CSV; printed lists are parsed."""
-    schema = T.StructType([T.StructField("y", T.IntegerType()), *[T.StructField(str(i), T.StringType()) for i in range(steps)]])
-    rows = spark.read.schema(schema).option("header", True).csv(path)
+    rows = read_table(spark, path, ", ".join(["y int", *[f"`{i}` string" for i in range(steps)]]), source="csv", header=True)
     return rows.select("y", F.array(*[F.from_json(F.col(f"`{i}`"), "array<int>") for i in range(steps)]).alias("x"))
 
 

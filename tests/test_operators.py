@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from motifdrift import settings
 from motifdrift.functions import columns as c
 from motifdrift.operators import clean, cluster, dataset, features, link, metrics, ngrams, walks
-from motifdrift.sources import fasta, tables
+from motifdrift.sources import fasta, snapshots, tables
 from motifdrift.streaming import ingest
 
 
@@ -323,6 +323,76 @@ def test_ingest_restarts_from_its_state_alone(spark, tmp_path, files):
     assert not hasattr(spark, "_motifdrift_paths") or not any("ingest" in p for p in spark._motifdrift_paths)
 
 
+def stored_rows(spark, root, version=None):
+    return sorted(tuple(r) for r in snapshots.read_table(spark, root, "id long, x string, g string", version).collect())
+
+
+@pytest.fixture
+def lots(spark):
+    return lambda *rows: spark.createDataFrame([(i, x, g) for i, x, g in rows], "id long, x string, g string")
+
+
+def test_a_killed_overwrite_changes_nothing(spark, tmp_path, lots, monkeypatch):
+    root = f"file://{tmp_path}/t"
+    with pytest.raises(Exception, match="division|DIVIDE"):
+        snapshots.write_table(lots((1, "a", "p")).withColumn("id", F.expr("id div 0")), root, "g")
+    assert stored_rows(spark, root) == []  # a killed first write
+    snapshots.write_table(lots((1, "a", "p"), (2, "b", "q")), root, "g")
+    want = [(1, "a", "p"), (2, "b", "q")]
+    torn = lots(*[(i, "new", "p") for i in range(40)]).repartition(8).withColumn("id", F.expr("if(id = 17, raise_error('killed'), id)").cast("long"))
+    with pytest.raises(Exception, match="killed"):
+        snapshots.write_table(torn, root, "g", "overwrite")
+    assert stored_rows(spark, root) == want
+    with monkeypatch.context() as m:  # the driver is lost between the files and the commit
+        m.setattr(snapshots.Manifests, "commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            snapshots.write_table(lots((9, "lost", "p")), root, "g", "overwrite")
+    assert stored_rows(spark, root) == want
+    snapshots.write_table(lots((3, "c", "p")), root, "g", "overwrite")
+    assert stored_rows(spark, root) == [(2, "b", "q"), (3, "c", "p")] and stored_rows(spark, root, 1) == want
+    again = snapshots.read_table(spark, root, "id long, x string, g string").withColumn("x", F.upper("x"))
+    snapshots.write_table(again, root, "g", "overwrite")  # from and to the same table
+    assert stored_rows(spark, root) == [(2, "B", "q"), (3, "C", "p")]
+    assert snapshots.clean_table(spark, root, age_s=3600) == 0
+    assert snapshots.clean_table(spark, root, kept=1, age_s=0) >= 3
+    assert stored_rows(spark, root) == [(2, "B", "q"), (3, "C", "p")]
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 1
+    snapshots.write_table(lots((5, "e", "r")), root, "g", "replace")
+    assert stored_rows(spark, root) == [(5, "e", "r")]
+    snapshots.write_table(lots(), root, "g", "replace")
+    assert stored_rows(spark, root) == []
+
+
+def test_writers_that_meet_both_count(spark, tmp_path, lots, monkeypatch):
+    root, real, met = f"file://{tmp_path}/t", snapshots.Manifests.commit, []
+
+    def late(self, state, after):
+        if not met:  # another writer commits first
+            met.append(1)
+            snapshots.write_table(lots((1, "other", "p"), (4, "d", "s")), root, "g")
+        return real(self, state, after)
+
+    monkeypatch.setattr(snapshots.Manifests, "commit", late)
+    assert snapshots.write_table(lots((2, "mine", "p")), root, "g") == 2
+    assert stored_rows(spark, root) == [(1, "other", "p"), (2, "mine", "p"), (4, "d", "s")]
+    with pytest.raises(snapshots.Conflict):
+        real(snapshots.Manifests(spark, root), {"parts": {}}, 1)
+    assert stored_rows(spark, root) == [(1, "other", "p"), (2, "mine", "p"), (4, "d", "s")]
+
+
+def test_stored_shards_and_plain_folders(spark, tmp_path):
+    data = lambda y: spark.createDataFrame([(y, [[1, 2, 3], [4, 5, 6]])], "y int, x array<array<int>>")
+    for shard, y in ((0, 1), (1, 2), (0, 3)):
+        tables.write_dataset(data(y), str(tmp_path / "d"), shard)
+    assert sorted(r.y for r in tables.read_dataset(spark, str(tmp_path / "d"), 2).collect()) == [2, 3]
+    tables.write_dataset(data(7), str(tmp_path / "d"))
+    assert [r.y for r in tables.read_dataset(spark, str(tmp_path / "d"), 2).collect()] == [7]
+    rows = spark.createDataFrame([("a", dt.date(2021, 3, 4), "S", "2021-3")], tables.ISOLATES)
+    rows.write.partitionBy("period").parquet(str(tmp_path / "plain"))
+    assert [r.sequence for r in tables.read_periods(spark, str(tmp_path / "plain")).collect()] == ["S"]
+    assert "PartitionFilters: [isnotnull(period" in tables.read_periods(spark, str(tmp_path / "plain")).filter("period = '2021-3'")._jdf.queryExecution().toString()
+
+
 def test_tables_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("a", dt.date(2021, 3, 4), "S", "2021-3"), ("b", dt.date(2021, 4, 4), "T", "2021-4")], tables.ISOLATES)
     tables.write_periods(rows, str(tmp_path / "p"))
