@@ -70,7 +70,7 @@ def letter_trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     mix ^= mix >> np.uint64(29)
     mix *= np.uint64(0xBF58476D1CE4E5B9)
     bucket = (mix >> np.uint64(64 - 15)).astype(np.int64)
-    near = np.stack([code[at - 1], code[at], code[at + 1]]).astype(np.int64) % LETTERS
+    near = np.stack([code[at - 1] % LETTERS, code[at] % LETTERS, code[at + 1] % LETTERS]).astype(np.int16)
     return bucket, word[at], script[at], np.bincount(word[at], minlength=len(words))[: len(words)], near
 
 
@@ -171,7 +171,7 @@ def fitted(docs: DataFrame, most_docs: int = TRAIN_DOCS) -> Model | None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch, text in slices(batches):
+        for batch, text in slices(batches, most=LABELLED_BYTES // 2):
             langs = batch.column(1).to_pylist()
             codes, distinct, offsets = coded_words(text)
             bucket, word, script, _, near = letter_trigrams(distinct)
@@ -182,7 +182,7 @@ def fitted(docs: DataFrame, most_docs: int = TRAIN_DOCS) -> Model | None:
                 total += np.bincount(bucket, weights=times[word], minlength=len(total))
                 total += np.bincount(BUCKETS + script.astype(np.int64), weights=times[word], minlength=len(total))
                 for letter in near:
-                    total += np.bincount(AT_LETTERS + letter, weights=times[word], minlength=len(total))
+                    total += np.bincount(AT_LETTERS + letter.astype(np.int64), weights=times[word], minlength=len(total))
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(total[at].astype(np.int64))})
@@ -284,7 +284,7 @@ def identified(docs: DataFrame, model: Model | None, sure: float = SURE, least_t
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch, text in slices(batches, most=own.slice_bytes() if own else LABELLED_BYTES):
+        for batch, text in slices(batches, most=own.slice_bytes() // 2 if own else LABELLED_BYTES):
             if own is None:
                 codes, distinct, offsets = coded_words(text)
                 letters = np.bincount(np.repeat(np.arange(len(text)), np.diff(offsets)), weights=letter_trigrams(distinct)[3][codes], minlength=len(text))
