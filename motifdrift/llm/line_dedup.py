@@ -10,6 +10,7 @@ and the table counts back down, so documents can be inserted and deleted again w
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifdrift.llm.shared import new_path, written
+from motifdrift.sources.snapshots import Manifests
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -133,18 +135,22 @@ def shard_of(key: str, n_shards: int):
 
 
 def keyed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key: a row for each document and counted key in it, however often the document repeats it."""
+    """doc_id, row (a hash of the text), key: a row for each document and counted key in it, however often the document repeats it.
+
+    The hash tells rows of one id apart, so that each meets its own keys alone. Whether a line goes depends on id and key, so rows whose hashes are equal do no harm.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts, out = [], []
+            for text in batch.column(1).to_pylist():
                 own = {line_key(x) for x in (text or "").split("\n")} - {None}
-                ids += [doc_id] * len(own)
+                counts.append(len(own))
                 out += sorted(own)
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(out, pa.binary())})
+            take = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.record_batch({"doc_id": batch.column(0).take(take), "row": batch.column(2).take(take), "key": pa.array(out, pa.binary())})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(keys, "doc_id long, key binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col)).mapInArrow(keys, "doc_id long, row long, key binary")
 
 
 def counted(lines: DataFrame) -> DataFrame:
@@ -181,35 +187,35 @@ def prefiltered(lines: DataFrame, repeated: DataFrame, n_shards: int, most_bytes
                     hit[mine] = opened[s].maybe(digests[mine])
             yield batch.filter(pa.array(hit))
 
-    return lines.withColumn("shard", shard_of("key", n_shards)).mapInArrow(probe, "doc_id long, key binary, shard int").drop("shard")
+    return lines.withColumn("shard", shard_of("key", n_shards)).mapInArrow(probe, "doc_id long, row long, key binary, shard int").drop("shard")
 
 
 def probed_by_shard(lines: DataFrame, filters: DataFrame) -> DataFrame:
-    """Lines (doc_id, key, shard) that their shard's filter doesn't rule out. A shard of many lines is dealt over salts, each of which gets its filter."""
+    """Lines (doc_id, row, key, shard) that their shard's filter doesn't rule out. A shard of many lines is dealt over salts, each of which gets its filter."""
     counts = lines.groupBy("shard").agg(F.count("*").alias("lines"))
     salts = written(filters.join(counts, "shard").select("shard", "filter", F.ceil(F.col("lines") / GROUP_LINES).cast("int").alias("salts")), "line-salts")
     dealt = lines.join(F.broadcast(salts.select("shard", "salts")), "shard")  # a row for each SHARD_KEYS repeated keys
-    dealt = dealt.select("doc_id", "key", "shard", F.pmod(F.xxhash64("doc_id", "key"), F.col("salts")).cast("int").alias("salt"))
+    dealt = dealt.select("doc_id", "row", "key", "shard", F.pmod(F.xxhash64("doc_id", "row", "key"), F.col("salts")).cast("int").alias("salt"))
     sent = salts.select("shard", "filter", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def probe(part: pa.Table, own: pa.Table) -> pa.Table:
         found = np.zeros(part.num_rows, bool)
         if part.num_rows and own.num_rows:
             found = CuckooFilter.from_bytes(own.column("filter")[0].as_py()).maybe(halves(part.column("key")))
-        return part.select(["doc_id", "key"]).filter(pa.array(found))
+        return part.select(["doc_id", "row", "key"]).filter(pa.array(found))
 
-    return dealt.groupBy("shard", "salt").cogroup(sent.groupBy("shard", "salt")).applyInArrow(probe, "doc_id long, key binary")
+    return dealt.groupBy("shard", "salt").cogroup(sent.groupBy("shard", "salt")).applyInArrow(probe, "doc_id long, row long, key binary")
 
 
 def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
-    """doc_id, keys: the keys whose lines that document loses."""
+    """doc_id, row, keys: the keys whose lines the rows of that id and text lose."""
     lines = written(keyed_lines(docs, id_col, text_col), "line-keys")
     repeated = written(counted(lines).filter(F.col("refs") >= least_docs), "repeated-lines")
     n_shards = max(1, -(-repeated.count() // SHARD_KEYS))
     some = prefiltered(lines, repeated.withColumn("shard", shard_of("key", n_shards)), n_shards)
     # A hot key has many rows on the left only, which Spark splits; the exact table has one row for each key.
     lost = some.join(repeated.hint("merge"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    return lost.groupBy("doc_id", "row").agg(F.collect_set("key").alias("keys"))
 
 
 def kept_lines(text: str | None, keys: list[bytes] | None) -> tuple[int, int, str]:
@@ -231,9 +237,9 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts are one empty line. Each row counts as a document, rows that repeat an id too; all rows with
     the largest id keep their lines. A null id is never the largest unless every holder's is null. An empty table gives no
-    rows. Only the two columns are read. A document has at most its own lines in the group of its dropped keys.
+    rows. Only the two columns are read. A row has at most its own lines in the group of its dropped keys, however many rows share its id.
     """
-    lost = dropped_keys(docs, id_col, text_col, least_docs).withColumnRenamed("doc_id", "_lost_id")
+    lost = dropped_keys(docs, id_col, text_col, least_docs).withColumnsRenamed({"doc_id": "_lost_id", "row": "_lost_row"})
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,13 +252,13 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in KEPT.split(", ")])
 
-    both = whole.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left").select("doc_id", "text", "keys")
+    both = whole.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")) & (F.xxhash64("text") == F.col("_lost_row")), "left").select("doc_id", "text", "keys")
     return both.mapInArrow(apply, KEPT)
 
 
 def with_kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """docs (doc_id, text, any others) with the remaining texts, and n_chars, if there, counted again. Rows and columns stay; null texts stay null."""
-    lost = dropped_keys(docs, least_docs=least_docs).select(F.col("doc_id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))
+    lost = dropped_keys(docs, least_docs=least_docs).select(F.col("doc_id").alias("_lost_id"), F.col("row").alias("_lost_row"), F.col("keys").alias("_lost_keys"))
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,23 +267,58 @@ def with_kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
             columns = {n: batch.column(n) for n in names} | {"text": pa.array(text, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost_id"]), "left").drop("_lost_id").mapInArrow(apply, docs.schema)
+    met = docs["doc_id"].eqNullSafe(lost["_lost_id"]) & (F.xxhash64(docs["text"]) == lost["_lost_row"])
+    joined = docs.join(lost, met, "left").drop("_lost_id", "_lost_row").mapInArrow(apply, docs.schema)
     return joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else joined
 
 
 class LineIndex:
     """Incremental form, stored by shard of keys under a path: who holds which line (held), exact counts (table) and filters of live keys.
 
-    insert() and delete() write a next version of the shards that they change and leave the files of all others as they are. The
-    number of shards follows the number of keys: where one outgrows SHARD_KEYS, all are dealt anew over twice as many.
+    insert() and delete() write new folders of the shards that they change and leave those of all others as they are; then they commit a manifest of what
+    counts now. Opening a path reads the newest manifest, so an index outlives its driver, and a change that was killed never happened. Of two
+    writers at once, the later one fails (Conflict) and can open the index again. clean() deletes what no manifest names any more. The
+    number of shards follows the number of keys: where one outgrows shard_keys, all are dealt anew over twice as many.
+
+    Rows that repeat an id each count, and a null id is no largest id unless every holder's is null; deleting an id takes out all its rows (null ids can't be named, and stay).
     """
 
     SCHEMAS = {"held": "doc_id long, key binary", "table": "key binary, refs long, last long", "filters": "n_keys long, filter binary"}
 
     def __init__(self, spark: SparkSession, path: str | None = None, n_shards: int = 1, shard_keys: int = SHARD_KEYS):
-        self.spark, self.path, self.n_shards, self.shard_keys, self.version = spark, path or new_path(spark, "line-index"), n_shards, shard_keys, 0
-        #: For each shard the versions that make it up: several of held, to which inserts append, and one of the others.
-        self.live: dict[str, dict[int, list[int]]] = {name: {} for name in self.SCHEMAS}
+        """n_shards and shard_keys are of a new index; one that is there keeps its own."""
+        self.spark, self.path = spark, path or new_path(spark, "line-index")
+        self.manifests, self.n_shards, self.shard_keys, self.version = Manifests(spark, self.path), n_shards, shard_keys, ""
+        self._open()
+
+    def _open(self) -> None:
+        self.number, state = self.manifests.latest()
+        self.n_shards, self.shard_keys = state.get("n_shards", self.n_shards), state.get("shard_keys", self.shard_keys)
+        #: For each shard the folders that make it up: several of held, to which inserts append, and one of the others.
+        self.live: dict[str, dict[int, list[str]]] = {name: {int(s): v for s, v in state.get("live", {}).get(name, {}).items()} for name in self.SCHEMAS}
+
+    def _changed(self, step: Callable[[DataFrame], None], rows: DataFrame) -> LineIndex:
+        """One change as a whole: it is committed, or the index is as the manifest says."""
+        try:
+            step(rows)
+            return self._commit()
+        except BaseException:
+            self._open()
+            raise
+
+    def _begin(self) -> None:
+        """New folders have a name that nothing has used, whatever was killed before."""
+        self.version = uuid.uuid4().hex
+
+    def _commit(self) -> LineIndex:
+        live = {name: {str(s): v for s, v in shards.items() if v} for name, shards in self.live.items()}
+        self.number = self.manifests.commit({"n_shards": self.n_shards, "shard_keys": self.shard_keys, "live": live}, self.number)
+        return self
+
+    def clean(self, kept: int = 2, age_s: float = 24 * 3600) -> int:
+        """Deletes folders that none of the newest manifests names; how many."""
+        folders = lambda state: {f"{name}/shard={s}/version={v}" for name, shards in state.get("live", {}).items() for s, versions in shards.items() for v in versions}
+        return self.manifests.clean(folders, 3, kept, age_s)
 
     def _read(self, name: str, shards: list[int] | None = None) -> DataFrame:
         """The live rows of the shards (None: all), with shard."""
@@ -285,14 +326,13 @@ class LineIndex:
         schema = self.SCHEMAS[name] + ", shard int"
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema + ", version int").option("basePath", f"{self.path}/{name}").parquet(*paths).drop("version")
+        return self.spark.read.schema(schema + ", version string").option("basePath", f"{self.path}/{name}").parquet(*paths).drop("version")
 
     def _write(self, name: str, rows: DataFrame, shards: list[int], append: bool = False) -> None:
-        """rows (with shard) as the next version of the shards."""
+        """rows (with shard) as new folders of the shards; a shard without rows has none."""
         rows.withColumn("version", F.lit(self.version)).write.partitionBy("shard", "version").mode("append").parquet(f"{self.path}/{name}")
-        some = {r.shard for r in self.spark.read.schema(self.SCHEMAS[name] + ", shard int, version int").parquet(f"{self.path}/{name}").filter(F.col("version") == self.version).select("shard").distinct().collect()}
         for s in shards:
-            now = [self.version] if s in some else []
+            now = [self.version] if f"version={self.version}" in {x for x, _ in self.manifests.children(f"{name}/shard={s}")} else []
             self.live[name][s] = (self.live[name].get(s, []) if append else []) + now
 
     def _with_filters(self, keys: DataFrame, shards: list[int], change: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -301,8 +341,15 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Adds documents. Keys that the filters don't know are new and skip the exact table; the others are added to its counts."""
-        self.version += 1
-        lines = written(keyed_lines(docs).withColumn("shard", shard_of("key", self.n_shards)), "line-keys")
+        return self._changed(self._insert, docs)
+
+    def delete(self, doc_ids: DataFrame) -> LineIndex:
+        """Takes documents out (doc_ids: column doc_id). Only the exact rows of their keys are counted again; keys that nobody holds leave the filters."""
+        return self._changed(self._delete, doc_ids)
+
+    def _insert(self, docs: DataFrame) -> None:
+        self._begin()
+        lines = written(keyed_lines(docs).drop("row").withColumn("shard", shard_of("key", self.n_shards)), "line-keys")
         shards = [r.shard for r in lines.select("shard").distinct().collect()]
 
         def probe(part: pa.Table, own: pa.Table) -> pa.Table:
@@ -339,10 +386,9 @@ class LineIndex:
         most = self._read("filters").agg(F.max("n_keys")).first()[0] or 0
         if most > self.shard_keys:
             self._deal_anew(self.n_shards * 2 ** max(1, (-(-most // self.shard_keys) - 1).bit_length()))
-        return self
 
     def _deal_anew(self, n_shards: int) -> None:
-        self.version += 1
+        self._begin()
         held, table = (self._read(name).withColumn("shard", shard_of("key", n_shards)) for name in ("held", "table"))
         self.live = {name: {} for name in self.SCHEMAS}
         self.n_shards, shards = n_shards, list(range(n_shards))
@@ -350,9 +396,8 @@ class LineIndex:
         self._write("table", table, shards)
         self._write("filters", filters_of(self._read("table")), shards)
 
-    def delete(self, doc_ids: DataFrame) -> LineIndex:
-        """Takes documents out (doc_ids: column doc_id). Only the exact rows of their keys are counted again; keys that nobody holds leave the filters."""
-        self.version += 1
+    def _delete(self, doc_ids: DataFrame) -> None:
+        self._begin()
         out = doc_ids.select("doc_id").distinct()
         gone = written(self._read("held").join(out, "doc_id", "left_semi").select("shard", "key").distinct(), "line-gone")
         shards = [r.shard for r in gone.select("shard").distinct().collect()]
@@ -372,7 +417,6 @@ class LineIndex:
         self._write("filters", filters, changed)
         self._write("table", table, shards)
         self._write("held", left, shards)
-        return self
 
     def counts(self) -> DataFrame:
         return self._read("table")

@@ -8,6 +8,7 @@ import pytest
 
 from motifdrift.llm import line_dedup, near_dedup
 from motifdrift.llm.components import components
+from motifdrift.sources.snapshots import Conflict
 
 SPACE = " \t\n\x0b\x0c\r"
 UP = {i: i + 32 for i in range(65, 91)}
@@ -81,6 +82,69 @@ def test_index_is_reversible(spark):
     assert table(again) == table(once)
 
 
+def index_rows(index):
+    table = {bytes(r.key): (r.refs, r.last) for r in index.counts().collect()}
+    assert (index._read("filters").agg({"n_keys": "sum"}).first()[0] or 0) == len(table)
+    return table
+
+
+def recounted(docs):
+    return {bytes(r.key): (r.refs, r.last) for r in line_dedup.counted(line_dedup.keyed_lines(docs)).collect()}
+
+
+def test_an_index_outlives_its_driver(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    line = lambda i: f"a line of some length, number {i:04d}"
+    rows = [(d, "\n".join(line((d * j) % 17) for j in range(1, 6))) for d in range(1, 31)] + [(5, line(90)), (5, line(90)), (None, line(91)), (None, None), (40, ""), (41, line(0))]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    opened = lambda: line_dedup.LineIndex(spark, path, n_shards=3)
+    assert opened().insert(frame([])).counts().count() == 0
+    opened().insert(frame(rows[:12]))
+    assert index_rows(opened()) == recounted(frame(rows[:12]))
+    opened().insert(frame(rows[12:]))  # into what another object has made
+    assert index_rows(opened()) == recounted(frame(rows))
+    for stop in ("_write", "_commit"):  # killed in the middle of a change, or right before it counts
+        index, real, calls = opened(), getattr(line_dedup.LineIndex, stop), []
+
+        def killed(self, *args, real=real, calls=calls, **kw):
+            calls.append(1)
+            if len(calls) == 2 or real.__name__ == "_commit":
+                raise KeyboardInterrupt
+            return real(self, *args, **kw)
+
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup.LineIndex, stop, killed)
+            for change in (lambda: index.insert(frame([(99, line(3))])), lambda: index.delete(frame([(1, "")]))):
+                calls.clear()
+                with pytest.raises(KeyboardInterrupt):
+                    change()
+        assert index_rows(index) == index_rows(opened()) == recounted(frame(rows))
+    first, second = opened(), opened()
+    first.delete(frame([(d, "") for d in (2, 5, 5, 7, 123)]))
+    with pytest.raises(Conflict):
+        second.insert(frame([(50, line(1))]))
+    left = [r for r in rows if r[0] not in (2, 5, 7)]
+    assert index_rows(second) == index_rows(opened()) == recounted(frame(left))
+    assert opened().clean(kept=1, age_s=0) > 0
+    assert index_rows(opened()) == recounted(frame(left))
+    # What the index says is repeated is what the query on the rest drops.
+    lost = {bytes(k) for r in line_dedup.dropped_keys(frame(left)).collect() for k in r["keys"]}
+    assert lost == {bytes(r.key) for r in opened().repeated().collect()} != set()
+    opened().delete(frame(rows).filter("doc_id is not null"))
+    assert index_rows(opened()) == recounted(frame([r for r in left if r[0] is None]))
+
+
+def test_rows_of_one_id_meet_their_own_keys_alone(spark):
+    own = lambda i: f"a line that three rows of this id hold, {i // 3:05d}"
+    rows = [(1, f"{own(i)}\nrest {i}") for i in range(600)] + [(None, own(i)) for i in range(300)] + [(2, own(0)), (2, own(0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert max(len(r["keys"]) for r in line_dedup.dropped_keys(docs).collect()) == 1
+    got = line_dedup.deduplicated_lines(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_dropped, r.kept) for r in got) == sorted(
+        (i or 0, int(i is None or (i == 1 and own(0) in t)), t.replace(own(0), "").lstrip("\n") if i == 1 else "" if i is None else t) for i, t in rows
+    )
+
+
 def test_filters_by_shard_rule_out_what_sent_ones_do(spark):
     rows = [(d, f"the repeated line, number {d % 7:05d}, is here\nan own line of document {d:06d} and no other") for d in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
