@@ -1,7 +1,7 @@
 """Exact dedup by a tree-merge of sorted digest runs, with DataFrame functions only.
 
 Every input partition makes one run: a row for each distinct text in it, with the smallest identifier and the
-count. Runs then meet in binomial rounds: in a round, FAN_IN neighbouring runs are exchanged, cut by digest
+count. Inputs of few partitions are cut into more runs, at least two for each one of a merge, so that they are merged like any other. Runs then meet in binomial rounds: in a round, FAN_IN neighbouring runs are exchanged, cut by digest
 range, and merged into one sorted run: equal digests are neighbours in its order, the first of them has the smallest identifier
 and stays with the sum of their counts. A digest has at most FAN_IN rows in any merge, however many copies it
 has. A digest is verified at every level by a second hash and the byte length, which are part of the
@@ -10,7 +10,7 @@ order: texts that shared a SHA-256 alone would stay apart. Every level's runs ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,15 +20,19 @@ FAN_IN = 8
 KEY = ["digest", "proof", "n_bytes"]
 
 
+def normalised(text_col: str) -> Column:
+    return F.regexp_replace(text_or_empty(text_col), SPACE + "+", " ")
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, digest of the normalised text, its proof (second hash, bytes), and its run."""
-    text = F.regexp_replace(text_or_empty(text_col), SPACE + "+", " ")
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("norm")).select(
+    """A row for each document: doc_id, digest of the normalised text, its proof (second hash, bytes), its run (partition) and its place there."""
+    return docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm")).select(
         "doc_id",
         F.unhex(F.sha2("norm", 256)).alias("digest"),
         F.xxhash64("norm").alias("proof"),
         F.octet_length("norm").cast("long").alias("n_bytes"),
         F.spark_partition_id().alias("run"),
+        F.monotonically_increasing_id().alias("place"),
     )
 
 
@@ -60,8 +64,10 @@ def first_runs(rows: DataFrame) -> DataFrame:
 def merged_runs(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """The root of the tree: one sorted run, a row for each distinct text. rows: a written table of digests()."""
     n = partitions(rows.sparkSession)
-    n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    runs, span = first_runs(rows), 1
+    n_parts = (rows.agg(F.max("run")).first()[0] or 0) + 1
+    cuts = max(1, -(-2 * fan_in // n_parts))
+    n_runs = n_parts * cuts
+    runs, span = first_runs(rows.withColumn("run", (F.col("run") * cuts + F.pmod("place", F.lit(cuts))).cast("int"))), 1
     while span < n_runs:
         span *= fan_in
         runs = written(merge_round(runs, span, n), "exact-runs")
@@ -89,6 +95,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their equal texts, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    """The rows of docs whose id is the smallest of their equal texts, with all their columns. Of rows with one id, each text is judged by itself."""
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]) & (F.sha2(normalised(text_col), 256) == kept["_kept_text"]), "left_semi")

@@ -59,6 +59,20 @@ def test_exact_empty_and_filter(empty, hard):
     assert {r.doc_id for r in kept.filter("doc_id in (4, 6, 7)").collect()} == {4, 7}
 
 
+def test_each_text_of_an_id_is_judged_by_itself(spark):
+    rows = [(3, "B", 1), (5, "A", 2), (5, "B", 3), (None, "B", 4), (None, "C", 5), (2, None, 6), (7, "", 7), (5, "A", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep_id int").repartition(3)
+    assert sorted(tuple(r) for r in exact_dedup.deduplicated(docs).select("keep_id").collect()) == [(1,), (2,), (5,), (6,), (8,)]
+
+
+def test_inputs_of_one_partition_are_merged_too(spark, monkeypatch):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.pmod("id", F.lit(90))).alias("text")).coalesce(1)
+    rounds, real = [], exact_dedup.merge_round
+    monkeypatch.setattr(exact_dedup, "merge_round", lambda runs, span, n: rounds.append(runs.select("run").distinct().count()) or real(runs, span, n))
+    assert all(r.keep_id == r.doc_id % 90 for r in exact_dedup.exact_groups(docs).collect())
+    assert rounds == [16, 2]
+
+
 def check_shards(rows, n_shards):
     sizes = Counter(r.shard for r in rows)
     assert max(sizes.values()) - min(sizes[s] for s in range(n_shards)) <= 1
