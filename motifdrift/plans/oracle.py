@@ -347,6 +347,17 @@ def oracle_sql() -> dict[str, str]:
         "centroid_table": sql("SELECT period_idx, cluster, pos, v FROM centroid_values"),
         "lloyd_update": sql(long("n1"), {"a1": nearest("points", "start"), "n1": means("a1", "start")}),
         "kmeans_grouped": sql(long("n2"), {"a1": nearest("points", "start"), "n1": means("a1", "start"), "a2": nearest("points", "n1"), "n2": means("a2", "n1")}),
+        "kmeans_fixed_restarts": sql(
+            f"""SELECT (fit // 100)::INT AS period_idx, ((fit % 100) // 10)::INT AS k, (fit % 10)::INT AS restart, round(cost, 3) AS cost FROM (
+                  SELECT period_idx AS fit, sum(dist2) AS cost FROM ({nearest("rp", "n2")}) GROUP BY 1)
+                QUALIFY row_number() OVER (PARTITION BY fit // 10 ORDER BY cost, fit) = 1""",
+            {
+                "rp": """SELECT vec_id * 100 + k * 10 + r AS vec_id, period_idx * 100 + k * 10 + r AS period_idx, f FROM points, (VALUES (3), (4)) AS ks(k), (VALUES (0), (1), (2)) AS rs(r)""",
+                "rs": """SELECT period_idx * 100 + k * 10 + r AS period_idx, (vec_id // 6 - r * k)::INT AS cluster, f
+                         FROM points, (VALUES (3), (4)) AS ks(k), (VALUES (0), (1), (2)) AS rs(r) WHERE vec_id // 6 BETWEEN r * k AND r * k + k - 1""",
+                "a1": nearest("rp", "rs"), "n1": means("a1", "rs"), "a2": nearest("rp", "n1"), "n2": means("a2", "n1"),
+            },
+        ),
         "inertia": sql(f"SELECT period_idx, round(sum(dist2), 3) AS inertia, count(*) AS n FROM ({nearest('points', 'centroids')}) GROUP BY 1"),
         "forward_links": sql("SELECT period_idx, src, dst FROM fwd", links("centroids")),
         "backward_links": sql("SELECT period_idx, src, dst FROM bwd", links("centroids")),

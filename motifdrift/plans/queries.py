@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motifdrift import settings
 from motifdrift.functions.columns import joined_links, natural_key, trigrams
-from motifdrift.operators import clean, cluster, dataset, features, link, metrics, models, ngrams, walks
+from motifdrift.operators import clean, cluster, dataset, features, link, metrics, models, ngrams, restarts, walks
 from motifdrift.plans import fixtures as fx
 from motifdrift.sources import fasta, tables
 from motifdrift.sources.scratch import new_path, written
@@ -391,6 +391,31 @@ def kmeans_fit(spark, d):
     return cluster.labelled(rows.drop("cluster"), model).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+KS, RESTARTS = (3, 4), 3
+
+
+@query
+def kmeans_fixed_restarts(spark, d):
+    """All periods, two numbers of clusters and three given starts in the same passes: the best start of each after two rounds."""
+    rows = fx.points(spark, d).drop("cluster")
+    first = rows.filter(F.col("vec_id") < 6 * max(KS) * RESTARTS).orderBy("vec_id").collect()  # the points that are starts
+    of = {p: [r.features for r in first if r.period_idx == p] for p in range(6)}
+    starts = {(p, k, r): of[p][r * k : (r + 1) * k] for p in range(6) for k in KS for r in range(RESTARTS)}
+    found = restarts.restarted_fits(rows, list(starts), "vec_id", max_iter=2, tolerance=0.0, starts=starts)
+    return restarts.best_fits(found).select("period_idx", "k", "restart", F.round("cost", 3).alias("cost"))
+
+
+@query
+def kmeans_restarts(spark, d):
+    """Forty drawn restarts for each period and number of clusters, in one go: the best cost of each, and how many points its largest cluster has."""
+    rows = fx.points(spark, d).drop("cluster")
+    fits = [(p, k, r) for p in range(6) for k in (2, 3, 4, 5) for r in range(40)]
+    best = written(restarts.best_fits(restarts.restarted_fits(rows, fits, "vec_id", max_iter=30)), "best-fits")
+    of_three = restarts.centroids_of(best.filter("k = 3"))
+    most = cluster.assign_nearest(rows, of_three).groupBy("period_idx", "cluster").agg(F.count("*").alias("n")).groupBy("period_idx").agg(F.max("n").alias("largest_of_three"))
+    return best.select("period_idx", "k", "restart", "cost").join(most, "period_idx")
+
+
 @query
 def elbow_table(spark, d):
     return cluster.elbow_table(fx.points(spark, d), 2, 5, seeds=(1,), max_iter=30)
