@@ -85,11 +85,6 @@ def site_letters(sequence: Column, ranges: list[tuple[int, int]]) -> Column:
     return F.concat(*[F.rpad(F.substring(sequence, F.lit(x), F.lit(y - x + 1)), y - x + 1, " ") for x, y in ranges])
 
 
-def letter_differences(a: Column, b: Column) -> Column:
-    """At how many places two texts of equal length differ."""
-    return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda z: z))
-
-
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 

@@ -81,7 +81,7 @@ def create_dataset(
 ) -> DataFrame:
     """row_id, y, x of about `rows` rows, shuffled: windows of periods, walks shared out over them, a row for each walk and site.
 
-    members: numbered_members() with sequences; links: period_idx, cluster, next_cluster. Periods are numbered without gaps.
+    members: numbered_members() with sequences; links: period_idx, cluster, next_cluster. Periods may be missing.
     """
     links = written(links, "dataset-links")
     periods = links.select("period_idx", F.col("period_idx").alias("period")).distinct()

@@ -1,17 +1,23 @@
 """Period windows, and reproducible random walks of sequences along cluster links.
 
 Draws are md5 hashes of (seed, sample, round, step, attempt, purpose), so they don't depend on partitions or retries.
-A step is one equi-join for all walks at once.
+A step is one equi-join for all walks at once, to the next period that is present. With very many walks, candidates are tried in waves: most
+walks pass with one of the first, and only the others' further candidates travel.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motifdrift import settings
-from motifdrift.functions.columns import drawn, letter_differences, site_letters
+from motifdrift.functions.columns import drawn, site_letters
 from motifdrift.operators.ordered import numbered
 from motifdrift.sources.scratch import written
 
@@ -21,6 +27,8 @@ SAMPLES = 10_000
 WRITTEN_STEPS = 4
 #: So many times as many rounds of the walks that are left are tried at once.
 LANES = 4
+#: From so many walks on, a step tries candidates in waves: the first by itself, then two, then the rest.
+WAVE_ROWS, WAVES = 1_000_000, (1, 3)
 
 
 def period_windows(periods: DataFrame, size: int = settings.WINDOW_SIZE) -> DataFrame:
@@ -82,40 +90,83 @@ def with_member(state: DataFrame, members: DataFrame, number, take: tuple[str, .
     return met if "member_no" in take else met.drop("member_no")
 
 
-def walk_step(state: DataFrame, links: DataFrame, members: DataFrame, seed: int, step: int, judged: bool, sizes: DataFrame | None = None) -> DataFrame:
-    """One step of all walks: sample_id, turn, period_idx, cluster, letters, path -> the same, one period on. Walks without a fitting candidate are gone.
+def with_next_period(links: DataFrame) -> DataFrame:
+    """links with next_period: the next period that is present, which next_cluster is of; null in the last one. A row for each period is ordered."""
+    following = links.select("period_idx").distinct().withColumn("next_period", F.lead("period_idx").over(Window.orderBy("period_idx")))
+    return links.join(F.broadcast(following), "period_idx")
+
+
+def near_enough(tried: DataFrame, most: int) -> DataFrame:
+    """Rows of tried whose letters differ from those before in `most` places at most; without the column before. Arrays of bytes are compared, other texts letter by letter."""
+    names = [c for c in tried.columns if c != "before"]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("before"), batch.column("letters")
+            n = pc.utf8_length(a).to_numpy(zero_copy_only=False)
+            plain = np.logical_and.reduce([pc.binary_length(x).to_numpy(zero_copy_only=False) == n for x in (a, b)])
+            far = np.zeros(len(n), np.int64)
+            for width in np.unique(n[plain]):
+                at = np.flatnonzero(plain & (n == width))
+                x, y = (np.frombuffer(b"".join(c.take(pa.array(at)).cast(pa.binary()).to_pylist()), np.uint8).reshape(len(at), width) for c in (a, b))
+                far[at] = (x != y).sum(1)
+            for i in np.flatnonzero(~plain):
+                far[i] = sum(p != q for p, q in zip(a[int(i)].as_py(), b[int(i)].as_py(), strict=True))
+            yield batch.select(names).filter(pa.array(far <= most))
 
-    links: period_idx, cluster, next_cluster. A judged step draws ATTEMPTS candidates and takes the first that isn't too mutated: only the letters
-    at the sites travel, and path has the numbers of the members so far.
+    return tried.mapInArrow(judge, tried.select(*names).schema)
+
+
+def walk_step(
+    state: DataFrame, links: DataFrame, members: DataFrame, seed: int, step: int, judged: bool, sizes: DataFrame | None = None, waves: tuple[int, ...] = ()
+) -> DataFrame:
+    """One step of all walks: sample_id, turn, period_idx, cluster, letters, path -> the same, in the next period. Walks without a fitting candidate are gone.
+
+    links: with_next_period(). A judged step draws ATTEMPTS candidates and takes the first that isn't too mutated: only the letters
+    at the sites travel, and path has the numbers of the members so far. waves: after how many candidates the walks that have one are done; state is a written table then.
     """
-    attempts = settings.ATTEMPTS if judged else 1
     linked = state.join(F.broadcast(links), ["period_idx", "cluster"]).filter(F.size("next_cluster") > 0)
     k = drawn(seed, F.col("sample_id"), F.col("turn"), step, 0, "link")
-    moved = linked.select(
-        "sample_id", "turn", (F.col("period_idx") + 1).alias("period_idx"), F.get("next_cluster", (k % F.size("next_cluster")).cast("int")).alias("cluster"),
-        F.col("letters").alias("before"), "path", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"),
-    )
-    tried = with_member(moved, members, drawn(seed, F.col("sample_id"), F.col("turn"), step, F.col("attempt"), "member"), ("letters", "member_no"), sizes)
-    if judged:
-        most = int(len(settings.site_positions()) * settings.DIFFERENCE_SHARE)
-        tried = tried.filter(letter_differences(F.col("before"), F.col("letters")) <= most)
-    first = tried.groupBy("sample_id", "turn").agg(F.min_by(F.struct("period_idx", "cluster", "letters", "path", "member_no"), "attempt").alias("_s")).select("sample_id", "turn", "_s.*")
-    return first.withColumn("path", F.concat("path", F.array(F.struct(*AT)))).drop("member_no")
+    to = F.get("next_cluster", (k % F.size("next_cluster")).cast("int"))
+
+    def first(walks: DataFrame, low: int, high: int) -> DataFrame:
+        """Of candidates low to high - 1 the first that fits."""
+        moved = walks.select(
+            "sample_id", "turn", F.col("next_period").alias("period_idx"), to.alias("cluster"), F.col("letters").alias("before"), "path", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("attempt")
+        )
+        tried = with_member(moved, members, drawn(seed, F.col("sample_id"), F.col("turn"), step, F.col("attempt"), "member"), ("letters", "member_no"), sizes)
+        tried = near_enough(tried, int(len(settings.site_positions()) * settings.DIFFERENCE_SHARE)) if judged else tried
+        best = F.min_by(F.struct("period_idx", "cluster", "letters", "path", "member_no"), "attempt")
+        return tried.groupBy("sample_id", "turn").agg(best.alias("_s")).select("sample_id", "turn", "_s.*").withColumn("path", F.concat("path", F.array(F.struct(*AT)))).drop("member_no")
+
+    cuts = [0, *(waves if judged else ()), settings.ATTEMPTS if judged else 1]
+    if len(cuts) == 2:
+        return first(linked, *cuts)
+    out, left = None, linked
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        new = written(first(left, low, high), "walk-wave")
+        out = new if out is None else out.unionByName(new)
+        left = left.join(new.select("sample_id", "turn"), ["sample_id", "turn"], "left_anti")
+    return out
 
 
 AT = ("period_idx", "cluster", "member_no")
 
 
-def sample_walks(samples: DataFrame, links: DataFrame, members: DataFrame, size: int, seed: int, rounds: int = settings.MOST_ROUNDS, strict: bool = True) -> DataFrame:
+def sample_walks(
+    samples: DataFrame, links: DataFrame, members: DataFrame, size: int, seed: int, rounds: int = settings.MOST_ROUNDS, strict: bool = True, wave_rows: int = WAVE_ROWS
+) -> DataFrame:
     """sample_id, turn, seqs (size + 1 sequences): a walk for each of samples (sample_id, period_idx). members: numbered_members().
 
+    Steps go from a period of links to the next one that is there, so periods may be missing.
+
     A walk that finds no fitting sequence starts again in the next round with new draws; with strict, walks that fail all rounds
     are an error. A round's draws depend on its number alone, so of walks that are left ever more rounds are tried at a time,
     and a walk's first that succeeds counts. Sequences join the walks at the end.
     """
     members = members.withColumn("letters", site_letters(F.col("sequence"), settings.SITE_RANGES))
     members = written(members.select("period_idx", "cluster", F.col("member_no").cast("long").alias("member_no"), "letters", "sequence"), "walk-members")
-    links = written(links, "walk-links")
+    links = written(with_next_period(links), "walk-links")
     sizes = written(members.groupBy("period_idx", "cluster").agg(F.count("*").alias("n_members")), "walk-sizes")
     clusters = links.select("period_idx", "cluster").join(members.select("period_idx", "cluster").distinct(), ["period_idx", "cluster"])
     done, left, turn, lanes = None, samples.select("sample_id", "period_idx"), 0, 1
@@ -123,8 +174,9 @@ def sample_walks(samples: DataFrame, links: DataFrame, members: DataFrame, size:
         last = min(turn + lanes, rounds) - 1
         started = left.withColumn("turn", F.explode(F.sequence(F.lit(turn), F.lit(last))))
         state = pick_first(started, clusters, members, seed, F.col("turn"), ("letters", "member_no"), sizes).withColumn("path", F.array(F.struct(*AT))).drop("member_no")
+        waves = WAVES if lanes * left.count() >= wave_rows else ()
         for step in range(1, size + 1):
-            state = walk_step(state, links, members, seed, step, step < size, sizes)
+            state = walk_step(written(state, "walks") if waves else state, links, members, seed, step, step < size, sizes, waves)
             if step % WRITTEN_STEPS == 0 or step == size:
                 state = written(state, "walks")  # plans stay short
         new = state.groupBy("sample_id").agg(F.min("turn").alias("turn"), F.min_by("path", "turn").alias("path"))

@@ -82,7 +82,7 @@ def brute_walk(sample, first, links, chosen, size):
         seqs = [chosen[at][draw(turn, 0, 0, "member") % len(chosen[at])]]
         for step in range(1, size + 1):
             to = links[at]
-            at = (at[0] + 1, to[draw(turn, step, 0, "link") % len(to)])
+            at = (min(p for p, _ in links if p > at[0]), to[draw(turn, step, 0, "link") % len(to)])
             for attempt in range(settings.ATTEMPTS if step < size else 1):
                 seq = chosen[at][draw(turn, step, attempt, "member") % len(chosen[at])]
                 far = sum(seqs[-1][p : p + 1] != seq[p : p + 1] for p in settings.site_positions())
@@ -96,22 +96,23 @@ def brute_walk(sample, first, links, chosen, size):
     raise AssertionError("no walk")
 
 
-def test_walks_against_brute_force(spark):
+@pytest.mark.parametrize("periods, wave_rows", [((1, 2, 3, 4), walks.WAVE_ROWS), ((1, 3, 4, 8), walks.WAVE_ROWS), ((2, 3, 7, 9), 1)])
+def test_walks_against_brute_force(spark, periods, wave_rows):
     rng = random.Random(4)
     text = lambda: "".join(rng.choice("ACDEFGHIK") for _ in range(1270))
     base, rows = [text() for _ in range(2)], []
     for i in range(90):
         own = base[rng.random() < 0.35]
-        rows.append((i, 1 + i % 4, rng.randrange(2), own[: rng.randrange(1270)] + "*"))
-    links = {(p, c): sorted({rng.randrange(2), c}) if p < 4 else [] for p in range(1, 5) for c in range(2)}
+        rows.append((i, periods[i % 4], rng.randrange(2), own[: rng.randrange(1270)] + "*"))
+    links = {(p, c): sorted({rng.randrange(2), c}) if p < periods[-1] else [] for p in periods for c in range(2)}
     chosen = {}
     for i, p, c, s in rows:
         chosen.setdefault((p, c), []).append(s)
     members = spark.createDataFrame(rows, "record_idx long, period_idx int, cluster int, sequence string").repartition(3)
     table = spark.createDataFrame([(p, c, to) for (p, c), to in links.items()], "period_idx int, cluster int, next_cluster array<int>")
-    samples = spark.createDataFrame([(i, 1) for i in range(40)], "sample_id long, period_idx int")
-    got = {r.sample_id: (r.turn, r.seqs) for r in walks.sample_walks(samples, table, walks.numbered_members(members), 3, registered.SEED).collect()}
-    assert got == {i: brute_walk(i, 1, links, chosen, 3) for i in range(40)}
+    samples = spark.createDataFrame([(i, periods[0]) for i in range(40)], "sample_id long, period_idx int")
+    got = {r.sample_id: (r.turn, r.seqs) for r in walks.sample_walks(samples, table, walks.numbered_members(members), 3, registered.SEED, wave_rows=wave_rows).collect()}
+    assert got == {i: brute_walk(i, periods[0], links, chosen, 3) for i in range(40)}
     assert any(turn for turn, _ in got.values())
 
 
