@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,10 +43,23 @@ def drop_null_dates(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["timestamp"])
 
 
-def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key, by order. min_by combines on the map side, so a hot key is a row for each task, not a sorted group."""
-    others = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
+def value_key(value: str, digest: Callable[[Column], Column] = F.md5) -> Column:
+    """What a long text or nested array is grouped by: its 128-bit digest, and a second hash and its length, by which equal digests are verified."""
+    text = F.to_json(F.struct(value), {"ignoreNullFields": "false"})
+    return F.struct(F.unhex(digest(text)).alias("digest"), F.xxhash64(value).alias("proof"), F.length(text).alias("size"))
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[str], values: tuple[str, ...] = (), keep: list[str] | None = None, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """The first row of each key, by order. min_by combines on the map side, so a hot key is a row for each task, not a sorted group.
+
+    values are keys too, but long: rows are exchanged and sorted by their value_key(), and a value travels once, in the row that is first; not at all where it
+    isn't in keep (the columns of the result; all without it).
+    """
+    names = keep or df.columns
+    hashed = {f"_key_{i}": value_key(v, digest) for i, v in enumerate(values)}
+    others = [c for c in names if c not in keys]
+    first = df.withColumns(hashed).groupBy(*keys, *hashed).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row"))
+    return first.select(*keys, "_row.*").select(*names)
 
 
 def dedupe_isolates_in_batch(df: DataFrame) -> DataFrame:
@@ -57,8 +71,8 @@ def dedupe_isolates_in_period(df: DataFrame) -> DataFrame:
 
 
 def dedupe_sequences_in_period(df: DataFrame) -> DataFrame:
-    """Keyed by the sequence itself: partial aggregates carry it once for each task."""
-    return first_of(df, ["period", "sequence"], ["batch_no", "timestamp", "record_idx"])
+    """Keyed by a digest of the sequence, verified: partial aggregates carry the sequence itself once for each task."""
+    return first_of(df, ["period"], ["batch_no", "timestamp", "record_idx"], ("sequence",))
 
 
 def sort_by_date(df: DataFrame) -> DataFrame:
@@ -90,6 +104,10 @@ def period_row_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("period").agg(F.count("*").alias("n"))
 
 
+def count_distinct_periods(df: DataFrame) -> int:
+    return df.select("period").distinct().count()
+
+
 def year_span(df: DataFrame) -> DataFrame:
     return df.agg(F.min(F.year("timestamp")).alias("first_year"), F.max(F.year("timestamp")).alias("last_year"))
 

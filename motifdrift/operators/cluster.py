@@ -6,6 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -107,10 +108,12 @@ def pca_fit(points: DataFrame, dims: int = 2):
 
 
 def pca_project(points: DataFrame, dims: int = 2) -> DataFrame:
-    """points with pc1, pc2, ..; the sign of a component is free."""
+    """points with pc1, pc2, ..; of a component's loadings the largest (the first of them) is positive."""
     scaler, model = pca_fit(points, dims)
+    loadings = model.pc.toArray()
+    signs = [1.0 if column[np.abs(column).round(9).argmax()] >= 0 else -1.0 for column in loadings.T]
     out = model.transform(scaler.transform(points.withColumn("raw", array_to_vector("features")))).withColumn("_pc", vector_to_array("pc"))
-    return out.select(*points.columns, *[F.get("_pc", F.lit(i)).alias(f"pc{i + 1}") for i in range(dims)])
+    return out.select(*points.columns, *[(F.get("_pc", F.lit(i)) * signs[i]).alias(f"pc{i + 1}") for i in range(dims)])
 
 
 def pca_explained_variance(points: DataFrame, dims: int = 2) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from motifdrift import settings
 from motifdrift.functions.columns import drawn
 from motifdrift.operators import walks
+from motifdrift.operators.clean import first_of, value_key
 from motifdrift.operators.ngrams import context_ids
 from motifdrift.sources.scratch import written
 
@@ -29,10 +30,9 @@ def build_rows(walks: DataFrame, sites: DataFrame, vocab: DataFrame, strict: boo
     return cells.select("sample_id", "ordinal", label_mutation(F.element_at("cells", -2), y, exact).alias("y"), x.alias("x"))
 
 
-def dedupe_dataset(df: DataFrame, order: list[str]) -> DataFrame:
-    """The first row of each x; y doesn't count."""
-    others = [c for c in df.columns if c != "x"]
-    return df.groupBy("x").agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_r")).select("_r.*", "x").select(*df.columns)
+def dedupe_dataset(df: DataFrame, order: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The first row of each x; y doesn't count. keep: the columns of the result; without x among them, only its digest travels."""
+    return first_of(df, [], order, ("x",), keep)
 
 
 def merge_shards(shards: list[DataFrame], order: str = "row_id") -> DataFrame:
@@ -46,7 +46,7 @@ def merge_shards(shards: list[DataFrame], order: str = "row_id") -> DataFrame:
 
 def unique_ratio(df: DataFrame, target: int | None = None) -> DataFrame:
     """n_rows, n_unique, percent of target (all rows without one)."""
-    counts = df.groupBy("x").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_unique"))
+    counts = df.groupBy(value_key("x")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_unique"))
     base = F.lit(target) if target else F.nullif(F.col("n_rows"), F.lit(0))
     return counts.withColumn("percent", F.col("n_unique") * 100.0 / base)
 
@@ -56,24 +56,31 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("shuffle_key", key)
 
 
-def train_test_split(df: DataFrame, key: str, seed: int, test_percent: int = 20) -> DataFrame:
-    return df.withColumn("is_test", drawn(seed, "split", F.col(key)) % 100 < test_percent)
+def train_test_split(df: DataFrame, key: str, seed: int, test_percent: int = 20, size: int = 1) -> DataFrame:
+    """Adds is_test, drawn by key; by key // size with a size, so that rows of one walk (its sites, numbered in a row) are in the same part."""
+    unit = F.col(key) if size == 1 else F.floor(F.col(key) / size)
+    return df.withColumn("is_test", drawn(seed, "split", unit) % 100 < test_percent)
 
 
 def refill_dataset(generate: Callable[[int, int], DataFrame], target: int, ratio: float = settings.UNIQUE_RATIO, most: int = 10) -> DataFrame:
-    """Rows (row_id, y, x) without repeats: generate(n, turn) makes about n rows; what repeats is made anew, until duplicates are below ratio.
+    """Rows (turn, row_id, y, x) without repeats: generate(n, turn) makes about n rows; what repeats is made anew, until duplicates are below ratio.
 
-    turn goes into the seed. Both numbers are shares of target.
+    turn goes into the seed. Both numbers are shares of target. A turn handles its own rows: they are told apart by themselves, and then meet the digests of
+    what is there already, of which a key of some 30 bytes is stored for each row; earlier rows aren't read again.
     """
-    parts: list[DataFrame] = []
-    missing = target
+    parts, keys, missing = [], [], target
     for turn in range(most):
-        parts.append(written(generate(missing, turn).withColumn("turn", F.lit(turn)), "refill"))
-        unique = dedupe_dataset(reduce(lambda a, b: a.unionByName(b), parts), ["turn", "row_id"])
-        missing = target - unique.count()
+        made = first_of(generate(missing, turn).withColumn("turn", F.lit(turn)), [], ["row_id"], ("x",)).withColumn("_key", value_key("x"))
+        if keys:
+            known = reduce(lambda a, b: a.unionByName(b), keys)
+            made = made.join(known.withColumnRenamed("_key", "_known"), F.col("_key").eqNullSafe(F.col("_known")), "left_anti")
+        made = written(made, "refill")
+        parts.append(made.drop("_key"))
+        keys.append(made.select("_key"))  # of the stored rows only this column is read
+        missing -= made.count()
         if missing <= target * ratio:
             break
-    return unique
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def create_dataset(

@@ -299,6 +299,13 @@ def oracle_sql() -> dict[str, str]:
         "natural_order_periods": f"""
             SELECT (row_number() OVER (ORDER BY string_split(period, '-')[1]::INT, string_split(period, '-')[2]::INT) - 1)::INT AS period_idx, period
             FROM (SELECT DISTINCT {month_of('d')} AS period FROM (SELECT o_orderdate::DATE AS d FROM orders)) WHERE period IS NOT NULL""",
+        "count_distinct_periods": " UNION ALL ".join(
+            f"SELECT '{name}' AS technique, count(DISTINCT {of('d')}) AS n FROM (SELECT o_orderdate::DATE AS d FROM orders)"
+            for name, of in (("year", lambda d: f"year({d})"), ("quarter", quarter_of), ("month", month_of))
+        ),
+        "train_test_split_by_walk": sql(f"SELECT row_id, {h(f"'{SEED}|split|' || (row_id // {len(settings.site_positions())})::VARCHAR")} % 100 < 20 AS is_test FROM walk_rows"),
+        "pca_projected_variances": sql("""
+            SELECT unnest([1, 2]) AS component, true AS close, total FROM (SELECT round(sum(s), 4) AS total FROM (SELECT var_samp(v) AS s FROM point_values GROUP BY pos))"""),
         "slice_records": """
             SELECT ((doc_id - 100) // 150)::INT AS batch_no, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents
             WHERE doc_id >= 100 AND doc_id < 700 GROUP BY 1""",

@@ -113,6 +113,14 @@ def natural_order_periods(spark, d):
     return clean.period_index(rows.distinct(), natural_key(F.col("period"))).select("period_idx", "period")
 
 
+@query
+def count_distinct_periods(spark, d):
+    """Of each division technique, how many periods the orders are in."""
+    rows = driver_table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("timestamp"))
+    found = [(t, clean.count_distinct_periods(clean.with_period(rows, t))) for t in ("year", "quarter", "month")]
+    return spark.createDataFrame(found, "technique string, n long")
+
+
 @query
 def slice_records(spark, d):
     docs = driver_table(spark, d, "documents").select(F.col("doc_id").alias("record_idx"))
@@ -432,6 +440,16 @@ def pca_project(spark, d):
     return cluster.REDUCTION_METHODS["PCA"](fx.points(spark, d)).select("vec_id", "pc1", "pc2")
 
 
+@query
+def pca_projected_variances(spark, d):
+    """Whether what is projected on a component varies as much as its explained share of all variance says; and all variance."""
+    rows = written(fx.points(spark, d), "points")
+    spread = rows.select(F.posexplode("features").alias("pos", "v")).groupBy("pos").agg(F.var_samp("v").alias("s")).agg(F.sum("s").alias("total"))
+    own = cluster.pca_project(rows).agg(F.array(F.var_samp("pc1"), F.var_samp("pc2")).alias("v")).select(F.posexplode("v").alias("i", "v"))
+    shares = cluster.pca_explained_variance(rows, 2).join(own.withColumn("component", F.col("i") + 1), "component")
+    return shares.join(F.broadcast(spread)).select("component", (F.abs(F.col("v") / F.col("total") - F.col("ratio")) < 1e-6).alias("close"), F.round("total", 4).alias("total"))
+
+
 @query
 def pca_explained_variance(spark, d):
     return cluster.pca_explained_variance(fx.points(spark, d), 3)
@@ -537,7 +555,7 @@ def label_mutation(spark, d):
 
 @query
 def dedupe_dataset(spark, d):
-    return dataset.dedupe_dataset(_rows(spark, d), ["row_id"]).select("row_id", "y")
+    return dataset.dedupe_dataset(_rows(spark, d), ["row_id"], ["row_id", "y"])
 
 
 @query
@@ -561,6 +579,12 @@ def train_test_split(spark, d):
     return dataset.train_test_split(_rows(spark, d), "row_id", SEED).select("row_id", "is_test")
 
 
+@query
+def train_test_split_by_walk(spark, d):
+    """All rows of a walk are in the same part."""
+    return dataset.train_test_split(_rows(spark, d), "row_id", SEED, size=len(settings.site_positions())).select("row_id", "is_test")
+
+
 @query
 def refill_dataset(spark, d):
     """Rows without repeats: what repeats is made anew with a new seed."""
