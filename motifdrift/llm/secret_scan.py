@@ -37,8 +37,8 @@ RANDOM_PRIOR, ORDINARY_PRIOR = 8.0, 4.0
 LEAST_RATIO, LEAST_RATIO_A_STEP = 12.0, 0.5
 
 SPAN = "struct<s:int,k:int,e:int,v:string>"
-#: Running values are formed in levels of so many, which is enough for FAN to the power of LEVELS matches in a text.
-FAN, LEVELS = 32, 5
+#: Running values are formed in levels of so many: FAN to the power of LEVELS is 2^30, and a text of 2^31 bytes has fewer matches, as each has 6 letters or more.
+FAN, LEVELS = 32, 6
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -55,9 +55,12 @@ def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
         whole = lambda p: F.transform(p, lambda x, i: F.coalesce(F.aggregate(before(p, i), x, lambda t, j: join(t, F.get(p, i - j * span))), x))
         return bound(values, lambda p: F.when(F.size(p) > span, whole(p)).otherwise(p))
 
-    for k in range(LEVELS):
-        values = level(values, FAN**k)
-    return values
+    def deeper(values: Column) -> Column:
+        for k in range(1, LEVELS):
+            values = level(values, FAN**k)
+        return values
+
+    return bound(level(values, 1), lambda p: F.when(F.size(p) > FAN, deeper(p)).otherwise(p))
 
 
 def found(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
