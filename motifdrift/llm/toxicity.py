@@ -329,8 +329,11 @@ def fitted(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, n_to
     chosen = sentences
     for turn in range(ROUNDS):
         distinct = written(chosen.groupBy("toxic", "k").agg(F.count("*").alias("n")), "toxic-distinct")
-        share = MOST_SENTENCES / max(MOST_SENTENCES, distinct.count())
-        rows = distinct.filter((F.col("toxic") == 1) | (F.pmod(F.xxhash64("k"), F.lit(10_000)) < 10_000 * share)).toArrow()
+        there = {r["toxic"]: r["c"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("c")).collect()}  # two rows
+        # Sentences of toxic documents come first; clean ones have what these leave of the bound, but half of it at least.
+        most = {1: MOST_SENTENCES // 2, 0: max(MOST_SENTENCES // 2, MOST_SENTENCES - there.get(1, 0))}
+        thinned = lambda side: F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < F.lit(min(1 << 20, (most[side] << 20) // max(1, there.get(side, 0))))
+        rows = distinct.filter(F.when(F.col("toxic") == 1, thinned(1)).otherwise(thinned(0))).toArrow()  # about MOST_SENTENCES rows at most
         y, n = np.where(rows.column("toxic").to_numpy() == 1, 1.0, -1.0), rows.column("n").to_numpy().astype(np.float64)
         for side in (-1.0, 1.0):
             n[y == side] /= 2 * n[y == side].sum()
