@@ -43,6 +43,8 @@ UNKNOWN = "und"
 LETTERS, AT_LETTERS = 1 << 12, BUCKETS + len(SCRIPTS) + 1
 #: A text goes if its labels are less likely than the background by so many nats, and less than this share of its letters is in words that they explain better.
 SURE, LEAST_TOLD = 12.0, 0.3
+#: Texts of fewer letters are too short to tell by; they go only if their letters are of scripts that no language was learned in.
+LEAST_LETTERS = 20
 #: Bytes of text labelled at once with up to FEW languages; fewer with more, as each word has a score for each. Words that Viterbi takes one after another.
 LABELLED_BYTES, FEW, BLOCK_WORDS = 8 << 20, 8, 1024
 
@@ -262,21 +264,21 @@ def language_report(docs: DataFrame) -> DataFrame:
     return labelled_spans(docs, fitted_on_train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-def told_by_labels(text: pa.Array, model: Model, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: its letters, those in words that the Viterbi label explains better than the background does, and by how many nats all its labels do."""
+def told_by_labels(text: pa.Array, model: Model, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: its letters, those in words that the Viterbi label explains better than the background does, by how many nats all its labels do, and its letters in words of learned scripts."""
     codes, distinct, offsets = coded_words(text)
     scores, letters, apart = model.word_scores(distinct)
     labels = viterbi(scores[codes], offsets, switch)
     gain = scores[codes, labels] - apart[codes]
     owner = np.repeat(np.arange(len(text)), np.diff(offsets))
-    return tuple(np.bincount(owner, weights=w, minlength=len(text)) for w in (letters[codes], np.where(gain > 0, letters[codes], 0), gain))
+    return tuple(np.bincount(owner, weights=w, minlength=len(text)) for w in (letters[codes], np.where(gain > 0, letters[codes], 0), gain, np.where(apart <= 0, letters, 0)[codes]))
 
 
 def identified(docs: DataFrame, model: Model | None, sure: float = SURE, least_told: float = LEAST_TOLD) -> DataFrame:
     """The rows of docs whose language can be told by the labels of their words.
 
-    A text goes if it has no letter; or if a background in which letters don't depend on their neighbours explains it better than the languages of its
-    Viterbi labels do, by `sure` nats, and less than least_told of its letters are in words where a label does better. So languages go that nobody has labelled,
+    A text goes if it has no letter; if less than least_told of its letters are in words of scripts that a language was learned in; or if a background in which letters don't depend on their neighbours explains it better than the languages of its
+    Viterbi labels do, by `sure` nats, less than least_told of its letters are in words where a label does better, and it has LEAST_LETTERS letters. So languages go that nobody has labelled,
     in any script, and random letters; texts of several learned languages stay, however evenly they are mixed, and so do texts too short to tell. If
     nothing was learned, every text with a letter stays. All columns stay; nothing is shuffled.
     """
@@ -290,7 +292,8 @@ def identified(docs: DataFrame, model: Model | None, sure: float = SURE, least_t
                 letters = np.bincount(np.repeat(np.arange(len(text)), np.diff(offsets)), weights=letter_trigrams(distinct)[3][codes], minlength=len(text))
                 yield batch.filter(pa.array(letters > 0))
                 continue
-            letters, told, gain = told_by_labels(text, own)
-            yield batch.filter(pa.array((letters > 0) & ((gain > -sure) | (told >= least_told * letters))))
+            letters, told, gain, known = told_by_labels(text, own)
+            stays = (letters < LEAST_LETTERS) | (gain > -sure) | (told >= least_told * letters)
+            yield batch.filter(pa.array((letters > 0) & (known >= least_told * letters) & stays))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -213,6 +213,7 @@ def test_languages_without_labels_go(spark, four):
     mixed = " ".join(say(lang, 12) for lang in ("aa", "bb", "cc", "dd"))
     stay = {1: say("aa", 40), 2: mixed, 3: " ".join(say(lang, 3) for lang in ("aa", "bb", "cc", "dd") * 5), 4: "ok", 5: f"{say('bb', 30)} {say('ee', 25)}", 6: say("dd", 1)}
     stay[7] = say("cc", 12) + ' token = "dfd1944d2e84f15e89902e34b677eb5a8a7d42ab"'
+    stay[8] = "yyt kko"
     go = {20: say("ee", 40), 21: say("ff", 40), 22: "zxqv wqkj xkcd bvnm qqzz jjxx", 23: "漢字仮名 カナ 漢字", 24: None, 25: "", 26: "12 .. !", 27: say("ee", 2000), 28: "Жи ра но ти щука"}
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in {**stay, **go}.items()], "doc_id long, text string, score double").repartition(3)
     kept = lang_id.identified(docs, model)
@@ -244,7 +245,8 @@ def test_scores_and_evidence_from_recounted_letters(four):
             close += scores[i, k] == pytest.approx(own, abs=1e-3)
     assert close > 0.9 * len(kept) * len(model.languages)
     texts = [say("aa", 9), say("ee", 9), say("aa", 5) + " " + say("bb", 5)]
-    total, told, gain = lang_id.told_by_labels(pa.array(texts), model)
+    total, told, gain, known = lang_id.told_by_labels(pa.array(texts), model)
+    assert known.tolist() == total.tolist()
     for i, t in enumerate(texts):
         words = t.split()
         scores, n, apart = model.word_scores(words)
