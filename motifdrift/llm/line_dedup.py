@@ -2,9 +2,10 @@
 
 A line's key is the line stripped of ASCII white space at both ends, with A-Z lower-cased; only keys of LEAST_CHARS code
 points or more count. Every shard (a range of key digests) has an exact table - digest, how many documents hold it,
-the largest such document - and cuckoo filters of its digests. A filter answers "certainly not here" without
-the table; "maybe" is settled by the table, so false positives never change a result. Filters take deletions,
-and the table counts back down, so documents can be inserted and deleted again without rebuilding.
+the largest such document - and cuckoo filters of its digests: one of all, one of the repeated ones. A filter answers
+"certainly not here" without the table; "maybe" is settled by the table, so false positives never change a result. Filters
+take deletions, and the table counts back down, so documents can be inserted and deleted again without rebuilding. Whatever
+is deduplicated goes through such an index: its documents are inserted, and what they lose is read from filters and table.
 """
 
 from __future__ import annotations
@@ -169,8 +170,13 @@ def filters_of(table: DataFrame) -> DataFrame:
 
 
 def prefiltered(lines: DataFrame, repeated: DataFrame, n_shards: int, most_bytes: int = PREFILTER_BYTES) -> DataFrame:
-    """lines without those that the repeated keys' filters rule out. Filters larger than most_bytes in all meet the lines by shard."""
-    filters = written(filters_of(repeated), "line-filters")
+    """lines without those that filters of the repeated keys rule out."""
+    return not_ruled_out(lines, written(filters_of(repeated), "line-filters"), n_shards, most_bytes)
+
+
+def not_ruled_out(lines: DataFrame, filters: DataFrame, n_shards: int, most_bytes: int | None = None) -> DataFrame:
+    """lines (doc_id, row, key) that their shard's filter (shard, filter) may hold. Filters larger than most_bytes (PREFILTER_BYTES) in all meet the lines by shard."""
+    most_bytes = PREFILTER_BYTES if most_bytes is None else most_bytes
     size = filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     if size > most_bytes:
         return probed_by_shard(lines.withColumn("shard", shard_of("key", n_shards)), filters)
@@ -208,14 +214,9 @@ def probed_by_shard(lines: DataFrame, filters: DataFrame) -> DataFrame:
 
 
 def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
-    """doc_id, row, keys: the keys whose lines the rows of that id and text lose."""
-    lines = written(keyed_lines(docs, id_col, text_col), "line-keys")
-    repeated = written(counted(lines).filter(F.col("refs") >= least_docs), "repeated-lines")
-    n_shards = max(1, -(-repeated.count() // SHARD_KEYS))
-    some = prefiltered(lines, repeated.withColumn("shard", shard_of("key", n_shards)), n_shards)
-    # A hot key has many rows on the left only, which Spark splits; the exact table has one row for each key.
-    lost = some.join(repeated.hint("merge"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-    return lost.groupBy("doc_id", "row").agg(F.collect_set("key").alias("keys"))
+    """doc_id, row, keys: the keys whose lines the rows of that id and text lose, as an index of all of docs tells."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return LineIndex(docs.sparkSession, least_docs=least_docs).insert(named).dropped()
 
 
 def kept_lines(text: str | None, keys: list[bytes] | None) -> tuple[int, int, str]:
@@ -273,28 +274,37 @@ def with_kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 
 class LineIndex:
-    """Incremental form, stored by shard of keys under a path: who holds which line (held), exact counts (table) and filters of live keys.
+    """Line dedup of documents that come and go, stored under a path. By shard of keys: exact counts (table), filters of all live keys (filters)
+    and of the keys that least_docs documents hold (repeats). By change: which rows an insertion brought (held), which ids a deletion took out (gone).
 
-    insert() and delete() write new folders of the shards that they change and leave those of all others as they are; then they commit a manifest of what
+    insert() and delete() write new folders of the shards that they change and leave all others as they are; then they commit a manifest of what
     counts now. Opening a path reads the newest manifest, so an index outlives its driver, and a change that was killed never happened. Of two
     writers at once, the later one fails (Conflict) and can open the index again. clean() deletes what no manifest names any more. The
-    number of shards follows the number of keys: where one outgrows shard_keys, all are dealt anew over twice as many.
+    number of shards follows the number of keys: before more are inserted than shard_keys a shard, all are dealt anew over more shards.
 
     Rows that repeat an id each count, and a null id is no largest id unless every holder's is null; deleting an id takes out all its rows (null ids can't be named, and stay).
     """
 
-    SCHEMAS = {"held": "doc_id long, key binary", "table": "key binary, refs long, last long", "filters": "n_keys long, filter binary"}
-
-    def __init__(self, spark: SparkSession, path: str | None = None, n_shards: int = 1, shard_keys: int = SHARD_KEYS):
-        """n_shards and shard_keys are of a new index; one that is there keeps its own."""
+    SCHEMAS = {
+        "held": "doc_id long, row long, key binary, change int",
+        "gone": "doc_id long, change int",
+        "table": "key binary, refs long, last long, shard int",
+        "filters": "n_keys long, filter binary, shard int",
+        "repeats": "n_keys long, filter binary, shard int",
+    }
+    BY_SHARD = ("table", "filters", "repeats")
+
+    def __init__(self, spark: SparkSession, path: str | None = None, n_shards: int = 1, shard_keys: int = SHARD_KEYS, least_docs: int = LEAST_DOCS):
+        """n_shards, shard_keys and least_docs are of a new index; one that is there keeps its own."""
         self.spark, self.path = spark, path or new_path(spark, "line-index")
-        self.manifests, self.n_shards, self.shard_keys, self.version = Manifests(spark, self.path), n_shards, shard_keys, ""
+        self.manifests, self.version = Manifests(spark, self.path), ""
+        self.n_shards, self.shard_keys, self.least_docs = n_shards, shard_keys, least_docs
         self._open()
 
     def _open(self) -> None:
         self.number, state = self.manifests.latest()
-        self.n_shards, self.shard_keys = state.get("n_shards", self.n_shards), state.get("shard_keys", self.shard_keys)
-        #: For each shard the folders that make it up: several of held, to which inserts append, and one of the others.
+        self.n_shards, self.shard_keys, self.least_docs = (state.get(x, getattr(self, x)) for x in ("n_shards", "shard_keys", "least_docs"))
+        #: For each shard (of held and gone: change) the one folder that counts.
         self.live: dict[str, dict[int, list[str]]] = {name: {int(s): v for s, v in state.get("live", {}).get(name, {}).items()} for name in self.SCHEMAS}
 
     def _changed(self, step: Callable[[DataFrame], None], rows: DataFrame) -> LineIndex:
@@ -312,28 +322,44 @@ class LineIndex:
 
     def _commit(self) -> LineIndex:
         live = {name: {str(s): v for s, v in shards.items() if v} for name, shards in self.live.items()}
-        self.number = self.manifests.commit({"n_shards": self.n_shards, "shard_keys": self.shard_keys, "live": live}, self.number)
+        own = {"n_shards": self.n_shards, "shard_keys": self.shard_keys, "least_docs": self.least_docs}
+        self.number = self.manifests.commit(own | {"live": live}, self.number)
         return self
 
     def clean(self, kept: int = 2, age_s: float = 24 * 3600) -> int:
         """Deletes folders that none of the newest manifests names; how many."""
-        folders = lambda state: {f"{name}/shard={s}/version={v}" for name, shards in state.get("live", {}).items() for s, versions in shards.items() for v in versions}
+        folders = lambda state: {f"{self._part(name, s)}/version={v}" for name, shards in state.get("live", {}).items() for s, versions in shards.items() for v in versions}
         return self.manifests.clean(folders, 3, kept, age_s)
 
-    def _read(self, name: str, shards: list[int] | None = None) -> DataFrame:
-        """The live rows of the shards (None: all), with shard."""
-        paths = [f"{self.path}/{name}/shard={s}/version={v}" for s, versions in self.live[name].items() if shards is None or s in shards for v in versions]
-        schema = self.SCHEMAS[name] + ", shard int"
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema + ", version string").option("basePath", f"{self.path}/{name}").parquet(*paths).drop("version")
+    def _part(self, name: str, s: int | str) -> str:
+        return f"{name}/{'shard' if name in self.BY_SHARD else 'change'}={s}"
 
-    def _write(self, name: str, rows: DataFrame, shards: list[int], append: bool = False) -> None:
-        """rows (with shard) as new folders of the shards; a shard without rows has none."""
-        rows.withColumn("version", F.lit(self.version)).write.partitionBy("shard", "version").mode("append").parquet(f"{self.path}/{name}")
+    def _read(self, name: str, parts: list[int] | None = None) -> DataFrame:
+        """The rows of the shards or changes (None: all), with its number."""
+        paths = [f"{self.path}/{self._part(name, s)}/version={v}" for s, versions in self.live[name].items() if parts is None or s in parts for v in versions]
+        if not paths:
+            return self.spark.createDataFrame([], self.SCHEMAS[name])
+        return self.spark.read.schema(f"{self.SCHEMAS[name]}, version string").option("basePath", f"{self.path}/{name}").parquet(*paths).drop("version")
+
+    def _write(self, name: str, rows: DataFrame, shards: list[int]) -> None:
+        """rows (with shard) as new folders of the shards, each from one task; a shard without rows has none."""
+        if shards:
+            rows = rows.repartition(len(shards), "shard")
+            rows.withColumn("version", F.lit(self.version)).write.partitionBy("shard", "version").mode("append").parquet(f"{self.path}/{name}")
         for s in shards:
-            now = [self.version] if f"version={self.version}" in {x for x, _ in self.manifests.children(f"{name}/shard={s}")} else []
-            self.live[name][s] = (self.live[name].get(s, []) if append else []) + now
+            there = f"version={self.version}" in {x for x, _ in self.manifests.children(self._part(name, s))}
+            self.live[name][s] = [self.version] if there else []
+
+    def _write_change(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows as what this change brings; read again, without its number."""
+        change = self.number + 1
+        rows.write.parquet(f"{self.path}/{self._part(name, change)}/version={self.version}")
+        self.live[name][change] = [self.version]
+        return self._read(name, [change]).drop("change")
+
+    def _write_repeats(self, shards: list[int]) -> None:
+        """Filters of the repeated keys of shards whose table has been written."""
+        self._write("repeats", filters_of(self._read("table", shards).filter(F.col("refs") >= self.least_docs)), shards)
 
     def _with_filters(self, keys: DataFrame, shards: list[int], change: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
         """change(keys of a shard, its filter's row or none) for each of the shards."""
@@ -347,10 +373,28 @@ class LineIndex:
         """Takes documents out (doc_ids: column doc_id). Only the exact rows of their keys are counted again; keys that nobody holds leave the filters."""
         return self._changed(self._delete, doc_ids)
 
+    def _make_room(self, lines: DataFrame) -> None:
+        """Enough shards for the keys that are there and those of lines, which are estimated: only the layout depends on them."""
+        keys = lines.agg(F.approx_count_distinct("key")).first()[0] + (self._read("filters").agg(F.sum("n_keys")).first()[0] or 0)
+        if keys > self.n_shards * self.shard_keys:
+            self._deal_anew(self.n_shards << (-(-keys // (self.n_shards * self.shard_keys)) - 1).bit_length())
+
     def _insert(self, docs: DataFrame) -> None:
         self._begin()
-        lines = written(keyed_lines(docs).drop("row").withColumn("shard", shard_of("key", self.n_shards)), "line-keys")
-        shards = [r.shard for r in lines.select("shard").distinct().collect()]
+        lines = self._write_change("held", keyed_lines(docs))
+        self._make_room(lines)
+        counts = counted(lines).withColumn("shard", shard_of("key", self.n_shards))
+        if any(self.live["table"].values()):
+            return self._add(written(counts, "line-counts"))
+        # Nothing is there that a filter could know.
+        shards = list(range(self.n_shards))
+        self._write("table", counts, shards)
+        self._write("filters", filters_of(self._read("table", shards)), shards)
+        self._write_repeats(shards)
+
+    def _add(self, counts: DataFrame) -> None:
+        """Adds counts (key, refs, last, shard) to those that are there."""
+        shards = [r.shard for r in counts.select("shard").distinct().collect()]
 
         def probe(part: pa.Table, own: pa.Table) -> pa.Table:
             found = np.zeros(part.num_rows, bool)
@@ -358,7 +402,6 @@ class LineIndex:
                 found = CuckooFilter.from_bytes(own.column("filter")[0].as_py()).maybe(halves(part.column("key")))
             return part.select(["key", "refs", "last", "shard"]).append_column("maybe", pa.array(found))
 
-        counts = lines.groupBy("shard", "key").agg(F.count("*").alias("refs"), F.max("doc_id").alias("last"))
         fresh = written(self._with_filters(counts, shards, probe, "key binary, refs long, last long, shard int, maybe boolean"), "line-split")
         table, maybe, new = self._read("table", shards), fresh.filter("maybe").drop("maybe"), fresh.filter("not maybe").drop("maybe")
         known = table.join(maybe.select("key"), "key", "left_semi")
@@ -378,31 +421,30 @@ class LineIndex:
         changed = [r.shard for r in added.select("shard").distinct().collect()]
         filters = written(self._with_filters(added, changed, add, "shard int, n_keys long, filter binary"), "line-filters")
         full = [r.shard for r in filters.filter("filter is null").select("shard").collect()]
-        self._write("held", lines, shards, append=True)
         self._write("table", merged, shards)
         again = filters_of(self._read("table", full)) if full else None
         kept = filters.filter("filter is not null")
         self._write("filters", kept if again is None else kept.unionByName(again), changed)
-        most = self._read("filters").agg(F.max("n_keys")).first()[0] or 0
-        if most > self.shard_keys:
-            self._deal_anew(self.n_shards * 2 ** max(1, (-(-most // self.shard_keys) - 1).bit_length()))
+        self._write_repeats(shards)
 
     def _deal_anew(self, n_shards: int) -> None:
-        self._begin()
-        held, table = (self._read(name).withColumn("shard", shard_of("key", n_shards)) for name in ("held", "table"))
-        self.live = {name: {} for name in self.SCHEMAS}
-        self.n_shards, shards = n_shards, list(range(n_shards))
-        self._write("held", held, shards)
-        self._write("table", table, shards)
-        self._write("filters", filters_of(self._read("table")), shards)
+        table = self._read("table").withColumn("shard", shard_of("key", n_shards))
+        self.n_shards, shards, there = n_shards, list(range(n_shards)), any(self.live["table"].values())
+        self.live |= {name: {} for name in self.BY_SHARD}
+        if there:
+            self._write("table", table, shards)
+            self._write("filters", filters_of(self._read("table")), shards)
+            self._begin()  # the change itself may write the same shards again
 
     def _delete(self, doc_ids: DataFrame) -> None:
         self._begin()
-        out = doc_ids.select("doc_id").distinct()
-        gone = written(self._read("held").join(out, "doc_id", "left_semi").select("shard", "key").distinct(), "line-gone")
+        out = written(doc_ids.select("doc_id").filter("doc_id is not null").distinct(), "line-out")
+        held = self.held().withColumn("shard", shard_of("key", self.n_shards))
+        gone = written(held.join(out, "doc_id", "left_semi").select("shard", "key").distinct(), "line-gone")
+        self._write_change("gone", out)
         shards = [r.shard for r in gone.select("shard").distinct().collect()]
-        left = written(self._read("held", shards).join(out, "doc_id", "left_anti").select("doc_id", "key", "shard"), "line-left")
-        again = written(left.join(gone.select("key"), "key", "left_semi").groupBy("shard", "key").agg(F.count("*").alias("refs"), F.max("doc_id").alias("last")), "line-again")
+        left = held.join(out, "doc_id", "left_anti").join(gone.select("key"), "key", "left_semi")
+        again = written(left.groupBy("shard", "key").agg(F.count("*").alias("refs"), F.max("doc_id").alias("last")), "line-again")
         table = self._read("table", shards).join(gone.select("key"), "key", "left_anti").unionByName(again)
         dead = written(gone.join(again.select("key"), "key", "left_anti").select("shard", "key"), "line-dead")
         changed = [r.shard for r in dead.select("shard").distinct().collect()]
@@ -416,13 +458,39 @@ class LineIndex:
         filters = self._with_filters(dead, changed, take, "shard int, n_keys long, filter binary")
         self._write("filters", filters, changed)
         self._write("table", table, shards)
-        self._write("held", left, shards)
+        self._write_repeats(shards)
+
+    def compact(self) -> LineIndex:
+        """Writes the rows that are held as one change, so that ids that deletions took out need no longer be looked up."""
+
+        def step(rows: DataFrame) -> None:
+            self._begin()
+            change = self.number + 1
+            self._write_change("held", rows)
+            self.live |= {"held": {change: [self.version]}, "gone": {}}
+
+        return self._changed(step, self.held())
+
+    def held(self) -> DataFrame:
+        """doc_id, row, key of all documents that are in: what an insertion brought and no later deletion took out."""
+        rows = self._read("held")
+        if not self.live["gone"]:
+            return rows.drop("change")
+        gone = self._read("gone").groupBy(F.col("doc_id").alias("_gone")).agg(F.max("change").alias("_until"))
+        return rows.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("change") < F.col("_until")), "left_anti").drop("change")
 
     def counts(self) -> DataFrame:
         return self._read("table")
 
-    def repeated(self, least_docs: int = LEAST_DOCS) -> DataFrame:
-        return self.counts().filter(F.col("refs") >= least_docs)
+    def repeated(self) -> DataFrame:
+        return self.counts().filter(F.col("refs") >= self.least_docs)
+
+    def dropped(self) -> DataFrame:
+        """doc_id, row, keys: the keys whose lines the rows of that id and text lose now. Filters of repeated keys keep most lines out of the join with the exact counts."""
+        some = not_ruled_out(self.held(), self._read("repeats"), self.n_shards)
+        # A hot key has many rows on the left only, which Spark splits; the exact table has one row for each key.
+        lost = some.join(self.repeated().select("key", "last").hint("merge"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
+        return lost.groupBy("doc_id", "row").agg(F.collect_set("key").alias("keys"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

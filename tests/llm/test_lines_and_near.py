@@ -164,6 +164,43 @@ def test_one_shard_of_many_lines_is_dealt_over_salts(spark, monkeypatch):
     assert got == {d: int(d != 499) for d in range(500)}
 
 
+def test_what_an_index_drops_after_changes_is_what_the_query_drops(spark, tmp_path):
+    line = lambda i: f"A line of some length, number {i:04d}"
+    rng = random.Random(8)
+    rows = [(d, "\n".join(line(rng.randrange(60)) for _ in range(5))) for d in range(60)] + [(7, line(1)), (7, line(1)), (None, line(2)), (None, None), (70, "")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    ids = lambda found: frame([(d, "") for d in found])
+    lost = lambda frame: {(r.doc_id, r.row, bytes(k)) for r in frame.collect() for k in r["keys"]}
+    path = f"file://{tmp_path}/index"
+    opened = lambda: line_dedup.LineIndex(spark, path, n_shards=2, shard_keys=20)
+
+    def brute(rows):
+        last, n = {}, defaultdict(int)
+        for d, t in rows:
+            for k in {line_dedup.line_key(x) for x in (t or "").split("\n")} - {None}:
+                n[k], last[k] = n[k] + 1, max(last.get(k, -1), -1 if d is None else d)
+        return {(d, k) for d, t in rows for k in {line_dedup.line_key(x) for x in (t or "").split("\n")} - {None} if n[k] >= 3 and last[k] != (-1 if d is None else d)}
+
+    opened().insert(frame(rows[:30]))
+    assert {(d, k) for d, _, k in lost(opened().dropped())} == brute(rows[:30])
+    opened().insert(frame(rows[30:]))
+    whole = lost(opened().dropped())
+    assert {(d, k) for d, _, k in whole} == brute(rows) and whole == lost(line_dedup.dropped_keys(frame(rows)))
+    out = set(range(0, 60, 2)) | {7}
+    opened().delete(ids(out))
+    left = [r for r in rows if r[0] not in out]
+    assert lost(opened().dropped()) == lost(line_dedup.dropped_keys(frame(left))) and {(d, k) for d, _, k in lost(opened().dropped())} == brute(left) != set()
+    # Deleted documents that come back count again, and their earlier deletion takes nothing out any more.
+    opened().insert(frame([r for r in rows if r[0] in out]))
+    assert lost(opened().dropped()) == whole and index_rows(opened()) == recounted(frame(rows))
+    opened().compact()
+    assert not opened().live["gone"] and lost(opened().dropped()) == whole
+    opened().delete(ids(out))
+    assert opened().clean(kept=1, age_s=0) > 0
+    assert lost(opened().dropped()) == lost(line_dedup.dropped_keys(frame(left)))
+    assert line_dedup.LineIndex(spark, path, least_docs=9).least_docs == 3
+
+
 def test_index_changes_only_its_own_shards(spark, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     rows = [(d, "\n".join(f"a line of some length, number {d * 40 + j:06d}" for j in range(40))) for d in range(30)]
