@@ -27,6 +27,8 @@ STRIPPED = " \t\n\x0b\x0c\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Digests that a shard should hold at most; with 16-bit fingerprints its filter then has about 4 MB.
 SHARD_KEYS = 1_500_000
+#: Digests that are put into a filter at once.
+SLICE_KEYS = 1 << 17
 #: Filters of repeated lines go to every task up to this size in all; beyond it, lines are dealt to the filters, about so many to a task.
 PREFILTER_BYTES, GROUP_LINES = 48 << 20, 1_000_000
 
@@ -67,7 +69,11 @@ class CuckooFilter:
         return (bucket.astype(np.uint64) ^ step).astype(np.int64)
 
     def insert(self, digests: np.ndarray, rounds: int = 400) -> bool:
-        """Adds all; False if some found no place. In a round each waiting mark goes to its bucket, or evicts a mark there that then waits."""
+        """Adds all, a slice at a time so that memory stays small; False if some found no place."""
+        return all(self._insert(digests[i : i + SLICE_KEYS], rounds) for i in range(0, len(digests), SLICE_KEYS))
+
+    def _insert(self, digests: np.ndarray, rounds: int) -> bool:
+        """In a round each waiting mark goes to its bucket, or evicts a mark there that then waits."""
         mark, at = self.places(digests)
         rng = np.random.default_rng(1)
         for turn in range(rounds):
@@ -126,9 +132,13 @@ class CuckooFilter:
         return cls(len(table), table)
 
 
-def halves(digests: pa.Array | list[bytes]) -> np.ndarray:
-    data = b"".join(digests if isinstance(digests, list) else digests.to_pylist())
-    return np.frombuffer(data, "<u8").reshape(-1, 2)
+def halves(digests: pa.Array | pa.ChunkedArray | list[bytes]) -> np.ndarray:
+    """The digests as rows of two numbers; a column's are not copied value by value."""
+    if isinstance(digests, list):
+        return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+    chunks = [c.cast(pa.binary(16)) for c in (digests.chunks if isinstance(digests, pa.ChunkedArray) else [digests]) if len(c)]
+    parts = [np.frombuffer(c.buffers()[1], "<u8", 2 * len(c), 16 * c.offset).reshape(-1, 2) for c in chunks]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)
 
 
 def shard_of(key: str, n_shards: int):

@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from motifdrift.llm import line_dedup, near_dedup
@@ -67,6 +68,22 @@ def test_cuckoo_filter():
     assert not line_dedup.CuckooFilter.of(keys[:0]).maybe(keys).any()
 
 
+def test_digests_of_columns_and_slices(monkeypatch):
+    made = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(3000)]
+    want = line_dedup.halves(made)
+    column = pa.array([b"x" * 16, *made], pa.binary())
+    assert (line_dedup.halves(column[1:]) == want).all()
+    assert (line_dedup.halves(pa.chunked_array([column[1:500], column[:0], column[500:]])) == want).all()
+    assert (line_dedup.halves(column[1:].cast(pa.large_binary())) == want).all()
+    assert line_dedup.halves(column[:0]).shape == line_dedup.halves(pa.chunked_array([], pa.binary())).shape == (0, 2)
+    monkeypatch.setattr(line_dedup, "SLICE_KEYS", 64)
+    f = line_dedup.CuckooFilter.of(want)
+    assert f.maybe(want).all() and (f.table > 0).sum() == len(want)
+    f.delete(want)
+    assert not f.table.any()
+    assert not line_dedup.CuckooFilter(4).insert(want)
+
+
 def test_index_is_reversible(spark):
     line = lambda i: f"a line of some length, number {i:04d}"
     docs = [(d, "\n".join(line((d * j) % 17) for j in range(1, 6))) for d in range(1, 41)]
