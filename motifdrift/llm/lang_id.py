@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifdrift.llm.shared import held_out
+from motifdrift.llm.shared import held_out, thrifty
 from motifdrift.llm.words import coded_words, slices
 
 #: Script ranges, first and last code point. Letters elsewhere are script "other".
@@ -47,6 +47,8 @@ SURE, LEAST_TOLD = 12.0, 0.3
 LEAST_LETTERS = 20
 #: Bytes of text labelled at once with up to FEW languages; fewer with more, as each word has a score for each. Words that Viterbi takes one after another.
 LABELLED_BYTES, FEW, BLOCK_WORDS = 8 << 20, 8, 1024
+#: Bytes of text that are counted, or told from the background, at once: a worker holds some 50 times that, and small slices take no longer.
+TOLD_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -173,7 +175,7 @@ def fitted(docs: DataFrame, most_docs: int = TRAIN_DOCS) -> Model | None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch, text in slices(batches, most=LABELLED_BYTES // 2):
+        for batch, text in slices(batches, most=TOLD_BYTES):
             langs = batch.column(1).to_pylist()
             codes, distinct, offsets = coded_words(text)
             bucket, word, script, _, near = letter_trigrams(distinct)
@@ -189,7 +191,7 @@ def fitted(docs: DataFrame, most_docs: int = TRAIN_DOCS) -> Model | None:
             at = np.flatnonzero(total)
             yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(total[at].astype(np.int64))})
 
-    counts = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = labelled.mapInArrow(thrifty(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counts.toArrow()  # languages x (buckets, scripts and letters) rows at most
     if not rows.num_rows:
         return None
@@ -286,7 +288,7 @@ def identified(docs: DataFrame, model: Model | None, sure: float = SURE, least_t
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch, text in slices(batches, most=own.slice_bytes() // 2 if own else LABELLED_BYTES):
+        for batch, text in slices(batches, most=min(TOLD_BYTES, own.slice_bytes()) if own else TOLD_BYTES):
             if own is None:
                 codes, distinct, offsets = coded_words(text)
                 letters = np.bincount(np.repeat(np.arange(len(text)), np.diff(offsets)), weights=letter_trigrams(distinct)[3][codes], minlength=len(text))
@@ -296,4 +298,4 @@ def identified(docs: DataFrame, model: Model | None, sure: float = SURE, least_t
             stays = (letters < LEAST_LETTERS) | (gain > -sure) | (told >= least_told * letters)
             yield batch.filter(pa.array((letters > 0) & (known >= least_told * letters) & stays))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(thrifty(keep), docs.schema)

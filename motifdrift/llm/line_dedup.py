@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifdrift.llm.shared import new_path, written
+from motifdrift.llm.shared import new_path, thrifty, written
+from motifdrift.llm.words import slices
 from motifdrift.sources.snapshots import Manifests
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
@@ -29,6 +30,8 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 SHARD_KEYS = 1_500_000
 #: Digests that are put into a filter at once.
 SLICE_KEYS = 1 << 17
+#: Texts are split into lines in slices of about so many bytes.
+SPLIT_BYTES = 2 << 20
 #: Filters of repeated lines go to every task up to this size in all; beyond it, lines are dealt to the filters, about so many to a task.
 PREFILTER_BYTES, GROUP_LINES = 48 << 20, 1_000_000
 
@@ -152,16 +155,16 @@ def keyed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in slices(batches, most=SPLIT_BYTES):
             counts, out = [], []
-            for text in batch.column(1).to_pylist():
-                own = {line_key(x) for x in (text or "").split("\n")} - {None}
+            for text in texts.to_pylist():
+                own = {line_key(x) for x in text.split("\n")} - {None}
                 counts.append(len(own))
                 out += sorted(own)
             take = pa.array(np.repeat(np.arange(len(counts)), counts))
             yield pa.record_batch({"doc_id": batch.column(0).take(take), "row": batch.column(2).take(take), "key": pa.array(out, pa.binary())})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col)).mapInArrow(keys, "doc_id long, row long, key binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col)).mapInArrow(thrifty(keys), "doc_id long, row long, key binary")
 
 
 def counted(lines: DataFrame) -> DataFrame:
@@ -203,7 +206,7 @@ def not_ruled_out(lines: DataFrame, filters: DataFrame, n_shards: int, most_byte
                     hit[mine] = opened[s].maybe(digests[mine])
             yield batch.filter(pa.array(hit))
 
-    return lines.withColumn("shard", shard_of("key", n_shards)).mapInArrow(probe, "doc_id long, row long, key binary, shard int").drop("shard")
+    return lines.withColumn("shard", shard_of("key", n_shards)).mapInArrow(thrifty(probe), "doc_id long, row long, key binary, shard int").drop("shard")
 
 
 def probed_by_shard(lines: DataFrame, filters: DataFrame) -> DataFrame:
@@ -255,7 +258,7 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        for batch in batches:
+        for batch, _ in slices(batches, most=SPLIT_BYTES):
             rows = []
             for doc_id, text, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n_lines, n_dropped, kept = kept_lines(text, keys)
@@ -264,7 +267,7 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in KEPT.split(", ")])
 
     both = whole.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")) & (F.xxhash64("text") == F.col("_lost_row")), "left").select("doc_id", "text", "keys")
-    return both.mapInArrow(apply, KEPT)
+    return both.mapInArrow(thrifty(apply), KEPT)
 
 
 def with_kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -273,13 +276,13 @@ def with_kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, _ in slices(batches, most=SPLIT_BYTES):
             text = [t if not k else kept_lines(t, k)[2] for t, k in zip(batch.column("text").to_pylist(), batch.column("_lost_keys").to_pylist(), strict=True)]
             columns = {n: batch.column(n) for n in names} | {"text": pa.array(text, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
     met = docs["doc_id"].eqNullSafe(lost["_lost_id"]) & (F.xxhash64(docs["text"]) == lost["_lost_row"])
-    joined = docs.join(lost, met, "left").drop("_lost_id", "_lost_row").mapInArrow(apply, docs.schema)
+    joined = docs.join(lost, met, "left").drop("_lost_id", "_lost_row").mapInArrow(thrifty(apply), docs.schema)
     return joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else joined
 
 
