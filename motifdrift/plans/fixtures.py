@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifdrift import settings
-from motifdrift.functions.columns import drawn, trigrams
+from motifdrift.functions.columns import drawn
 from motifdrift.operators.clean import apply_day_policy, drop_null_dates, parse_dates, split_description, valid_sequences
 from motifdrift.operators.cluster import centroid_table
 from motifdrift.operators.dataset import build_rows
 from motifdrift.operators.link import link_clusters
-from motifdrift.operators.ngrams import sequence_vectors
+from motifdrift.operators.ngrams import around_sites, distinct_trigrams, sequence_vectors
 from motifdrift.operators.walks import numbered_members, with_member
 from motifdrift.sources.scratch import written
 from motifdrift.sources.tables import driver_table, site_table
@@ -88,7 +88,7 @@ def vocab(rows: DataFrame) -> DataFrame:
     """idx, words, d1..: distinct trigrams without *; at most 26 cubed, so one task numbers them."""
     from pyspark.sql.window import Window
 
-    words = rows.select(F.explode(F.array_distinct(trigrams(F.col("sequence")))).alias("words")).filter(~F.contains("words", F.lit("*"))).distinct()
+    words = distinct_trigrams(rows).filter(~F.contains("words", F.lit("*")))
     value = lambda j: ((drawn(F.col("words"), j) % 2001 - 1000) / F.lit(1000.0)).cast("double")
     return words.select((F.row_number().over(Window.orderBy("words")) - 1).cast("int").alias("idx"), "words", *[value(j).alias(f"d{j}") for j in range(1, WIDTH + 1)])
 
@@ -111,19 +111,20 @@ def member_links(rows: DataFrame) -> DataFrame:
 
 
 def fixed_walks(rows: DataFrame) -> DataFrame:
-    """sample_id, seqs: for every member a walk along periods of one cluster."""
-    numbered = numbered_members(rows)
+    """sample_id, seqs (around_sites() of the sequences): for every member a walk along periods of one cluster."""
+    numbered = numbered_members(rows.withColumn("sequence", around_sites(F.col("sequence"), settings.site_positions())))
     s = F.col("sample_id")
     steps = rows.select(F.col("record_idx").alias("sample_id")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
     wanted = steps.select("sample_id", "t", (1 + s % 5 + F.col("t")).cast("int").alias("period_idx"), (s % 3).cast("int").alias("cluster"))
     met = with_member(wanted, numbered, s)
-    return met.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("t", "sequence"))).alias("c")).filter(F.size("c") == STEPS + 1).select("sample_id", F.col("c.sequence").alias("seqs"))
+    listed = met.groupBy("sample_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("t", "sequence"))).alias("c"))
+    return listed.filter(F.col("n") == STEPS + 1).select("sample_id", F.col("c.sequence").alias("seqs"))
 
 
-def walk_rows(rows: DataFrame) -> DataFrame:
-    """row_id, y, x."""
-    built = build_rows(fixed_walks(rows), site_table(rows.sparkSession), vocab(rows))
-    return built.select((F.col("sample_id") * len(settings.site_positions()) + F.col("ordinal")).alias("row_id"), "y", "x")
+def walk_rows(rows: DataFrame, take: tuple[str, ...] = ("y", "x"), words: DataFrame | None = None) -> DataFrame:
+    """row_id, y, x of fixed_walks(); other columns as build_rows() makes them. words: the vocabulary, where it is there already."""
+    built = build_rows(fixed_walks(rows), site_table(rows.sparkSession), vocab(rows) if words is None else words, take=take, cut=True)
+    return built.select((F.col("sample_id") * len(settings.site_positions()) + F.col("ordinal")).alias("row_id"), *take)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
