@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,22 +78,37 @@ def with_cluster_labels(isolates: DataFrame, labels: DataFrame, key: str = "seq_
     return isolates.drop("cluster").join(labels.select(key, "cluster"), key)
 
 
-def write_dataset(df: DataFrame, path: str, shard: int | None = None) -> None:
-    """y and x (array of int arrays) as CSV: y, then one printed list for each step. A shard replaces only itself; without one, all."""
-    found = df.agg(F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high")).first()
-    if found.low != found.high:
-        raise ValueError(f"rows have {found.low} to {found.high} steps")
-    steps = [F.to_json(F.get("x", F.lit(i))).alias(str(i)) for i in range(found.high or 0)]
+def write_dataset(df: DataFrame, path: str, shard: int | None = None, steps: int | None = None) -> None:
+    """y and x (array of int arrays) as CSV: y, then one printed list for each step. A shard replaces only itself; without one, all.
+
+    steps: how many each row has, if that is known; rows are held to it while they are written. Without it, a pass over df tells. Files are compressed, as ids repeat.
+    """
+    if steps is None:
+        found = df.agg(F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high")).first()
+        if found.low != found.high:
+            raise ValueError(f"rows have {found.low} to {found.high} steps")
+        held, steps = F.col("x"), found.high or 0
+    else:
+        told = F.concat(F.lit("a row has "), F.size("x").cast("string"), F.lit(f" steps, not {steps}"))
+        held = F.when(F.size("x") == steps, F.col("x")).otherwise(F.raise_error(told).cast("array<array<int>>"))
+    printed = [F.to_json(F.get(held, F.lit(i))).alias(str(i)) for i in range(steps)]
+    options = {"header": True, "compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
     if shard is None:
-        write_table(df.select("y", *steps), path, mode="replace", source="csv", header=True)
+        write_table(df.select("y", *printed), path, mode="replace", source="csv", **options)
     else:
-        write_table(df.select("y", *steps, F.lit(shard).alias("shard")), path, "shard", "overwrite", "csv", header=True)
+        write_table(df.select("y", *printed, F.lit(shard).alias("shard")), path, "shard", "overwrite", "csv", **options)
+
+
+def parsed_list(text: Column) -> Column:
+    """A printed list of whole numbers; anything but plain ones goes through the JSON reader."""
+    plain = text.rlike(r"^\[ ?\d{1,9}(, ?\d{1,9})*\]$")
+    return F.when(plain, F.split(F.substring(text, F.lit(2), F.length(text) - 2), ",").cast("array<int>")).otherwise(F.from_json(text, "array<int>"))
 
 
 def read_dataset(spark: SparkSession, path: str, steps: int) -> DataFrame:
     """y, x from CSV; printed lists are parsed."""
     rows = read_table(spark, path, ", ".join(["y int", *[f"`{i}` string" for i in range(steps)]]), source="csv", header=True)
-    return rows.select("y", F.array(*[F.from_json(F.col(f"`{i}`"), "array<int>") for i in range(steps)]).alias("x"))
+    return rows.select("y", F.array(*[parsed_list(F.col(f"`{i}`")) for i in range(steps)]).alias("x"))
 
 
 def site_ranges_table(spark: SparkSession) -> DataFrame:
